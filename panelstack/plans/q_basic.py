@@ -66,17 +66,16 @@ def q_explode_hourly(spark, sf_dir):
 
 # --- prediction log: naive forecasts for every day, replaced by MA-7 forecasts for the last 60 days ---
 
-UPSERT_SQL = f"""
-WITH {P2I},
+LOG_CTES = f"""{P2I},
 ma AS (SELECT series_id, date, value, avg(value) OVER (PARTITION BY series_id ORDER BY date
        ROWS BETWEEN 6 PRECEDING AND CURRENT ROW) AS ma7, max(date) OVER (PARTITION BY series_id) AS last_day FROM p2i),
 log AS (SELECT series_id, date AS prediction_date, CAST(date + 1 AS DATE) AS predicted_for_date, value AS actual_today,
         value AS predicted, 'naive' AS model FROM ma),
 new AS (SELECT series_id, date AS prediction_date, CAST(date + 1 AS DATE) AS predicted_for_date, value AS actual_today,
-        ma7 AS predicted, 'ma7' AS model FROM ma WHERE date > last_day - 60)
-SELECT * FROM log WHERE NOT EXISTS (SELECT 1 FROM new WHERE new.series_id = log.series_id
-                                     AND new.prediction_date = log.prediction_date)
-UNION ALL SELECT * FROM new"""
+        ma7 AS predicted, 'ma7' AS model FROM ma WHERE date > last_day - 60),
+u AS (SELECT * FROM log WHERE NOT EXISTS (SELECT 1 FROM new WHERE new.series_id = log.series_id
+      AND new.prediction_date = log.prediction_date) UNION ALL SELECT * FROM new)"""
+UPSERT_SQL = f"WITH {LOG_CTES} SELECT * FROM u"
 
 
 def prediction_log(spark, sf_dir):
