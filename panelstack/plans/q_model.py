@@ -1 +1,349 @@
-"""placeholder"""
+"""Feature pipeline (M19), learners (M1-M12, M15), explanations (M13-M14, F1, F3) and per-series
+autoregressive baselines (M16-M18)."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from panelstack.functions.bands import aqi_band_code, aqi_class
+from panelstack.operators.explain import (
+    background_means, contribution_summary, fit_linear_moments, linear_contributions,
+)
+from panelstack.operators.forecast import (
+    ar1_multistep, ar1_walk_forward, ar_p_walk_forward, dickey_fuller,
+)
+from panelstack.operators.learn import (
+    blend_sweep, boosted_classifier, boosted_regressor, cv_evaluate, decision_tree_regressor, feature_scores,
+    grid_search, models_agree, random_forest_classifier, random_forest_regressor, ridge, score_class,
+    score_regression,
+)
+from panelstack.operators.metrics import balanced_weights, classification_metrics, regression_metrics
+from panelstack.operators.ranking import explain_top, top_features
+from panelstack.operators.windows import time_series_folds, time_split
+from panelstack.plans.features import (
+    CYCLIC, FLAGS, LAGS, TARGET, TARGET_CLASS, WINDOWS, FUNCS, DIFFS, FeaturePipeline, scaled_names,
+)
+from panelstack.plans.panels import K, p2_filled
+from panelstack.plans.q_stats import BASE_SQL, P3_SPLIT, _metrics_sql, _p3_split, baseline_predictions
+from panelstack.plans.registry import register
+from panelstack.plans.sqlparts import P2I, W, aqi_class as sql_class, band_code, clip, grid, interp
+from panelstack.sources.fixtures import region_daily_panel
+
+T = "date"
+MEASURES = ["n_orders"]
+
+# --- M19 feature pipeline on the region-keyed order panel (value + one extra measure) ---------------
+
+REGION = ("region_p AS (SELECT r.r_name AS series_id, CAST(o.o_orderdate AS DATE) AS date, "
+          "avg(o.o_totalprice) / 1000.0 AS value, CAST(count(*) AS DOUBLE) AS n_orders FROM orders o "
+          "JOIN customer c ON o.o_custkey = c.c_custkey JOIN nation n ON c.c_nationkey = n.n_nationkey "
+          "JOIN region r ON n.n_regionkey = r.r_regionkey GROUP BY 1, 2)")
+
+
+def _feature_sql() -> str:
+    lags = [f"lag(value, {k}) OVER ({W}) AS lag_{k}" for k in LAGS]
+    fn = {"mean": "avg", "std": "stddev_samp", "max": "max", "min": "min"}
+    rolls = []
+    for w in WINDOWS:
+        frame = f"({W} ROWS BETWEEN {w} PRECEDING AND 1 PRECEDING)"
+        rolls += [f"CASE WHEN count(value) OVER {frame} = {w} THEN {fn[f]}(value) OVER {frame} END AS rolling_{f}_{w}"
+                  for f in FUNCS]
+    diffs = [f"value - lag(value, {k}) OVER ({W}) AS diff_{k}" for k in DIFFS]
+    cyc = [f"{fnc}(2 * pi() * {x} / {n}) AS {name}_{fnc}" for name, x, n in
+           (("month", "month(date)", 12), ("weekday", "(isodow(date) - 1)", 7), ("day_of_year", "dayofyear(date)", 365))
+           for fnc in ("sin", "cos")]
+    flags = ["CAST(isodow(date) - 1 >= 5 AS INTEGER) AS is_weekend",
+             "CAST(month(date) IN (12, 1, 2, 3, 4) AS INTEGER) AS is_dry_season"]
+    feats = MEASURES + [f"lag_{k}" for k in LAGS] + [f"rolling_{f}_{w}" for w in WINDOWS for f in FUNCS] + \
+        [f"diff_{k}" for k in DIFFS] + CYCLIC + FLAGS
+    complete = " AND ".join(f"{c} IS NOT NULL" for c in feats + [TARGET])
+    scaled = scaled_names(MEASURES)
+    fits = ", ".join(f"quantile_cont({c}, 0.5) AS {c}__m, quantile_cont({c}, 0.75) - quantile_cont({c}, 0.25) AS {c}__r"
+                     for c in scaled)
+    outs = ", ".join(f"({c} - {c}__m) / CASE WHEN {c}__r = 0 THEN 1.0 ELSE {c}__r END AS {c}" for c in scaled)
+    fence = ("CASE WHEN n_orders IS NOT NULL THEN least(greatest(n_orders, greatest(q1 - 3.0 * (q3 - q1), 0.0)), "
+             "q3 + 3.0 * (q3 - q1)) END")
+    return f"""
+WITH {REGION}, {grid('region_p', 'g', 'value,n_orders')}, {interp('g', 'gi', ['value', 'n_orders'])},
+f AS (SELECT series_id, date, n_orders, {', '.join(lags + rolls + diffs + cyc + flags)},
+      lead(value, 1) OVER ({W}) AS {TARGET} FROM gi),
+c AS (SELECT *, {sql_class(TARGET)} AS {TARGET_CLASS} FROM f WHERE {complete}),
+s AS (SELECT *, CASE WHEN row_number() OVER ({W}) > count(*) OVER (PARTITION BY series_id)
+      - ceil(count(*) OVER (PARTITION BY series_id) * 0.2) THEN 'test' ELSE 'train' END AS split FROM c),
+fen AS (SELECT quantile_cont(n_orders, 0.25) AS q1, quantile_cont(n_orders, 0.75) AS q3 FROM s WHERE split = 'train'),
+wz AS (SELECT s.* REPLACE ({fence} AS n_orders) FROM s, fen),
+sc AS (SELECT {fits} FROM wz WHERE split = 'train')
+SELECT series_id, date, split, {TARGET}, {TARGET_CLASS}, {outs}, {', '.join(CYCLIC + FLAGS)} FROM wz, sc"""
+
+
+def feature_panel(spark, sf_dir):
+    pipe = FeaturePipeline(K, T, "value", MEASURES)
+    return pipe.fit_transform(region_daily_panel(spark, sf_dir)), pipe
+
+
+@register("feature_pipeline", _feature_sql(),
+          doubles=[TARGET] + scaled_names(MEASURES) + CYCLIC, ints=[TARGET_CLASS] + FLAGS)
+def q_feature_pipeline(spark, sf_dir):
+    return feature_panel(spark, sf_dir)[0]
+
+
+def _train_test(spark, sf_dir):
+    panel, pipe = feature_panel(spark, sf_dir)
+    return panel.where(F.col("split") == "train"), panel.where(F.col("split") == "test"), pipe
+
+
+# --- learners (rows-only checks: model fits have no SQL twin) -------------------------------------
+
+@register("top_features")
+def q_top_features(spark, sf_dir):
+    train, _, pipe = _train_test(spark, sf_dir)
+    model = ridge(train, pipe.features, TARGET, alpha=10.0)
+    names, scores = zip(*feature_scores(model, pipe.features))
+    return top_features(spark, list(names), list(scores), k=20)
+
+
+@register("ridge_score")
+def q_ridge_score(spark, sf_dir):
+    train, test, pipe = _train_test(spark, sf_dir)
+    model = ridge(train, pipe.features, TARGET, alpha=10.0)
+    scored = score_regression(model, test, ["series_id", T, TARGET])
+    return regression_metrics(scored.select(F.col(TARGET).alias("y"), F.col("predicted").alias("yhat"),
+                                            F.lit("ridge").alias("model")), ["model"])
+
+
+@register("model_comparison")
+def q_model_comparison(spark, sf_dir):
+    """Decision tree, random forest and both boosted presets, scored on the test period."""
+    train, test, pipe = _train_test(spark, sf_dir)
+    # Early stopping watches the last 20 % of each series' training period, never the test rows.
+    tv = time_split(train, K, T, 0.2).withColumn("is_val", F.col("split") == "test").drop("split")
+    fits = {
+        "ridge": ridge(train, pipe.features, TARGET),
+        "decision_tree": decision_tree_regressor(train, pipe.features, TARGET),
+        "random_forest": random_forest_regressor(train, pipe.features, TARGET),
+        "boosted_lgb": boosted_regressor(tv, pipe.features, TARGET, "lgb", validation_col="is_val"),
+        "boosted_xgb": boosted_regressor(tv, pipe.features, TARGET, "xgb", validation_col="is_val", seed=7),
+    }
+    parts = []
+    for name, m in fits.items():
+        p = m.transform(test).select(F.col(TARGET).alias("y"), F.col("prediction").alias("yhat"),
+                                     F.lit(name).alias("model"))
+        parts.append(p)
+    allp = parts[0]
+    for p in parts[1:]:
+        allp = allp.unionByName(p)
+    return regression_metrics(allp, ["model"])
+
+
+@register("importance_table")
+def q_importance_table(spark, sf_dir):
+    train, _, pipe = _train_test(spark, sf_dir)
+    m = decision_tree_regressor(train, pipe.features, TARGET)
+    names, scores = zip(*feature_scores(m, pipe.features))
+    return top_features(spark, list(names), list(scores), k=len(names))
+
+
+def _class_frames(spark, sf_dir):
+    train, test, pipe = _train_test(spark, sf_dir)
+    train = balanced_weights(train.where(F.col(TARGET_CLASS).isNotNull()), TARGET_CLASS)
+    return train, test.where(F.col(TARGET_CLASS).isNotNull()), pipe
+
+
+@register("classifiers")
+def q_classifiers(spark, sf_dir):
+    train, test, pipe = _class_frames(spark, sf_dir)
+    rf = random_forest_classifier(train, pipe.features, TARGET_CLASS, weight_col="weight")
+    ovr = boosted_classifier(train, pipe.features, TARGET_CLASS, weight_col="weight", trees=50)
+    out = None
+    for name, m in (("random_forest", rf), ("boosted_ovr", ovr)):
+        pred = m.transform(test).select(F.col(TARGET_CLASS).alias("truth"), F.col("prediction").cast("int").alias("predicted"))
+        cm = classification_metrics(pred, "truth", "predicted", [0, 1, 2, 3]).withColumn("model", F.lit(name))
+        out = cm if out is None else out.unionByName(cm)
+    return out
+
+
+@register("grid_search")
+def q_grid_search(spark, sf_dir):
+    train, _, pipe = _class_frames(spark, sf_dir)
+    cv = grid_search(train, pipe.features, TARGET_CLASS, [0, 1, 2, 3],
+                     {"numTrees": [50, 100], "maxDepth": [5, 10]}, k=3, weight_col="weight")
+    rows = [(str(pm), float(score)) for pm, score in
+            zip([{p.name: v for p, v in m.items()} for m in cv.getEstimatorParamMaps()], cv.avgMetrics)]
+    return spark.createDataFrame(rows, "params string, macro_f1 double")
+
+
+@register("cv_evaluate")
+def q_cv_evaluate(spark, sf_dir):
+    train, _, pipe = _train_test(spark, sf_dir)
+    folds = time_series_folds(train, K, T, k=5)
+    return cv_evaluate(lambda tr: ridge(tr, pipe.features, TARGET), folds, TARGET)
+
+
+@register("score_latest")
+def q_score_latest(spark, sf_dir):
+    """Score the newest day of every series with both models: value, band, class, confidence, agreement."""
+    train, _, pipe = _class_frames(spark, sf_dir)
+    reg = ridge(train, pipe.features, TARGET)
+    clf = random_forest_classifier(train, pipe.features, TARGET_CLASS, weight_col="weight", trees=100)
+    today = pipe.transform(region_daily_panel(spark, sf_dir))
+    last = today.groupBy(*K).agg(F.max(T).alias(T))
+    today = today.join(last, on=K + [T], how="left_semi")
+    r = score_regression(reg, today, K + [T])
+    c = score_class(clf, today, K + [T])
+    return models_agree(r.join(c, on=K + [T]), "predicted", "predicted_class")
+
+
+# --- deterministic-model twins with SQL oracles ------------------------------------------------------
+
+BLEND_WEIGHTS = [0.65, 0.7, 0.75, 0.8, 0.85, 0.9]
+
+
+@register("blend_sweep", f"""
+WITH {BASE_SQL},
+wide AS (SELECT series_id, date, y, max(yhat) FILTER (WHERE model = 'ma7') AS ma7,
+         max(yhat) FILTER (WHERE model = 'naive') AS naive FROM pred GROUP BY 1, 2, 3),
+x AS (SELECT y, w.weight_a, w.weight_a * ma7 + (1.0 - w.weight_a) * naive AS yhat FROM wide,
+      (VALUES {', '.join(f'({w}::DOUBLE)' for w in BLEND_WEIGHTS)}) w(weight_a))
+{_metrics_sql('weight_a', 'x')}""", doubles="weight_a mae mse rmse r2 mape")
+def q_blend_sweep(spark, sf_dir):
+    p = baseline_predictions(spark, sf_dir)
+    wide = p.groupBy("series_id", T, "y").pivot("model", ["ma7", "naive"]).agg(F.first("yhat"))
+    return blend_sweep(wide, "ma7", "naive", "y", BLEND_WEIGHTS)
+
+
+@register("models_agree", f"""
+WITH {BASE_SQL},
+wide AS (SELECT series_id, date, max(yhat) FILTER (WHERE model = 'ma7') AS ma7,
+         max(yhat) FILTER (WHERE model = 'naive') AS naive FROM pred GROUP BY 1, 2)
+SELECT series_id, date, ma7, {sql_class('naive')} AS predicted_class,
+{band_code('ma7')} = {sql_class('naive')} AS models_agree FROM wide""", doubles="ma7", ints="predicted_class")
+def q_models_agree(spark, sf_dir):
+    p = baseline_predictions(spark, sf_dir)
+    wide = p.groupBy("series_id", T).pivot("model", ["ma7", "naive"]).agg(F.first("yhat"))
+    x = wide.select("series_id", T, "ma7", aqi_class("naive").alias("predicted_class"))
+    return models_agree(x, "ma7", "predicted_class")
+
+
+CONTRIB_FEATURES = ["quantity", "discount", "tax"]
+
+
+def _det3(m) -> str:
+    (a, b, c), (d, e, f), (g, h, i) = m
+    return f"(({a}) * (({e}) * ({i}) - ({f}) * ({h})) - ({b}) * (({d}) * ({i}) - ({f}) * ({g})) + ({c}) * (({d}) * ({h}) - ({e}) * ({g})))"
+
+
+def _contrib_ctes() -> str:
+    fs = CONTRIB_FEATURES
+    cov = [[f"s_{min(i, j)}_{max(i, j)}" for j in range(3)] for i in range(3)]
+    rhs = [f"s_{i}_y" for i in range(3)]
+    moments = [f"avg({c}) AS m_{i}" for i, c in enumerate(fs)] + ["avg(price_k) AS m_y"]
+    moments += [f"covar_pop({fs[i]}, {fs[j]}) AS s_{i}_{j}" for i in range(3) for j in range(i, 3)]
+    moments += [f"covar_pop({fs[i]}, price_k) AS s_{i}_y" for i in range(3)]
+    det = _det3(cov)
+    betas = []
+    for k in range(3):
+        mk = [[rhs[r] if col == k else cov[r][col] for col in range(3)] for r in range(3)]
+        betas.append(f"{_det3(mk)} / {det} AS b_{k}")
+    pred = "b0 + " + " + ".join(f"b_{i} * {c}" for i, c in enumerate(fs))
+    rows = " UNION ALL ".join(
+        f"SELECT series_id, date, {pred} AS prediction, '{c}' AS feature, {c} AS value, b_{i} * ({c} - m_{i}) AS contribution, "
+        f"b0 + b_0 * m_0 + b_1 * m_1 + b_2 * m_2 AS base FROM s, cf" for i, c in enumerate(fs))
+    return f"""{P3_SPLIT},
+sk AS (SELECT *, extendedprice / 1000.0 AS price_k FROM s),
+mo AS (SELECT {', '.join(moments)} FROM sk WHERE split = 'train'),
+co AS (SELECT mo.*, {', '.join(betas)} FROM mo),
+cf AS (SELECT co.*, m_y - b_0 * m_0 - b_1 * m_1 - b_2 * m_2 AS b0 FROM co),
+contrib AS ({rows})"""
+
+
+def _contributions(spark, sf_dir):
+    # Label: daily mean extended price in thousands.
+    s = _p3_split(spark, sf_dir).withColumn("price_k", F.col("extendedprice") / 1000.0)
+    train = s.where(F.col("split") == "train")
+    intercept, coefs = fit_linear_moments(train, CONTRIB_FEATURES, "price_k")
+    means = background_means(train, CONTRIB_FEATURES)
+    return linear_contributions(s, ["series_id", T], CONTRIB_FEATURES, intercept, coefs, means)
+
+
+@register("linear_contrib", f"WITH {_contrib_ctes()} SELECT * FROM contrib",
+          doubles="prediction value contribution base")
+def q_linear_contrib(spark, sf_dir):
+    return _contributions(spark, sf_dir)
+
+
+@register("contrib_summary", f"""
+WITH {_contrib_ctes()}, g AS (SELECT feature, avg(abs(contribution)) AS mean_abs_contribution,
+avg(contribution) AS mean_contribution FROM contrib GROUP BY 1)
+SELECT *, row_number() OVER (ORDER BY mean_abs_contribution DESC, feature) AS rank FROM g""",
+          doubles="mean_abs_contribution mean_contribution", ints="rank")
+def q_contrib_summary(spark, sf_dir):
+    return contribution_summary(_contributions(spark, sf_dir), top=20)
+
+
+@register("explain_top", f"""
+WITH {_contrib_ctes()},
+best AS (SELECT series_id, date FROM contrib ORDER BY prediction DESC, series_id, date LIMIT 1),
+r AS (SELECT c.series_id, c.date, c.feature, c.contribution, row_number() OVER (ORDER BY abs(c.contribution) DESC, c.feature)
+      AS rank FROM contrib c JOIN best USING (series_id, date))
+SELECT series_id, date, feature, contribution, rank FROM r WHERE rank <= 2
+UNION ALL SELECT series_id, date, 'rest', sum(contribution), 3 FROM r WHERE rank > 2 GROUP BY 1, 2""",
+          doubles="contribution", ints="rank")
+def q_explain_top(spark, sf_dir):
+    return explain_top(_contributions(spark, sf_dir), ["series_id", T], "prediction", k=2)
+
+
+# --- per-series autoregressive baselines ----------------------------------------------------------------
+
+AR_CTES = f"""{P2I},
+s AS (SELECT series_id, date, value, lag(value, 1) OVER ({W}) AS y1, CASE WHEN row_number() OVER ({W}) >
+      count(*) OVER (PARTITION BY series_id) - ceil(count(*) OVER (PARTITION BY series_id) * 0.2) THEN 'test'
+      ELSE 'train' END AS split FROM p2i),
+c AS (SELECT series_id, regr_intercept(value, y1) AS intercept, regr_slope(value, y1) AS phi,
+      sqrt((regr_syy(value, y1) - regr_slope(value, y1) * regr_sxy(value, y1)) / (regr_count(value, y1) - 2)) AS sigma
+      FROM s WHERE split = 'train' GROUP BY 1),
+f AS (SELECT s.series_id, s.date, s.value AS y, {clip('(c.intercept + c.phi * s.y1)', 0.0, 500.0)} AS yhat,
+      c.intercept + c.phi * s.y1 - 1.96 * c.sigma AS lower, c.intercept + c.phi * s.y1 + 1.96 * c.sigma AS upper
+      FROM s JOIN c USING (series_id) WHERE s.split = 'test')"""
+
+
+def _ar1(spark, sf_dir):
+    return ar1_walk_forward(time_split(p2_filled(spark, sf_dir), K, T), K, T, "value")
+
+
+@register("ar1_forecast", f"WITH {AR_CTES} SELECT * FROM f", doubles="y yhat lower upper")
+def q_ar1_forecast(spark, sf_dir):
+    return _ar1(spark, sf_dir)
+
+
+@register("ar1_metrics", f"WITH {AR_CTES}, pred AS (SELECT 'ar1' AS model, y, yhat FROM f) {_metrics_sql('model')}",
+          doubles="mae mse rmse r2 mape")
+def q_ar1_metrics(spark, sf_dir):
+    return regression_metrics(_ar1(spark, sf_dir).withColumn("model", F.lit("ar1")), ["model"])
+
+
+@register("ar3_forecast")
+def q_ar3_forecast(spark, sf_dir):
+    return ar_p_walk_forward(time_split(p2_filled(spark, sf_dir), K, T), K, T, "value", p=3)
+
+
+@register("ar1_multistep", f"""
+WITH {P2I},
+l AS (SELECT series_id, date, value, lag(value, 1) OVER ({W}) AS y1 FROM p2i),
+c AS (SELECT series_id, regr_intercept(value, y1) AS a, regr_slope(value, y1) AS phi FROM l GROUP BY 1),
+last AS (SELECT series_id, arg_max(value, date) AS x, max(date) AS t FROM p2i GROUP BY 1)
+SELECT series_id, h.h, CAST(t + CAST(h.h AS INTEGER) AS DATE) AS date,
+  a / (1.0 - phi) + pow(phi, h.h) * (x - a / (1.0 - phi)) AS forecast
+FROM last JOIN c USING (series_id), range(1, 31) h(h)""", doubles="forecast", ints="h")
+def q_ar1_multistep(spark, sf_dir):
+    return ar1_multistep(p2_filled(spark, sf_dir), K, T, "value", horizon=30)
+
+
+@register("dickey_fuller", f"""
+WITH {P2I},
+l AS (SELECT series_id, value - lag(value, 1) OVER ({W}) AS dy, lag(value, 1) OVER ({W}) AS y1 FROM p2i),
+g AS (SELECT series_id, regr_slope(dy, y1) AS rho, regr_sxx(dy, y1) AS sxx, regr_syy(dy, y1) AS syy,
+      regr_sxy(dy, y1) AS sxy, regr_count(dy, y1) AS n FROM l GROUP BY 1)
+SELECT series_id, rho, n, rho / sqrt(((syy - rho * sxy) / (n - 2)) / sxx) AS t_stat,
+rho / sqrt(((syy - rho * sxy) / (n - 2)) / sxx) < -2.86 AS stationary FROM g""", doubles="rho t_stat")
+def q_dickey_fuller(spark, sf_dir):
+    return dickey_fuller(p2_filled(spark, sf_dir), K, T, "value")
