@@ -92,7 +92,7 @@ class FeaturePipeline:
 
     def transform(self, df: DataFrame) -> DataFrame:
         """Score path: the same code with the fitted fences and scaler."""
-        out = self.build(df, require_target=False)
+        out = self.build(df, require_target=False).checkpoint(eager=True)
         if self.fences:
             out = self.fences.transform(out)
         return self.scaler.transform(out)
