@@ -1 +1,54 @@
-"""placeholder"""
+"""Structured Streaming forms (S1-S3): each query runs an ``availableNow`` stream over files
+derived from the driver tables, then returns the batch view of the sink."""
+
+from __future__ import annotations
+
+from pyspark.sql import Window
+from pyspark.sql import functions as F
+
+from panelstack.plans.panels import K, p2_filled
+from panelstack.plans.registry import register
+from panelstack.plans.sqlparts import DAILY, P2I, W, clip
+from panelstack.session import scratch_path
+from panelstack.streaming.daily import stream_daily_mean, stream_dedup, stream_score
+
+EVENTS_SCHEMA = "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string"
+
+
+@register("stream_daily_mean", f"WITH {DAILY} SELECT series_id, day, value FROM daily", doubles="value")
+def q_stream_daily_mean(spark, sf_dir):
+    out = stream_daily_mean(spark, sf_dir, EVENTS_SCHEMA, ["event_type"], "ts", ["value"], watermark="2 days",
+                            file_glob="events.parquet")
+    return spark.read.parquet(out).select(F.col("event_type").alias("series_id"), F.col("day").cast("date"), "value")
+
+
+@register("stream_dedup", "SELECT DISTINCT event_type, user_id FROM events")
+def q_stream_dedup(spark, sf_dir):
+    out = stream_dedup(spark, sf_dir, EVENTS_SCHEMA, ["event_type", "user_id"], "ts", file_glob="events.parquet")
+    return spark.read.parquet(out).select("event_type", "user_id")
+
+
+HOLDOUT_DAYS = 30
+
+
+@register("stream_score", f"""
+WITH {P2I},
+m AS (SELECT *, max(date) OVER (PARTITION BY series_id) AS last_day, lag(value, 1) OVER ({W}) AS y1 FROM p2i),
+c AS (SELECT series_id, regr_intercept(value, y1) AS intercept, regr_slope(value, y1) AS phi,
+      sqrt((regr_syy(value, y1) - regr_slope(value, y1) * regr_sxy(value, y1)) / (regr_count(value, y1) - 2)) AS sigma
+      FROM m WHERE date <= last_day - {HOLDOUT_DAYS} GROUP BY 1)
+SELECT m.series_id, m.date AS prediction_date, CAST(m.date + 1 AS DATE) AS predicted_for_date, m.value AS actual_today,
+{clip('(c.intercept + c.phi * m.value)', 0.0, 500.0)} AS predicted, c.intercept + c.phi * m.value - 1.96 * c.sigma AS lower,
+c.intercept + c.phi * m.value + 1.96 * c.sigma AS upper FROM m JOIN c USING (series_id) WHERE m.date > m.last_day - {HOLDOUT_DAYS}""",
+          doubles="actual_today predicted lower upper")
+def q_stream_score(spark, sf_dir):
+    """History = all but the last 30 days per series; those days arrive as a file stream and are scored."""
+    p = p2_filled(spark, sf_dir).withColumn("_last", F.max("date").over(Window.partitionBy(*K)))
+    cutoff = F.date_sub("_last", HOLDOUT_DAYS)
+    history = p.where(F.col("date") <= cutoff).drop("_last")
+    arriving = scratch_path(spark, "arriving_days")
+    p.where(F.col("date") > cutoff).drop("_last").write.parquet(arriving)
+    log = stream_score(spark, arriving, "series_id string, date date, value double", history, K, "date", "value")
+    out = spark.read.parquet(log)
+    return out.select("series_id", F.col("prediction_date").cast("date"), "predicted_for_date", "actual_today",
+                      "predicted", "lower", "upper")

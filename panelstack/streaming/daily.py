@@ -30,42 +30,53 @@ def daily_mean(df: DataFrame, keys: list[str], ts: str, measures: list[str], sca
         *[F.round(F.avg(nan_to_null(m)), scale).alias(m) for m in measures])
 
 
-def stream_daily_mean(spark: SparkSession, source_path: str, schema: str, keys: list[str], ts: str,
-                      measures: list[str], out_path: str | None = None, watermark: str = "2 days",
-                      tz_offset_hours: int = 0) -> str:
-    """Tumbling one-day mean per series from a parquet file stream; returns the output table path.
+def file_stream(spark: SparkSession, source_dir: str, schema: str, file_glob: str | None = None) -> DataFrame:
+    """Parquet file-stream source over a directory, optionally restricted to matching file names."""
+    reader = spark.readStream.schema(schema)
+    if file_glob:
+        reader = reader.option("pathGlobFilter", file_glob)
+    return reader.parquet(source_dir)
+
 
-    Days are aligned to local midnight with ``startTime`` (UTC+7 -> '17 hours');
-    rows later than the watermark are dropped by the engine.  Each micro-batch
-    upserts its updated (series, day) rows, which makes a replay idempotent.
+def stream_daily_mean(spark: SparkSession, source_dir: str, schema: str, keys: list[str], ts: str,
+                      measures: list[str], out_path: str | None = None, watermark: str = "2 days",
+                      tz: str | None = None, file_glob: str | None = None) -> str:
+    """Daily mean per series from a parquet file stream; returns the output table path.
+
+    The day bucket (local date of the reading, as in :func:`daily_mean`) is the
+    event-time column: the watermark lets the engine evict finished days and drop
+    rows that arrive later than ``watermark``.  Update mode + ``foreachBatch``
+    upserts each changed (series, day), so a replay is idempotent and the table
+    equals the batch result.
     """
     from panelstack.sources.writers import upsert_predictions
 
     out_path = out_path or scratch_path(spark, "stream_daily_mean")
-    ckpt = out_path + "_checkpoint"
-    start = f"{(24 - tz_offset_hours) % 24} hours"
-    src = spark.readStream.schema(schema).parquet(source_path)
-    agg = (src.withWatermark(ts, watermark)
-           .groupBy(*keys, F.window(F.col(ts), "1 day", startTime=start).alias("w"))
+    t = F.col(ts)
+    if tz:
+        t = F.from_utc_timestamp(t, tz)
+    src = file_stream(spark, source_dir, schema, file_glob)
+    agg = (src.withColumn("_day", F.to_date(t).cast("timestamp"))
+           .withWatermark("_day", watermark)
+           .groupBy(*keys, "_day")
            .agg(*[F.round(F.avg(nan_to_null(m)), 2).alias(m) for m in measures])
-           .select(*keys, F.to_date(F.col("w.start") + F.expr(f"INTERVAL {tz_offset_hours} HOURS")).alias("day"),
-                   *measures))
+           .select(*keys, F.to_date("_day").alias("day"), *measures))
 
     def upsert(batch: DataFrame, epoch_id: int) -> None:
         upsert_predictions(spark, batch, out_path, keys + ["day"], partition_col="day")
 
-    q = (agg.writeStream.outputMode("update").option("checkpointLocation", ckpt)
+    q = (agg.writeStream.outputMode("update").option("checkpointLocation", out_path + "_checkpoint")
          .foreachBatch(upsert).trigger(availableNow=True).start())
     q.awaitTermination()
     return out_path
 
 
-def stream_dedup(spark: SparkSession, source_path: str, schema: str, keys: list[str], ts: str,
-                 watermark: str = "1 day", out_path: str | None = None) -> str:
+def stream_dedup(spark: SparkSession, source_dir: str, schema: str, keys: list[str], ts: str,
+                 watermark: str = "1 day", out_path: str | None = None, file_glob: str | None = None) -> str:
     """Each key once within the watermark delay (``dropDuplicatesWithinWatermark``), appended to parquet."""
     out_path = out_path or scratch_path(spark, "stream_dedup")
-    src = spark.readStream.schema(schema).parquet(source_path)
-    d = src.withWatermark(ts, watermark).dropDuplicatesWithinWatermark(keys)
+    src = file_stream(spark, source_dir, schema, file_glob).withColumn("_event_time", F.col(ts).cast("timestamp"))
+    d = src.withWatermark("_event_time", watermark).dropDuplicatesWithinWatermark(keys).drop("_event_time")
     q = (d.writeStream.outputMode("append").format("parquet").option("path", out_path)
          .option("checkpointLocation", out_path + "_checkpoint").trigger(availableNow=True).start())
     q.awaitTermination()
@@ -88,10 +99,11 @@ def stream_score(spark: SparkSession, source_path: str, schema: str, history: Da
         if batch.isEmpty():
             return
         frame = append_and_tail(history, batch, keys, t, tail)
-        new_rows = ar1_score_rows(frame, coefs, keys, t, v).join(batch.select(*keys, t), on=keys + [t], how="left_semi")
+        arrived = batch.select(*keys, F.col(t).alias("prediction_date"))
+        new_rows = ar1_score_rows(frame, coefs, keys, t, v).join(arrived, on=keys + ["prediction_date"], how="left_semi")
         upsert_predictions(spark, new_rows, log_path, keys + ["prediction_date"])
 
-    q = (spark.readStream.schema(schema).parquet(source_path).writeStream
+    q = (file_stream(spark, source_path, schema).writeStream
          .option("checkpointLocation", log_path + "_checkpoint").foreachBatch(score)
          .trigger(availableNow=True).start())
     q.awaitTermination()
