@@ -51,10 +51,17 @@ def aqi_band_code(c, null_as_last: bool = False) -> Column:
     return expr
 
 
+def band_label_of_code(code: Column) -> Column:
+    """0..5 -> label; anything else -> null (a CASE chain, evaluated inside generated code)."""
+    expr = F.when(code == 0, F.lit(BAND_LABELS[0]))
+    for i, lab in enumerate(BAND_LABELS[1:], start=1):
+        expr = expr.when(code == i, F.lit(lab))
+    return expr
+
+
 def aqi_band(c, null_as_last: bool = False) -> Column:
-    """Reporting label; ``element_at`` on a literal array keeps it a codegen expression."""
-    labels = F.array(*[F.lit(x) for x in BAND_LABELS])
-    return F.element_at(labels, aqi_band_code(c, null_as_last) + 1)
+    """Reporting label of a value (upper band edges inclusive)."""
+    return band_label_of_code(aqi_band_code(c, null_as_last))
 
 
 def aqi_class(c) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from panelstack.functions.bands import BAND_LABELS
+from panelstack.functions.bands import band_label_of_code
 
 
 def append_and_tail(history: DataFrame, today: DataFrame, keys: list[str], t: str, n: int = 60) -> DataFrame:
@@ -29,11 +29,8 @@ def join_on_time(x: DataFrame, y: DataFrame, keys: list[str], t: str, how: str =
 
 
 def lookup_band(df: DataFrame, code_col: str, label_col: str = "band_label", default: str = "Moderate") -> DataFrame:
-    """code -> label through a literal array (a 6-entry lookup needs no join); unknown codes -> ``default``."""
-    labels = F.array(*[F.lit(x) for x in BAND_LABELS])
-    c = F.col(code_col)
-    ok = c.isNotNull() & (c >= 0) & (c < len(BAND_LABELS))
-    return df.withColumn(label_col, F.when(ok, F.element_at(labels, (c + 1).cast("int"))).otherwise(F.lit(default)))
+    """code -> label as an expression (a 6-entry lookup needs no join); unknown codes -> ``default``."""
+    return df.withColumn(label_col, F.coalesce(band_label_of_code(F.col(code_col)), F.lit(default)))
 
 
 def rank_compare(a: DataFrame, b: DataFrame, item: str, score_a: str, score_b: str, top: int = 15) -> DataFrame:
