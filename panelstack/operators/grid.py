@@ -15,10 +15,22 @@ from panelstack.functions.bands import nan_to_null
 
 
 def to_daily_grid(df: DataFrame, keys: list[str], t: str = "date") -> DataFrame:
-    """One row per calendar day between each series' first and last day (missing -> null)."""
-    bounds = df.groupBy(*keys).agg(F.min(t).alias("_lo"), F.max(t).alias("_hi"))
-    spine = bounds.select(*keys, F.explode(F.sequence("_lo", "_hi", F.expr("INTERVAL 1 DAY"))).alias(t))
-    return spine.join(df, on=keys + [t], how="left")
+    """One row per calendar day between each series' first and last day (missing days -> null values).
+
+    Expects one row per (keys, day).  Each row emits itself plus the missing days
+    up to the next observed day (``lead`` over the series window), so the grid
+    costs one exchange on the keys and no join; the following interpolation and
+    feature windows reuse that partitioning (only an in-partition sort is added).
+    """
+    w = Window.partitionBy(*keys).orderBy(t)
+    df = df.withColumn("_next", F.lead(F.col(t)).over(w))
+    nxt = F.col("_next")
+    start = F.date_add(F.col(t), 1)
+    gaps = F.when(nxt > start, F.sequence(start, F.date_sub(nxt, 1), F.expr("INTERVAL 1 DAY")))
+    days = F.concat(F.array(F.col(t)), F.coalesce(gaps, F.array().cast(f"array<{dict(df.dtypes)[t]}>")))
+    values = [c for c in df.columns if c not in keys and c not in (t, "_next")]
+    ex = df.select(*keys, *values, F.posexplode(days).alias("_pos", "_day"))
+    return ex.select(*keys, F.col("_day").alias(t), *[F.when(F.col("_pos") == 0, F.col(c)).alias(c) for c in values])
 
 
 def interpolate(df: DataFrame, keys: list[str], t: str, cols: list[str], method: str = "time",
@@ -36,13 +48,15 @@ def interpolate(df: DataFrame, keys: list[str], t: str, cols: list[str], method:
     pos_col = "_pos"
     base = df.withColumn(pos_col, F.row_number().over(w).cast("double") if method == "linear"
                          else F.unix_date(F.col(t)).cast("double"))
-    out = {}
+    prev, out = {}, {}
     for c in cols:
         v = nan_to_null(c)
-        pv = F.last(v, ignorenulls=True).over(before)
-        pt = F.last(F.when(v.isNotNull(), F.col(pos_col)), ignorenulls=True).over(before)
-        nv = F.first(v, ignorenulls=True).over(after)
-        nt = F.first(F.when(v.isNotNull(), F.col(pos_col)), ignorenulls=True).over(after)
+        at = F.when(v.isNotNull(), F.col(pos_col))
+        prev.update({f"_pv_{c}": F.last(v, ignorenulls=True).over(before),
+                     f"_pt_{c}": F.last(at, ignorenulls=True).over(before),
+                     f"_nv_{c}": F.first(v, ignorenulls=True).over(after),
+                     f"_nt_{c}": F.first(at, ignorenulls=True).over(after)})
+        pv, pt, nv, nt = (F.col(f"_{x}_{c}") for x in ("pv", "pt", "nv", "nt"))
         inner = pv + (nv - pv) * (F.col(pos_col) - pt) / (nt - pt)
         filled = F.when(v.isNotNull(), v).when(pv.isNotNull() & nv.isNotNull(), inner)
         if edges == "both":
@@ -50,7 +64,7 @@ def interpolate(df: DataFrame, keys: list[str], t: str, cols: list[str], method:
         else:
             filled = filled.when(pv.isNotNull(), pv)
         out[c] = filled
-    return base.withColumns(out).drop(pos_col)
+    return base.withColumns(prev).withColumns(out).drop(pos_col, *prev.keys())
 
 
 def forward_fill(df: DataFrame, keys: list[str], t: str, cols: list[str]) -> DataFrame:
