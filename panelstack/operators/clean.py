@@ -76,13 +76,18 @@ def fit_medians(train: DataFrame, cols: list[str], keys: list[str] | None = None
 
 
 def fill_median(df: DataFrame, medians: DataFrame, cols: list[str], keys: list[str] | None = None) -> DataFrame:
-    """coalesce(x, train median).  Global medians are one row: broadcast on a constant key."""
+    """coalesce(x, train median).
+
+    Per-series medians are joined on the keys (AQE broadcasts the table only
+    when its measured size allows); global medians are a single row and are
+    inlined as literals, leaving a pure projection.
+    """
     keys = keys or []
+    if not keys:
+        row = medians.first()
+        return df.withColumns({c: F.coalesce(nan_to_null(c), F.lit(row[c]).cast("double")) for c in cols})
     m = medians.select(*keys, *[F.col(c).alias(f"_med_{c}") for c in cols])
-    if keys:
-        j = df.join(m, on=keys, how="left")
-    else:
-        j = df.withColumn("_one", F.lit(1)).join(F.broadcast(m.withColumn("_one", F.lit(1))), "_one").drop("_one")
+    j = df.join(m, on=keys, how="left")
     return j.withColumns({c: F.coalesce(nan_to_null(c), F.col(f"_med_{c}")) for c in cols}).drop(
         *[f"_med_{c}" for c in cols])
 
