@@ -102,36 +102,36 @@ def box_stats(df: DataFrame, keys: list[str], by: Column | str, v: str, name: st
               exact: bool = True) -> DataFrame:
     """Q1/median/Q3/mean, 1.5 IQR whiskers and outlier count per (series, group).
 
-    Quartiles come from a window aggregate over the same (keys, group)
-    partitioning that the final aggregate uses, so there is one exchange and no join.
+    Quartiles are a partial-combined aggregate per (keys, group); the small
+    quartile table is joined back on (keys, group) (AQE broadcasts it when it
+    is small, or splits skewed partitions of a sort-merge join), then a second
+    aggregate counts whiskers and outliers.  No task ever buffers a whole group.
     """
     g = F.col(by) if isinstance(by, str) else by
-    x = nan_to_null(v)
-    base = df.select(*keys, g.alias(name), x.alias("_v")).where(F.col("_v").isNotNull())
-    w = Window.partitionBy(*keys, name)
-    q = quantiles(F.col("_v"), [0.25, 0.5, 0.75], exact).over(w)
-    base = base.withColumn("_q", q)
-    q1, q3 = F.col("_q")[0], F.col("_q")[2]
-    lo, hi = q1 - 1.5 * (q3 - q1), q3 + 1.5 * (q3 - q1)
+    base = df.select(*keys, g.alias(name), nan_to_null(v).alias("_v")).where(F.col("_v").isNotNull())
+    q = base.groupBy(*keys, name).agg(quantiles(F.col("_v"), [0.25, 0.5, 0.75], exact).alias("_q"),
+                                      F.avg("_v").alias("mean"), F.count("_v").alias("n"))
+    q = q.select(*keys, name, F.col("_q")[0].alias("q1"), F.col("_q")[1].alias("median"),
+                 F.col("_q")[2].alias("q3"), "mean", "n")
+    j = base.join(q, on=keys + [name])
+    lo = F.col("q1") - 1.5 * (F.col("q3") - F.col("q1"))
+    hi = F.col("q3") + 1.5 * (F.col("q3") - F.col("q1"))
     inside = (F.col("_v") >= lo) & (F.col("_v") <= hi)
-    return base.groupBy(*keys, name).agg(
-        F.first(q1).alias("q1"), F.first(F.col("_q")[1]).alias("median"), F.first(q3).alias("q3"),
-        F.avg("_v").alias("mean"), F.min(F.when(inside, F.col("_v"))).alias("whisker_lo"),
-        F.max(F.when(inside, F.col("_v"))).alias("whisker_hi"), F.count_if(~inside).alias("n_outliers"),
-        F.count("_v").alias("n"))
+    return j.groupBy(*keys, name, "q1", "median", "q3", "mean", "n").agg(
+        F.min(F.when(inside, F.col("_v"))).alias("whisker_lo"), F.max(F.when(inside, F.col("_v"))).alias("whisker_hi"),
+        F.count_if(~inside).alias("n_outliers"))
 
 
 def histogram(df: DataFrame, keys: list[str], v: str, bins: int = 30) -> DataFrame:
     """Equal-width bins between each series' min and max (last bin closed), zero-filled.
 
-    Bin of x = min(floor((x - min) * bins / (max - min)), bins - 1).  Counts per
-    (series, bin) are aggregated, then the at most ``bins`` entries per series are
-    expanded to all bins.
+    Bin of x = min(floor((x - min) * bins / (max - min)), bins - 1).  The per-series
+    range is an aggregate joined back on the keys; counts per (series, bin) are
+    partial-combined, then the at most ``bins`` entries per series are expanded to all bins.
     """
-    x = nan_to_null(v)
-    base = df.select(*keys, x.alias("_v")).where(F.col("_v").isNotNull())
-    w = Window.partitionBy(*keys)
-    base = base.withColumns({"_lo": F.min("_v").over(w), "_hi": F.max("_v").over(w)})
+    base = df.select(*keys, nan_to_null(v).alias("_v")).where(F.col("_v").isNotNull())
+    rng = base.groupBy(*keys).agg(F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
+    base = base.join(rng, on=keys)
     idx = F.least(F.floor(F.try_divide((F.col("_v") - F.col("_lo")) * F.lit(float(bins)),
                                        F.col("_hi") - F.col("_lo"))), F.lit(bins - 1))
     counted = (base.withColumn("bin", F.coalesce(idx, F.lit(0)).cast("int"))
@@ -141,7 +141,7 @@ def histogram(df: DataFrame, keys: list[str], v: str, bins: int = 30) -> DataFra
     width = (F.col("_hi") - F.col("_lo")) / F.lit(float(bins))
     return out.select(*keys, "bin", (F.col("_lo") + F.col("bin") * width).alias("bin_lo"),
                       (F.col("_lo") + (F.col("bin") + 1) * width).alias("bin_hi"),
-                      F.coalesce(F.element_at("_m", F.col("bin")), F.lit(0)).cast("long").alias("count"))
+                      F.coalesce(F.try_element_at("_m", F.col("bin")), F.lit(0)).cast("long").alias("count"))
 
 
 def banded_histogram(df: DataFrame, keys: list[str], v: str, edges=(0, 50, 100, 150, 250), width: float = 8.0):
@@ -238,17 +238,21 @@ def skew_std(df: DataFrame, keys: list[str], cols: list[str]) -> DataFrame:
 
 
 def outlier_summary(df: DataFrame, keys: list[str], cols: list[str], exact: bool = True) -> DataFrame:
-    """Counts and % outside 1.5*IQR and 3*IQR fences, per (series, column)."""
+    """Counts and % outside 1.5*IQR and 3*IQR fences, per (series, column).
+
+    Quartiles: partial-combined aggregate per (keys, column), joined back on
+    (keys, column); the counting is a second aggregate.
+    """
     long = to_long(df, keys, cols).where(F.col("value").isNotNull())
-    w = Window.partitionBy(*keys, "column")
-    long = long.withColumn("_q", quantiles(F.col("value"), [0.25, 0.75], exact).over(w))
-    q1, q3 = F.col("_q")[0], F.col("_q")[1]
-    iqr = q3 - q1
-    v = F.col("value")
+    q = long.groupBy(*keys, "column").agg(quantiles(F.col("value"), [0.25, 0.75], exact).alias("_q"))
+    q = q.select(*keys, "column", F.col("_q")[0].alias("q1"), F.col("_q")[1].alias("q3"),
+                 (F.col("_q")[1] - F.col("_q")[0]).alias("iqr"))
+    j = long.join(q, on=keys + ["column"])
+    q1, q3, iqr, v = F.col("q1"), F.col("q3"), F.col("iqr"), F.col("value")
     out15 = (v < q1 - 1.5 * iqr) | (v > q3 + 1.5 * iqr)
     out3 = (v < q1 - 3 * iqr) | (v > q3 + 3 * iqr)
-    return long.groupBy(*keys, "column").agg(
-        F.first(q1).alias("q1"), F.first(q3).alias("q3"), F.first(iqr).alias("iqr"), F.count(v).alias("n"),
+    return j.groupBy(*keys, "column", "q1", "q3", "iqr").agg(
+        F.count(v).alias("n"),
         F.count_if(out15).alias("n_out_1_5"), (F.avg(out15.cast("double")) * 100).alias("pct_out_1_5"),
         F.count_if(out3).alias("n_out_3"), (F.avg(out3.cast("double")) * 100).alias("pct_out_3"))
 

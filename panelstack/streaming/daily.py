@@ -93,7 +93,8 @@ def stream_score(spark: SparkSession, source_path: str, schema: str, history: Da
     from panelstack.sources.writers import upsert_predictions
 
     log_path = log_path or scratch_path(spark, "stream_score")
-    coefs = ar_fit(history, keys, t, v)
+    # Fitted once per stream (one row per series) and checkpointed, so micro-batches reuse it.
+    coefs = ar_fit(history, keys, t, v).checkpoint(eager=True)
 
     def score(batch: DataFrame, epoch_id: int) -> None:
         if batch.isEmpty():
