@@ -48,8 +48,9 @@ def decision_tree_regressor(train, features, label, max_depth: int = 3, min_leaf
 
 def random_forest_regressor(train, features, label, trees: int = 500, max_depth: int = 12, min_leaf: int = 2,
                             seed: int = 42):
+    # maxMemoryInMB / cacheNodeIds only change how many nodes are split per pass, not the model.
     rf = RandomForestRegressor(labelCol=label, numTrees=trees, maxDepth=max_depth, minInstancesPerNode=min_leaf,
-                               featureSubsetStrategy="sqrt", seed=seed)
+                               featureSubsetStrategy="sqrt", seed=seed, maxMemoryInMB=1024, cacheNodeIds=True)
     return _pipeline(features, rf).fit(train)
 
 
@@ -76,7 +77,7 @@ def boosted_regressor(train, features, label, preset: str = "lgb", validation_co
 def random_forest_classifier(train, features, label, weight_col: str | None = None, trees: int = 300,
                              max_depth: int = 10, min_leaf: int = 4, seed: int = 42):
     rf = RandomForestClassifier(labelCol=label, numTrees=trees, maxDepth=max_depth, minInstancesPerNode=min_leaf,
-                                seed=seed)
+                                seed=seed, maxMemoryInMB=1024, cacheNodeIds=True)
     if weight_col:
         rf = rf.setWeightCol(weight_col)
     return _pipeline(features, rf).fit(train)

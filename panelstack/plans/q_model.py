@@ -113,28 +113,37 @@ def q_ridge_score(spark, sf_dir):
                                             F.lit("ridge").alias("model")), ["model"])
 
 
-@register("model_comparison")
-def q_model_comparison(spark, sf_dir):
-    """Decision tree, random forest and both boosted presets, scored on the test period."""
+def _test_metrics(test, fits: dict) -> "DataFrame":
+    allp = None
+    for name, m in fits.items():
+        p = m.transform(test).select(F.col(TARGET).alias("y"), F.col("prediction").alias("yhat"), F.lit(name).alias("model"))
+        allp = p if allp is None else allp.unionByName(p)
+    return regression_metrics(allp, ["model"])
+
+
+@register("tree_regressor")
+def q_tree_regressor(spark, sf_dir):
+    """Ridge and a depth-3 decision tree (leaf >= 30), scored on the test period."""
+    train, test, pipe = _train_test(spark, sf_dir)
+    return _test_metrics(test, {"ridge": ridge(train, pipe.features, TARGET),
+                                "decision_tree": decision_tree_regressor(train, pipe.features, TARGET)})
+
+
+@register("forest_regressor")
+def q_forest_regressor(spark, sf_dir):
+    """Random forest: 500 trees, depth 12, leaf >= 2, sqrt features."""
+    train, test, pipe = _train_test(spark, sf_dir)
+    return _test_metrics(test, {"random_forest": random_forest_regressor(train, pipe.features, TARGET)})
+
+
+@register("boosted_regressor")
+def q_boosted_regressor(spark, sf_dir):
+    """Both boosted presets; early stopping watches the last 20 % of each series' training period."""
     train, test, pipe = _train_test(spark, sf_dir)
-    # Early stopping watches the last 20 % of each series' training period, never the test rows.
     tv = time_split(train, K, T, 0.2).withColumn("is_val", F.col("split") == "test").drop("split")
-    fits = {
-        "ridge": ridge(train, pipe.features, TARGET),
-        "decision_tree": decision_tree_regressor(train, pipe.features, TARGET),
-        "random_forest": random_forest_regressor(train, pipe.features, TARGET),
+    return _test_metrics(test, {
         "boosted_lgb": boosted_regressor(tv, pipe.features, TARGET, "lgb", validation_col="is_val"),
-        "boosted_xgb": boosted_regressor(tv, pipe.features, TARGET, "xgb", validation_col="is_val", seed=7),
-    }
-    parts = []
-    for name, m in fits.items():
-        p = m.transform(test).select(F.col(TARGET).alias("y"), F.col("prediction").alias("yhat"),
-                                     F.lit(name).alias("model"))
-        parts.append(p)
-    allp = parts[0]
-    for p in parts[1:]:
-        allp = allp.unionByName(p)
-    return regression_metrics(allp, ["model"])
+        "boosted_xgb": boosted_regressor(tv, pipe.features, TARGET, "xgb", validation_col="is_val", seed=7)})
 
 
 @register("importance_table")
