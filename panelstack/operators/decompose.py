@@ -20,16 +20,24 @@ from pyspark.sql import functions as F
 def seasonal_decompose(df: DataFrame, keys: list[str], t: str, v: str, period: int = 365) -> DataFrame:
     w = Window.partitionBy(*keys).orderBy(t)
     h = period // 2
-    frame = w.rowsBetween(-h, h)
     x = F.col(v)
-    full = F.count(x).over(frame) == 2 * h + 1
+    # Centred sums as differences of running sums: O(n) per series, where a sliding
+    # frame of ``period`` rows would be re-aggregated for every row.
+    running = w.rowsBetween(Window.unboundedPreceding, 0)
+    base = df.withColumns({"_s": F.sum(x).over(running), "_c": F.count(x).over(running),
+                           "_rn": F.row_number().over(w)})
+    s_hi, c_hi = F.lead("_s", h).over(w), F.lead("_c", h).over(w)
+    start_ok = F.lag("_rn", h).over(w).isNotNull()
+    s_lo = F.coalesce(F.lag("_s", h + 1).over(w), F.lit(0.0))
+    c_lo = F.coalesce(F.lag("_c", h + 1).over(w), F.lit(0))
+    window_sum = s_hi - s_lo
+    full = start_ok & ((c_hi - c_lo) == 2 * h + 1)
     if period % 2:
-        trend = F.sum(x).over(frame) / F.lit(float(period))
+        trend = window_sum / F.lit(float(period))
     else:
         ends = F.lag(x, h).over(w) + F.lead(x, h).over(w)
-        trend = (F.sum(x).over(frame) - F.lit(0.5) * ends) / F.lit(float(period))
-    base = df.withColumns({"_phase": F.pmod(F.row_number().over(w) - 1, F.lit(period)),
-                           "trend": F.when(full, trend)})
+        trend = (window_sum - F.lit(0.5) * ends) / F.lit(float(period))
+    base = base.withColumns({"_phase": F.pmod(F.col("_rn") - 1, F.lit(period)), "trend": F.when(full, trend)})
     base = base.withColumn("_detrended", x - F.col("trend"))
     phase_means = base.groupBy(*keys, "_phase").agg(F.avg("_detrended").alias("_pm"))
     centred = phase_means.withColumn(
@@ -37,4 +45,4 @@ def seasonal_decompose(df: DataFrame, keys: list[str], t: str, v: str, period: i
     out = base.join(centred.select(*keys, "_phase", "_seasonal"), on=keys + ["_phase"], how="left")
     return (out.withColumn("seasonal", F.col("_seasonal"))
             .withColumn("resid", x - F.col("trend") - F.col("seasonal"))
-            .drop("_phase", "_detrended", "_seasonal"))
+            .drop("_phase", "_detrended", "_seasonal", "_s", "_c", "_rn"))

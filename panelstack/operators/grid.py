@@ -44,7 +44,9 @@ def interpolate(df: DataFrame, keys: list[str], t: str, cols: list[str], method:
     """
     w = Window.partitionBy(*keys).orderBy(t)
     before = w.rowsBetween(Window.unboundedPreceding, 0)
-    after = w.rowsBetween(0, Window.unboundedFollowing)
+    # "Next non-null" as a running frame over the reversed order: linear per series, whereas a
+    # CURRENT ROW .. UNBOUNDED FOLLOWING frame is re-evaluated for every row.
+    after = Window.partitionBy(*keys).orderBy(F.col(t).desc()).rowsBetween(Window.unboundedPreceding, 0)
     pos_col = "_pos"
     base = df.withColumn(pos_col, F.row_number().over(w).cast("double") if method == "linear"
                          else F.unix_date(F.col(t)).cast("double"))
@@ -54,8 +56,8 @@ def interpolate(df: DataFrame, keys: list[str], t: str, cols: list[str], method:
         at = F.when(v.isNotNull(), F.col(pos_col))
         prev.update({f"_pv_{c}": F.last(v, ignorenulls=True).over(before),
                      f"_pt_{c}": F.last(at, ignorenulls=True).over(before),
-                     f"_nv_{c}": F.first(v, ignorenulls=True).over(after),
-                     f"_nt_{c}": F.first(at, ignorenulls=True).over(after)})
+                     f"_nv_{c}": F.last(v, ignorenulls=True).over(after),
+                     f"_nt_{c}": F.last(at, ignorenulls=True).over(after)})
         pv, pt, nv, nt = (F.col(f"_{x}_{c}") for x in ("pv", "pt", "nv", "nt"))
         inner = pv + (nv - pv) * (F.col(pos_col) - pt) / (nt - pt)
         filled = F.when(v.isNotNull(), v).when(pv.isNotNull() & nv.isNotNull(), inner)
