@@ -62,3 +62,11 @@ def local_stamp(ts, tz: str = "Asia/Ho_Chi_Minh", fmt: str = "yyyy-MM-dd HH:mm:s
 def minmax_normalise(c, lo: Column, hi: Column, eps: float = 1e-9) -> Column:
     """(x - min) / (max - min + eps)."""
     return (_col(c) - lo) / (hi - lo + F.lit(eps))
+
+
+def percent_label(label, pct, digits: int = 2) -> Column:
+    """'<label> (<pct>%)' with ``digits`` decimals; the value is rounded half-up first, so the
+    printed digits do not depend on how a formatter treats binary ties."""
+    scale = float(10 ** digits)
+    rounded = F.floor(_col(pct) * F.lit(scale) + F.lit(0.5)) / F.lit(scale)
+    return F.format_string(f"%s (%.{digits}f%%)", _col(label), rounded)

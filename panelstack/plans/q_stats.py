@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from panelstack.functions.bands import aqi_class
+from panelstack.functions.calendar import percent_label
 from panelstack.operators.metrics import (
     balanced_weights, classification_metrics, confusion_matrix, coverage, cv_summary, error_by_month, fit_gap,
     regression_metrics, residual_histogram,
@@ -81,6 +82,19 @@ def q_band_distribution(spark, sf_dir):
     return band_distribution(p2_filled(spark, sf_dir), K, "value")
 
 
+@register("band_legend", f"""
+WITH {P2I}, {BANDS},
+c AS (SELECT series_id, {band_code('value')} AS band_code, count(*) AS n FROM p2i WHERE value IS NOT NULL GROUP BY 1, 2),
+t AS (SELECT series_id, count(value) AS total FROM p2i GROUP BY 1),
+d AS (SELECT t.series_id, b.band_code, b.band, coalesce(c.n, 0) * 100.0 / t.total AS pct
+      FROM t CROSS JOIN bands b LEFT JOIN c ON c.series_id = t.series_id AND c.band_code = b.band_code)
+SELECT series_id, band_code, printf('%s (%.2f%%)', band, floor(pct * 100.0 + 0.5) / 100.0) AS legend FROM d""",
+          ints="band_code")
+def q_band_legend(spark, sf_dir):
+    d = band_distribution(p2_filled(spark, sf_dir), K, "value")
+    return d.select("series_id", "band_code", percent_label("band", "pct").alias("legend"))
+
+
 @register("box_stats", f"""
 WITH {P2I},
 q AS (SELECT series_id, month(date) AS "group", quantile_cont(value, 0.25) AS q1, quantile_cont(value, 0.5) AS median,
