@@ -85,24 +85,35 @@ def stream_dedup(spark: SparkSession, source_dir: str, schema: str, keys: list[s
 
 def stream_score(spark: SparkSession, source_path: str, schema: str, history: DataFrame, keys: list[str],
                  t: str, v: str, log_path: str | None = None, tail: int = 60) -> str:
-    """Per micro-batch: append new days to the stored tail of each series, rebuild the
-    features, score the newest day with a per-series AR(1) fitted on the history,
-    and upsert the prediction log keyed by (series, prediction_date)."""
+    """Score arriving days with a per-series AR(1) fitted on the history and upsert the log.
+
+    State between micro-batches is the last ``tail`` rows of every series, not the
+    whole history: it is built once, and each micro-batch reads the state left by
+    the previous batch id, appends its new days, scores them, upserts the log keyed
+    by (series, prediction_date) and writes the new state under its own batch id.
+    A replayed batch re-reads the same input state and overwrites the same outputs,
+    so the log and the state stay idempotent.
+    """
     from panelstack.operators.combine import append_and_tail
     from panelstack.operators.forecast import ar_fit, ar1_score_rows
+    from panelstack.operators.windows import last_n
     from panelstack.sources.writers import upsert_predictions
 
     log_path = log_path or scratch_path(spark, "stream_score")
+    state_path = log_path + "_tail"
     # Fitted once per stream (one row per series) and checkpointed, so micro-batches reuse it.
     coefs = ar_fit(history, keys, t, v).checkpoint(eager=True)
+    last_n(history, keys, t, tail).drop("recency_rank").write.mode("overwrite").parquet(f"{state_path}/batch=-1")
 
     def score(batch: DataFrame, epoch_id: int) -> None:
         if batch.isEmpty():
             return
-        frame = append_and_tail(history, batch, keys, t, tail)
+        state = spark.read.parquet(f"{state_path}/batch={epoch_id - 1}")
+        frame = append_and_tail(state, batch, keys, t, tail)
         arrived = batch.select(*keys, F.col(t).alias("prediction_date"))
         new_rows = ar1_score_rows(frame, coefs, keys, t, v).join(arrived, on=keys + ["prediction_date"], how="left_semi")
         upsert_predictions(spark, new_rows, log_path, keys + ["prediction_date"])
+        last_n(frame, keys, t, tail).drop("recency_rank").write.mode("overwrite").parquet(f"{state_path}/batch={epoch_id}")
 
     q = (file_stream(spark, source_path, schema).writeStream
          .option("checkpointLocation", log_path + "_checkpoint").foreachBatch(score)
