@@ -44,6 +44,13 @@ def residuals(df: DataFrame, y: str = "y", yhat: str = "yhat") -> DataFrame:
     return df.withColumn("residual", F.col(y) - F.col(yhat))
 
 
+def residual_summary(df: DataFrame, by: list[str], y: str = "y", yhat: str = "yhat") -> DataFrame:
+    """Mean (bias), sample std and extremes of y - yhat per model."""
+    r = F.col(y) - F.col(yhat)
+    return df.groupBy(*by).agg(F.avg(r).alias("mean_residual"), F.stddev_samp(r).alias("std_residual"),
+                               F.min(r).alias("min_residual"), F.max(r).alias("max_residual"))
+
+
 def residual_histogram(df: DataFrame, by: list[str], y: str = "y", yhat: str = "yhat", bins: int = 40) -> DataFrame:
     return histogram(residuals(df, y, yhat), by, "residual", bins)
 

@@ -65,8 +65,11 @@ def kpis(df: DataFrame, keys: list[str], t: str, v: str) -> DataFrame:
     return g.withColumn("mean_band", aqi_band("mean_value"))
 
 
-def monthly_by_year(df, keys, t, v) -> DataFrame:
+def monthly_by_year(df, keys, t, v, years: list[int] | None = None) -> DataFrame:
+    """Mean by (year, month); ``years`` restricts the years (the filter is applied before aggregating)."""
     d = F.to_date(F.col(t))
+    if years:
+        df = df.where(F.year(d).isin(years))
     return df.groupBy(*keys, F.year(d).alias("year"), F.month(d).alias("month")).agg(
         F.avg(nan_to_null(v)).alias("mean_value"))
 

@@ -8,7 +8,7 @@ from panelstack.functions.bands import aqi_class
 from panelstack.functions.calendar import percent_label
 from panelstack.operators.metrics import (
     balanced_weights, classification_metrics, confusion_matrix, coverage, cv_summary, error_by_month, fit_gap,
-    regression_metrics, residual_histogram,
+    regression_metrics, residual_histogram, residual_summary,
 )
 from panelstack.operators.ranking import leaderboard
 from panelstack.operators.stats import (
@@ -341,6 +341,14 @@ def q_residual_hist(spark, sf_dir):
     return residual_histogram(baseline_predictions(spark, sf_dir), ["model"], bins=40)
 
 
+@register("residual_summary", f"""
+WITH {BASE_SQL} SELECT model, avg(y - yhat) AS mean_residual, stddev_samp(y - yhat) AS std_residual,
+min(y - yhat) AS min_residual, max(y - yhat) AS max_residual FROM pred GROUP BY 1""",
+          doubles="mean_residual std_residual min_residual max_residual")
+def q_residual_summary(spark, sf_dir):
+    return residual_summary(baseline_predictions(spark, sf_dir), ["model"])
+
+
 FOLD_SQL = f"""{BASE_SQL},
 b AS (SELECT *, row_number() OVER (PARTITION BY series_id, model ORDER BY date) - 1 AS rn,
       count(*) OVER (PARTITION BY series_id, model) AS n FROM pred),

@@ -54,7 +54,14 @@ def main(names: list[str]) -> int:
     from panelstack.session import get_spark
 
     sf_dir = os.environ.get("ORACLE_SF_DIR", "/root/testdata/sf0.01")
-    spark = get_spark("local[8]", 8)
+    if names and names[0] == "--plain":
+        # Mimic a caller's plain session: default driver memory, default configs.
+        from pyspark.sql import SparkSession
+        names = names[1:]
+        spark = (SparkSession.builder.master("local[*]").config("spark.sql.shuffle.partitions", "8")
+                 .config("spark.ui.enabled", "false").getOrCreate())
+    else:
+        spark = get_spark("local[8]", 8)
     qs, sqls = queries(), oracle_sql()
     con = duck(sf_dir)
     bad = 0
