@@ -67,13 +67,15 @@ def balanced_weights(df: DataFrame, label: str, weight_col: str = "weight") -> D
     """w = n / (k * n_class), k = number of classes present.
 
     Class counts are a grouped aggregate (one row per class) that is joined back;
-    the class table is bounded by the label domain, which lets the planner broadcast it.
+    the class table is bounded by the label domain and broadcast after a size check.
     """
+    from panelstack.operators.joins import bounded_broadcast
+
     counts = df.where(F.col(label).isNotNull()).groupBy(label).agg(F.count(F.lit(1)).alias("_nc"))
     totals = counts.select(F.sum("_nc").over(Window.partitionBy()).alias("_n"),
                            F.count(F.lit(1)).over(Window.partitionBy()).alias("_k"), label, "_nc")
     w = totals.select(label, (F.col("_n") / (F.col("_k") * F.col("_nc"))).alias(weight_col))
-    return df.join(F.broadcast(w), on=label, how="left")
+    return df.join(bounded_broadcast(w), on=label, how="left")
 
 
 def confusion_matrix(df: DataFrame, truth: str, pred: str, labels: list[int], by: list[str] | None = None) -> DataFrame:

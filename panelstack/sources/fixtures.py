@@ -56,16 +56,18 @@ def p3_measure_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
 def region_daily_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders keyed by customer region: the dimension join of the series key.
 
-    nation (25 rows) and region (5 rows) are fixed-size dimensions and are
-    broadcast; customer grows with the scale factor, so it is left to the
-    planner (AQE turns it into a broadcast only when its measured size allows).
+    nation and region are small dimensions: they are broadcast after a row-count
+    check; customer grows with the scale factor, so it is left to the planner
+    (AQE turns it into a broadcast only when its measured size allows).
     """
+    from panelstack.operators.joins import bounded_broadcast
+
     o = table(spark, sf_dir, "orders").select("o_custkey", "o_orderdate", "o_totalprice")
     c = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey")
     n = table(spark, sf_dir, "nation").select("n_nationkey", "n_regionkey")
     r = table(spark, sf_dir, "region").select("r_regionkey", "r_name")
-    dims = n.join(F.broadcast(r), n.n_regionkey == r.r_regionkey).select("n_nationkey", "r_name")
+    dims = n.join(bounded_broadcast(r), n.n_regionkey == r.r_regionkey).select("n_nationkey", "r_name")
     j = (o.join(c, o.o_custkey == c.c_custkey)
-         .join(F.broadcast(dims), F.col("c_nationkey") == F.col("n_nationkey")))
+         .join(bounded_broadcast(dims), F.col("c_nationkey") == F.col("n_nationkey")))
     return (j.groupBy(F.col("r_name").alias("series_id"), F.to_date("o_orderdate").alias("date"))
             .agg((F.avg("o_totalprice") / 1000.0).alias("value"), F.count(F.lit(1)).alias("n_orders")))

@@ -74,11 +74,12 @@ def advice_dim(spark: SparkSession) -> DataFrame:
 
 
 def lookup_advice(df: DataFrame, advice: DataFrame, label_col: str, default: str = "Moderate") -> DataFrame:
-    """Left join of the fixed 6-row advice table (broadcast: its size is fixed); unknown labels use ``default``."""
+    """Left join of the advice table (broadcast after a size check); unknown labels use ``default``."""
+    from panelstack.operators.joins import bounded_broadcast
     lab = F.when(F.col(label_col).isin(BAND_LABELS), F.col(label_col)).otherwise(F.lit(default))
     a = advice.withColumnRenamed("label", "_advice_label")
     return (df.withColumn("_lookup", lab)
-            .join(F.broadcast(a), F.col("_lookup") == F.col("_advice_label"), "left")
+            .join(bounded_broadcast(a), F.col("_lookup") == F.col("_advice_label"), "left")
             .drop("_lookup", "_advice_label"))
 
 
