@@ -24,6 +24,26 @@ from panelstack.functions.bands import aqi_band_code, clip
 from panelstack.operators.metrics import classification_metrics, regression_metrics
 
 
+def _memory_mb(text: str) -> int:
+    units = {"k": 1 / 1024, "m": 1, "g": 1024, "t": 1024 * 1024}
+    text = text.strip().lower().rstrip("b")
+    return int(float(text[:-1]) * units[text[-1]]) if text[-1] in units else int(text) // (1024 * 1024)
+
+
+def tree_buffer_mb(spark) -> int:
+    """Per-task histogram buffer for tree learners (``maxMemoryInMB``).
+
+    Every concurrently running task of a JVM holds one buffer, so the budget is a
+    fraction of that JVM's heap divided by its task slots (in local mode the driver
+    JVM runs all tasks).  Spark's default of 256 MB is the upper bound.
+    """
+    conf = spark.sparkContext.getConf()
+    local = spark.sparkContext.master.startswith("local")
+    heap = _memory_mb(conf.get("spark.driver.memory" if local else "spark.executor.memory", "1g"))
+    slots = spark.sparkContext.defaultParallelism if local else int(conf.get("spark.executor.cores", "1"))
+    return int(max(8, min(256, heap * 0.25 / max(slots, 1))))
+
+
 def _pipeline(features: list[str], estimator) -> Pipeline:
     return Pipeline(stages=[VectorAssembler(inputCols=features, outputCol="features", handleInvalid="skip"), estimator])
 
@@ -48,9 +68,9 @@ def decision_tree_regressor(train, features, label, max_depth: int = 3, min_leaf
 
 def random_forest_regressor(train, features, label, trees: int = 500, max_depth: int = 12, min_leaf: int = 2,
                             seed: int = 42):
-    # maxMemoryInMB / cacheNodeIds only change how many nodes are split per pass, not the model.
+    # maxMemoryInMB only changes how many nodes are split per data pass, not the model.
     rf = RandomForestRegressor(labelCol=label, numTrees=trees, maxDepth=max_depth, minInstancesPerNode=min_leaf,
-                               featureSubsetStrategy="sqrt", seed=seed, maxMemoryInMB=1024, cacheNodeIds=True)
+                               featureSubsetStrategy="sqrt", seed=seed, maxMemoryInMB=tree_buffer_mb(train.sparkSession))
     return _pipeline(features, rf).fit(train)
 
 
@@ -77,7 +97,7 @@ def boosted_regressor(train, features, label, preset: str = "lgb", validation_co
 def random_forest_classifier(train, features, label, weight_col: str | None = None, trees: int = 300,
                              max_depth: int = 10, min_leaf: int = 4, seed: int = 42):
     rf = RandomForestClassifier(labelCol=label, numTrees=trees, maxDepth=max_depth, minInstancesPerNode=min_leaf,
-                                seed=seed, maxMemoryInMB=1024, cacheNodeIds=True)
+                                seed=seed, maxMemoryInMB=tree_buffer_mb(train.sparkSession))
     if weight_col:
         rf = rf.setWeightCol(weight_col)
     return _pipeline(features, rf).fit(train)
