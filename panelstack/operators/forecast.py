@@ -68,20 +68,23 @@ def ar1_multistep(df: DataFrame, keys: list[str], t: str, v: str, horizon: int =
 
 
 def ar_p_fit(df: DataFrame, keys: list[str], t: str, v: str, p: int = 3) -> DataFrame:
-    """AR(p) by ordinary least squares per series from aggregated moments.
+    """AR(p) with constant by least squares per series from aggregated, centred moments.
 
-    Spark aggregates sum(z_i z_j) and sum(z_i y) for z = (1, y_{t-1} .. y_{t-p})
-    per series; each series' small system is then solved with NumPy.
+    Spark aggregates the means and population (co)variances of y_{t-1} .. y_{t-p}
+    and y_t per series (one map-side-combined aggregate); each series' p x p
+    system is solved with NumPy in ``applyInPandas`` over its single moment row.
+    Centring keeps the system well conditioned for persistent series.
     """
     x = _with_lags(df, keys, t, v, p)
-    z = [F.lit(1.0)] + [F.col(f"_y{i}") for i in range(1, p + 1)]
+    lags = [f"_y{i}" for i in range(1, p + 1)]
     complete = F.col(v).isNotNull()
-    for i in range(1, p + 1):
-        complete = complete & F.col(f"_y{i}").isNotNull()
+    for c in lags:
+        complete = complete & F.col(c).isNotNull()
     x = x.where(complete)
-    aggs = [F.sum(z[i] * z[j]).alias(f"m_{i}_{j}") for i in range(p + 1) for j in range(i, p + 1)]
-    aggs += [F.sum(z[i] * F.col(v)).alias(f"b_{i}") for i in range(p + 1)]
-    aggs += [F.sum(F.col(v) * F.col(v)).alias("yy"), F.count(F.lit(1)).alias("n")]
+    aggs = [F.avg(c).alias(f"m_{i}") for i, c in enumerate(lags)] + [F.avg(v).alias("m_y")]
+    aggs += [F.covar_pop(lags[i], lags[j]).alias(f"c_{i}_{j}") for i in range(p) for j in range(i, p)]
+    aggs += [F.covar_pop(lags[i], v).alias(f"c_{i}_y") for i in range(p)]
+    aggs += [F.var_pop(v).alias("v_y"), F.count(F.lit(1)).alias("n")]
     moments = x.groupBy(*keys).agg(*aggs)
     key_types = {f.name: f.dataType.simpleString() for f in moments.schema.fields if f.name in keys}
     coef_fields = ", ".join(["intercept double"] + [f"phi_{i} double" for i in range(1, p + 1)])
@@ -90,15 +93,17 @@ def ar_p_fit(df: DataFrame, keys: list[str], t: str, v: str, p: int = 3) -> Data
     def solve(pdf: pd.DataFrame) -> pd.DataFrame:
         out = []
         for _, r in pdf.iterrows():
-            m = np.zeros((p + 1, p + 1))
-            for i in range(p + 1):
-                for j in range(i, p + 1):
-                    m[i, j] = m[j, i] = r[f"m_{i}_{j}"]
-            b = np.array([r[f"b_{i}"] for i in range(p + 1)])
-            beta = np.linalg.lstsq(m, b, rcond=None)[0]
-            ssr = float(r["yy"] - 2 * beta @ b + beta @ m @ beta)
-            dof = max(int(r["n"]) - (p + 1), 1)
-            out.append([r[k] for k in keys] + list(beta) + [float(np.sqrt(max(ssr, 0.0) / dof)), int(r["n"])])
+            cov = np.zeros((p, p))
+            for i in range(p):
+                for j in range(i, p):
+                    cov[i, j] = cov[j, i] = r[f"c_{i}_{j}"]
+            cy = np.array([r[f"c_{i}_y"] for i in range(p)])
+            beta = np.linalg.solve(cov, cy)
+            intercept = r["m_y"] - float(beta @ np.array([r[f"m_{i}"] for i in range(p)]))
+            n = int(r["n"])
+            ssr = n * (r["v_y"] - float(beta @ cy))
+            dof = max(n - (p + 1), 1)
+            out.append([r[k] for k in keys] + [intercept] + list(beta) + [float(np.sqrt(max(ssr, 0.0) / dof)), n])
         return pd.DataFrame(out, columns=keys + ["intercept"] + [f"phi_{i}" for i in range(1, p + 1)] + ["sigma", "n"])
 
     return moments.groupBy(*keys).applyInPandas(solve, schema)

@@ -341,7 +341,30 @@ def q_ar1_metrics(spark, sf_dir):
     return regression_metrics(_ar1(spark, sf_dir).withColumn("model", F.lit("ar1")), ["model"])
 
 
-@register("ar3_forecast")
+def _ar3_sql() -> str:
+    lags = ["y1", "y2", "y3"]
+    cov = [[f"s_{min(i, j)}_{max(i, j)}" for j in range(3)] for i in range(3)]
+    rhs = [f"s_{i}_y" for i in range(3)]
+    moments = [f"avg({c}) AS m_{i}" for i, c in enumerate(lags)] + ["avg(value) AS m_y"]
+    moments += [f"covar_pop({lags[i]}, {lags[j]}) AS s_{i}_{j}" for i in range(3) for j in range(i, 3)]
+    moments += [f"covar_pop({lags[i]}, value) AS s_{i}_y" for i in range(3)]
+    det = _det3(cov)
+    betas = [f"{_det3([[rhs[r] if col == k else cov[r][col] for col in range(3)] for r in range(3)])} / {det} AS b_{k}"
+             for k in range(3)]
+    point = "(c.b0 + c.b_0 * s.y1 + c.b_1 * s.y2 + c.b_2 * s.y3)"
+    return f"""
+WITH {P2I},
+s AS (SELECT series_id, date, value, lag(value, 1) OVER ({W}) AS y1, lag(value, 2) OVER ({W}) AS y2,
+      lag(value, 3) OVER ({W}) AS y3, CASE WHEN row_number() OVER ({W}) > count(*) OVER (PARTITION BY series_id)
+      - ceil(count(*) OVER (PARTITION BY series_id) * 0.2) THEN 'test' ELSE 'train' END AS split FROM p2i),
+mo AS (SELECT series_id, {', '.join(moments)} FROM s WHERE split = 'train' AND y3 IS NOT NULL GROUP BY 1),
+co AS (SELECT mo.*, {', '.join(betas)} FROM mo),
+c AS (SELECT co.*, m_y - b_0 * m_0 - b_1 * m_1 - b_2 * m_2 AS b0 FROM co)
+SELECT s.series_id, s.date, s.value AS y, {clip(point, 0.0, 500.0)} AS yhat FROM s JOIN c USING (series_id)
+WHERE s.split = 'test'"""
+
+
+@register("ar3_forecast", _ar3_sql(), doubles="y yhat")
 def q_ar3_forecast(spark, sf_dir):
     return ar_p_walk_forward(time_split(p2_filled(spark, sf_dir), K, T), K, T, "value", p=3)
 
