@@ -25,7 +25,7 @@ from panelstack.functions.bands import clip as clip_col
 def quantiles(c: Column, probs: list[float], exact: bool = True) -> Column:
     if exact:
         return F.percentile(c, probs)
-    return F.percentile_approx(c, probs, 100000)
+    return F.percentile_approx(c, probs, 1_000_000)
 
 
 def to_long(df: DataFrame, keys: list[str], cols: list[str], name: str = "column", value: str = "value") -> DataFrame:
@@ -287,9 +287,16 @@ class RobustScaler:
         return df.withColumns({c: (nan_to_null(c) - F.lit(m)) / F.lit(s) for c, (m, s) in self.params.items()})
 
 
-def _quartile_row(train: DataFrame, cols: list[str], probs: list[float]):
-    """One aggregate over the training rows; the result is one row of 3 numbers per column."""
-    return train.agg(*[F.percentile(nan_to_null(c), probs).alias(c) for c in cols]).first()
+# Exact quantiles keep one map entry per distinct value and merge them in one task for a global
+# fit; above this many rows the fit switches to percentile_approx (relative rank error 1e-6).
+EXACT_GLOBAL_QUANTILE_ROWS = 5_000_000
+
+
+def _quartile_row(train: DataFrame, cols: list[str], probs: list[float],
+                  exact_limit: int = EXACT_GLOBAL_QUANTILE_ROWS):
+    """One aggregate over the training rows; the result is one row of len(probs) numbers per column."""
+    exact = train.limit(exact_limit + 1).count() <= exact_limit
+    return train.agg(*[quantiles(nan_to_null(c), probs, exact).alias(c) for c in cols]).first()
 
 
 def fit_fences(train: DataFrame, cols: list[str], k: float = 3.0, floor: float | None = 0.0) -> Fences:
