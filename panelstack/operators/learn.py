@@ -62,8 +62,8 @@ def ridge(train: DataFrame, features: list[str], label: str, alpha: float = 10.0
 
 
 def decision_tree_regressor(train, features, label, max_depth: int = 3, min_leaf: int = 30, seed: int = 42):
-    return _pipeline(features, DecisionTreeRegressor(labelCol=label, maxDepth=max_depth,
-                                                     minInstancesPerNode=min_leaf, seed=seed)).fit(train)
+    return _pipeline(features, DecisionTreeRegressor(labelCol=label, maxDepth=max_depth, minInstancesPerNode=min_leaf,
+                                                     seed=seed, maxMemoryInMB=tree_buffer_mb(train.sparkSession))).fit(train)
 
 
 def random_forest_regressor(train, features, label, trees: int = 500, max_depth: int = 12, min_leaf: int = 2,
@@ -88,7 +88,7 @@ def boosted_regressor(train, features, label, preset: str = "lgb", validation_co
     Use the tail of the *training* period as validation, never the test set.
     """
     params = dict(BOOST_PRESETS[preset], **overrides)
-    gbt = GBTRegressor(labelCol=label, seed=seed, **params)
+    gbt = GBTRegressor(labelCol=label, seed=seed, maxMemoryInMB=tree_buffer_mb(train.sparkSession), **params)
     if validation_col:
         gbt = gbt.setValidationIndicatorCol(validation_col)
     return _pipeline(features, gbt).fit(train)
@@ -106,7 +106,8 @@ def random_forest_classifier(train, features, label, weight_col: str | None = No
 def boosted_classifier(train, features, label, weight_col: str | None = None, trees: int = 300,
                        step: float = 0.05, max_depth: int = 6, seed: int = 42):
     """Multi-class boosting as one-vs-rest over binary GBTs (no native multi-class GBT in Spark)."""
-    gbt = GBTClassifier(maxIter=trees, stepSize=step, maxDepth=max_depth, seed=seed)
+    gbt = GBTClassifier(maxIter=trees, stepSize=step, maxDepth=max_depth, seed=seed,
+                        maxMemoryInMB=tree_buffer_mb(train.sparkSession))
     ovr = OneVsRest(classifier=gbt, labelCol=label)
     if weight_col:
         ovr = ovr.setWeightCol(weight_col)
@@ -202,7 +203,9 @@ def stratified_folds(df: DataFrame, label: str, k: int = 5, seed: int = 42, fold
 def grid_search(train: DataFrame, features: list[str], label: str, labels: list[int], grid: dict[str, list],
                 k: int = 5, weight_col: str | None = None, parallelism: int = 4):
     """Cross-validated search of a random-forest classifier on stratified folds, scored by macro F1."""
-    rf = RandomForestClassifier(labelCol=label, seed=42)
+    # parallel fits share the JVM heap: each gets its share of the histogram budget
+    rf = RandomForestClassifier(labelCol=label, seed=42,
+                                maxMemoryInMB=max(8, tree_buffer_mb(train.sparkSession) // max(parallelism, 1)))
     if weight_col:
         rf = rf.setWeightCol(weight_col)
     pipe = _pipeline(features, rf)
