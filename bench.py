@@ -14,7 +14,7 @@ import time
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
-HEADLINE = ["daily_mean", "band_share", "interp_time", "feature_pipeline", "corr_matrix", "decompose_365",
+HEADLINE = ["daily_mean", "band_share", "interp_time", "feature_panel", "corr_matrix", "decompose_365",
             "describe", "kpis", "ar1_forecast", "histogram_30", "regression_metrics", "stream_daily_mean"]
 
 

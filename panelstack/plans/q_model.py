@@ -81,9 +81,9 @@ def feature_panel(spark, sf_dir):
     return pipe.fit_transform(region_daily_panel(spark, sf_dir)), pipe
 
 
-@register("feature_pipeline", _feature_sql(),
+@register("feature_panel", _feature_sql(),
           doubles=[TARGET] + scaled_names(MEASURES) + CYCLIC, ints=[TARGET_CLASS] + FLAGS)
-def q_feature_pipeline(spark, sf_dir):
+def q_feature_panel(spark, sf_dir):
     return feature_panel(spark, sf_dir)[0]
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tests.conftest import SF_SMALL
 
 FAST = ["band_share", "daily_mean", "interp_time", "lag_features", "rolling_7", "decompose_7", "describe",
-        "corr_matrix", "kpis", "confusion_matrix", "ar1_forecast", "dickey_fuller", "feature_pipeline", "stream_daily_mean"]
+        "corr_matrix", "kpis", "confusion_matrix", "ar1_forecast", "dickey_fuller", "feature_panel", "stream_daily_mean"]
 
 
 def test_entry_smoke(spark):
