@@ -104,11 +104,15 @@ def random_forest_classifier(train, features, label, weight_col: str | None = No
 
 
 def boosted_classifier(train, features, label, weight_col: str | None = None, trees: int = 300,
-                       step: float = 0.05, max_depth: int = 6, seed: int = 42):
-    """Multi-class boosting as one-vs-rest over binary GBTs (no native multi-class GBT in Spark)."""
+                       step: float = 0.05, max_depth: int = 6, seed: int = 42, parallelism: int = 4):
+    """Multi-class boosting as one-vs-rest over binary GBTs (no native multi-class GBT in Spark).
+
+    The per-class binary models are independent, so ``parallelism`` of them are fitted
+    concurrently; each gets its share of the histogram buffer budget.
+    """
     gbt = GBTClassifier(maxIter=trees, stepSize=step, maxDepth=max_depth, seed=seed,
-                        maxMemoryInMB=tree_buffer_mb(train.sparkSession))
-    ovr = OneVsRest(classifier=gbt, labelCol=label)
+                        maxMemoryInMB=max(8, tree_buffer_mb(train.sparkSession) // max(parallelism, 1)))
+    ovr = OneVsRest(classifier=gbt, labelCol=label, parallelism=parallelism)
     if weight_col:
         ovr = ovr.setWeightCol(weight_col)
     return _pipeline(features, ovr).fit(train)
