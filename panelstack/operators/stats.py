@@ -292,15 +292,19 @@ class RobustScaler:
 EXACT_GLOBAL_QUANTILE_ROWS = 5_000_000
 
 
-def _quartile_row(train: DataFrame, cols: list[str], probs: list[float],
+def _quartile_row(train: DataFrame, cols: list[str], probs: list[float], exact: bool | None = None,
                   exact_limit: int = EXACT_GLOBAL_QUANTILE_ROWS):
-    """One aggregate over the training rows; the result is one row of len(probs) numbers per column."""
-    exact = train.limit(exact_limit + 1).count() <= exact_limit
+    """One aggregate over the training rows; the result is one row of len(probs) numbers per column.
+
+    ``exact=None`` decides by counting at most ``exact_limit + 1`` rows."""
+    if exact is None:
+        exact = train.limit(exact_limit + 1).count() <= exact_limit
     return train.agg(*[quantiles(nan_to_null(c), probs, exact).alias(c) for c in cols]).first()
 
 
-def fit_fences(train: DataFrame, cols: list[str], k: float = 3.0, floor: float | None = 0.0) -> Fences:
-    row = _quartile_row(train, cols, [0.25, 0.75])
+def fit_fences(train: DataFrame, cols: list[str], k: float = 3.0, floor: float | None = 0.0,
+               exact: bool | None = None) -> Fences:
+    row = _quartile_row(train, cols, [0.25, 0.75], exact)
     bounds = {}
     for c in cols:
         q1, q3 = row[c]
@@ -309,8 +313,8 @@ def fit_fences(train: DataFrame, cols: list[str], k: float = 3.0, floor: float |
     return Fences(bounds)
 
 
-def fit_robust_scaler(train: DataFrame, cols: list[str]) -> RobustScaler:
-    row = _quartile_row(train, cols, [0.25, 0.5, 0.75])
+def fit_robust_scaler(train: DataFrame, cols: list[str], exact: bool | None = None) -> RobustScaler:
+    row = _quartile_row(train, cols, [0.25, 0.5, 0.75], exact)
     params = {}
     for c in cols:
         q1, med, q3 = row[c]

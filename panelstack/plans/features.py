@@ -8,9 +8,9 @@ fitted on train (E17).
 
 Plan shape: the window columns share one ``partitionBy(keys).orderBy(t)`` spec,
 so one exchange on the keys feeds every window; the pre-fit panel is
-checkpointed into the shared checkpoint folder, so the two fits and the final
-projection read it instead of recomputing the lineage (and a lost executor
-only re-reads checkpoint files).
+written as parquet into the shared checkpoint folder and read back, so the two
+fits and the final projection scan it instead of recomputing the lineage (and a
+lost executor only re-reads those files).
 """
 
 from __future__ import annotations
@@ -24,9 +24,11 @@ from panelstack.functions.bands import aqi_class
 from panelstack.functions.calendar import cyclic_features, flag_features
 from panelstack.operators.clean import drop_incomplete
 from panelstack.operators.grid import interpolate, to_daily_grid
-from panelstack.operators.stats import Fences, RobustScaler, fit_fences, fit_robust_scaler
+from panelstack.operators.stats import (
+    EXACT_GLOBAL_QUANTILE_ROWS, Fences, RobustScaler, fit_fences, fit_robust_scaler,
+)
 from panelstack.operators.windows import time_split, window_features
-from panelstack.session import ensure_checkpoint_dir
+from panelstack.session import materialize
 
 # Feature recipe of the daily model.
 LAGS = (1, 2, 3, 7, 14)
@@ -80,19 +82,20 @@ class FeaturePipeline:
         return time_split(f, keys, t).select(*keys, t, "split", TARGET, TARGET_CLASS, *self.features)
 
     def fit_transform(self, df: DataFrame) -> DataFrame:
-        ensure_checkpoint_dir(df.sparkSession)
-        panel = self.build(df).checkpoint(eager=True)
+        panel = materialize(self.build(df), "feature_panel")
+        # One count of the checkpointed panel decides exact vs approximate quantiles for both fits.
+        exact = panel.limit(EXACT_GLOBAL_QUANTILE_ROWS + 1).count() <= EXACT_GLOBAL_QUANTILE_ROWS
         train = panel.where(F.col("split") == "train")
         if self.measures:
-            self.fences = fit_fences(train, self.measures, k=3.0, floor=0.0)
+            self.fences = fit_fences(train, self.measures, k=3.0, floor=0.0, exact=exact)
             panel = self.fences.transform(panel)
             train = panel.where(F.col("split") == "train")
-        self.scaler = fit_robust_scaler(train, scaled_names(self.measures))
+        self.scaler = fit_robust_scaler(train, scaled_names(self.measures), exact=exact)
         return self.scaler.transform(panel)
 
     def transform(self, df: DataFrame) -> DataFrame:
         """Score path: the same code with the fitted fences and scaler."""
-        out = self.build(df, require_target=False).checkpoint(eager=True)
+        out = materialize(self.build(df, require_target=False), "feature_scoring")
         if self.fences:
             out = self.fences.transform(out)
         return self.scaler.transform(out)
