@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelstack.llm import bpe, chat, exact_dedup, sharding, topk
-from panelstack.llm.common import table
+from panelstack.llm import bpe, chat, exact_dedup, sharding, topk, toxicity
+from panelstack.llm.common import id_crc, table
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -68,6 +68,14 @@ def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_digests(table(spark, sf_dir, "documents"), *ranks_and_pattern())
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document; rows with crc32(doc_id) mod 4 = 2 teach nothing."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    held_out = F.pmod(id_crc(F.col("doc_id")), F.lit(4)) == 2
+    model = toxicity.fit(toxicity.training_rows(docs.filter(~held_out), table(spark, sf_dir, "labels")))
+    return toxicity.score(docs, model).select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"))
+
+
 def op9_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Format all conversations and one of control strings into windows; digest what is read back."""
     turns = table(spark, sf_dir, "conversations").select("conv_id", F.col("turn").cast("long").alias("turn"), "role", "text")
@@ -87,5 +95,5 @@ SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size, doc
 FROM d WINDOW w AS (PARTITION BY t)
 """
 
-QUERIES = {"op1_sharding": op1_sharding, "op3_topk": op3_topk, "op7_bpe": op7_bpe, "op9_chat": op9_chat, "op10_exact_dedup": op10_exact_dedup}
+QUERIES = {"op1_sharding": op1_sharding, "op3_topk": op3_topk, "op7_bpe": op7_bpe, "op8_toxicity": op8_toxicity, "op9_chat": op9_chat, "op10_exact_dedup": op10_exact_dedup}
 ORACLES = {"op1_sharding": OP1_SQL, "op3_topk": OP3_SQL, "op10_exact_dedup": OP10_SQL}
