@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelstack.llm import bpe, chat, exact_dedup, sharding, topk, toxicity
+from panelstack.llm import bpe, chat, exact_dedup, langid, sharding, topk, toxicity
 from panelstack.llm.common import id_crc, table
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -68,6 +68,14 @@ def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_digests(table(spark, sf_dir, "documents"), *ranks_and_pattern())
 
 
+def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document; rows with crc32(doc_id) mod 3 = 1 teach nothing."""
+    docs = table(spark, sf_dir, "documents")
+    held_out = F.pmod(id_crc(F.col("doc_id")), F.lit(3)) == 1
+    net = langid.train(langid.training_rows(docs.select("doc_id", "text", "lang").filter(~held_out)))
+    return langid.identify(docs.select("doc_id", "text"), net).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity of every document; rows with crc32(doc_id) mod 4 = 2 teach nothing."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -95,5 +103,5 @@ SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size, doc
 FROM d WINDOW w AS (PARTITION BY t)
 """
 
-QUERIES = {"op1_sharding": op1_sharding, "op3_topk": op3_topk, "op7_bpe": op7_bpe, "op8_toxicity": op8_toxicity, "op9_chat": op9_chat, "op10_exact_dedup": op10_exact_dedup}
+QUERIES = {"op1_sharding": op1_sharding, "op3_topk": op3_topk, "op5_language": op5_language, "op7_bpe": op7_bpe, "op8_toxicity": op8_toxicity, "op9_chat": op9_chat, "op10_exact_dedup": op10_exact_dedup}
 ORACLES = {"op1_sharding": OP1_SQL, "op3_topk": OP3_SQL, "op10_exact_dedup": OP10_SQL}
