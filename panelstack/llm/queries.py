@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelstack.llm import bpe, chat, exact_dedup, langid, sharding, topk, toxicity
+from panelstack.llm import bpe, chat, exact_dedup, langid, near_dedup, sharding, topk, toxicity
 from panelstack.llm.common import id_crc, table
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -58,6 +58,11 @@ FROM s QUALIFY rank <= 5
 """
 
 
+def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The near-duplicate class of every document (five-word shingles, probability Jaccard of 0.8 and more)."""
+    return near_dedup.near_classes(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "class_size", "kept")
+
+
 def ranks_and_pattern():
     import public_tokenizers
     return bpe.read_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken")), public_tokenizers.PATTERN
@@ -103,5 +108,5 @@ SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size, doc
 FROM d WINDOW w AS (PARTITION BY t)
 """
 
-QUERIES = {"op1_sharding": op1_sharding, "op3_topk": op3_topk, "op5_language": op5_language, "op7_bpe": op7_bpe, "op8_toxicity": op8_toxicity, "op9_chat": op9_chat, "op10_exact_dedup": op10_exact_dedup}
+QUERIES = {"op1_sharding": op1_sharding, "op3_topk": op3_topk, "op5_language": op5_language, "op6_near_dedup": op6_near_dedup, "op7_bpe": op7_bpe, "op8_toxicity": op8_toxicity, "op9_chat": op9_chat, "op10_exact_dedup": op10_exact_dedup}
 ORACLES = {"op1_sharding": OP1_SQL, "op3_topk": OP3_SQL, "op10_exact_dedup": OP10_SQL}
