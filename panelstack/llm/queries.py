@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelstack.llm import bpe, chat, exact_dedup, langid, near_dedup, sharding, topk, toxicity
+from panelstack.llm import bpe, chat, exact_dedup, langid, mixing, near_dedup, sharding, topk, toxicity
 from panelstack.llm.common import id_crc, table
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -39,6 +39,19 @@ FROM cut
 """
 
 
+def mixture(docs: DataFrame, labels: DataFrame):
+    """Production mixture: quality domains, 85 to 15, at the least total that thins out no document."""
+    domains = mixing.fit_domains(mixing.training_rows(docs, labels))
+    members = mixing.memberships(docs, domains)
+    return members, mixing.fit_rates(members, domains, mixing.TARGETS, "cover")
+
+
+def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rate and copies of every document that bring the quality domains to their target token shares."""
+    members, mixed = mixture(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels"))
+    return mixing.rates(members, mixed).select("doc_id", "tokens", "posterior", "rate", "copies")
+
+
 def op3_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 5 best of all vectors for every vector whose id is divisible by 50."""
     found = topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5, scale=256.0)
@@ -108,5 +121,5 @@ SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size, doc
 FROM d WINDOW w AS (PARTITION BY t)
 """
 
-QUERIES = {"op1_sharding": op1_sharding, "op3_topk": op3_topk, "op5_language": op5_language, "op6_near_dedup": op6_near_dedup, "op7_bpe": op7_bpe, "op8_toxicity": op8_toxicity, "op9_chat": op9_chat, "op10_exact_dedup": op10_exact_dedup}
+QUERIES = {"op1_sharding": op1_sharding, "op2_mixing": op2_mixing, "op3_topk": op3_topk, "op5_language": op5_language, "op6_near_dedup": op6_near_dedup, "op7_bpe": op7_bpe, "op8_toxicity": op8_toxicity, "op9_chat": op9_chat, "op10_exact_dedup": op10_exact_dedup}
 ORACLES = {"op1_sharding": OP1_SQL, "op3_topk": OP3_SQL, "op10_exact_dedup": OP10_SQL}
