@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelstack.llm import bpe, chat, exact_dedup, langid, mixing, near_dedup, sharding, topk, toxicity
+from panelstack.llm import bpe, chat, exact_dedup, langid, lm, mixing, near_dedup, sharding, topk, toxicity
 from panelstack.llm.common import id_crc, table
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -86,6 +86,12 @@ def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_digests(table(spark, sf_dir, "documents"), *ranks_and_pattern())
 
 
+def op4_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log10 probability of every text; rows with crc32(doc_id) mod 10 = 0 teach nothing."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return lm.score(docs, F.pmod(id_crc(F.col("doc_id")), F.lit(10)) == 0)
+
+
 def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language of every document; rows with crc32(doc_id) mod 3 = 1 teach nothing."""
     docs = table(spark, sf_dir, "documents")
@@ -121,5 +127,5 @@ SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size, doc
 FROM d WINDOW w AS (PARTITION BY t)
 """
 
-QUERIES = {"op1_sharding": op1_sharding, "op2_mixing": op2_mixing, "op3_topk": op3_topk, "op5_language": op5_language, "op6_near_dedup": op6_near_dedup, "op7_bpe": op7_bpe, "op8_toxicity": op8_toxicity, "op9_chat": op9_chat, "op10_exact_dedup": op10_exact_dedup}
+QUERIES = {"op1_sharding": op1_sharding, "op2_mixing": op2_mixing, "op3_topk": op3_topk, "op4_lm_score": op4_lm_score, "op5_language": op5_language, "op6_near_dedup": op6_near_dedup, "op7_bpe": op7_bpe, "op8_toxicity": op8_toxicity, "op9_chat": op9_chat, "op10_exact_dedup": op10_exact_dedup}
 ORACLES = {"op1_sharding": OP1_SQL, "op3_topk": OP3_SQL, "op10_exact_dedup": OP10_SQL}
