@@ -19,7 +19,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelstack.llm.common import pack, unpack
@@ -27,6 +27,8 @@ from panelstack.session import materialize
 
 #: Rows of a candidate block and of a query block; share of the lists read before each look at the bounds.
 BLOCK_ROWS, QUERY_ROWS, LAYERS = 8192, 1024, (0.35, 0.5, 0.7)
+#: Blocks of a group (of queries, of candidates); two groups meet in one task.
+GROUP_BLOCKS = 8
 _BIG = float(2**31)
 
 
@@ -136,30 +138,24 @@ def search_block(lists: Lists, ids, null, nums, q, q_nums, best, k: int, layers=
 
 
 def nra(k: int):
-    """Function for mapInArrow over (query block, candidate block) pairs, sorted by query block: partial results."""
-
-    def run(batches):
-        at, best, q = None, None, None
-
-        def out():
-            rows = [(int(i), int(num), s, n, c, m) for (i, num), found in zip(zip(q[0], q[2], strict=True), best, strict=True) for s, n, c, m in found]
-            if rows:
-                cols = list(zip(*rows, strict=True))
-                kinds = (pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64())
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)],
-                                                 names=["query_id", "query_num", "minus", "no_id", "vec_id", "num"])
-
-        for b in batches:
-            for qb, q_blob, blob in zip(*(b.column(c).to_pylist() for c in ("query_block", "query_blob", "blob")), strict=True):
-                if qb != at:
-                    if at is not None:
-                        yield from out()
-                    at, q = qb, unpack(q_blob)
-                    best = [[] for _ in q[0]]
-                ids, null, nums, vecs = unpack(blob)
-                search_block(Lists(vecs), ids, null, nums, q[3], q[2], best, k)
-        if at is not None:
-            yield from out()
+    """For a cogrouped applyInArrow over a cell's query blocks and candidate blocks: each query's best rows of the cell."""
+
+    def run(asked: pa.Table, blocks: pa.Table) -> pa.Table:
+        rows = []
+        queries = [unpack(q) for q in asked.column("blob").to_pylist()]
+        best = [[[] for _ in q[0]] for q in queries]
+        held = sorted(zip(blocks.column("block").to_pylist(), blocks.column("blob").to_pylist(), strict=True))
+        for _, blob in held:  # one candidate block is open at a time
+            ids, null, nums, vecs = unpack(blob)
+            lists = Lists(vecs)
+            for q, found in zip(queries, best, strict=True):
+                search_block(lists, ids, null, nums, q[3], q[2], found, k)
+        for q, found in zip(queries, best, strict=True):
+            rows += [(int(i), int(num), *hit) for i, num, hits in zip(q[0], q[2], found, strict=True) for hit in hits]
+        cols = list(zip(*rows, strict=True)) or [()] * 6
+        names = ("query_id", "query_num", "minus", "no_id", "vec_id", "num")
+        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64())
+        return pa.table({n: pa.array(c, t) for n, c, t in zip(names, cols, kinds, strict=True)})
 
     return run
 
@@ -167,9 +163,10 @@ def nra(k: int):
 def top_k(vectors: DataFrame, queries: F.Column, k: int = 5, scale: float = 256.0, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
     """query_id, query_num (tells repeated ids apart), rank, vec_id, score of each query's k best rows.
 
-    ``queries`` is a condition on ``vec_id``; every block of queries meets every block of
-    candidates of its dimension (equi-join on the block number), and partial results
-    (k a query and task) are ranked last.
+    ``queries`` is a condition on ``vec_id``.  Query blocks and candidate blocks are dealt
+    into groups of about GROUP_BLOCKS; a cell is one group of each, so queries and
+    candidates of one dimension meet once, and no task holds more than two groups.
+    A cell gives k rows a query at most; those are ranked last.
     """
     rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vec_col).alias("vec")).withColumn("num", F.monotonically_increasing_id())
     rows = materialize(rows.filter(F.col("vec").isNotNull()), "topk-rows").withColumn("dim", F.size("vec"))
@@ -177,11 +174,18 @@ def top_k(vectors: DataFrame, queries: F.Column, k: int = 5, scale: float = 256.
     shape = "dim int, block long, n int, blob binary"
     blocks = materialize(rows.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(pack_blocks(scale, BLOCK_ROWS), shape), "topk-blocks")
     asked = materialize(rows.filter(queries).repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(pack_blocks(scale, QUERY_ROWS), shape), "topk-queries")
-    pairs = (asked.select("dim", F.col("block").alias("query_block"), F.col("blob").alias("query_blob"))
-             .join(blocks.select("dim", "block", "blob"), "dim")
-             .repartition("query_block", F.pmod(F.xxhash64("block"), F.lit(64))).sortWithinPartitions("query_block", "block"))
-    found = pairs.mapInArrow(nra(k), "query_id long, query_num long, minus long, no_id boolean, vec_id long, num long")
-    from pyspark.sql import Window
+    q_groups, c_groups = (-(-t.count() // GROUP_BLOCKS) or 1 for t in (asked, blocks))
+
+    def group(n: int) -> F.Column:
+        return F.pmod(F.xxhash64("block"), F.lit(n))
+
+    def all_of(n: int) -> F.Column:
+        return F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
+
+    cells_q = asked.select("dim", "block", "blob", group(q_groups).alias("qg")).withColumn("cg", all_of(c_groups))
+    cells_c = blocks.select("dim", "block", "blob", group(c_groups).alias("cg")).withColumn("qg", all_of(q_groups))
+    key = ["dim", "qg", "cg"]
+    found = cells_q.groupBy(*key).cogroup(cells_c.groupBy(*key)).applyInArrow(nra(k), "query_id long, query_num long, minus long, no_id boolean, vec_id long, num long")
     w = Window.partitionBy("query_num").orderBy("minus", "no_id", "vec_id", "num")
     return (found.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
             .select("query_id", "query_num", "rank", F.when(~F.col("no_id"), F.col("vec_id")).alias("vec_id"), (-F.col("minus")).alias("score")))
