@@ -26,9 +26,9 @@ from panelstack.llm.common import pack, unpack
 from panelstack.session import materialize
 
 #: Rows of a candidate block and of a query block; share of the lists read before each look at the bounds.
-BLOCK_ROWS, QUERY_ROWS, LAYERS = 8192, 1024, (0.35, 0.5, 0.7)
+BLOCK_ROWS, QUERY_ROWS, LAYERS = 4096, 1024, (0.35, 0.5, 0.7)
 #: Blocks of a group (of queries, of candidates); two groups meet in one task.
-GROUP_BLOCKS = 8
+GROUP_BLOCKS = 4
 _BIG = float(2**31)
 
 

@@ -198,25 +198,42 @@ def training_rows(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS
     return [((r["text"] or "").encode(), int(r["toxic"]), 1 / rate[r["toxic"]]) for r in found]
 
 
-def scorer(model: Model):
-    """Function for mapInArrow: the document's columns with its score."""
+def probabilities(model: Model):
+    """Function from a list of texts (bytes) to their scores."""
+    if not model.weights:
+        return lambda texts: np.full(len(texts), model.prior)
+    distances, w = Distances(model), np.array(model.weights)
 
-    def run(batches):
-        distances = Distances(model) if model.weights else None
-        w = np.array(model.weights)
-        for b in batches:
-            if distances is None:
-                scores = np.full(b.num_rows, model.prior)
-            else:
-                x = np.array([distances.features(t.lower()) for t in text_bytes(b.column("text"))]).reshape(-1, len(w))
-                scores = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(scores, pa.float64())], names=[*b.schema.names, "score"])
+    def run(texts):
+        x = np.array([distances.features(t.lower()) for t in texts]).reshape(-1, len(w))
+        return 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
 
     return run
 
 
+def _kinds(docs: DataFrame) -> str:
+    return ", ".join(f"`{c}` {t}" for c, t in docs.dtypes)
+
+
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """All columns of the documents and ``score``, the probability of label 1 (a column of that name is replaced)."""
     docs = docs.drop("score")
-    kinds = ", ".join(f"`{c}` {t}" for c, t in docs.dtypes)
-    return docs.mapInArrow(scorer(model), f"{kinds}, score double")
+
+    def run(batches):
+        judge = probabilities(model)
+        for b in batches:
+            found = judge(text_bytes(b.column("text")))
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(found, pa.float64())], names=[*b.schema.names, "score"])
+
+    return docs.mapInArrow(run, f"{_kinds(docs)}, score double")
+
+
+def reject(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
+    """The documents whose score stays below the threshold, all columns as they were."""
+
+    def run(batches):
+        judge = probabilities(model)
+        for b in batches:
+            yield b.filter(pa.array(judge(text_bytes(b.column("text"))) < threshold, pa.bool_()))
+
+    return docs.mapInArrow(run, _kinds(docs))
