@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from panelstack.functions.bands import nan_to_null
+from panelstack.operators.quantiles import order_statistics
 
 
 def drop_columns(df: DataFrame, cols: list[str]) -> DataFrame:
@@ -70,9 +71,16 @@ def align_features(df: DataFrame, feature_cols: list[str], keep: list[str] | Non
 
 
 def fit_medians(train: DataFrame, cols: list[str], keys: list[str] | None = None) -> DataFrame:
-    """Exact interpolated medians of ``cols`` on training rows (per key or global)."""
-    aggs = [F.percentile(nan_to_null(c), 0.5).alias(c) for c in cols]
-    return train.groupBy(*(keys or [])).agg(*aggs)
+    """Exact interpolated medians of ``cols`` on training rows: per key, or over all rows (one row)."""
+    if keys:
+        return train.groupBy(*keys).agg(*[F.percentile(nan_to_null(c), 0.5).alias(c) for c in cols])
+    found = order_statistics(train, cols, [0.5])
+    return train.sparkSession.createDataFrame([[found.quantile(c, 0.5) for c in cols]], ", ".join(f"`{c}` double" for c in cols))
+
+
+def fill_values(df: DataFrame, values: dict[str, float | None]) -> DataFrame:
+    """coalesce(x, value) for every named column; NaN counts as missing."""
+    return df.withColumns({c: F.coalesce(nan_to_null(c), F.lit(v).cast("double")) for c, v in values.items()})
 
 
 def fill_median(df: DataFrame, medians: DataFrame, cols: list[str], keys: list[str] | None = None) -> DataFrame:
@@ -85,7 +93,7 @@ def fill_median(df: DataFrame, medians: DataFrame, cols: list[str], keys: list[s
     keys = keys or []
     if not keys:
         row = medians.first()
-        return df.withColumns({c: F.coalesce(nan_to_null(c), F.lit(row[c]).cast("double")) for c in cols})
+        return fill_values(df, {c: row[c] for c in cols})
     m = medians.select(*keys, *[F.col(c).alias(f"_med_{c}") for c in cols])
     j = df.join(m, on=keys, how="left")
     return j.withColumns({c: F.coalesce(nan_to_null(c), F.col(f"_med_{c}")) for c in cols}).drop(

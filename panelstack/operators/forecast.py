@@ -3,18 +3,17 @@
 AR(1) is fitted per series with the regression aggregates (``regr_slope``,
 ``regr_intercept``, ``regr_sxx`` ...), i.e. one grouped aggregate with map-side
 combine; AR(p) aggregates the normal-equation moments per series in the same
-way and solves each (p+1)x(p+1) system in ``applyInPandas`` over the one-row
-moment table of that series (the group is one row, whatever the history length).
+way and solves the p x p systems of a batch of series at once (one moment row a
+series, whatever the history length).
 """
 
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from panelstack.functions.bands import clip
+from panelstack.functions.bands import clip, nan_to_null
 
 Z95 = 1.96
 
@@ -38,7 +37,6 @@ def ar_fit(df: DataFrame, keys: list[str], t: str, v: str) -> DataFrame:
 def ar1_score_rows(df: DataFrame, coefs: DataFrame, keys: list[str], t: str, v: str,
                    lo: float = 0.0, hi: float = 500.0) -> DataFrame:
     """One-step forecasts made on each day for the next day, with the true history as input."""
-    w = Window.partitionBy(*keys).orderBy(t)
     j = df.join(coefs.select(*keys, "intercept", "phi", "sigma"), on=keys, how="inner")
     point = F.col("intercept") + F.col("phi") * F.col(v)
     return j.select(*keys, F.col(t).alias("prediction_date"), F.date_add(F.col(t), 1).alias("predicted_for_date"),
@@ -72,7 +70,7 @@ def ar_p_fit(df: DataFrame, keys: list[str], t: str, v: str, p: int = 3) -> Data
 
     Spark aggregates the means and population (co)variances of y_{t-1} .. y_{t-p}
     and y_t per series (one map-side-combined aggregate); each series' p x p
-    system is solved with NumPy in ``applyInPandas`` over its single moment row.
+    system is solved with NumPy, a batch of moment rows at a time.
     Centring keeps the system well conditioned for persistent series.
     """
     x = _with_lags(df, keys, t, v, p)
@@ -90,23 +88,30 @@ def ar_p_fit(df: DataFrame, keys: list[str], t: str, v: str, p: int = 3) -> Data
     coef_fields = ", ".join(["intercept double"] + [f"phi_{i} double" for i in range(1, p + 1)])
     schema = ", ".join(f"{k} {key_types[k]}" for k in keys) + f", {coef_fields}, sigma double, n long"
 
-    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        for _, r in pdf.iterrows():
-            cov = np.zeros((p, p))
+    def solve(batches):
+        """All systems of a batch at once; a singular one (constant or short series) has null coefficients."""
+        for m in batches:
+            cov = np.zeros((len(m), p, p))
             for i in range(p):
                 for j in range(i, p):
-                    cov[i, j] = cov[j, i] = r[f"c_{i}_{j}"]
-            cy = np.array([r[f"c_{i}_y"] for i in range(p)])
-            beta = np.linalg.solve(cov, cy)
-            intercept = r["m_y"] - float(beta @ np.array([r[f"m_{i}"] for i in range(p)]))
-            n = int(r["n"])
-            ssr = n * (r["v_y"] - float(beta @ cy))
-            dof = max(n - (p + 1), 1)
-            out.append([r[k] for k in keys] + [intercept] + list(beta) + [float(np.sqrt(max(ssr, 0.0) / dof)), n])
-        return pd.DataFrame(out, columns=keys + ["intercept"] + [f"phi_{i}" for i in range(1, p + 1)] + ["sigma", "n"])
-
-    return moments.groupBy(*keys).applyInPandas(solve, schema)
+                    cov[:, i, j] = cov[:, j, i] = m[f"c_{i}_{j}"]
+            cy, mean = (np.stack([m[f"{c}_{i}{e}"] for i in range(p)], axis=1).astype(float) for c, e in (("c", "_y"), ("m", "")))
+            size = np.einsum("nii->n", cov) / p
+            good = (m["n"].to_numpy() > p + 1) & (size > 0) & np.isfinite(cov).all(axis=(1, 2))
+            good[good] = np.linalg.cond(cov[good]) < 1e12
+            beta = np.full((len(m), p), np.nan)
+            beta[good] = np.linalg.solve(cov[good], cy[good][:, :, None])[:, :, 0]
+            n = m["n"].to_numpy()
+            ssr = n * (m["v_y"].to_numpy() - (beta * cy).sum(axis=1))
+            out = m[keys].copy()
+            out["intercept"] = m["m_y"].to_numpy() - (beta * mean).sum(axis=1)
+            for i in range(p):
+                out[f"phi_{i + 1}"] = beta[:, i]
+            out["sigma"], out["n"] = np.sqrt(np.maximum(ssr, 0) / np.maximum(n - (p + 1), 1)), n
+            yield out
+
+    solved = moments.mapInPandas(solve, schema)
+    return solved.withColumns({c: nan_to_null(c) for c in ["intercept", "sigma", *[f"phi_{i}" for i in range(1, p + 1)]]})
 
 
 def ar_p_walk_forward(df: DataFrame, keys: list[str], t: str, v: str, p: int = 3, split_col: str = "split",

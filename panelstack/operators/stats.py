@@ -3,8 +3,8 @@
 Quantiles are the exact, linearly interpolated kind (``percentile``), i.e. the
 same definition as pandas/NumPy defaults.  ``percentile`` keeps a value->count
 map per group and merges partial maps, so its memory is bounded by the number
-of *distinct* values: small for a daily panel of 2-decimal readings.  Pass
-``exact=False`` on raw, high-cardinality inputs to switch to ``percentile_approx``.
+of *distinct* values of one series.  Whole columns take theirs from
+:mod:`panelstack.operators.quantiles`.  Pass ``exact=False`` for ``percentile_approx``.
 
 Pearson correlation is computed as covar_pop / (stddev_pop * stddev_pop) with
 ``try_divide``: the built-in ``corr`` raises under ANSI mode on a constant column.
@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from panelstack.functions.bands import BAND_LABELS, aqi_band, aqi_band_code, nan_to_null
 from panelstack.functions.bands import clip as clip_col
+from panelstack.operators.quantiles import OrderStatistics, order_statistics
 
 
 def quantiles(c: Column, probs: list[float], exact: bool = True) -> Column:
@@ -148,32 +149,41 @@ def histogram(df: DataFrame, keys: list[str], v: str, bins: int = 30) -> DataFra
 
 
 def banded_histogram(df: DataFrame, keys: list[str], v: str, edges=(0, 50, 100, 150, 250), width: float = 8.0):
-    """Histogram with fixed-width bins inside [lo, hi) bands, bins anchored at each band start."""
+    """Histogram with fixed-width bins inside [lo, hi) bands, bins anchored at each band start.
+
+    The last band is open; values below the first edge have a null ``band_lo`` and
+    bins anchored at that edge, so the counts add up to the non-null values.
+    """
     x = nan_to_null(v)
     band = None
-    for lo, hi in zip(edges[:-1], edges[1:]):
-        cond = (x >= lo) & (x < hi)
+    for lo, hi in zip(edges, [*edges[1:], None]):
+        cond = (x >= lo) if hi is None else (x >= lo) & (x < hi)
         band = F.when(cond, F.lit(float(lo))) if band is None else band.when(cond, F.lit(float(lo)))
-    b = df.select(*keys, x.alias("_v"), band.alias("band_lo")).where(F.col("band_lo").isNotNull())
-    start = F.col("band_lo") + F.floor((F.col("_v") - F.col("band_lo")) / width) * width
+    b = df.select(*keys, x.alias("_v"), band.alias("band_lo")).where(F.col("_v").isNotNull())
+    anchor = F.coalesce("band_lo", F.lit(float(edges[0])))
+    start = anchor + F.floor((F.col("_v") - anchor) / width) * width
     return b.groupBy(*keys, "band_lo", start.alias("bin_lo")).agg(F.count(F.lit(1)).alias("count"))
 
 
-def kde(df: DataFrame, keys: list[str], v: str, grid: int = 300, bins: int = 30) -> DataFrame:
+def kde(df: DataFrame, keys: list[str], v: str, grid: int = 300, bins: int = 30, bin_width: float | None = None) -> DataFrame:
     """Gaussian KDE (Scott bandwidth n^-1/5 * sample std) on ``grid`` points, scaled to histogram counts.
 
     Work is (distinct values) x grid per series; duplicate values are merged
-    first and every partial sum is combined map side before the shuffle.
+    first and every partial sum is combined map side before the shuffle.  With
+    ``bin_width`` values are merged into the centres of bins of that width first
+    (the caller's choice, never taken by size).  A series without spread (constant
+    or a single value) has null densities.
     """
     x = nan_to_null(v)
     base = df.select(*keys, x.alias("_v")).where(F.col("_v").isNotNull())
     stats = base.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), F.stddev_samp("_v").alias("_sd"),
                                     F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
-    distinct = base.groupBy(*keys, "_v").agg(F.count(F.lit(1)).alias("_w"))
+    merged = F.col("_v") if bin_width is None else (F.floor(F.col("_v") / bin_width) + 0.5) * F.lit(float(bin_width))
+    distinct = base.groupBy(*keys, merged.alias("_v")).agg(F.count(F.lit(1)).alias("_w"))
     j = distinct.join(stats, on=keys)
     bw = F.col("_sd") * F.pow(F.col("_n").cast("double"), F.lit(-0.2))
     step = (F.col("_hi") - F.col("_lo")) / F.lit(float(grid - 1))
-    pts = j.withColumns({"_bw": bw, "grid_index": F.explode(F.sequence(F.lit(0), F.lit(grid - 1)))})
+    pts = j.withColumns({"_bw": F.when(bw > 0, bw), "grid_index": F.explode(F.sequence(F.lit(0), F.lit(grid - 1)))})
     gx = F.when(F.col("grid_index") == grid - 1, F.col("_hi")).otherwise(F.col("_lo") + F.col("grid_index") * step)
     pts = pts.withColumn("x", gx)
     z = (F.col("x") - F.col("_v")) / F.col("_bw")
@@ -199,21 +209,30 @@ def pearson(a: Column, b: Column) -> Column:
 
 
 def corr_matrix(df: DataFrame, keys: list[str], cols: list[str], lower_only: bool = False) -> DataFrame:
-    """All column pairs in one aggregate pass, returned long: (keys, col_a, col_b, r)."""
+    """All column pairs in one aggregate pass, returned long: (keys, col_a, col_b, r).
+
+    Each unordered pair is computed once and mirrored while unpivoting; the
+    diagonal is 1 where the column varies.
+    """
     x = {c: nan_to_null(c) for c in cols}
-    pairs = [(a, b) for i, a in enumerate(cols) for j, b in enumerate(cols) if (not lower_only or j < i)]
-    g = df.groupBy(*keys).agg(*[pearson(x[a], x[b]).alias(f"_r{i}") for i, (a, b) in enumerate(pairs)])
-    rows = F.inline(F.array(*[F.struct(F.lit(a).alias("col_a"), F.lit(b).alias("col_b"), F.col(f"_r{i}").alias("r"))
-                              for i, (a, b) in enumerate(pairs)]))
+    lower = [(a, b) for i, a in enumerate(cols) for b in cols[:i]]
+    aggs = [pearson(x[a], x[b]).alias(f"_r{i}") for i, (a, b) in enumerate(lower)]
+    aggs += [F.when(F.stddev_pop(x[c]) > 0, F.lit(1.0)).alias(f"_d{i}") for i, c in enumerate(cols)]
+    g = df.groupBy(*keys).agg(*aggs)
+    cells = [(a, b, f"_r{i}") for i, (a, b) in enumerate(lower)]
+    if not lower_only:
+        cells += [(b, a, r) for a, b, r in cells] + [(c, c, f"_d{i}") for i, c in enumerate(cols)]
+    rows = F.inline(F.array(*[F.struct(F.lit(a).alias("col_a"), F.lit(b).alias("col_b"), F.col(r).alias("r")) for a, b, r in cells]))
     return g.select(*keys, rows)
 
 
 def top_correlated(df: DataFrame, keys: list[str], target: str, cols: list[str], k: int = 15) -> DataFrame:
-    cm = corr_matrix(df, keys, [target] + [c for c in cols if c != target])
-    cm = cm.where((F.col("col_a") == target) & (F.col("col_b") != target))
-    w = Window.partitionBy(*keys).orderBy(F.abs(F.col("r")).desc_nulls_last(), F.col("col_b"))
-    return (cm.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
-            .select(*keys, F.col("col_b").alias("feature"), "r", "rank"))
+    """The k columns with the largest |r| to the target: one aggregate of len(cols) pairs."""
+    others = [c for c in cols if c != target]
+    g = df.groupBy(*keys).agg(*[pearson(nan_to_null(target), nan_to_null(c)).alias(f"_r{i}") for i, c in enumerate(others)])
+    cm = g.select(*keys, F.inline(F.array(*[F.struct(F.lit(c).alias("feature"), F.col(f"_r{i}").alias("r")) for i, c in enumerate(others)])))
+    w = Window.partitionBy(*keys).orderBy(F.abs(F.col("r")).desc_nulls_last(), F.col("feature"))
+    return cm.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select(*keys, "feature", "r", "rank")
 
 
 def linear_trend(df: DataFrame, keys: list[str], xcol: str, ycol: str, grid: int = 100) -> DataFrame:
@@ -268,62 +287,51 @@ class Fences:
     bounds: dict[str, tuple[float | None, float | None]]
 
     def transform(self, df: DataFrame) -> DataFrame:
-        return df.withColumns({c: clip_col(c, lo, hi) for c, (lo, hi) in self.bounds.items()})
-
-    def clip_counts(self, df: DataFrame) -> DataFrame:
-        aggs = []
-        for c, (lo, hi) in self.bounds.items():
-            x = nan_to_null(c)
-            aggs += [F.count_if(x < lo).alias(f"{c}__low"), F.count_if(x > hi).alias(f"{c}__high")]
-        return df.agg(*aggs)
+        return df.withColumns({c: nan_to_null(c) if lo is None else clip_col(c, lo, hi) for c, (lo, hi) in self.bounds.items()})
 
 
 @dataclass
 class RobustScaler:
-    """(x - median) / IQR with parameters fitted on training rows; IQR 0 -> divide by 1."""
-    params: dict[str, tuple[float, float]]
+    """(x - median) / IQR with parameters fitted on training rows; IQR 0 -> divide by 1; no training values -> null."""
+    params: dict[str, tuple[float | None, float]]
 
     def transform(self, df: DataFrame) -> DataFrame:
-        return df.withColumns({c: (nan_to_null(c) - F.lit(m)) / F.lit(s) for c, (m, s) in self.params.items()})
-
-
-# Exact quantiles keep one map entry per distinct value and merge them in one task for a global
-# fit; above this many rows the fit switches to percentile_approx (relative rank error 1e-6).
-EXACT_GLOBAL_QUANTILE_ROWS = 5_000_000
+        return df.withColumns({c: (nan_to_null(c) - F.lit(m).cast("double")) / F.lit(s) for c, (m, s) in self.params.items()})
 
 
-def _quartile_row(train: DataFrame, cols: list[str], probs: list[float], exact: bool | None = None,
-                  exact_limit: int = EXACT_GLOBAL_QUANTILE_ROWS):
-    """One aggregate over the training rows; the result is one row of len(probs) numbers per column.
-
-    ``exact=None`` decides by counting at most ``exact_limit + 1`` rows."""
-    if exact is None:
-        exact = train.limit(exact_limit + 1).count() <= exact_limit
-    return train.agg(*[quantiles(nan_to_null(c), probs, exact).alias(c) for c in cols]).first()
-
-
-def fit_fences(train: DataFrame, cols: list[str], k: float = 3.0, floor: float | None = 0.0,
-               exact: bool | None = None) -> Fences:
-    row = _quartile_row(train, cols, [0.25, 0.75], exact)
+def fences_of(stats: OrderStatistics, cols: list[str], k: float = 3.0, floor: float | None = 0.0) -> Fences:
     bounds = {}
     for c in cols:
-        q1, q3 = row[c]
+        q1, q3 = stats.quantile(c, 0.25), stats.quantile(c, 0.75)
+        if q1 is None:  # a column without values has no fences
+            bounds[c] = (None, None)
+            continue
         lo = q1 - k * (q3 - q1)
         bounds[c] = (max(lo, floor) if floor is not None else lo, q3 + k * (q3 - q1))
     return Fences(bounds)
 
 
-def fit_robust_scaler(train: DataFrame, cols: list[str], exact: bool | None = None) -> RobustScaler:
-    row = _quartile_row(train, cols, [0.25, 0.5, 0.75], exact)
+def scaler_of(stats: OrderStatistics, cols: list[str], fences: Fences | None = None) -> RobustScaler:
+    """Median and IQR of the columns as they are after the fences (clipping keeps the order, so the same pass serves)."""
     params = {}
     for c in cols:
-        q1, med, q3 = row[c]
-        iqr = q3 - q1
-        params[c] = (med, iqr if iqr != 0 else 1.0)
+        lo, hi = (fences.bounds.get(c) if fences else None) or (None, None)
+        q1, med, q3 = (stats.quantile(c, p, lambda x, lo=lo, hi=hi: x if lo is None else min(max(x, lo), hi)) for p in (0.25, 0.5, 0.75))
+        params[c] = (None, 1.0) if med is None else (med, (q3 - q1) or 1.0)
     return RobustScaler(params)
 
 
+def fit_fences(train: DataFrame, cols: list[str], k: float = 3.0, floor: float | None = 0.0) -> Fences:
+    return fences_of(order_statistics(train, cols, [0.25, 0.75]), cols, k, floor)
+
+
+def fit_robust_scaler(train: DataFrame, cols: list[str]) -> RobustScaler:
+    return scaler_of(order_statistics(train, cols, [0.25, 0.5, 0.75]), cols)
+
+
 def scale_check(df: DataFrame, cols: list[str]) -> DataFrame:
-    long = to_long(df, [], cols)
-    return long.groupBy("column").agg(F.round(F.avg("value"), 3).alias("mean"),
-                                      F.round(F.percentile("value", 0.5), 3).alias("median"))
+    """Mean and exact median of each column, 3 decimals (one row a column)."""
+    medians = order_statistics(df, cols, [0.5])
+    means = to_long(df, [], cols).groupBy("column").agg(F.round(F.avg("value"), 3).alias("mean"))
+    rows = df.sparkSession.createDataFrame([(c, medians.quantile(c, 0.5)) for c in cols], "column string, median double")
+    return means.join(rows, "column").select("column", "mean", F.round("median", 3).alias("median"))

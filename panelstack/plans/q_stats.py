@@ -129,10 +129,10 @@ def q_histogram_30(spark, sf_dir):
 
 @register("banded_histogram", f"""
 WITH {P2I},
-b AS (SELECT series_id, value, CASE WHEN value >= 0 AND value < 50 THEN 0.0 WHEN value >= 50 AND value < 100 THEN 50.0
-      WHEN value >= 100 AND value < 150 THEN 100.0 WHEN value >= 150 AND value < 250 THEN 150.0 END AS band_lo FROM p2i)
-SELECT series_id, band_lo, band_lo + floor((value - band_lo) / 8.0) * 8.0 AS bin_lo, count(*) AS count
-FROM b WHERE band_lo IS NOT NULL GROUP BY 1, 2, 3""", doubles="band_lo bin_lo")
+b AS (SELECT series_id, value, CASE WHEN value >= 250 THEN 250.0 WHEN value >= 150 THEN 150.0 WHEN value >= 100 THEN 100.0
+      WHEN value >= 50 THEN 50.0 WHEN value >= 0 THEN 0.0 END AS band_lo FROM p2i)
+SELECT series_id, band_lo, coalesce(band_lo, 0.0) + floor((value - coalesce(band_lo, 0.0)) / 8.0) * 8.0 AS bin_lo, count(*) AS count
+FROM b WHERE value IS NOT NULL GROUP BY 1, 2, 3""", doubles="band_lo bin_lo")
 def q_banded_histogram(spark, sf_dir):
     return banded_histogram(p2_filled(spark, sf_dir), K, "value")
 

@@ -7,7 +7,8 @@ local default is only set when the session does not carry one (tests, bench).
 
 from __future__ import annotations
 
-import os
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -43,10 +44,17 @@ def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the shared checkpoint folder, setting a local one only if unset."""
+    """Return the shared checkpoint folder; a local one is set only where it is unset and the master is local.
+
+    On a cluster a machine-local folder would spread intermediate tables over the
+    machines, so an unset folder is an error there.
+    """
     current = spark.conf.get(_CHECKPOINT_KEY, None) or spark.sparkContext.getCheckpointDir()
     if not current:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         current = tempfile.mkdtemp(prefix="panelstack-ckpt-")
+        atexit.register(shutil.rmtree, current, ignore_errors=True)  # made here, used by this process alone
         spark.conf.set(_CHECKPOINT_KEY, current)
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(current)
@@ -54,11 +62,16 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh path below the shared checkpoint folder (never machine-local on a cluster)."""
-    base = ensure_checkpoint_dir(spark)
-    if base.startswith("file:"):
-        base = base[len("file:"):]
-    return os.path.join(base, "panelstack", f"{name}-{uuid.uuid4().hex[:12]}")
+    """A fresh path below the shared checkpoint folder, in whatever file system it is."""
+    base = ensure_checkpoint_dir(spark).rstrip("/")
+    return f"{base}/panelstack/{name}-{uuid.uuid4().hex[:12]}"
+
+
+def drop_path(spark: SparkSession, path: str) -> None:
+    """Remove a scratch folder (through Spark's file systems); a missing one is fine."""
+    jvm = spark.sparkContext._jvm
+    target = jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
 def materialize(df, name: str):
@@ -70,4 +83,4 @@ def materialize(df, name: str):
     """
     path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
