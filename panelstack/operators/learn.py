@@ -15,37 +15,23 @@ from pyspark.ml.classification import GBTClassifier, OneVsRest, RandomForestClas
 from pyspark.ml.evaluation import Evaluator
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import DecisionTreeRegressor, GBTRegressor, LinearRegression, RandomForestRegressor
+from pyspark.ml.regression import DecisionTreeRegressor, GBTRegressionModel, GBTRegressor, LinearRegression, RandomForestRegressor
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from panelstack.functions.bands import aqi_band_code, clip
 from panelstack.operators.metrics import classification_metrics, regression_metrics
 
 
-def _memory_mb(text: str) -> int:
-    units = {"k": 1 / 1024, "m": 1, "g": 1024, "t": 1024 * 1024}
-    text = text.strip().lower().rstrip("b")
-    return int(float(text[:-1]) * units[text[-1]]) if text[-1] in units else int(text) // (1024 * 1024)
-
-
-def tree_buffer_mb(spark) -> int:
-    """Per-task histogram buffer for tree learners (``maxMemoryInMB``).
-
-    Every concurrently running task of a JVM holds one buffer, so the budget is a
-    fraction of that JVM's heap divided by its task slots (in local mode the driver
-    JVM runs all tasks).  Spark's default of 256 MB is the upper bound.
-    """
-    conf = spark.sparkContext.getConf()
-    local = spark.sparkContext.master.startswith("local")
-    heap = _memory_mb(conf.get("spark.driver.memory" if local else "spark.executor.memory", "1g"))
-    slots = spark.sparkContext.defaultParallelism if local else int(conf.get("spark.executor.cores", "1"))
-    return int(max(8, min(256, heap * 0.25 / max(slots, 1))))
+#: Histogram buffer of the tree learners (``maxMemoryInMB``), fixed: nodes are grouped by it, and the order in
+#: which feature subsets are drawn follows the groups, so a value taken from the heap would change the models.
+TREE_BUFFER_MB = 32
 
 
 def _pipeline(features: list[str], estimator) -> Pipeline:
-    return Pipeline(stages=[VectorAssembler(inputCols=features, outputCol="features", handleInvalid="skip"), estimator])
+    """Missing features are an error here: training drops or fills them, scoring fills them with training medians."""
+    return Pipeline(stages=[VectorAssembler(inputCols=features, outputCol="features", handleInvalid="error"), estimator])
 
 
 def ridge(train: DataFrame, features: list[str], label: str, alpha: float = 10.0) -> PipelineModel:
@@ -63,41 +49,71 @@ def ridge(train: DataFrame, features: list[str], label: str, alpha: float = 10.0
 
 def decision_tree_regressor(train, features, label, max_depth: int = 3, min_leaf: int = 30, seed: int = 42):
     return _pipeline(features, DecisionTreeRegressor(labelCol=label, maxDepth=max_depth, minInstancesPerNode=min_leaf,
-                                                     seed=seed, maxMemoryInMB=tree_buffer_mb(train.sparkSession))).fit(train)
+                                                     seed=seed, maxMemoryInMB=TREE_BUFFER_MB)).fit(train)
 
 
 def random_forest_regressor(train, features, label, trees: int = 500, max_depth: int = 12, min_leaf: int = 2,
-                            seed: int = 42):
-    # maxMemoryInMB only changes how many nodes are split per data pass, not the model.
-    rf = RandomForestRegressor(labelCol=label, numTrees=trees, maxDepth=max_depth, minInstancesPerNode=min_leaf,
-                               featureSubsetStrategy="sqrt", seed=seed, maxMemoryInMB=tree_buffer_mb(train.sparkSession))
+                            seed: int = 42, features_per_split: str = "sqrt", bootstrap: bool = True):
+    rf = RandomForestRegressor(labelCol=label, numTrees=trees, maxDepth=max_depth, minInstancesPerNode=min_leaf, bootstrap=bootstrap,
+                               featureSubsetStrategy=features_per_split, seed=seed, maxMemoryInMB=TREE_BUFFER_MB)
     return _pipeline(features, rf).fit(train)
 
 
-# The two boosted-tree presets (trees, learning rate, depth, row subsample).
+# The two boosted-tree presets (trees, learning rate, depth, row share, feature share, least rows of a leaf).
 BOOST_PRESETS = {
-    "lgb": {"maxIter": 500, "stepSize": 0.05, "maxDepth": 6, "subsamplingRate": 0.8},
-    "xgb": {"maxIter": 500, "stepSize": 0.05, "maxDepth": 6, "subsamplingRate": 0.8},
+    "lgb": {"maxIter": 500, "stepSize": 0.05, "maxDepth": 6, "subsamplingRate": 0.8, "featureSubsetStrategy": "0.8", "minInstancesPerNode": 20},
+    "xgb": {"maxIter": 500, "stepSize": 0.05, "maxDepth": 6, "subsamplingRate": 0.8, "featureSubsetStrategy": "0.8", "minInstancesPerNode": 1},
 }
 
 
+def best_prefix(losses: list[float], patience: int) -> int:
+    """Number of trees at the least loss before ``patience`` rounds without improvement."""
+    best = 0
+    for i, x in enumerate(losses):
+        if x < losses[best]:
+            best = i
+        elif i - best >= patience:
+            break
+    return best + 1
+
+
 def boosted_regressor(train, features, label, preset: str = "lgb", validation_col: str | None = None,
-                      seed: int = 42, **overrides):
-    """Gradient-boosted trees; with ``validation_col`` Spark stops when validation loss stops improving.
+                      patience: int = 50, seed: int = 42, **overrides):
+    """Gradient-boosted trees; with ``validation_col`` the trees up to the best validation round are kept.
 
-    Use the tail of the *training* period as validation, never the test set.
+    All rounds are fitted, the loss of every round is measured on the rows marked for
+    validation, and the model is cut where ``patience`` rounds brought no gain.  Use
+    the tail of the *training* period as validation, never the test set.
     """
     params = dict(BOOST_PRESETS[preset], **overrides)
-    gbt = GBTRegressor(labelCol=label, seed=seed, maxMemoryInMB=tree_buffer_mb(train.sparkSession), **params)
-    if validation_col:
-        gbt = gbt.setValidationIndicatorCol(validation_col)
-    return _pipeline(features, gbt).fit(train)
+    gbt = GBTRegressor(labelCol=label, seed=seed, maxMemoryInMB=TREE_BUFFER_MB, **params)
+    if not validation_col:
+        return _pipeline(features, gbt).fit(train)
+    model = _pipeline(features, gbt).fit(train.where(~F.col(validation_col)))
+    held = model.stages[0].transform(train.where(F.col(validation_col)))
+    keep = best_prefix(list(model.stages[-1].evaluateEachIteration(held, "squared")), patience)
+    return PipelineModel([model.stages[0], _first_trees(model.stages[-1], keep)])
+
+
+def _first_trees(model, n: int):
+    """A boosted model of the first n trees, with their weights."""
+    old, sc = model._java_obj, SparkSession.getActiveSession().sparkContext
+    jvm, gw = sc._jvm, sc._gateway
+    trees = gw.new_array(jvm.org.apache.spark.ml.regression.DecisionTreeRegressionModel, n)
+    weights = gw.new_array(jvm.double, n)
+    every = old.trees()
+    for i in range(n):
+        trees[i], weights[i] = every[i], float(old.treeWeights()[i])
+    cut = jvm.org.apache.spark.ml.regression.GBTRegressionModel(old.uid() + "_cut", trees, weights)
+    out = GBTRegressionModel(cut)
+    out._resetUid(cut.uid())
+    return out.setFeaturesCol("features").setPredictionCol("prediction")
 
 
 def random_forest_classifier(train, features, label, weight_col: str | None = None, trees: int = 300,
                              max_depth: int = 10, min_leaf: int = 4, seed: int = 42):
     rf = RandomForestClassifier(labelCol=label, numTrees=trees, maxDepth=max_depth, minInstancesPerNode=min_leaf,
-                                seed=seed, maxMemoryInMB=tree_buffer_mb(train.sparkSession))
+                                seed=seed, maxMemoryInMB=TREE_BUFFER_MB)
     if weight_col:
         rf = rf.setWeightCol(weight_col)
     return _pipeline(features, rf).fit(train)
@@ -108,10 +124,10 @@ def boosted_classifier(train, features, label, weight_col: str | None = None, tr
     """Multi-class boosting as one-vs-rest over binary GBTs (no native multi-class GBT in Spark).
 
     The per-class binary models are independent, so ``parallelism`` of them are fitted
-    concurrently; each gets its share of the histogram buffer budget.
+    concurrently.
     """
     gbt = GBTClassifier(maxIter=trees, stepSize=step, maxDepth=max_depth, seed=seed,
-                        maxMemoryInMB=max(8, tree_buffer_mb(train.sparkSession) // max(parallelism, 1)))
+                        maxMemoryInMB=TREE_BUFFER_MB)
     ovr = OneVsRest(classifier=gbt, labelCol=label, parallelism=parallelism)
     if weight_col:
         ovr = ovr.setWeightCol(weight_col)
@@ -134,9 +150,10 @@ def blend_sweep(df: DataFrame, a: str, b: str, y: str, weights: list[float]) ->
 
 
 def score_regression(model: PipelineModel, df: DataFrame, keep: list[str], lo: float = 0.0, hi: float = 500.0,
-                     digits: int = 1) -> DataFrame:
-    p = model.transform(df)
-    return p.select(*keep, F.round(clip("prediction", lo, hi), digits).alias("predicted"))
+                     digits: int | None = 1) -> DataFrame:
+    """One row per input row; missing features are an error (fill them first)."""
+    value = clip("prediction", lo, hi)
+    return model.transform(df).select(*keep, (value if digits is None else F.round(value, digits)).alias("predicted"))
 
 
 def score_class(model: PipelineModel, df: DataFrame, keep: list[str], digits: int = 1) -> DataFrame:
@@ -167,20 +184,16 @@ def cv_evaluate(estimator_factory: Callable[[DataFrame], PipelineModel], folds:
                 fold_col: str = "fold", role_col: str = "role", k: int = 5) -> DataFrame:
     """Fit on each fold's train rows, score its test rows; one metrics row per fold.
 
-    The loop runs over the k folds only; every fit and transform is a distributed job.
+    The loop runs over the k folds only; every fit is a distributed job, and one aggregate
+    over all folds' predictions gives the metrics and the predictions' range.
     """
-    parts = []
+    preds = None
     for i in range(k):
         fold = folds.where(F.col(fold_col) == i)
         model = estimator_factory(fold.where(F.col(role_col) == "train"))
-        pred = model.transform(fold.where(F.col(role_col) == "test"))
-        m = regression_metrics(pred.select(F.col(label).alias("y"), F.col("prediction").alias("yhat")), [], clip=None)
-        parts.append(m.join(pred.agg(F.min("prediction").alias("pred_min"), F.max("prediction").alias("pred_max")))
-                     .withColumn(fold_col, F.lit(i)))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+        p = model.transform(fold.where(F.col(role_col) == "test")).select(F.lit(i).alias(fold_col), F.col(label).alias("y"), F.col("prediction").alias("yhat"))
+        preds = p if preds is None else preds.unionByName(p)
+    return regression_metrics(preds, [fold_col], clip=None, extremes=("pred_min", "pred_max"))
 
 
 class MacroF1Evaluator(Evaluator):
@@ -198,18 +211,36 @@ class MacroF1Evaluator(Evaluator):
         return True
 
 
-def stratified_folds(df: DataFrame, label: str, k: int = 5, seed: int = 42, fold_col: str = "fold") -> DataFrame:
-    """Fold = (position within class, in a seeded random order) mod k: every class spread over all folds."""
-    w = Window.partitionBy(label).orderBy(F.xxhash64(F.lit(seed), *[F.col(c) for c in df.columns]))
-    return df.withColumn(fold_col, (F.row_number().over(w) % k).cast("int"))
+def stratified_folds(df: DataFrame, label: str, k: int = 5, seed: int = 42, fold_col: str = "fold",
+                     id_cols: list[str] | None = None, buckets: int = 256) -> DataFrame:
+    """Fold = (position within class, in a seeded random order) mod k: every class spread over all folds.
+
+    Rows are numbered inside (class, hash bucket) and shifted by the rows of the class
+    in earlier buckets (a classes x buckets table), so a class that holds most rows is
+    dealt over many tasks.  The order hashes ``id_cols`` (default: every column that is
+    not a float), so it does not hang on the last bit of a feature.
+    """
+    ids = id_cols or [c for c, t in df.dtypes if t not in ("double", "float")]
+    h, b = fresh_name(df, "_h"), fresh_name(df, "_b")
+    x = df.withColumn(h, F.xxhash64(F.lit(seed), *[F.col(c) for c in ids])).withColumn(b, F.pmod(F.col(h), F.lit(buckets)))
+    counts = x.groupBy(label, b).agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.partitionBy(label).orderBy(b).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select(F.col(label).alias("_l"), F.col(b).alias("_ob"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    inside = F.row_number().over(Window.partitionBy(label, b).orderBy(h, *ids))
+    x = x.withColumn("_rn", inside).join(offsets, F.col(label).eqNullSafe(F.col("_l")) & (F.col(b) == F.col("_ob")))
+    return x.withColumn(fold_col, ((F.col("_rn") + F.col("_before")) % k).cast("int")).select(*df.columns, fold_col)
+
+
+def fresh_name(df: DataFrame, name: str) -> str:
+    while name in df.columns:
+        name += "_"
+    return name
 
 
 def grid_search(train: DataFrame, features: list[str], label: str, labels: list[int], grid: dict[str, list],
                 k: int = 5, weight_col: str | None = None, parallelism: int = 4):
     """Cross-validated search of a random-forest classifier on stratified folds, scored by macro F1."""
-    # parallel fits share the JVM heap: each gets its share of the histogram budget
-    rf = RandomForestClassifier(labelCol=label, seed=42,
-                                maxMemoryInMB=max(8, tree_buffer_mb(train.sparkSession) // max(parallelism, 1)))
+    rf = RandomForestClassifier(labelCol=label, seed=42, maxMemoryInMB=TREE_BUFFER_MB)
     if weight_col:
         rf = rf.setWeightCol(weight_col)
     pipe = _pipeline(features, rf)

@@ -15,8 +15,12 @@ from panelstack.operators.stats import histogram
 
 
 def regression_metrics(df: DataFrame, by: list[str], y: str = "y", yhat: str = "yhat",
-                       clip: tuple[float, float] | None = (0.0, 500.0), clip_truth: bool = False) -> DataFrame:
-    """MAE, MSE, RMSE, R2 = 1 - SSE/SST and MAPE = mean(|e/(y+1e-9)|)*100; predictions clipped first."""
+                       clip: tuple[float, float] | None = (0.0, 500.0), clip_truth: bool = False,
+                       extremes: tuple[str, str] | None = None) -> DataFrame:
+    """MAE, MSE, RMSE, R2 = 1 - SSE/SST and MAPE = mean(|e/(y+1e-9)|)*100; predictions clipped first.
+
+    ``extremes`` names two more columns for the least and greatest prediction.
+    """
     p = clip_col(yhat, *clip) if clip else F.col(yhat)
     t = clip_col(y, *clip) if (clip and clip_truth) else F.col(y)
     base = df.select(*by, t.alias("_y"), p.alias("_p")).where(F.col("_y").isNotNull() & F.col("_p").isNotNull())
@@ -24,7 +28,8 @@ def regression_metrics(df: DataFrame, by: list[str], y: str = "y", yhat: str = "
     g = base.groupBy(*by).agg(
         F.count(F.lit(1)).alias("n"), F.avg(F.abs(e)).alias("mae"), F.avg(e * e).alias("mse"),
         F.sum(e * e).alias("_sse"), (F.var_pop("_y") * F.count(F.lit(1))).alias("_sst"),
-        (F.avg(F.abs(e / (F.col("_y") + F.lit(1e-9)))) * 100).alias("mape"))
+        (F.avg(F.abs(e / (F.col("_y") + F.lit(1e-9)))) * 100).alias("mape"),
+        *([F.min("_p").alias(extremes[0]), F.max("_p").alias(extremes[1])] if extremes else []))
     return (g.withColumn("rmse", F.sqrt("mse"))
             .withColumn("r2", F.lit(1.0) - F.try_divide(F.col("_sse"), F.col("_sst")))
             .drop("_sse", "_sst"))
@@ -67,36 +72,25 @@ def balanced_weights(df: DataFrame, label: str, weight_col: str = "weight") -> D
     """w = n / (k * n_class), k = number of classes present.
 
     Class counts are a grouped aggregate (one row per class) that is joined back;
-    the class table is bounded by the label domain and broadcast after a size check.
+    AQE broadcasts it at its measured size.
     """
-    from panelstack.operators.joins import bounded_broadcast
-
     counts = df.where(F.col(label).isNotNull()).groupBy(label).agg(F.count(F.lit(1)).alias("_nc"))
     totals = counts.select(F.sum("_nc").over(Window.partitionBy()).alias("_n"),
                            F.count(F.lit(1)).over(Window.partitionBy()).alias("_k"), label, "_nc")
     w = totals.select(label, (F.col("_n") / (F.col("_k") * F.col("_nc"))).alias(weight_col))
-    return df.join(bounded_broadcast(w), on=label, how="left")
+    return df.join(w, on=label, how="left")
 
 
 def confusion_matrix(df: DataFrame, truth: str, pred: str, labels: list[int], by: list[str] | None = None) -> DataFrame:
-    """Counts for every (truth, predicted) label pair, zero-filled.
+    """Counts for every (truth, predicted) label pair, zero-filled, overall or for every group of ``by``.
 
-    One aggregate per truth label computes the counts for all predicted labels,
-    then an inline unpivot emits len(labels) rows; truth labels never seen are
-    added from the fixed label list.
+    One aggregate with a counter per pair (labels squared, a fixed small number), then an unpivot.
     """
     by = by or []
-    x = df.where(F.col(truth).isin(labels))
-    g = x.groupBy(*by, F.col(truth).alias("truth")).agg(
-        *[F.count_if(F.col(pred) == j).alias(f"_p{j}") for j in labels])
-    long = g.select(*by, "truth", F.inline(F.array(*[
-        F.struct(F.lit(j).alias("predicted"), F.col(f"_p{j}").alias("n")) for j in labels])))
-    if by:
-        return long
-    spark = df.sparkSession
-    grid = spark.createDataFrame([(i, j) for i in labels for j in labels], "truth int, predicted int")
-    return grid.join(long, on=["truth", "predicted"], how="left").select(
-        "truth", "predicted", F.coalesce(F.col("n"), F.lit(0)).cast("long").alias("n"))
+    cells = [(i, j) for i in labels for j in labels]
+    g = df.groupBy(*by).agg(*[F.count_if((F.col(truth) == i) & (F.col(pred) == j)).alias(f"_c{i}_{j}") for i, j in cells])
+    return g.select(*by, F.inline(F.array(*[
+        F.struct(F.lit(i).alias("truth"), F.lit(j).alias("predicted"), F.col(f"_c{i}_{j}").alias("n")) for i, j in cells])))
 
 
 def classification_metrics(df: DataFrame, truth: str, pred: str, labels: list[int]) -> DataFrame:
@@ -141,6 +135,7 @@ def fit_gap(metrics: DataFrame, by: list[str], split_col: str = "split") -> Data
 
 
 def coverage(df: DataFrame, keys: list[str], t: str, split_col: str = "split") -> DataFrame:
+    """Date range and rows per series and split; :func:`feature_count` gives the number of features."""
     return df.groupBy(*keys).agg(F.min(t).alias("first_date"), F.max(t).alias("last_date"),
                                  F.count(F.lit(1)).alias("rows"),
                                  F.count_if(F.col(split_col) == "train").alias("train_rows"),

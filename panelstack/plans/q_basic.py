@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from panelstack.functions.bands import aqi_band, aqi_band_code, aqi_class, clip
+from panelstack.functions.bands import BAND_EDGES, BAND_LABELS, aqi_band, aqi_band_code, aqi_class, clip
 from panelstack.functions.calendar import calendar_parts, cyclic_features, flag_features, local_stamp, minmax_normalise
 from panelstack.operators.clean import (
     between_dates, drop_incomplete, fallback_row, fill_median, fit_medians, null_audit, threshold_counts,
@@ -17,8 +17,9 @@ from panelstack.plans.panels import K, daily_events, p2_filled
 from panelstack.plans.registry import register
 from panelstack.plans.sqlparts import BANDS, DAILY, P1, P2, P2I, aqi_class as sql_class, band_code, band_label, clip as sql_clip, grid
 from panelstack.sources.fixtures import p1_hourly_panel, p2_daily_panel, region_daily_panel, table
-from panelstack.sources.readers import build_hourly_payload, explode_hourly, lenient_dates
-from panelstack.sources.writers import advice_dim, latest_json, upsert_rows
+from panelstack.sources.readers import build_hourly_payload, explode_hourly, lenient_dates, read_observations
+from panelstack.session import scratch_path
+from panelstack.sources.writers import ADVICE_SCHEMA, latest_json, read_advice, upsert_predictions, upsert_rows, write_panel
 
 # --- flagship: raw readings -> daily mean -> band -> share of series-days per band --------------
 
@@ -46,7 +47,10 @@ def q_daily_mean(spark, sf_dir):
 
 @register("scan_panel", f"WITH {P2} SELECT * FROM p2", doubles="value")
 def q_scan_panel(spark, sf_dir):
-    return p2_daily_panel(spark, sf_dir)
+    """The daily panel written as a table and read by the observation reader."""
+    path = scratch_path(spark, "observations")
+    write_panel(p2_daily_panel(spark, sf_dir), path)
+    return read_observations(spark, path, "series_id string, date date, value double")
 
 
 @register("dim_join", """
@@ -75,10 +79,13 @@ new AS (SELECT series_id, date AS prediction_date, CAST(date + 1 AS DATE) AS pre
         ma7 AS predicted, 'ma7' AS model FROM ma WHERE date > last_day - 60),
 u AS (SELECT * FROM log WHERE NOT EXISTS (SELECT 1 FROM new WHERE new.series_id = log.series_id
       AND new.prediction_date = log.prediction_date) UNION ALL SELECT * FROM new)"""
-UPSERT_SQL = f"WITH {LOG_CTES} SELECT * FROM u"
+UPSERT_SQL = f"""WITH {LOG_CTES} SELECT *, CAST(date_trunc('month', prediction_date) AS DATE) AS month,
+CASE WHEN model = 'ma7' THEN 7.0::DOUBLE END AS window_days FROM u"""
+LOG_KEYS = ["series_id", "prediction_date"]
 
 
-def prediction_log(spark, sf_dir):
+def _log_parts(spark, sf_dir):
+    """The naive forecasts of every day, and the 7-day means of the last 60."""
     p = trailing_mean(p2_filled(spark, sf_dir), K, "date", "value", windows=(7,))
     p = p.withColumn("_last", F.max("date").over(Window.partitionBy(*K)))
     cols = [F.col("series_id"), F.col("date").alias("prediction_date"),
@@ -86,16 +93,53 @@ def prediction_log(spark, sf_dir):
     log = p.select(*cols, F.col("value").alias("predicted"), F.lit("naive").alias("model"))
     new = p.where(F.col("date") > F.date_sub("_last", 60)).select(
         *cols, F.col("trailing_mean_7").alias("predicted"), F.lit("ma7").alias("model"))
-    return upsert_rows(log, new, ["series_id", "prediction_date"])
+    return log, new
+
+
+def prediction_log(spark, sf_dir):
+    log, new = _log_parts(spark, sf_dir)
+    return upsert_rows(log, new, LOG_KEYS)
+
+
+@register("upsert_log", UPSERT_SQL, doubles="actual_today predicted window_days")
+def q_upsert_log(spark, sf_dir):
+    """Two batches through the sink at a path; the second brings a new column and repeats each of its rows."""
+    path = scratch_path(spark, "prediction_log")
+    log, new = (x.withColumn("month", F.trunc("prediction_date", "month")) for x in _log_parts(spark, sf_dir))
+    upsert_predictions(spark, log, path, LOG_KEYS, partition_col="month")
+    new = new.withColumn("window_days", F.lit(7.0))
+    out = upsert_predictions(spark, new.unionByName(new), path, LOG_KEYS, partition_col="month")
+    return out.select("series_id", "prediction_date", "predicted_for_date", "actual_today", "predicted", "model", "month", "window_days")
+
+
+def band_advice(spark):
+    """An advice dimension from the band edges, written as JSON lines and read back as a user's table would be."""
+    path = scratch_path(spark, "advice")
+    rows = [(label, "*" * (i + 1), f"{label}: index from {BAND_EDGES[i]} to {BAND_EDGES[i + 1]}", [f"level {j}" for j in range(i + 1)]) for i, label in enumerate(BAND_LABELS)]
+    spark.createDataFrame(rows, ADVICE_SCHEMA).coalesce(1).write.json(path)
+    return read_advice(spark, path)
 
 
-register("upsert_log", UPSERT_SQL, doubles="actual_today predicted")(prediction_log)
+_ADVICE_SQL = " UNION ALL ".join(
+    f"SELECT '{label}' AS label, '{'*' * (i + 1)}' AS emoji, '{label}: index from {BAND_EDGES[i]} to {BAND_EDGES[i + 1]}' AS summary, {i + 1} AS n_actions"
+    for i, label in enumerate(BAND_LABELS))
 
 
-@register("latest_json")
+@register("latest_json", f"""
+WITH {LOG_CTES}, {BANDS}, a AS ({_ADVICE_SQL}),
+r AS (SELECT *, row_number() OVER (PARTITION BY series_id ORDER BY prediction_date DESC) AS n FROM u)
+SELECT r.series_id, r.prediction_date, r.predicted_for_date, r.actual_today, r.predicted, r.model, b.band AS aqi_category,
+a.emoji, a.summary, a.n_actions FROM r JOIN bands b ON b.band_code = {band_code('r.predicted')} JOIN a ON a.label = b.band WHERE r.n = 1""",
+          doubles="actual_today predicted", ints="n_actions")
 def q_latest_json(spark, sf_dir):
+    """The newest row of every series as JSON with its advice, parsed again."""
     log = prediction_log(spark, sf_dir).withColumn("aqi_category", aqi_band("predicted"))
-    return latest_json(log, advice_dim(spark), K)
+    made = latest_json(log, band_advice(spark), K)
+    schema = ("prediction_date date, predicted_for_date date, actual_today double, predicted double, model string, aqi_category string, "
+              "advice struct<emoji: string, summary: string, actions: array<string>>")
+    r = made.select("series_id", F.from_json("json", schema).alias("r"))
+    return r.select("series_id", "r.prediction_date", "r.predicted_for_date", "r.actual_today", "r.predicted", "r.model", "r.aqi_category",
+                    "r.advice.emoji", "r.advice.summary", F.size("r.advice.actions").alias("n_actions"))
 
 
 @register("lenient_dates", """

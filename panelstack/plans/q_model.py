@@ -5,7 +5,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from panelstack.functions.bands import aqi_band_code, aqi_class
+from panelstack.functions.bands import aqi_band, aqi_class
+from panelstack.functions.calendar import next_day
+from panelstack.operators.clean import align_features, fallback_row
+from panelstack.operators.combine import append_and_tail
 from panelstack.operators.explain import (
     background_means, contribution_summary, fit_linear_moments, linear_contributions,
 )
@@ -15,19 +18,25 @@ from panelstack.operators.forecast import (
 from panelstack.operators.learn import (
     blend_sweep, boosted_classifier, boosted_regressor, cv_evaluate, decision_tree_regressor, feature_scores,
     grid_search, models_agree, random_forest_classifier, random_forest_regressor, ridge, score_class,
-    score_regression,
+    score_regression, stratified_folds,
 )
 from panelstack.operators.metrics import balanced_weights, classification_metrics, regression_metrics
 from panelstack.operators.ranking import explain_top, top_features
-from panelstack.operators.windows import time_series_folds, time_split
+from panelstack.operators.windows import last_n, time_series_folds, time_split
 from panelstack.plans.features import (
     CYCLIC, FLAGS, LAGS, TARGET, TARGET_CLASS, WINDOWS, FUNCS, DIFFS, FeaturePipeline, scaled_names,
 )
 from panelstack.plans.panels import K, p2_filled
+from panelstack.plans.q_basic import band_advice
 from panelstack.plans.q_stats import BASE_SQL, P3_SPLIT, _metrics_sql, _p3_split, baseline_predictions
 from panelstack.plans.registry import register
-from panelstack.plans.sqlparts import P2I, W, aqi_class as sql_class, band_code, clip, grid, interp
-from panelstack.sources.fixtures import region_daily_panel
+from panelstack.plans.sqlparts import P2I, P3, W, aqi_class as sql_class, band_code, clip, grid, interp
+from panelstack.session import materialize, scratch_path
+from panelstack.sources.fixtures import p3_measure_panel, region_daily_panel
+from panelstack.sources.models import load_model, save_model
+from panelstack.sources.readers import build_hourly_payload, explode_hourly
+from panelstack.sources.writers import latest_json, upsert_predictions
+from panelstack.streaming.daily import daily_mean
 
 T = "date"
 MEASURES = ["n_orders"]
@@ -186,7 +195,7 @@ def q_boosted_classifier(spark, sf_dir):
 def q_grid_search(spark, sf_dir):
     train, _, pipe = _class_frames(spark, sf_dir)
     cv = grid_search(train, pipe.features, TARGET_CLASS, [0, 1, 2, 3],
-                     {"numTrees": [50, 100], "maxDepth": [5, 10]}, k=3, weight_col="weight")
+                     {"numTrees": [50, 100], "maxDepth": [5, 10]}, k=5, weight_col="weight")
     rows = [(str(pm), float(score)) for pm, score in
             zip([{p.name: v for p, v in m.items()} for m in cv.getEstimatorParamMaps()], cv.avgMetrics)]
     return spark.createDataFrame(rows, "params string, macro_f1 double")
@@ -201,18 +210,65 @@ def q_cv_evaluate(spark, sf_dir):
 
 @register("score_latest")
 def q_score_latest(spark, sf_dir):
-    """Score the newest day of every series with both models: value, band, class, confidence, agreement."""
+    """Score the newest day of every series with both models: value, band, class, confidence, agreement.
+
+    Features come from the last 60 days of every series, not from the whole history.
+    """
     train, _, pipe = _class_frames(spark, sf_dir)
     reg = ridge(train, pipe.features, TARGET)
-    clf = random_forest_classifier(train, pipe.features, TARGET_CLASS, weight_col="weight", trees=100)
-    today = pipe.transform(region_daily_panel(spark, sf_dir))
-    last = today.groupBy(*K).agg(F.max(T).alias(T))
-    today = today.join(last, on=K + [T], how="left_semi")
+    clf = random_forest_classifier(train, pipe.features, TARGET_CLASS, weight_col="weight")
+    today = _newest(pipe.transform(last_n(region_daily_panel(spark, sf_dir), K, T, 60).drop("recency_rank")))
     r = score_regression(reg, today, K + [T])
     c = score_class(clf, today, K + [T])
     return models_agree(r.join(c, on=K + [T]), "predicted", "predicted_class")
 
 
+def _newest(df):
+    return df.join(df.groupBy(*K).agg(F.max(T).alias(T)), on=K + [T], how="left_semi")
+
+
+@register("daily_run", f"""
+WITH {REGION}, r AS (SELECT *, max(date) OVER (PARTITION BY series_id) AS last_day FROM region_p)
+SELECT series_id, date AS prediction_date, CAST(date + 1 AS DATE) AS predicted_for_date, round(value, 2) AS actual_today, true AS in_range,
+true AS has_advice FROM r WHERE date = last_day""", doubles="actual_today")
+def q_daily_run(spark, sf_dir):
+    """The daily scoring run: hourly payload -> daily mean -> fallback -> 60-day tail -> features -> saved models,
+    loaded again -> agreement -> upsert into the log -> JSON with advice.  Returns what does not hang on a fit."""
+    home = scratch_path(spark, "daily_run")
+    panel = region_daily_panel(spark, sf_dir).withColumn("n_orders", F.col("n_orders").cast("double"))
+    last = panel.groupBy(*K).agg(F.max(T).alias("_last"))
+    marked = materialize(panel.join(last, K), "daily_panel")
+    history = marked.where(F.col(T) < F.col("_last")).drop("_last")
+
+    pipe = FeaturePipeline(K, T, "value", MEASURES)
+    train = pipe.fit_transform(history).where(F.col("split") == "train").persist()
+    save_model(spark, ridge(train, pipe.features, TARGET), f"{home}/reg", pipe.features, features=pipe)
+    classes = balanced_weights(train.where(F.col(TARGET_CLASS).isNotNull()), TARGET_CLASS)
+    save_model(spark, random_forest_classifier(classes, pipe.features, TARGET_CLASS, weight_col="weight", trees=50), f"{home}/clf", pipe.features)
+    train.unpersist()
+
+    reg, names, _ = load_model(spark, f"{home}/reg")
+    clf, _, _ = load_model(spark, f"{home}/clf")
+    pipe = FeaturePipeline.load(spark, f"{home}/reg/features")
+    # The feed of the newest day: its hourly readings as a payload; the second measure is missing and falls back.
+    readings = marked.where(F.col(T) == F.col("_last")).select(*K, F.col(T).cast("timestamp_ntz").alias("ts"), "value")
+    payload = build_hourly_payload(readings, K, "ts", ["value"])
+    fed = daily_mean(explode_hourly(payload, K, ["value"]), K, "ts", ["value"], day_col=T).withColumn("n_orders", F.lit(None).cast("double"))
+    today = fallback_row(fed, history, K, T, ["value", "n_orders"], {"value": 50.0, "n_orders": 1.0})
+    frame = _newest(pipe.transform(append_and_tail(history, today, K, T, 60)))
+    aligned = align_features(frame, names, keep=K + [T])
+    scored = models_agree(score_regression(reg, aligned, K + [T]).join(score_class(clf, aligned, K + [T]), on=K + [T]), "predicted", "predicted_class")
+    rows = (scored.join(today.select(*K, T, F.col("value").alias("actual_today")), on=K + [T])
+            .withColumnRenamed(T, "prediction_date").withColumn("predicted_for_date", next_day("prediction_date"))
+            .withColumn("aqi_category", aqi_band("predicted")))
+    log = upsert_predictions(spark, rows, f"{home}/log", K + ["prediction_date"])
+    made = latest_json(log, band_advice(spark), K)
+    r = made.select("series_id", F.from_json("json", "prediction_date date, predicted_for_date date, actual_today double, predicted double, "
+                                                     "advice struct<summary: string>").alias("r"))
+    return r.select("series_id", "r.prediction_date", "r.predicted_for_date", "r.actual_today", F.col("r.predicted").between(0.0, 500.0).alias("in_range"),
+                    F.col("r.advice.summary").isNotNull().alias("has_advice"))
+
+
 # --- deterministic-model twins with SQL oracles ------------------------------------------------------
 
 BLEND_WEIGHTS = [0.65, 0.7, 0.75, 0.8, 0.85, 0.9]
@@ -312,6 +368,126 @@ def q_explain_top(spark, sf_dir):
     return explain_top(_contributions(spark, sf_dir), ["series_id", T], "prediction", k=2)
 
 
+# --- learners with closed forms: the same fits, checked against SQL -------------------------------------
+
+RIDGE_ALPHA = 10.0
+
+
+def _ridge_ctes() -> str:
+    """Ridge on three features: the determinants of the covariances with alpha / n added on the diagonal."""
+    fs = CONTRIB_FEATURES
+    cov = [[f"s_{min(i, j)}_{max(i, j)}" + (f" + {RIDGE_ALPHA} / n" if i == j else "") for j in range(3)] for i in range(3)]
+    rhs = [f"s_{i}_y" for i in range(3)]
+    moments = [f"avg({c}) AS m_{i}" for i, c in enumerate(fs)] + ["avg(price_k) AS m_y", "count(*) AS n"]
+    moments += [f"covar_pop({fs[i]}, {fs[j]}) AS s_{i}_{j}" for i in range(3) for j in range(i, 3)]
+    moments += [f"covar_pop({fs[i]}, price_k) AS s_{i}_y" for i in range(3)]
+    det = _det3(cov)
+    betas = [f"{_det3([[rhs[r] if col == k else cov[r][col] for col in range(3)] for r in range(3)])} / {det} AS b_{k}" for k in range(3)]
+    return f"""{P3_SPLIT},
+sk AS (SELECT *, extendedprice / 1000.0 AS price_k FROM s),
+mo AS (SELECT {', '.join(moments)} FROM sk WHERE split = 'train'),
+co AS (SELECT mo.*, {', '.join(betas)} FROM mo),
+cf AS (SELECT co.*, m_y - b_0 * m_0 - b_1 * m_1 - b_2 * m_2 AS b0 FROM co)"""
+
+
+def _price_split(spark, sf_dir):
+    return _p3_split(spark, sf_dir).withColumn("price_k", F.col("extendedprice") / 1000.0)
+
+
+def _price_ridge(spark, sf_dir):
+    s = _price_split(spark, sf_dir)
+    return s, ridge(s.where(F.col("split") == "train"), CONTRIB_FEATURES, "price_k", alpha=RIDGE_ALPHA)
+
+
+@register("ridge_price", f"""
+WITH {_ridge_ctes()} SELECT series_id, date, split, least(greatest(b0 + {' + '.join(f'b_{i} * {c}' for i, c in enumerate(CONTRIB_FEATURES))}, 0.0), 500.0) AS predicted
+FROM s, cf""", doubles="predicted")
+def q_ridge_price(spark, sf_dir):
+    """Ridge fitted by Spark ML on three measures; every day's prediction."""
+    s, model = _price_ridge(spark, sf_dir)
+    return score_regression(model, s, K + [T, "split"], digits=None)
+
+
+@register("top_features_price", f"""
+WITH {_ridge_ctes()}, l AS ({' UNION ALL '.join(f"SELECT '{c}' AS feature, b_{i} AS score FROM cf" for i, c in enumerate(CONTRIB_FEATURES))})
+SELECT *, row_number() OVER (ORDER BY abs(score) DESC, feature) AS rank FROM l""", doubles="score", ints="rank")
+def q_top_features_price(spark, sf_dir):
+    _, model = _price_ridge(spark, sf_dir)
+    names, scores = zip(*feature_scores(model, CONTRIB_FEATURES))
+    return top_features(spark, list(names), list(scores), k=20)
+
+
+def _ridge_rows_sql() -> str:
+    return " UNION ALL ".join(
+        f"SELECT series_id, date, b0 + b_0 * {CONTRIB_FEATURES[0]} + b_1 * {CONTRIB_FEATURES[1]} + b_2 * {CONTRIB_FEATURES[2]} AS prediction, '{c}' AS feature, "
+        f"{c} AS value, b_{i} * ({c} - m_{i}) AS contribution, b0 + b_0 * m_0 + b_1 * m_1 + b_2 * m_2 AS base FROM s, cf" for i, c in enumerate(CONTRIB_FEATURES))
+
+
+@register("ridge_contrib", f"WITH {_ridge_ctes()}, x AS ({_ridge_rows_sql()}) SELECT * FROM x", doubles="prediction value contribution base")
+def q_ridge_contrib(spark, sf_dir):
+    """Exact contributions of the trained ridge model."""
+    s, model = _price_ridge(spark, sf_dir)
+    last = model.stages[-1]
+    means = background_means(s.where(F.col("split") == "train"), CONTRIB_FEATURES)
+    return linear_contributions(s, ["series_id", T], CONTRIB_FEATURES, float(last.intercept), [float(c) for c in last.coefficients], means)
+
+
+_FOLD_SQL = f"""{P3},
+b AS (SELECT *, row_number() OVER ({W}) - 1 AS rn, count(*) OVER (PARTITION BY series_id) AS n FROM p3),
+fo AS (SELECT b.*, t.fold, n - 5 * (n // 6) + t.fold * (n // 6) AS start_, n // 6 AS size_ FROM b, range(0, 5) t(fold)),
+ro AS (SELECT * FROM (SELECT *, CASE WHEN rn < start_ THEN 'train' WHEN rn < start_ + size_ THEN 'test' END AS role FROM fo) WHERE role IS NOT NULL)"""
+
+
+@register("cv_one_feature", f"""
+WITH {_FOLD_SQL},
+c AS (SELECT fold, regr_slope(extendedprice, quantity) AS k, regr_intercept(extendedprice, quantity) AS a FROM ro WHERE role = 'train' GROUP BY 1),
+p AS (SELECT ro.fold, extendedprice / 1000.0 AS y, (c.a + c.k * quantity) / 1000.0 AS yhat FROM ro JOIN c USING (fold) WHERE role = 'test')
+SELECT fold, count(*) AS n, avg(abs(y - yhat)) AS mae, avg((y - yhat) * (y - yhat)) AS mse, sqrt(avg((y - yhat) * (y - yhat))) AS rmse,
+1 - sum((y - yhat) * (y - yhat)) / (var_pop(y) * count(*)) AS r2, avg(abs((y - yhat) / (y + 1e-9))) * 100 AS mape,
+min(yhat) AS pred_min, max(yhat) AS pred_max FROM p GROUP BY 1""", doubles="mae mse rmse r2 mape pred_min pred_max", ints="fold")
+def q_cv_one_feature(spark, sf_dir):
+    """Expanding folds, least squares on one feature in each."""
+    panel = p3_measure_panel(spark, sf_dir).withColumn("price_k", F.col("extendedprice") / 1000.0)
+    folds = time_series_folds(panel, K, T, k=5)
+    return cv_evaluate(lambda tr: ridge(tr, ["quantity"], "price_k", alpha=0.0), folds, "price_k")
+
+
+@register("stump_learners", f"""
+WITH {P2I}, d AS (SELECT isodow(date) - 1 AS weekday, value FROM p2i),
+g AS (SELECT weekday, count(*) AS n, sum(value) AS s FROM d GROUP BY 1),
+c AS (SELECT t.c, sum(n) FILTER (WHERE weekday <= t.c) AS nl, sum(s) FILTER (WHERE weekday <= t.c) AS sl, sum(n) FILTER (WHERE weekday > t.c) AS nr,
+      sum(s) FILTER (WHERE weekday > t.c) AS sr FROM g, range(0, 6) t(c) GROUP BY 1),
+best AS (SELECT * FROM c ORDER BY sl * sl / nl + sr * sr / nr DESC, c LIMIT 1)
+SELECT m.model, g.weekday, CASE WHEN g.weekday <= best.c THEN sl / nl ELSE sr / nr END AS prediction
+FROM g, best, (VALUES ('tree'), ('forest'), ('boosted')) m(model)""", doubles="prediction", ints="weekday")
+def q_stump_learners(spark, sf_dir):
+    """One split on the weekday, as a tree, as a forest of one tree on all rows and as one round of boosting."""
+    d = p2_filled(spark, sf_dir).select((F.weekday(T)).cast("double").alias("weekday"), "value").persist()
+    one = ["weekday"]
+    fits = {
+        "tree": decision_tree_regressor(d, one, "value", max_depth=1, min_leaf=1),
+        "forest": random_forest_regressor(d, one, "value", trees=1, max_depth=1, min_leaf=1, features_per_split="all", bootstrap=False),
+        "boosted": boosted_regressor(d, one, "value", "xgb", maxIter=1, maxDepth=1, subsamplingRate=1.0, featureSubsetStrategy="all"),
+    }
+    days = d.select("weekday").distinct()
+    out = None
+    for name, m in fits.items():
+        p = m.transform(days).select(F.lit(name).alias("model"), F.col("weekday").cast("int").alias("weekday"), "prediction")
+        out = p if out is None else out.unionByName(p)
+    return out
+
+
+@register("fold_counts", f"""
+WITH {P2I}, c AS (SELECT series_id, date, {sql_class('value')} AS label FROM p2i WHERE {sql_class('value')} IS NOT NULL),
+n AS (SELECT label, count(*) AS n FROM c GROUP BY 1)
+SELECT label, f.fold, n // 5 + CASE WHEN (f.fold + 4) % 5 < n % 5 THEN 1 ELSE 0 END AS rows FROM n, range(0, 5) f(fold)
+WHERE n // 5 + CASE WHEN (f.fold + 4) % 5 < n % 5 THEN 1 ELSE 0 END > 0""", ints="label fold rows")
+def q_fold_counts(spark, sf_dir):
+    """Rows of each class in each stratified fold."""
+    c = p2_filled(spark, sf_dir).select("series_id", T, aqi_class("value").alias("label")).where(F.col("label").isNotNull())
+    return stratified_folds(c, "label", 5).groupBy("label", "fold").agg(F.count(F.lit(1)).alias("rows"))
+
+
 # --- per-series autoregressive baselines ----------------------------------------------------------------
 
 AR_CTES = f"""{P2I},

@@ -16,6 +16,8 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from panelstack.sources.readers import read_dimension
+
 P3_MEASURES = ["quantity", "extendedprice", "discount", "tax"]
 
 
@@ -23,6 +25,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
 
 
+def dimension(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return read_dimension(spark, os.path.join(sf_dir, f"{name}.parquet"), fmt="parquet")
+
+
 def hourly_readings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Raw readings: (series_id, ts, value) straight from ``events``."""
     ev = table(spark, sf_dir, "events")
@@ -56,18 +62,15 @@ def p3_measure_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
 def region_daily_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders keyed by customer region: the dimension join of the series key.
 
-    nation and region are small dimensions: they are broadcast after a row-count
-    check; customer grows with the scale factor, so it is left to the planner
-    (AQE turns it into a broadcast only when its measured size allows).
+    All joins are left to the planner: it broadcasts a dimension where its file or
+    measured size allows, and nothing is run while the plan is built.
     """
-    from panelstack.operators.joins import bounded_broadcast
-
     o = table(spark, sf_dir, "orders").select("o_custkey", "o_orderdate", "o_totalprice")
     c = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey")
-    n = table(spark, sf_dir, "nation").select("n_nationkey", "n_regionkey")
-    r = table(spark, sf_dir, "region").select("r_regionkey", "r_name")
-    dims = n.join(bounded_broadcast(r), n.n_regionkey == r.r_regionkey).select("n_nationkey", "r_name")
+    n = dimension(spark, sf_dir, "nation").select("n_nationkey", "n_regionkey")
+    r = dimension(spark, sf_dir, "region").select("r_regionkey", "r_name")
+    dims = n.join(r, n.n_regionkey == r.r_regionkey).select("n_nationkey", "r_name")
     j = (o.join(c, o.o_custkey == c.c_custkey)
-         .join(bounded_broadcast(dims), F.col("c_nationkey") == F.col("n_nationkey")))
+         .join(dims, F.col("c_nationkey") == F.col("n_nationkey")))
     return (j.groupBy(F.col("r_name").alias("series_id"), F.to_date("o_orderdate").alias("date"))
             .agg((F.avg("o_totalprice") / 1000.0).alias("value"), F.count(F.lit(1)).alias("n_orders")))

@@ -36,7 +36,7 @@ def canon(pdf: pd.DataFrame) -> tuple[int, list[str], str]:
     for rec in pdf.itertuples(index=False, name=None):
         vals = []
         for v in rec:
-            if v is None or (isinstance(v, float) and v != v) or v is pd.NaT:
+            if v is None or v is pd.NA or (isinstance(v, float) and v != v) or v is pd.NaT:
                 vals.append("NULL")
             elif isinstance(v, float):
                 vals.append(repr(round(v, 6)))
