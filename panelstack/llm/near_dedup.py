@@ -9,9 +9,9 @@ their registers a first estimate, and the exact probability Jaccard of the whole
 texts decides (0.8 and more).
 
 Texts with equal word sequences are one class from the start, so copies are never
-compared.  A bucket's texts are first linked to its least one; after components
-are formed, texts of a bucket that are still in different components are compared
-with each other, so no link between different texts of a bucket is lost, and no
+compared.  A bucket's texts are first compared with one of them, in a few rounds; after components
+are formed, the registers of a bucket's texts that are still in different components
+are compared with each other inside tasks, in blocks, so no link between different texts of a bucket is lost, and no
 group is expanded into all of its pairs.  What can be lost is what shares no band:
 at similarity 0.8 less than one pair in 100,000.
 
@@ -30,16 +30,20 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelstack.llm.common import WordHasher, mix64, shingles, slices, text_bytes
+from panelstack.llm.common import WordHasher, fresh, mix64, pack, shingles, slices, text_bytes, unpack
 from panelstack.llm.components import components
 from panelstack.session import materialize
 
 SHINGLE, SIMILARITY = 5, 0.8
-BANDS, ROWS = 40, 6
-REGISTERS = BANDS * ROWS
-#: A pair whose registers agree less is not looked at again: 5.8 standard errors below the similarity.
-ESTIMATE = SIMILARITY - 0.15
+#: Registers are dealt into bands first; the rest sharpens the estimate.
+BANDS, ROWS, REGISTERS = 40, 6, 720
+#: A pair whose registers agree less is not looked at again: 4.5 standard errors below the similarity.
+ESTIMATE = SIMILARITY - 4.5 * (SIMILARITY * (1 - SIMILARITY) / REGISTERS) ** 0.5
 BLOCK_BYTES = 4 << 20
+#: Members of a bucket that are compared at a time, and rows of a bucket from which it is split.
+MEMBERS, SALT_ROWS = 256, 16384
+#: Rounds in which a bucket's members are compared with one of them only.
+STAR_ROUNDS = 3
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -113,7 +117,7 @@ def signatures(batches):
                 k1.append(int.from_bytes(d[:8], "big", signed=True) if d else None)
                 k2.append(int.from_bytes(d[8:], "big", signed=True) if d else None)
             sig = prob_min_hash(np.concatenate(owner), np.concatenate(hashes), np.concatenate(counts), n)
-            grouped = sig.reshape(n, BANDS, ROWS)
+            grouped = sig[:, :BANDS * ROWS].reshape(n, BANDS, ROWS)
             band = np.broadcast_to(salt, (n, BANDS)).copy()
             for r in range(ROWS):
                 band = mix64(band * np.uint64(31) + grouped[:, :, r])
@@ -132,8 +136,7 @@ def agreeing(batches):
         if not b.num_rows:
             continue
         a, c = (np.frombuffer(b"".join(b.column(x).to_pylist()), np.uint8).reshape(-1, REGISTERS) for x in ("sig_a", "sig_b"))
-        share = ((a == c).mean(axis=1) - 1 / 256) / (1 - 1 / 256)
-        keep = pa.array(share >= ESTIMATE)
+        keep = pa.array(_share(a, c) >= ESTIMATE)
         yield pa.RecordBatch.from_arrays([b.column("a").filter(keep), b.column("b").filter(keep)], names=["a", "b"])
 
 
@@ -153,17 +156,87 @@ def similar(batches):
         yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.float64())], names=["a", "b", "similarity"])
 
 
+def compare(one: tuple, other: tuple, h: int, same: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of members of bucket ``h`` in different components whose registers agree.
+
+    A pair is reported by the least of its common buckets only.
+    """
+    (pos_a, root_a, sig_a, band_a), (pos_b, root_b, sig_b, band_b) = one, other
+    first, second = [], []
+    for i in range(len(pos_a)):
+        near = np.flatnonzero(root_b[i + 1:] != root_a[i]) + i + 1 if same else np.flatnonzero(root_b != root_a[i])
+        near = near[_share(sig_b[near], sig_a[i]) >= ESTIMATE]
+        if len(near):
+            common = np.where(band_b[near] == band_a[i], band_a[i], np.iinfo(np.int64).max).min(axis=1)
+            near = near[common == h]
+            first.append(np.minimum(pos_b[near], pos_a[i]))
+            second.append(np.maximum(pos_b[near], pos_a[i]))
+    return tuple(np.concatenate(x) if x else np.zeros(0, np.int64) for x in (first, second))
+
+
+def _members(held: list) -> tuple:
+    pos, roots, sigs, bands = zip(*held, strict=True)
+    return np.array(pos, np.int64), np.array(roots, np.int64), np.frombuffer(b"".join(sigs), np.uint8).reshape(-1, REGISTERS), np.array(bands, np.int64)
+
+
+def pack_blocks(batches):
+    """For mapInArrow over (h, salt, n, root, pos, sig, bands) sorted by them: one row for each block of a bucket's members.
+
+    Pairs inside a block are compared at once; the block itself goes on only where its bucket has others.
+    """
+    key, size, held, number = None, 0, [], 0
+
+    def block():
+        own = _members(held)
+        a, b = compare(own, own, key[0], True)
+        alone = size <= MEMBERS
+        if alone and not len(a):
+            return None
+        return pa.RecordBatch.from_arrays([pa.array([key[0]], pa.int64()), pa.array([key[1] << 32 | number], pa.int64()), pa.array([held[0][1]], pa.int64()), pa.array([held[-1][1]], pa.int64()),
+                                           pa.array([None if alone else pack(*own)], pa.binary()), pa.array([a], pa.list_(pa.int64())), pa.array([b], pa.list_(pa.int64()))],
+                                          names=["h", "block", "low", "high", "blob", "a", "b"])
+
+    for x in batches:
+        for h, salt, n, *member in zip(*(x.column(c).to_pylist() for c in ("h", "salt", "n", "pos", "root", "sig", "bands")), strict=True):
+            if (h, salt) != key or len(held) >= MEMBERS:
+                if held and (done := block()):
+                    yield done
+                number = number + 1 if (h, salt) == key else 0
+                key, size, held = (h, salt), n, []
+            held.append(member)
+    if held and (done := block()):
+        yield done
+
+
+def compare_blocks(batches):
+    """For mapInArrow over pairs of a bucket's blocks: arrays a, b of the pairs between them."""
+    for x in batches:
+        for h, one, other in zip(x.column("h").to_pylist(), x.column("blob_a").to_pylist(), x.column("blob_b").to_pylist(), strict=True):
+            a, b = compare(tuple(unpack(one)), tuple(unpack(other)), h, False)
+            if len(a):
+                yield pa.RecordBatch.from_arrays([pa.array([a], pa.list_(pa.int64())), pa.array([b], pa.list_(pa.int64()))], names=["a", "b"])
+
+
+def _share(sig: np.ndarray, other: np.ndarray) -> np.ndarray:
+    """Estimated similarity from the share of equal register bytes."""
+    return ((sig == other).mean(axis=1) - 1 / 256) / (1 - 1 / 256)
+
+
+def _torn(shared: DataFrame, roots: DataFrame) -> DataFrame:
+    """(h, pos, n, root) of the members of buckets that hold more than one component."""
+    placed = shared.join(roots.select(F.col("node").alias("pos"), "root"), "pos", "left").select("h", "pos", "n", F.coalesce("root", "pos").alias("root"))
+    torn = placed.groupBy("h").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high").select("h")
+    return placed.join(torn, "h", "left_semi")
+
+
 def _agree(pairs: DataFrame, sigs: DataFrame) -> DataFrame:
     """Candidate pairs (a, b) whose signatures agree."""
-    return (pairs.join(sigs.select(F.col("pos").alias("a"), F.col("sig").alias("sig_a")), "a")
-            .join(sigs.select(F.col("pos").alias("b"), F.col("sig").alias("sig_b")), "b")
+    return (pairs.join(sigs.select(F.col("pos").alias("a"), F.col("sig").alias("sig_a")), "a").join(sigs.select(F.col("pos").alias("b"), F.col("sig").alias("sig_b")), "b")
             .select("a", "b", "sig_a", "sig_b").mapInArrow(agreeing, "a long, b long"))
 
 
-def _verify(pairs: DataFrame, rows: DataFrame) -> DataFrame:
+def _verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """Pairs (a, b) with their exact similarity, where it is reached."""
-    wanted = pairs.select(F.col("a").alias("pos")).union(pairs.select("b")).distinct()
-    texts = materialize(rows.select("pos", "text").join(wanted, "pos", "left_semi"), "near-texts")
     return (pairs.join(texts.select(F.col("pos").alias("b"), F.col("text").alias("text_b")), "b")
             .join(texts.select(F.col("pos").alias("a"), F.col("text").alias("text_a")), "a")
             .select("a", "b", "text_a", "text_b").mapInArrow(similar, "a long, b long, similarity double"))
@@ -175,22 +248,38 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     signed = materialize(rows.mapInArrow(signatures, "pos long, doc_id long, k1 long, k2 long, bands array<long>, sig binary"), "near-signatures")
     # One row for each word sequence; its first position stands for all copies.
     copies = signed.filter("k1 IS NOT NULL").groupBy("k1", "k2").agg(F.min("pos").alias("rep"))
-    reps = materialize(signed.join(copies.select(F.col("rep").alias("pos")), "pos", "left_semi").select("pos", "bands", "sig"), "near-reps")
-    sigs = reps.select("pos", "sig")
-    members = reps.select("pos", F.explode("bands").alias("h"))
-    buckets = members.groupBy("h").agg(F.min("pos").alias("hub"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
+    sigs = signed.select("pos", "sig")
+    members = (signed.select("pos", "bands").join(copies.select(F.col("rep").alias("pos")), "pos", "left_semi")
+               .select("pos", F.explode("bands").alias("h")))
+    buckets = members.groupBy("h").agg(F.min("pos").alias("hub"), F.count(F.lit(1)).alias("n")).filter("n > 1")
     shared = materialize(members.join(buckets, "h"), "near-buckets")  # rows of buckets with company only
-    stars = shared.filter("pos <> hub").select(F.col("hub").alias("a"), F.col("pos").alias("b")).distinct()
-    links = materialize(_verify(materialize(_agree(stars, sigs), "near-stars"), rows), "near-links")
-    roots = materialize(components(links.select("a", "b")), "near-roots")
-    # Texts that share a bucket and are still apart are compared with each other.
-    placed = shared.join(roots.select(F.col("node").alias("pos"), "root"), "pos", "left").select("h", "pos", "hub", F.coalesce("root", "pos").alias("root"))
-    torn = placed.groupBy("h").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high").select("h")
-    apart = materialize(placed.join(torn, "h", "left_semi"), "near-apart")
-    other = apart.select("h", F.col("pos").alias("b"), F.col("root").alias("root_b"))
-    across = (apart.join(other, "h").filter("root < root_b AND pos <> hub AND b <> hub")
-              .select(F.least("pos", "b").alias("a"), F.greatest("pos", "b").alias("b")).distinct())
-    more = materialize(_verify(materialize(_agree(across, sigs), "near-across"), rows), "near-more")
+    # Whole texts of all documents with company, fetched once.  That side grows with the data: it is never broadcast.
+    texts = materialize(rows.select("pos", "text").join(shared.select("pos").distinct().hint("merge"), "pos", "left_semi"), "near-texts")
+    links = roots = None
+    for turn in range(STAR_ROUNDS):
+        # The first hub of a bucket is its least member; later ones are picked by a hash, for buckets that are still torn.
+        if roots is None:
+            stars = shared.filter("pos <> hub").select(F.col("hub").alias("a"), F.col("pos").alias("b"))
+        else:
+            torn = _torn(shared, roots)
+            hubs = torn.groupBy("h").agg(F.min(F.struct(F.xxhash64("pos", "h", F.lit(turn)).alias("x"), "pos", "root")).alias("hub"))
+            stars = (torn.join(hubs, "h").filter(F.col("root") != F.col("hub.root"))
+                     .select(F.least("pos", "hub.pos").alias("a"), F.greatest("pos", "hub.pos").alias("b")))
+        found = _verify(materialize(_agree(stars.distinct(), sigs), "near-stars"), texts).select("a", "b")
+        if roots is not None:
+            found = found.union(roots.select(F.col("node").alias("a"), F.col("root").alias("b")))
+        links = materialize(found, "near-links")
+        roots = materialize(components(links), "near-roots")
+    # Texts that share a bucket and are still apart are compared with each other, block by block.
+    apart = (_torn(shared, roots).join(signed.select("pos", "sig", "bands"), "pos")
+             .select("h", F.pmod(F.xxhash64("pos"), F.ceil(F.col("n") / SALT_ROWS)).alias("salt"), "n", "root", "pos", "sig", "bands"))
+    blocks = materialize(apart.repartition("h", "salt").sortWithinPartitions("h", "salt", "root", "pos")
+                         .mapInArrow(pack_blocks, "h long, block long, low long, high long, blob binary, a array<long>, b array<long>"), "near-blocks")
+    left, right = (blocks.filter("blob IS NOT NULL").select("h", *[F.col(c).alias(f"{c}_{x}") for c in ("block", "low", "high", "blob")]) for x in "ab")
+    between = (left.join(right, "h").filter("block_a < block_b AND NOT (low_a = high_a AND low_b = high_b AND low_a = low_b)")
+               .select("h", "blob_a", "blob_b").mapInArrow(compare_blocks, "a array<long>, b array<long>"))
+    across = blocks.select("a", "b").union(between).select(F.inline(F.arrays_zip("a", "b"))).distinct()
+    more = materialize(_verify(materialize(across, "near-across"), texts), "near-more")
     final = materialize(components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(more.select("a", "b"))), "near-final")
     lone = F.coalesce("rep", "pos")
     known = (signed.select("pos", "doc_id", "k1", "k2").join(copies, ["k1", "k2"], "left").select("pos", "doc_id", lone.alias("node"))
@@ -203,7 +292,7 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def drop_near(docs: DataFrame) -> DataFrame:
-    """The documents with one of each class, all columns as they were."""
-    numbered = docs.withColumn("__pos", F.monotonically_increasing_id())
-    lost = near_classes(docs).filter(~F.col("kept")).select(F.col("pos").alias("__pos"))
-    return numbered.join(lost, "__pos", "left_anti").drop("__pos")
+    """The documents with one of each class, all columns as they were.  ``docs`` is read several times and should be a stored table."""
+    pos = fresh(docs, "__pos")
+    lost = near_classes(docs).filter(~F.col("kept")).select(F.col("pos").alias(pos))
+    return docs.withColumn(pos, F.monotonically_increasing_id()).join(lost, pos, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
