@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelstack.llm.common import text_bytes
+from panelstack.llm.common import fresh, text_bytes
 
 #: Bytes of text that a task's trie holds before it spills.
 TRIE_BYTES = 64 << 20
@@ -214,7 +214,7 @@ def exact_owners(docs: DataFrame, keep: str = "max", id_col: str = "doc_id", tex
 
 
 def keep_owners(docs: DataFrame, keep: str = "max") -> DataFrame:
-    """The documents without their exact duplicates, all columns as they were."""
-    numbered = docs.withColumn("__pos", F.monotonically_increasing_id())
-    lost = exact_owners(docs, keep).filter(~F.col("kept")).select(F.col("pos").alias("__pos"))
-    return numbered.join(lost, "__pos", "left_anti").drop("__pos")
+    """The documents without their exact duplicates, all columns as they were.  ``docs`` is read twice and should be a stored table."""
+    pos = fresh(docs, "__pos")
+    lost = exact_owners(docs, keep).filter(~F.col("kept")).select(F.col("pos").alias(pos))
+    return docs.withColumn(pos, F.monotonically_increasing_id()).join(lost, pos, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])

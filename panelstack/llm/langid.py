@@ -41,8 +41,8 @@ class Net:
     langs: list[str]
     w: dict[str, np.ndarray]
 
-    def states(self, side: str, seq: np.ndarray) -> np.ndarray:
-        """States (time, lane, unit) of one direction; ``seq`` (time, lane) in reading order."""
+    def states(self, side: str, seq: np.ndarray, inside: np.ndarray | None = None) -> np.ndarray:
+        """States (time, lane, unit) of one direction; ``seq`` (time, lane) in reading order.  Outside a text the state stays zero."""
         table, u = self.w["x" + side], self.w["u" + side]
         k = u.shape[0]
         t_max, n = seq.shape
@@ -62,11 +62,13 @@ class Net:
             np.subtract(out[t - 1] if t else 0, c, out=h)
             h *= zr[:, :k]
             h += c  # z * (before - c) + c
+            if inside is not None:
+                h *= inside[t][:, None]
         return out
 
-    def probabilities(self, seq: np.ndarray) -> np.ndarray:
+    def probabilities(self, seq: np.ndarray, inside: np.ndarray | None = None) -> np.ndarray:
         """Probabilities (time, lane, language) of every position of windows (time, lane)."""
-        fwd, bwd = self.states("f", seq), self.states("b", seq[::-1])[::-1]
+        fwd, bwd = self.states("f", seq), self.states("b", seq[::-1], None if inside is None else inside[::-1])[::-1]
         k = fwd.shape[2]
         wo = self.w["o"]
         logits = fwd.reshape(-1, k) @ wo[:k] + np.ascontiguousarray(bwd).reshape(-1, k) @ wo[k:] + self.w["c"]
@@ -85,13 +87,18 @@ class Net:
         at = (np.cumsum(sizes) - sizes)[doc] + (np.arange(len(doc)) - first[doc]) * WINDOW
         left = np.minimum(WINDOW, (np.cumsum(sizes))[doc] - at)
         sums = np.zeros((len(texts), len(self.langs)))
-        for order in np.array_split(np.arange(len(doc)), max(1, -(-len(doc) // LANES))):
+        # Whole windows run together; the others run by length, so that little is computed outside of texts.
+        whole, rest = np.flatnonzero(left == WINDOW), np.flatnonzero(left < WINDOW)
+        rest = rest[np.argsort(left[rest], kind="stable")]
+        for order in (x[i:i + LANES] for x in (whole, rest) for i in range(0, len(x), LANES)):
             t_max = int(left[order].max())
             index = at[order][None, :] + np.arange(t_max)[:, None]
             inside = np.arange(t_max)[:, None] < left[order][None, :]
             seq = np.where(inside, raw[np.minimum(index, len(raw) - 1)], 0)
-            p = self.probabilities(seq)
-            p *= inside[:, :, None]
+            full = inside.all()
+            p = self.probabilities(seq, None if full else inside)
+            if not full:
+                p *= inside[:, :, None]
             lane_sums = p.sum(axis=0)
             for j in range(sums.shape[1]):
                 sums[:, j] += np.bincount(doc[order], weights=lane_sums[:, j], minlength=len(texts))
@@ -175,7 +182,7 @@ def train(rows: list[tuple[bytes, str]], units: int = UNITS, steps: int = STEPS,
             text = by[y][rng.integers(len(by[y]))]
             at = rng.integers(max(1, len(text) - TRAIN_WINDOW + 1))
             piece = np.frombuffer(text[at:at + TRAIN_WINDOW], np.uint8)
-            seq[:len(piece), i] = piece
+            seq[:, i] = np.resize(piece, TRAIN_WINDOW)  # a short text is repeated
         _, grads = loss_and_grads(net, seq, labels)
         norm = np.sqrt(sum(float((g * g).sum()) for g in grads.values()))
         rate = 0.02 * (1 - 0.9 * step / steps)

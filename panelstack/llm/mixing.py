@@ -9,8 +9,8 @@ rates r >= 0 then solve
 with w_d the document's share of all tokens, p_d its posterior and t the targets:
 the expected share of every domain meets its target where that is possible.  In
 the metric of the weights the gradient of a document is p_d M^-1 (s - t) and the
-largest eigenvalue is 1, so projected gradient steps of length 1 from r = 1
-converge.  A step is one distributed sum over a narrow written table; the driver
+largest eigenvalue is 1, so accelerated projected gradient steps of length 1
+from r = 1 converge.  A step is one distributed sum over a narrow written table; the driver
 keeps the steps' K-vectors, and a document's rate is replayed from them.  A
 document is repeated floor(r + u) times, u a hash of its id in [0, 1).
 
@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelstack.llm.common import slices, text_bytes
+from panelstack.llm.common import fresh, slices, text_bytes
 from panelstack.session import materialize
 
 #: Labelled documents of each domain that the fit reads at most (in expectation); hashed trigrams; characters of a long text.
@@ -67,6 +67,8 @@ class Domains:
 
     def posteriors(self, texts: list[bytes]) -> np.ndarray:
         out = np.empty((len(texts), len(self.names)))
+        if not self.names:
+            return out
         for begin, end in slices([len(t) + BUCKETS for t in texts], 2 << 20):
             z = trigram_features([t.lower() for t in texts[begin:end]]) @ self.weights + self.bias
             z = np.exp(z - z.max(axis=1, keepdims=True))
@@ -120,12 +122,13 @@ def training_rows(docs: DataFrame, labels: DataFrame, domain: str = "quality", p
     return [((r["text"] or "").encode(), r["domain"], 1 / rate[r["domain"]]) for r in found]
 
 
-def replay(p: np.ndarray, steps: list[list[float]]) -> np.ndarray:
-    """Rates of posteriors after projected gradient steps."""
-    r = np.ones(len(p))
-    for c in steps:
-        r = np.maximum(0, r + p @ np.array(c))
-    return r
+def replay(p: np.ndarray, steps: list[list[float]]) -> tuple[np.ndarray, np.ndarray]:
+    """Rates of posteriors after accelerated projected gradient steps, and the point where the next gradient is taken."""
+    r = y = np.ones(len(p))
+    for k, c in enumerate(steps):
+        before, r = r, np.maximum(0, y + p @ np.array(c))
+        y = r + k / (k + 3) * (r - before)
+    return r, y
 
 
 @dataclass
@@ -158,26 +161,28 @@ def fit_rates(members: DataFrame, domains: Domains, targets: dict, total: float
     k = len(domains.names)
 
     def sums(steps):
-        """Sum of w p r, then (first call) of w p p' and tokens, from one row a task."""
+        """Sums of w p r, w p y, w p p' and w, from one row a task."""
         def run(batches):
-            s, m, n = np.zeros(k), np.zeros((k, k)), 0.0
+            s, s_next, m, n = np.zeros(k), np.zeros(k), np.zeros((k, k)), 0.0
             for b in batches:
                 if b.num_rows:
                     w = b.column("tokens").to_numpy(zero_copy_only=False).astype(float)
                     p = np.stack(b.column("posterior").to_numpy(zero_copy_only=False))
-                    s += p.T @ (w * replay(p, steps))
+                    r, y = replay(p, steps)
+                    s += p.T @ (w * r)
+                    s_next += p.T @ (w * y)
                     m += (p * w[:, None]).T @ p
                     n += w.sum()
-            yield pa.RecordBatch.from_arrays([pa.array([x], pa.float64()) for x in (*s, *m.ravel(), n)], names=names)
+            yield pa.RecordBatch.from_arrays([pa.array([x], pa.float64()) for x in (*s, *s_next, *m.ravel(), n)], names=names)
 
-        names = [f"c{i}" for i in range(k + k * k + 1)]
+        names = [f"c{i}" for i in range(2 * k + k * k + 1)]
         one = members.select("tokens", "posterior").mapInArrow(run, ", ".join(f"{c} double" for c in names)).agg(*[F.sum(c).alias(c) for c in names]).first()
         flat = np.array([x or 0.0 for x in one])
-        return flat[:k], flat[k:-1].reshape(k, k), flat[-1]
+        return flat[:k], flat[k:2 * k], flat[2 * k:-1].reshape(k, k), flat[-1]
 
     if not k:
         return Mixture(domains, [], {}, {}, {})
-    s, m, tokens = sums([])
+    s, _, m, tokens = sums([])
     share = np.array([float(targets.get(n, 0.0)) for n in domains.names])
     if tokens <= 0 or share.sum() <= 0:
         return Mixture(domains, [], {}, {}, {})
@@ -192,14 +197,13 @@ def fit_rates(members: DataFrame, domains: Domains, targets: dict, total: float
         scale = 1.0 if total is None else float(total) / tokens
     goal = share * scale
     steps: list[list[float]] = []
-    now = start
+    now = ahead = start
     for _ in range(STEPS):
-        gap = goal - now
-        if np.abs(gap).max() <= TOLERANCE:
+        if np.abs(goal - now).max() <= TOLERANCE:
             break
-        steps.append((inverse @ gap).tolist())
-        s, _, _ = sums(steps)
-        before, now = now, s / tokens
+        steps.append((inverse @ (goal - ahead)).tolist())
+        s, s_next, _, _ = sums(steps)
+        before, now, ahead = now, s / tokens, s_next / tokens
         if np.abs(now - before).max() <= STALL:  # the targets are out of reach: the least squares solution stands
             break
     as_map = lambda v: dict(zip(domains.names, (v * tokens).tolist(), strict=True))
@@ -218,7 +222,7 @@ def rates(members: DataFrame, mixture: Mixture) -> DataFrame:
     def run(batches):
         for b in batches:
             p = np.stack(b.column("posterior").to_numpy(zero_copy_only=False)) if b.num_rows and steps else np.zeros((b.num_rows, 1))
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(replay(p, steps), pa.float64())], names=[*b.schema.names, "rate"])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(replay(p, steps)[0], pa.float64())], names=[*b.schema.names, "rate"])
 
     kinds = "pos long, doc_id long, tokens long, posterior array<double>, rate double"
     return members.mapInArrow(run, kinds).withColumn("copies", _copies(F.col("rate"), "doc_id", "pos"))
@@ -227,14 +231,14 @@ def rates(members: DataFrame, mixture: Mixture) -> DataFrame:
 def apply(docs: DataFrame, mixture: Mixture) -> DataFrame:
     """The documents repeated (or left out) by their rates, all columns as they were; no shuffle."""
     steps, domains = mixture.steps, mixture.domains
+    pos, rate, copy = (fresh(docs, c) for c in ("__pos", "__rate", "__copy"))
 
     def run(batches):
         for b in batches:
-            r = replay(domains.posteriors(text_bytes(b.column("__text"))), steps) if steps else np.ones(b.num_rows)
-            keep = [(n, c) for n, c in zip(b.schema.names, b.columns, strict=True) if n != "__text"]
-            yield pa.RecordBatch.from_arrays([*(c for _, c in keep), pa.array(r, pa.float64())], names=[*(n for n, _ in keep), "__rate"])
-
-    rows = docs.withColumn("__pos", F.monotonically_increasing_id()).withColumn("__text", F.col("text").cast("string"))
-    kinds = ", ".join(f"`{c}` {t}" for c, t in rows.dtypes if c != "__text") + ", __rate double"
-    return (rows.mapInArrow(run, kinds).withColumn("__copy", F.explode(F.array_repeat(F.lit(1), _copies(F.col("__rate"), "doc_id", "__pos"))))
-            .select(*docs.columns))
+            r = replay(domains.posteriors(text_bytes(b.column("text"))), steps)[0] if steps else np.ones(b.num_rows)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(r, pa.float64())], names=[*b.schema.names, rate])
+
+    rows = docs.withColumn(pos, F.monotonically_increasing_id())
+    kinds = ", ".join(f"`{c}` {t}" for c, t in rows.dtypes) + f", {rate} double"
+    return (rows.mapInArrow(run, kinds).withColumn(copy, F.explode(F.array_repeat(F.lit(1), _copies(F.col(rate), "doc_id", pos))))
+            .select(*[F.col(f"`{c}`") for c in docs.columns]))
