@@ -30,12 +30,11 @@ from __future__ import annotations
 import heapq
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelstack.llm.common import WordHasher, mix64, pack, slices, text_bytes, unpack
+from panelstack.llm.common import WordHasher, lean, mix64, pack, slices, text_bytes, unpack
 from panelstack.session import materialize
 
 #: Context lengths in bytes and the log2 size of their tables.
@@ -103,7 +102,13 @@ class Coder:
 
     def __init__(self) -> None:
         self.nodes, self.bits, self.lengths = code_tree()
-        self.tables = lookup_tables()
+        # By depth, so that a step reads one row.
+        self.nodes, self.bits = np.ascontiguousarray(self.nodes.T), np.ascontiguousarray(self.bits.T)
+        self.node_hash = self.nodes.astype(np.uint64) * np.uint64(0xA24BAED4963EE407)
+        look = lookup_tables()
+        self.odds, self.level = look["odds"], look["level"]
+        # The bit shifts the index: first half for a 0, second for a 1, each without that occurrence.
+        self.own_odds, self.own_level = np.r_[look["odds0"], look["odds1"]], np.r_[look["level0"], look["level1"]]
 
     @staticmethod
     def lay_out(texts: list[bytes]) -> tuple[bytes, np.ndarray]:
@@ -114,14 +119,10 @@ class Coder:
         return (b"\0" * SPAN + gap.join(texts) + b"\0").lower(), begins
 
     @staticmethod
-    def windows(laid: np.ndarray, at: np.ndarray | slice) -> np.ndarray:
-        """The SPAN bytes before and the byte at each position, as one number."""
+    def windows(laid: bytes, at: np.ndarray) -> np.ndarray:
+        """The SPAN bytes before and the byte at each position, as one number (an eight-byte view at every offset)."""
         n = len(laid) - SPAN
-        key = np.zeros(n, np.uint64)
-        for j in range(SPAN + 1):
-            key <<= np.uint64(8)
-            key |= laid[j:j + n]
-        return key[at]
+        return np.ndarray(n, ">u8", laid + b"\0", strides=(1,))[at].astype(np.uint64) >> np.uint64(8)
 
     def texts_windows(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Windows of all bytes and end marks of the texts, and how many each text has."""
@@ -131,7 +132,7 @@ class Coder:
         ends = np.cumsum(sizes + SPAN)[:-1]  # behind each text but the last: SPAN zeros that are nobody's
         for j in range(1, SPAN + 1):
             keep[ends - j] = False
-        return self.windows(np.frombuffer(laid, np.uint8), keep), sizes
+        return self.windows(laid, keep), sizes
 
     @staticmethod
     def contexts(keys: np.ndarray) -> list[np.ndarray]:
@@ -139,44 +140,65 @@ class Coder:
         return [mix64((past & np.uint64((1 << 8 * o) - 1)) + np.uint64(o << 56)) for o in ORDERS]
 
     @staticmethod
-    def slots(context: np.ndarray, node: np.ndarray, bits: int) -> np.ndarray:
-        h = (context ^ (node.astype(np.uint64) * np.uint64(0xA24BAED4963EE407))) * np.uint64(0x9FB21C651E98DF25)
-        return (h >> np.uint64(64 - bits)).astype(np.int64)
+    def slots(context: np.ndarray, node_hash: np.ndarray, bits: int) -> np.ndarray:
+        h = context ^ node_hash
+        h *= np.uint64(0x9FB21C651E98DF25)
+        h >>= np.uint64(64 - bits)
+        return h.view(np.int64)
+
+    def by_length(self, keys: np.ndarray) -> np.ndarray:
+        """Order of the windows by falling code length: the windows of a depth are then the first ones."""
+        return np.argsort(-self.lengths[(keys & np.uint64(255)).astype(np.int64)].astype(np.int8), kind="stable")
 
     def steps(self, keys: np.ndarray):
-        """For each depth: which windows go on, their nodes and bits."""
+        """For each depth of windows in that order: how many go on, their nodes, node hashes and bits."""
         byte = (keys & np.uint64(255)).astype(np.int64)
-        length = self.lengths[byte]
-        for t in range(self.nodes.shape[1]):
-            on = np.flatnonzero(length > t)
-            if not len(on):
+        left = np.bincount(self.lengths[byte], minlength=len(self.nodes) + 1)
+        for t in range(len(self.nodes)):
+            n = int(left[t + 1:].sum())
+            if not n:
                 return
-            yield t, on, self.nodes[byte[on], t], self.bits[byte[on], t]
+            yield t, n, self.nodes[t].take(byte[:n]), self.node_hash[t].take(byte[:n]), self.bits[t].take(byte[:n])
 
     def count(self, keys: np.ndarray, weights: np.ndarray, counts: list[np.ndarray]) -> None:
-        contexts = self.contexts(keys)
-        for _, on, node, bit in self.steps(keys):
-            for o, c in enumerate(contexts):
-                np.add.at(counts[o], self.slots(c[on], node, SLOT_BITS[o]) * 2 + bit, weights[on])
-
-    def inputs(self, model_tables, contexts, on, node, t, bit=None) -> tuple[np.ndarray, np.ndarray]:
+        for begin in range(0, len(keys), 1 << 16):
+            part, own = keys[begin:begin + (1 << 16)], weights[begin:begin + (1 << 16)]
+            order = self.by_length(part)
+            part, own = part[order], own[order]
+            contexts = self.contexts(part)
+            for _, n, _, node_hash, bit in self.steps(part):
+                for o, c in enumerate(contexts):
+                    at = self.slots(c[:n], node_hash, SLOT_BITS[o])
+                    at <<= 1
+                    at += bit
+                    np.add.at(counts[o], at, own[:n])
+
+    def inputs(self, model_tables, contexts, n, node_hash, t, bit=None) -> tuple[np.ndarray, np.ndarray]:
         """Log-odds of every predictor (and a constant) and the gate, with or without a bit's own occurrence."""
-        x = np.empty((len(ORDERS) + 1, len(on)), np.float32)
+        x = np.empty((len(ORDERS) + 1, n), np.float32)
         x[-1] = 0.3
-        gate = np.full(len(on), min(t, DEPTHS - 1), np.int64)
-        look = self.tables
+        gate = np.full(n, min(t, DEPTHS - 1), np.int64)
+        odds, level = (self.odds, self.level) if bit is None else (self.own_odds, self.own_level)
+        shift = None if bit is None else bit.astype(np.int64) << 16
         for o, c in enumerate(contexts):
-            pair = model_tables[o][self.slots(c[on], node, SLOT_BITS[o])]
-            if bit is None:
-                x[o] = look["odds"][pair]
-            else:
-                x[o] = np.where(bit, look["odds1"][pair], look["odds0"][pair])
+            pair = model_tables[o].take(self.slots(c[:n], node_hash, SLOT_BITS[o])).astype(np.int64)
+            if shift is not None:
+                pair += shift
+            odds.take(pair, out=x[o], mode="clip")
             if o >= len(ORDERS) - 3:
                 gate *= LEVELS
-                gate += look["level"][pair] if bit is None else np.where(bit, look["level1"][pair], look["level0"][pair])
+                gate += level.take(pair)
         return x, gate
 
 
+def mixed(weights: np.ndarray, x: np.ndarray, gate: np.ndarray) -> np.ndarray:
+    """Gated sum of the inputs; ``weights`` (input, set)."""
+    z = weights[0].take(gate) * x[0]
+    for o in range(1, len(x)):
+        z += weights[o].take(gate) * x[o]
+    return z
+
+
 def squash(z: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-z))
 
@@ -184,13 +206,17 @@ def squash(z: np.ndarray) -> np.ndarray:
 def refine_at(z: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Cell (of the flat map) left of each log-odds, and the share of the one right of it."""
     place = (np.clip(z, -7.99, 7.99) + 8) * ((CELLS - 1) / 16)
-    cell = place.astype(np.int64)
-    return node * CELLS + cell, place - cell
+    cell = place.astype(np.int32)
+    return node * CELLS + cell, place - cell.astype(z.dtype)
 
 
 def refined(z, node, table) -> np.ndarray:
     cell, part = refine_at(z, node)
-    p = 0.5 * squash(np.clip(z, -12, 12)) + 0.5 * ((1 - part) * table[cell] + part * table[cell + 1])
+    low = table.take(cell)
+    p = squash(np.clip(z, -12, 12))
+    p += low
+    p += part * (table.take(cell + 1) - low)
+    p *= 0.5
     return np.clip(p, 1e-6, 1 - 1e-6)
 
 
@@ -198,27 +224,29 @@ class Mixer:
     """Gated weights and refining map, learnt online."""
 
     def __init__(self) -> None:
-        self.w = np.full((SETS, len(ORDERS) + 1), 0.3)
-        self.curve = np.full((SETS, len(ORDERS) + 1), 1.0)
+        self.w = np.full((len(ORDERS) + 1, SETS), 0.3)
+        self.curve = np.full((len(ORDERS) + 1, SETS), 1.0)
         self.hits = np.zeros((2, 255 * CELLS))
         self.mass, self.cost = 0.0, 0.0
 
     def learn(self, coder: Coder, tables, keys: np.ndarray, weights: np.ndarray, rate: float = 0.15) -> None:
         for begin in range(0, len(keys), BATCH):
             part, own = keys[begin:begin + BATCH], weights[begin:begin + BATCH].astype(np.float64)
+            order = coder.by_length(part)
+            part, own = part[order], own[order]
             contexts = coder.contexts(part)
-            for t, on, node, bit in coder.steps(part):
-                x, gate = coder.inputs(tables, contexts, on, node, t, bit)
-                z = sum(self.w[gate, o] * x[o] for o in range(len(x)))
+            for t, n, node, node_hash, bit in coder.steps(part):
+                x, gate = coder.inputs(tables, contexts, n, node_hash, t, bit)
+                z = mixed(self.w, x, gate)
                 p = squash(np.clip(z, -12, 12))
-                c = own[on]
+                c = own[:n]
                 err, bend = (bit - p) * c, p * (1 - p) * c
                 self.cost -= float((c * np.log2(np.where(bit, p, 1 - p))).sum())
                 self.mass += float(c.sum())
                 for o in range(len(x)):
                     grad = np.bincount(gate, weights=err * x[o], minlength=SETS)
-                    self.curve[:, o] = 0.995 * self.curve[:, o] + np.bincount(gate, weights=bend * x[o] * x[o], minlength=SETS)
-                    self.w[:, o] += rate * grad / self.curve[:, o]
+                    self.curve[o] = 0.995 * self.curve[o] + np.bincount(gate, weights=bend * x[o] * x[o], minlength=SETS)
+                    self.w[o] += rate * grad / self.curve[o]
                 cell, share = refine_at(z, node)
                 for move, s in ((0, 1 - share), (1, share)):
                     self.hits[0] += np.bincount(cell + move, weights=s * c * bit, minlength=self.hits.shape[1])[:self.hits.shape[1]]
@@ -230,26 +258,68 @@ def refine_table(hits: np.ndarray) -> np.ndarray:
     return ((hits[0] + 20 * start) / (hits[1] + 20)).astype(np.float32)
 
 
+class Finder:
+    """Places of numbers in a sorted array of distinct ones that holds them all: a direct table by hash, checked, with binary search for the rest."""
+
+    BITS = 22
+
+    def __init__(self) -> None:
+        self.table = np.zeros(1 << self.BITS, np.int32)
+
+    def _slot(self, keys: np.ndarray) -> np.ndarray:
+        h = keys * np.uint64(0x9E3779B97F4A7C15)
+        h >>= np.uint64(64 - self.BITS)
+        return h.view(np.int64)
+
+    def __call__(self, keys: np.ndarray, distinct: np.ndarray) -> np.ndarray:
+        if not len(keys):
+            return np.zeros(0, np.int64)
+        self.table[self._slot(distinct)] = np.arange(len(distinct), dtype=np.int32)
+        at = self.table.take(self._slot(keys))
+        missed = np.flatnonzero(distinct.take(at, mode="clip") != keys)  # another key has the slot, or one of an earlier call
+        at[missed] = np.searchsorted(distinct, keys[missed])
+        return at
+
+
+def distinct_sorted(keys: np.ndarray) -> np.ndarray:
+    keys = np.sort(keys)
+    return keys[np.r_[True, keys[1:] != keys[:-1]]] if len(keys) else keys
+
+
 def words_of(texts: list[bytes], hasher: WordHasher) -> tuple[np.ndarray, np.ndarray]:
-    """Owner and hash of every word of the texts."""
+    """Owner and 63-bit hash (the last bit is 0) of every word of the texts."""
     starts, hashes = hasher(b"\n".join(texts).lower())
-    begins = np.cumsum([0, *[len(t) + 1 for t in texts[:-1]]])
-    return np.searchsorted(begins, starts, side="right") - 1, hashes
+    ends = np.cumsum([len(t) + 1 for t in texts])
+    per_text = np.diff(np.searchsorted(starts, ends), prepend=0)  # starts are sorted
+    return np.repeat(np.arange(len(texts)), per_text), hashes & ~np.uint64(1)
 
 
 def distinct_windows(coder: Coder, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    found = [np.unique(coder.texts_windows(texts[a:b])[0], return_counts=True) for a, b in slices([len(t) + 8 for t in texts], SLICE_BYTES)]
-    if not found:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    keys, counts = np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])
-    if len(found) > 1:
-        order = np.argsort(keys, kind="stable")
-        keys, counts = keys[order], counts[order]
-        first = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
-        keys, counts = keys[first], np.add.reduceat(counts, first)
+    """The texts' distinct windows, sorted, and how often each stands in them."""
+    keys, counts = np.zeros(0, np.uint64), np.zeros(0, np.uint32)
+    for a, b in slices([len(t) + 8 for t in texts], SLICE_BYTES):
+        new, n = np.unique(coder.texts_windows(texts[a:b])[0], return_counts=True)
+        at = np.searchsorted(keys, new)
+        old = keys[np.minimum(at, len(keys) - 1)] == new if len(keys) else np.zeros(len(new), bool)
+        counts[at[old]] += n[old].astype(np.uint32)
+        keys, counts = np.insert(keys, at[~old], new[~old]), np.insert(counts, at[~old], n[~old].astype(np.uint32))
     return keys, counts
 
 
+def pack_counts(part: np.ndarray) -> bytes:
+    """Counts as a bit map of the used slots, one byte for each, and the large ones."""
+    used = part[part > 0]
+    return pack(np.packbits(part > 0), np.minimum(used, 255).astype(np.uint8), used[used >= 255])
+
+
+def unpack_counts(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Used slots and their counts."""
+    bits, small, large = unpack(blob)
+    n = small.astype(np.int64)
+    n[small == 255] = large
+    return np.flatnonzero(np.unpackbits(bits)), n
+
+
 def _batch(kind, rows):
     """Rows (block, bucket, n, blob) of one kind."""
     block, bucket, n, blob = zip(*rows, strict=True)
@@ -267,11 +337,14 @@ def gather(bucket_bits: int):
     def run(batches):
         coder, hasher = Coder(), WordHasher()
         counts = [np.zeros(2 << b, np.uint32) for b in SLOT_BITS]
-        block, words, train_words, train_docs = None, [], [], 0
+        block, words, train_docs = None, [], 0
 
         def close():
-            keys, inverse = np.unique(np.concatenate(words), return_inverse=True)
-            seen = np.bincount(inverse, weights=np.concatenate(train_words), minlength=len(keys)).astype(np.int64)
+            # The last bit tells training words, so that one plain sort counts them.
+            every = np.sort(np.concatenate(words))
+            first = np.flatnonzero(np.r_[True, every[1:] >> np.uint64(1) != every[:-1] >> np.uint64(1)]) if len(every) else np.zeros(0, np.int64)
+            keys = every[first] & ~np.uint64(1)
+            seen = np.add.reduceat((every & np.uint64(1)).astype(np.int64), first) if len(first) else np.zeros(0, np.int64)
             bucket = (keys >> np.uint64(64 - bucket_bits)).astype(np.int64)
             cut = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]]) if len(keys) else np.zeros(0, np.int64)
             rows = [(block, int(bucket[a]), int(b - a), pack(keys[a:b], seen[a:b])) for a, b in zip(cut, np.r_[cut[1:], len(keys)], strict=True)]
@@ -286,23 +359,21 @@ def gather(bucket_bits: int):
                 if blocks[a] != block:
                     if block is not None and (done := close()) is not None:
                         yield done
-                    block, words, train_words = int(blocks[a]), [], []
+                    block, words = int(blocks[a]), []
                 for i, j in slices([len(t) + 1 for t in texts[a:z]], SLICE_BYTES):
                     owner, hashes = words_of(texts[a + i:a + j], hasher)
-                    words.append(hashes)
-                    train_words.append(train[a + i:a + j][owner])
+                    words.append(hashes | train[a + i:a + j][owner].astype(np.uint64))
             taught = [t for t, y in zip(texts, train, strict=True) if y]
             train_docs += len(taught)
             keys, times = distinct_windows(coder, taught)
-            coder.count(keys, times.astype(np.uint32), counts)
+            coder.count(keys, times, counts)
         if block is not None and (done := close()) is not None:
             yield done
         rows = []
         for o, table in enumerate(counts):
             for piece, part in enumerate(table.reshape(-1, 2 << PIECE_BITS)):
-                at = np.flatnonzero(part)
-                if len(at):
-                    rows.append((o, piece, len(at), pack(at.astype(np.uint32), part[at])))
+                if part.any():
+                    rows.append((o, piece, 0, pack_counts(part)))
         if rows:
             yield _batch(COUNTS, rows)
         yield _batch(STATS, [(0, 0, train_docs, b"")])
@@ -319,12 +390,13 @@ def sum_counts(batches):
         return _batch(COUNTS, [(at[0], at[1], 0, pack(pairs[:, 0] << np.uint16(8) | pairs[:, 1]))])
 
     for b in batches:
-        for o, piece, blob in zip(*(b.column(c).to_pylist() for c in ("block", "bucket", "blob")), strict=True):
+        blobs = (x.as_py() for x in b.column("blob"))  # one at a time
+        for o, piece, blob in zip(b.column("block").to_pylist(), b.column("bucket").to_pylist(), blobs, strict=True):
             if (o, piece) != at:
                 if at is not None:
                     yield out()
                 at, total = (o, piece), np.zeros(2 << PIECE_BITS, np.int64)
-            slot, n = unpack(blob)
+            slot, n = unpack_counts(blob)
             total[slot] += n
     if at is not None:
         yield out()
@@ -383,28 +455,48 @@ def sum_mixers(batches):
 class Scorer:
     """Log probabilities of texts under a finished model."""
 
+    #: Windows whose costs are remembered between slices.
+    KNOWN = 1 << 21
+
     def __init__(self, tables, weights, refine):
-        self.coder, self.tables, self.w, self.refine = Coder(), tables, weights, refine
+        self.coder, self.tables, self.w, self.refine = Coder(), tables, weights.astype(np.float32), refine
+        self.keys, self.cost, self.find = np.zeros(0, np.uint64), np.zeros(0), Finder()
 
     def costs(self, keys: np.ndarray) -> np.ndarray:
         """Natural log probability of the last byte of each window."""
-        out = np.zeros(len(keys))
+        out = np.empty(len(keys))
         for begin in range(0, len(keys), BATCH):
             part = keys[begin:begin + BATCH]
-            contexts = self.coder.contexts(part)
-            for t, on, node, bit in self.coder.steps(part):
-                x, gate = self.coder.inputs(self.tables, contexts, on, node, t)
-                z = sum(self.w[gate, o] * x[o] for o in range(len(x)))
-                p = refined(z, node, self.refine)
-                out[begin + on] += np.log(np.where(bit, p, 1 - p))
+            order = self.coder.by_length(part)
+            part = part[order]
+            contexts, cost = self.coder.contexts(part), np.zeros(len(part))
+            for t, n, node, node_hash, bit in self.coder.steps(part):
+                x, gate = self.coder.inputs(self.tables, contexts, n, node_hash, t)
+                p = refined(mixed(self.w, x, gate), node, self.refine)
+                cost[:n] += np.log(np.where(bit, p, 1 - p))
+            out[begin + order] = cost
+        return out
+
+    def remembered(self, keys: np.ndarray) -> np.ndarray:
+        """Costs of sorted distinct windows; those that were met before are looked up."""
+        at = np.searchsorted(self.keys, keys)
+        old = self.keys[np.minimum(at, len(self.keys) - 1)] == keys if len(self.keys) else np.zeros(len(keys), bool)
+        out = np.empty(len(keys))
+        out[old] = self.cost[at[old]]
+        out[~old] = self.costs(keys[~old])
+        if len(self.keys) + len(keys) > self.KNOWN:
+            self.keys, self.cost = keys, out
+        else:
+            self.keys, self.cost = np.insert(self.keys, at[~old], keys[~old]), np.insert(self.cost, at[~old], out[~old])
         return out
 
     def texts(self, texts: list[bytes]) -> np.ndarray:
         out = np.zeros(len(texts))
         for a, b in slices([len(t) + 8 for t in texts], SLICE_BYTES):
             keys, sizes = self.coder.texts_windows(texts[a:b])
-            code, distinct = pd.factorize(keys)
-            out[a:b] = np.add.reduceat(self.costs(distinct)[code], np.cumsum(sizes) - sizes)
+            distinct = distinct_sorted(keys)
+            cost = self.remembered(distinct)
+            out[a:b] = np.add.reduceat(cost.take(self.find(keys, distinct)), np.cumsum(sizes) - sizes)
         return out / np.log(10)
 
 
@@ -423,13 +515,13 @@ def score_block(model_of, n_words: int, n_distinct: int, train_docs: int):
             o, h = words_of(texts[a:b], cache["hasher"])
             owner.append(o + a)
             hashes.append(h)
-        owner, hashes = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (owner, hashes))
-        keys, inverse = np.unique(hashes, return_inverse=True)
+        owner, hashes = (np.concatenate(x) if x else np.zeros(0, np.uint64) for x in (owner, hashes))
+        keys = distinct_sorted(hashes)
         got = sorted(zip(answers.column("bucket").to_pylist(), answers.column("blob").to_pylist(), strict=True))
         counts = np.concatenate([unpack(blob)[0].astype(np.int64) for _, blob in got]) if got else np.zeros(0, np.int64)
         if len(counts) != len(keys):
             raise RuntimeError("a block's documents changed between two reads of the input")
-        own = counts[inverse] if len(keys) else np.zeros(0, np.int64)
+        own = counts.take(cache["scorer"].find(hashes, keys)) if len(keys) else np.zeros(0, np.int64)
         n = len(texts)
         n_tokens = np.bincount(owner, minlength=n) + 1
         known = np.bincount(owner, weights=own > 0, minlength=n).astype(np.int64) + (train_docs > 0)
@@ -449,17 +541,17 @@ def score(docs: DataFrame, held_out: F.Column, id_col: str = "doc_id", text_col:
                        F.shiftleft(F.shiftright(place, 33), 20).bitwiseOR(F.shiftright(place.bitwiseAND(F.lit((1 << 33) - 1)), BLOCK_ROWS.bit_length() - 1)).alias("block"))
     blocks = docs.count() // BLOCK_ROWS + 1
     bucket_bits = max(4, int(blocks).bit_length())  # about as many buckets as blocks: a bucket's words stay as many as a block's
-    gathered = materialize(rows.select("block", (~F.col("held_out")).alias("train"), "text").mapInArrow(gather(bucket_bits), GATHERED), "lm-gathered")
+    gathered = materialize(rows.select("block", (~F.col("held_out")).alias("train"), "text").mapInArrow(lean(gather(bucket_bits)), GATHERED), "lm-gathered")
     train_docs = gathered.filter(F.col("kind") == STATS).agg(F.sum("n")).first()[0] or 0
 
     pieces = (gathered.filter(F.col("kind") == COUNTS).repartition("block", "bucket").sortWithinPartitions("block", "bucket")
-              .mapInArrow(sum_counts, GATHERED).select("block", "bucket", "blob").collect())  # the tables' fixed size at most
+              .mapInArrow(lean(sum_counts), GATHERED).select("block", "bucket", "blob").collect())  # the tables' fixed size at most
     tables = [np.zeros(1 << b, np.uint16) for b in SLOT_BITS]
     for r in pieces:
         tables[r["block"]][r["bucket"] << PIECE_BITS:(r["bucket"] + 1) << PIECE_BITS] = unpack(r["blob"])[0]
     held_tables = spark.sparkContext.broadcast(tables)
 
-    parts = (rows.filter(~F.col("held_out")).select("text").mapInArrow(learn_mixer(lambda: held_tables.value), "blob binary")
+    parts = (rows.filter(~F.col("held_out")).select("text").mapInArrow(lean(learn_mixer(lambda: held_tables.value)), "blob binary")
              .repartition(8).mapInArrow(sum_mixers, "blob binary").collect())  # eight rows of a fixed size
     weights, refine = Mixer().w, refine_table(np.zeros((2, 255 * CELLS)))
     if parts:
@@ -467,7 +559,7 @@ def score(docs: DataFrame, held_out: F.Column, id_col: str = "doc_id", text_col:
         weights, refine = total[0] / total[2][0], refine_table(total[1])
 
     answers = materialize(gathered.filter(F.col("kind") == WORDS).select("block", "bucket", "blob").repartition("bucket").sortWithinPartitions("bucket")
-                          .mapInArrow(answer_words, GATHERED), "lm-answers")
+                          .mapInArrow(lean(answer_words), GATHERED), "lm-answers")
     stats = answers.filter(F.col("kind") == STATS).agg(F.sum("n").alias("n"), F.sum("block").alias("v")).first()
     judge = score_block(lambda: (held_tables.value, weights, refine), stats["n"] or 0, stats["v"] or 0, train_docs)
     kinds = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
