@@ -24,11 +24,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelstack.llm.common import slices
+from panelstack.llm.common import lean, slices
 
 #: Bytes of text whose pieces are merged together, and pieces that a task remembers.
-BLOCK_BYTES = 12 << 20
-MEMO_PIECES = 400_000
+BLOCK_BYTES = 8 << 20
+MEMO_PIECES = 250_000
 _NONE = np.int32(2**31 - 1)
 
 
@@ -191,7 +191,7 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, id_col: str =
                 yield pa.RecordBatch.from_arrays([b.column("doc_id").slice(begin, end - begin), pa.array(ids, pa.list_(pa.int32()))],
                                                  names=["doc_id", "ids"])
 
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "doc_id long, ids array<int>")
+    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(lean(run), "doc_id long, ids array<int>")
 
 
 def decode(ids: DataFrame, ranks: dict[bytes, int], id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
@@ -209,4 +209,4 @@ def decode(ids: DataFrame, ranks: dict[bytes, int], id_col: str = "doc_id", ids_
 def encode_digests(docs: DataFrame, ranks: dict[bytes, int], pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Encode and decode every whole text; count and digests of ids and decoded bytes."""
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(digests(ranks, pattern), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return rows.mapInArrow(lean(digests(ranks, pattern)), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

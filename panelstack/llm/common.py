@@ -35,6 +35,34 @@ def text_bytes(column) -> list[bytes]:
     return [b if b is not None else b"" for b in column.cast(pa.binary()).to_pylist()]
 
 
+def lean(run):
+    """A function for mapInArrow that hands free heap back when its task ends.
+
+    Python workers are used again by later stages; what their allocators keep would add up
+    beside the executor's heap.
+    """
+
+    def wrapped(batches):
+        try:
+            yield from run(batches)
+        finally:
+            release()
+
+    return wrapped
+
+
+def release() -> None:
+    import ctypes
+    import gc
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library: nothing to hand back
+        pass
+
+
 def slices(sizes, budget: int):
     """Consecutive (begin, end) ranges of rows whose sizes sum to about ``budget`` (one row at least)."""
     begin, held = 0, 0
@@ -65,7 +93,7 @@ class WordHasher:
     prefixes times the inverse power of its start, so no Python loop runs over words.
     """
 
-    CHUNK = 1 << 21
+    CHUNK = 1 << 17  # its arrays stay in the cache
 
     def __init__(self) -> None:
         self._grow(1 << 16)

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelstack.llm.common import fresh, text_bytes
+from panelstack.llm.common import fresh, lean, text_bytes
 
 #: Bytes of text that a task's trie holds before it spills.
 TRIE_BYTES = 64 << 20
@@ -205,10 +205,10 @@ def exact_owners(docs: DataFrame, keep: str = "max", id_col: str = "doc_id", tex
         raise ValueError("keep must be 'max' or 'min'")
     largest = keep == "max"
     rows = docs.select(F.monotonically_increasing_id().alias("pos"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    members = rows.mapInArrow(digest_members, "pos long, doc_id long, n_bytes long, sha binary")
-    owners = (rows.mapInArrow(combine_locally(largest, budget), ENTRY)
+    members = rows.mapInArrow(lean(digest_members), "pos long, doc_id long, n_bytes long, sha binary")
+    owners = (rows.mapInArrow(lean(combine_locally(largest, budget)), ENTRY)
               .repartition("n_bytes", "hash").sortWithinPartitions("n_bytes", "hash")
-              .mapInArrow(merge_owners(largest), "n_bytes long, sha binary, keep_id long, keep_pos long, group_size long"))
+              .mapInArrow(lean(merge_owners(largest)), "n_bytes long, sha binary, keep_id long, keep_pos long, group_size long"))
     return (members.join(owners, ["n_bytes", "sha"])  # a hot class is one owner row: AQE splits the members' side
             .select("pos", "doc_id", "keep_id", "group_size", (F.col("pos") == F.col("keep_pos")).alias("kept"), F.lower(F.hex("sha")).alias("text_sha256")))
 

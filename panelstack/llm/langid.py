@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelstack.llm.common import slices, text_bytes
+from panelstack.llm.common import lean, slices, text_bytes
 
 #: Documents of each language that training samples (in expectation), and the most languages it learns (by rows).
 PER_LANG, MAX_LANGS = 300, 256
@@ -239,4 +239,4 @@ def identify(docs: DataFrame, net: Net | None, text_col: str = "text", keep: tup
     """The kept columns with ``lang_pred`` and ``score``."""
     rows = docs.select(*keep, F.col(text_col).alias("text"), F.coalesce(F.col(text_col).rlike(r"\p{L}"), F.lit(False)).alias("lettered"))
     kinds = ", ".join(f"`{c}` {t}" for c, t in rows.dtypes if c not in ("text", "lettered"))
-    return rows.mapInArrow(predictor(net), f"{kinds}, lang_pred string, score double")
+    return rows.mapInArrow(lean(predictor(net)), f"{kinds}, lang_pred string, score double")

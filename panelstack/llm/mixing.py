@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelstack.llm.common import fresh, slices, text_bytes
+from panelstack.llm.common import fresh, lean, slices, text_bytes
 from panelstack.session import materialize
 
 #: Labelled documents of each domain that the fit reads at most (in expectation); hashed trigrams; characters of a long text.
@@ -152,7 +152,7 @@ def memberships(docs: DataFrame, domains: Domains) -> DataFrame:
                 names=["pos", "doc_id", "tokens", "posterior"])
 
     rows = docs.select(F.monotonically_increasing_id().alias("pos"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return materialize(rows.mapInArrow(run, "pos long, doc_id long, tokens long, posterior array<double>"), "mix-members")
+    return materialize(rows.mapInArrow(lean(run), "pos long, doc_id long, tokens long, posterior array<double>"), "mix-members")
 
 
 def fit_rates(members: DataFrame, domains: Domains, targets: dict, total: float | str | None = None) -> Mixture:
@@ -240,5 +240,5 @@ def apply(docs: DataFrame, mixture: Mixture) -> DataFrame:
 
     rows = docs.withColumn(pos, F.monotonically_increasing_id())
     kinds = ", ".join(f"`{c}` {t}" for c, t in rows.dtypes) + f", {rate} double"
-    return (rows.mapInArrow(run, kinds).withColumn(copy, F.explode(F.array_repeat(F.lit(1), _copies(F.col(rate), "doc_id", pos))))
+    return (rows.mapInArrow(lean(run), kinds).withColumn(copy, F.explode(F.array_repeat(F.lit(1), _copies(F.col(rate), "doc_id", pos))))
             .select(*[F.col(f"`{c}`") for c in docs.columns]))

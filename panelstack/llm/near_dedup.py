@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelstack.llm.common import WordHasher, fresh, mix64, pack, shingles, slices, text_bytes, unpack
+from panelstack.llm.common import WordHasher, fresh, lean, mix64, pack, shingles, slices, text_bytes, unpack
 from panelstack.llm.components import components
 from panelstack.session import materialize
 
@@ -232,20 +232,20 @@ def _torn(shared: DataFrame, roots: DataFrame) -> DataFrame:
 def _agree(pairs: DataFrame, sigs: DataFrame) -> DataFrame:
     """Candidate pairs (a, b) whose signatures agree."""
     return (pairs.join(sigs.select(F.col("pos").alias("a"), F.col("sig").alias("sig_a")), "a").join(sigs.select(F.col("pos").alias("b"), F.col("sig").alias("sig_b")), "b")
-            .select("a", "b", "sig_a", "sig_b").mapInArrow(agreeing, "a long, b long"))
+            .select("a", "b", "sig_a", "sig_b").mapInArrow(lean(agreeing), "a long, b long"))
 
 
 def _verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """Pairs (a, b) with their exact similarity, where it is reached."""
     return (pairs.join(texts.select(F.col("pos").alias("b"), F.col("text").alias("text_b")), "b")
             .join(texts.select(F.col("pos").alias("a"), F.col("text").alias("text_a")), "a")
-            .select("a", "b", "text_a", "text_b").mapInArrow(similar, "a long, b long, similarity double"))
+            .select("a", "b", "text_a", "text_b").mapInArrow(lean(similar), "a long, b long, similarity double"))
 
 
 def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row a document: pos, doc_id, class_id (least id of its class), class_size, kept (one row a class)."""
     rows = docs.select(F.monotonically_increasing_id().alias("pos"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    signed = materialize(rows.mapInArrow(signatures, "pos long, doc_id long, k1 long, k2 long, bands array<long>, sig binary"), "near-signatures")
+    signed = materialize(rows.mapInArrow(lean(signatures), "pos long, doc_id long, k1 long, k2 long, bands array<long>, sig binary"), "near-signatures")
     # One row for each word sequence; its first position stands for all copies.
     copies = signed.filter("k1 IS NOT NULL").groupBy("k1", "k2").agg(F.min("pos").alias("rep"))
     sigs = signed.select("pos", "sig")
@@ -274,10 +274,10 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     apart = (_torn(shared, roots).join(signed.select("pos", "sig", "bands"), "pos")
              .select("h", F.pmod(F.xxhash64("pos"), F.ceil(F.col("n") / SALT_ROWS)).alias("salt"), "n", "root", "pos", "sig", "bands"))
     blocks = materialize(apart.repartition("h", "salt").sortWithinPartitions("h", "salt", "root", "pos")
-                         .mapInArrow(pack_blocks, "h long, block long, low long, high long, blob binary, a array<long>, b array<long>"), "near-blocks")
+                         .mapInArrow(lean(pack_blocks), "h long, block long, low long, high long, blob binary, a array<long>, b array<long>"), "near-blocks")
     left, right = (blocks.filter("blob IS NOT NULL").select("h", *[F.col(c).alias(f"{c}_{x}") for c in ("block", "low", "high", "blob")]) for x in "ab")
     between = (left.join(right, "h").filter("block_a < block_b AND NOT (low_a = high_a AND low_b = high_b AND low_a = low_b)")
-               .select("h", "blob_a", "blob_b").mapInArrow(compare_blocks, "a array<long>, b array<long>"))
+               .select("h", "blob_a", "blob_b").mapInArrow(lean(compare_blocks), "a array<long>, b array<long>"))
     across = blocks.select("a", "b").union(between).select(F.inline(F.arrays_zip("a", "b"))).distinct()
     more = materialize(_verify(materialize(across, "near-across"), texts), "near-more")
     final = materialize(components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(more.select("a", "b"))), "near-final")

@@ -30,7 +30,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelstack.llm.common import WordHasher, shingles, text_bytes
+from panelstack.llm.common import WordHasher, lean, shingles, text_bytes
 
 #: Documents of each label that the fit reads at most (in expectation).  Of a longer text it takes this many
 #: characters in 64 slices spread evenly over the whole.
@@ -225,7 +225,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
             found = judge(text_bytes(b.column("text")))
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(found, pa.float64())], names=[*b.schema.names, "score"])
 
-    return docs.mapInArrow(run, f"{_kinds(docs)}, score double")
+    return docs.mapInArrow(lean(run), f"{_kinds(docs)}, score double")
 
 
 def reject(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
@@ -236,4 +236,4 @@ def reject(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataF
         for b in batches:
             yield b.filter(pa.array(judge(text_bytes(b.column("text"))) < threshold, pa.bool_()))
 
-    return docs.mapInArrow(run, _kinds(docs))
+    return docs.mapInArrow(lean(run), _kinds(docs))
