@@ -67,8 +67,3 @@ def interpolate(df: DataFrame, keys: list[str], t: str, cols: list[str], method:
             filled = filled.when(pv.isNotNull(), pv)
         out[c] = filled
     return base.withColumns(prev).withColumns(out).drop(pos_col, *prev.keys())
-
-
-def forward_fill(df: DataFrame, keys: list[str], t: str, cols: list[str]) -> DataFrame:
-    w = Window.partitionBy(*keys).orderBy(t).rowsBetween(Window.unboundedPreceding, 0)
-    return df.withColumns({c: F.last(nan_to_null(c), ignorenulls=True).over(w) for c in cols})

@@ -81,17 +81,27 @@ def boosted_regressor(train, features, label, preset: str = "lgb", validation_co
                       patience: int = 50, seed: int = 42, **overrides):
     """Gradient-boosted trees; with ``validation_col`` the trees up to the best validation round are kept.
 
-    All rounds are fitted, the loss of every round is measured on the rows marked for
-    validation, and the model is cut where ``patience`` rounds brought no gain.  Use
-    the tail of the *training* period as validation, never the test set.
+    The loss of every round is measured on the rows marked for validation, and the model
+    is cut at its best round once ``patience`` rounds brought no gain.  Rounds are added
+    by doubling until that is seen (a longer run with the same seed begins with the same
+    trees, so the result is that of fitting all rounds).  Use the tail of the *training*
+    period as validation, never the test set.
     """
     params = dict(BOOST_PRESETS[preset], **overrides)
-    gbt = GBTRegressor(labelCol=label, seed=seed, maxMemoryInMB=TREE_BUFFER_MB, **params)
     if not validation_col:
-        return _pipeline(features, gbt).fit(train)
-    model = _pipeline(features, gbt).fit(train.where(~F.col(validation_col)))
-    held = model.stages[0].transform(train.where(F.col(validation_col)))
-    keep = best_prefix(list(model.stages[-1].evaluateEachIteration(held, "squared")), patience)
+        return _pipeline(features, GBTRegressor(labelCol=label, seed=seed, maxMemoryInMB=TREE_BUFFER_MB, **params)).fit(train)
+    rounds, most = 2 * patience, params.pop("maxIter")
+    taught, held = train.where(~F.col(validation_col)).persist(), train.where(F.col(validation_col)).persist()
+    while True:
+        gbt = GBTRegressor(labelCol=label, seed=seed, maxMemoryInMB=TREE_BUFFER_MB, maxIter=min(rounds, most), **params)
+        model = _pipeline(features, gbt).fit(taught)
+        losses = list(model.stages[-1].evaluateEachIteration(model.stages[0].transform(held), "squared"))
+        keep = best_prefix(losses, patience)
+        if rounds >= most or len(losses) - keep >= patience:
+            break
+        rounds *= 2
+    taught.unpersist()
+    held.unpersist()
     return PipelineModel([model.stages[0], _first_trees(model.stages[-1], keep)])
 
 

@@ -134,9 +134,10 @@ def fit_gap(metrics: DataFrame, by: list[str], split_col: str = "split") -> Data
     return g.withColumn("gap", F.col("r2_train") - F.col("r2_test"))
 
 
-def coverage(df: DataFrame, keys: list[str], t: str, split_col: str = "split") -> DataFrame:
-    """Date range and rows per series and split; :func:`feature_count` gives the number of features."""
+def coverage(df: DataFrame, keys: list[str], t: str, split_col: str = "split", features: list[str] | None = None) -> DataFrame:
+    """Date range and rows per series and split; with ``features`` also how many of them the table has."""
+    counts = [] if features is None else [F.lit(sum(c in df.columns for c in features)).alias("n_features")]
     return df.groupBy(*keys).agg(F.min(t).alias("first_date"), F.max(t).alias("last_date"),
                                  F.count(F.lit(1)).alias("rows"),
                                  F.count_if(F.col(split_col) == "train").alias("train_rows"),
-                                 F.count_if(F.col(split_col) == "test").alias("test_rows"))
+                                 F.count_if(F.col(split_col) == "test").alias("test_rows"), *counts)

@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from panelstack.operators.grid import interpolate, to_daily_grid
-from panelstack.operators.windows import window_features
 from panelstack.sources.fixtures import hourly_readings, p2_daily_panel
 from panelstack.streaming.daily import daily_mean
 
@@ -21,10 +20,3 @@ def daily_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p2_filled(spark: SparkSession, sf_dir: str) -> DataFrame:
     """P2 on a gap-free calendar grid, gaps filled by time interpolation (head/tail nearest)."""
     return interpolate(to_daily_grid(p2_daily_panel(spark, sf_dir), K, "date"), K, "date", ["value"])
-
-
-def p2_supervised(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Filled P2 with lag_1 and the next-day target: the frame naive forecasts are scored on."""
-    f = window_features(p2_filled(spark, sf_dir), K, "date", "value", lags=(1,), windows=(7,), funcs=("mean",),
-                        diffs=(), target="y")
-    return f.where(F.col("y").isNotNull())

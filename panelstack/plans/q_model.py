@@ -9,6 +9,7 @@ from panelstack.functions.bands import aqi_band, aqi_class
 from panelstack.functions.calendar import next_day
 from panelstack.operators.clean import align_features, fallback_row
 from panelstack.operators.combine import append_and_tail
+from panelstack.operators.grid import interpolate, to_daily_grid
 from panelstack.operators.explain import (
     background_means, contribution_summary, fit_linear_moments, linear_contributions,
 )
@@ -16,12 +17,12 @@ from panelstack.operators.forecast import (
     ar1_multistep, ar1_walk_forward, ar_p_walk_forward, dickey_fuller,
 )
 from panelstack.operators.learn import (
-    blend_sweep, boosted_classifier, boosted_regressor, cv_evaluate, decision_tree_regressor, feature_scores,
+    blend, blend_sweep, boosted_classifier, boosted_regressor, cv_evaluate, decision_tree_regressor, feature_scores,
     grid_search, models_agree, random_forest_classifier, random_forest_regressor, ridge, score_class,
     score_regression, stratified_folds,
 )
 from panelstack.operators.metrics import balanced_weights, classification_metrics, regression_metrics
-from panelstack.operators.ranking import explain_top, top_features
+from panelstack.operators.ranking import explain_top, leaderboard, top_features
 from panelstack.operators.windows import last_n, time_series_folds, time_split
 from panelstack.plans.features import (
     CYCLIC, FLAGS, LAGS, TARGET, TARGET_CLASS, WINDOWS, FUNCS, DIFFS, FeaturePipeline, scaled_names,
@@ -287,6 +288,32 @@ def q_blend_sweep(spark, sf_dir):
     return blend_sweep(wide, "ma7", "naive", "y", BLEND_WEIGHTS)
 
 
+@register("blend", f"""
+WITH {BASE_SQL}
+SELECT series_id, date, y, 0.65 * max(yhat) FILTER (WHERE model = 'ma7') + 0.35 * max(yhat) FILTER (WHERE model = 'naive') AS blend
+FROM pred GROUP BY 1, 2, 3""", doubles="y blend")
+def q_blend(spark, sf_dir):
+    wide = baseline_predictions(spark, sf_dir).groupBy("series_id", T, "y").pivot("model", ["ma7", "naive"]).agg(F.first("yhat"))
+    return blend(wide, ["ma7", "naive"], [0.65, 0.35]).select("series_id", T, "y", "blend")
+
+
+@register("trained_leaderboard")
+def q_trained_leaderboard(spark, sf_dir):
+    """Trained models and the walk-forward baseline on the test days, by the day that is forecast."""
+    train, test, pipe = _train_test(spark, sf_dir)
+    fits = {"ridge": ridge(train, pipe.features, TARGET), "decision_tree": decision_tree_regressor(train, pipe.features, TARGET)}
+    rows = None
+    for name, m in fits.items():
+        p = m.transform(test).select("series_id", F.date_add(T, 1).alias("target_date"), F.col(TARGET).alias("y"), F.col("prediction").alias("yhat"), F.lit(name).alias("model"))
+        rows = p if rows is None else rows.unionByName(p)
+    filled = interpolate(to_daily_grid(region_daily_panel(spark, sf_dir).select("series_id", T, "value"), K, T), K, T, ["value"])
+    ar = ar1_walk_forward(time_split(filled, K, T), K, T, "value").select("series_id", F.col(T).alias("target_date"), "y", "yhat", F.lit("ar1").alias("model"))
+    # All models are judged on the target days of the feature panel.
+    asked = test.select("series_id", F.date_add(T, 1).alias("target_date"))
+    rows = rows.unionByName(ar.join(asked, ["series_id", "target_date"], "left_semi"))
+    return leaderboard(regression_metrics(rows, ["model"]))
+
+
 @register("models_agree", f"""
 WITH {BASE_SQL},
 wide AS (SELECT series_id, date, max(yhat) FILTER (WHERE model = 'ma7') AS ma7,

@@ -432,7 +432,7 @@ def q_balanced_weights(spark, sf_dir):
 
 
 @register("coverage", SPLIT_SQL + """ SELECT series_id, min(date) AS first_date, max(date) AS last_date, count(*) AS rows,
-count_if(split = 'train') AS train_rows, count_if(split = 'test') AS test_rows FROM s GROUP BY 1""",
-          ints="train_rows test_rows")
+count_if(split = 'train') AS train_rows, count_if(split = 'test') AS test_rows, 1 AS n_features FROM s GROUP BY 1""",
+          ints="train_rows test_rows n_features")
 def q_coverage(spark, sf_dir):
-    return coverage(time_split(p2_filled(spark, sf_dir), K, T), K, T)
+    return coverage(time_split(p2_filled(spark, sf_dir), K, T), K, T, features=["value", "missing"])

@@ -1,6 +1,6 @@
 from pyspark.sql import functions as F
 
-from panelstack.operators.clean import align_features, numeric_columns, relabel
+from panelstack.operators.clean import align_features, drop_columns, numeric_columns, relabel
 from panelstack.operators.combine import stations_in_bounds
 from panelstack.sources.readers import annotate_schema, read_observations
 from panelstack.sources.writers import write_panel, write_report
@@ -8,6 +8,7 @@ from panelstack.sources.writers import write_panel, write_report
 
 def test_schema_helpers(spark):
     df = spark.createDataFrame([("2024-01-01", 1.0, 2, "x")], "date string, pm2_5 double, n int, s string")
+    assert drop_columns(df, ["s", "missing"]).columns == ["date", "pm2_5", "n"]
     assert numeric_columns(df) == ["pm2_5", "n"]
     assert numeric_columns(df, exclude=["n"]) == ["pm2_5"]
     assert align_features(df, ["n", "missing", "pm2_5"], keep=["date"]).columns == ["date", "n", "pm2_5"]
