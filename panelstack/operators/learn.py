@@ -8,6 +8,7 @@ histograms per partition; the normal-equation solver aggregates X'X once).
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Callable
 
 from pyspark.ml import Pipeline, PipelineModel
@@ -60,11 +61,25 @@ def random_forest_regressor(train, features, label, trees: int = 500, max_depth:
 
 
 # The two boosted-tree presets (trees, learning rate, depth, row share, feature share, least rows of a leaf).
+# Leaf-wise growth to 31 leaves has no counterpart here: a tree of depth 5 has at most 32.
 BOOST_PRESETS = {
-    "lgb": {"maxIter": 500, "stepSize": 0.05, "maxDepth": 6, "subsamplingRate": 0.8, "featureSubsetStrategy": "0.8", "minInstancesPerNode": 20},
-    "xgb": {"maxIter": 500, "stepSize": 0.05, "maxDepth": 6, "subsamplingRate": 0.8, "featureSubsetStrategy": "0.8", "minInstancesPerNode": 1},
+    "lgb": {"maxIter": 500, "stepSize": 0.05, "maxDepth": 5, "subsamplingRate": 0.8, "featureSubsetStrategy": "0.8", "minInstancesPerNode": 20},
+    "xgb": {"maxIter": 500, "stepSize": 0.05, "maxDepth": 6, "subsamplingRate": 0.8, "featureSubsetStrategy": "0.8", "minInstancesPerNode": 20},
 }
 
+# Classifier settings (forests: base and tuned; boosters: depth-wise, leaf-wise and the latter tuned, 15 leaves as depth 4).
+FOREST_PRESETS = {"base": {"trees": 300, "max_depth": 12, "min_leaf": 1}, "tuned": {"trees": 300, "max_depth": 10, "min_leaf": 4}}
+BOOST_CLASS_PRESETS = {
+    "xgb": {"trees": 300, "step": 0.1, "max_depth": 6, "min_leaf": 1},
+    "lgb": {"trees": 300, "step": 0.05, "max_depth": 10, "min_leaf": 20},
+    "lgb_tuned": {"trees": 300, "step": 0.01, "max_depth": 4, "min_leaf": 10},
+}
+
+# Search axes.  Where depth has no limit or a split needs so many rows, Spark has no such setting: the
+# deepest tree is 30 levels, and a least leaf of half the rows stands for a least split.
+FOREST_GRID = {"numTrees": [200, 300, 500], "maxDepth": [10, 15, 20, 30], "minInstancesPerNode": [1, 2, 4, 5]}
+BOOST_GRID = {"maxIter": [200, 300], "stepSize": [0.01, 0.05], "maxDepth": [4, 5, 6, 8, 10], "minInstancesPerNode": [2, 5, 10]}
+
 
 def best_prefix(losses: list[float], patience: int) -> int:
     """Number of trees at the least loss before ``patience`` rounds without improvement."""
@@ -130,13 +145,13 @@ def random_forest_classifier(train, features, label, weight_col: str | None = No
 
 
 def boosted_classifier(train, features, label, weight_col: str | None = None, trees: int = 300,
-                       step: float = 0.05, max_depth: int = 6, seed: int = 42, parallelism: int = 4):
+                       step: float = 0.05, max_depth: int = 6, seed: int = 42, parallelism: int = 4, min_leaf: int = 1):
     """Multi-class boosting as one-vs-rest over binary GBTs (no native multi-class GBT in Spark).
 
     The per-class binary models are independent, so ``parallelism`` of them are fitted
     concurrently.
     """
-    gbt = GBTClassifier(maxIter=trees, stepSize=step, maxDepth=max_depth, seed=seed,
+    gbt = GBTClassifier(maxIter=trees, stepSize=step, maxDepth=max_depth, seed=seed, minInstancesPerNode=min_leaf,
                         maxMemoryInMB=TREE_BUFFER_MB)
     ovr = OneVsRest(classifier=gbt, labelCol=label, parallelism=parallelism)
     if weight_col:
@@ -248,15 +263,29 @@ def fresh_name(df: DataFrame, name: str) -> str:
 
 
 def grid_search(train: DataFrame, features: list[str], label: str, labels: list[int], grid: dict[str, list],
-                k: int = 5, weight_col: str | None = None, parallelism: int = 4):
-    """Cross-validated search of a random-forest classifier on stratified folds, scored by macro F1."""
-    rf = RandomForestClassifier(labelCol=label, seed=42, maxMemoryInMB=TREE_BUFFER_MB)
+                k: int = 5, weight_col: str | None = None, parallelism: int = 4, estimator: str = "forest",
+                id_cols: list[str] | None = None):
+    """Cross-validated search of a classifier ("forest" or one-vs-rest "boosted") on stratified folds, scored by macro F1.
+
+    ``grid`` maps parameter names to values (``FOREST_GRID`` and ``BOOST_GRID`` are the full axes).  Returns the
+    fitted ``CrossValidatorModel``: ``bestModel`` is refitted on all rows, ``avgMetrics`` has a score for each setting.
+    """
+    folds = stratified_folds(train, label, k, id_cols=id_cols)
+    counts = {r[0] for r in folds.groupBy("fold").agg(F.count(F.lit(1))).collect()}
+    if len(counts) < k:
+        raise ValueError(f"{k} folds need a class of at least {k} rows")
+    if estimator == "forest":
+        model = RandomForestClassifier(labelCol=label, seed=42, maxMemoryInMB=TREE_BUFFER_MB)
+        maps = ParamGridBuilder()
+        for name, values in grid.items():
+            maps = maps.addGrid(model.getParam(name), values)
+        settings = maps.build()
+    else:
+        model = OneVsRest(classifier=GBTClassifier(seed=42, maxMemoryInMB=TREE_BUFFER_MB), labelCol=label, parallelism=parallelism)
+        combos = [dict(zip(grid, values)) for values in itertools.product(*grid.values())]
+        settings = ParamGridBuilder().addGrid(model.classifier, [GBTClassifier(seed=42, maxMemoryInMB=TREE_BUFFER_MB, **c) for c in combos]).build()
     if weight_col:
-        rf = rf.setWeightCol(weight_col)
-    pipe = _pipeline(features, rf)
-    pg = ParamGridBuilder()
-    for name, values in grid.items():
-        pg = pg.addGrid(rf.getParam(name), values)
-    cv = CrossValidator(estimator=pipe, estimatorParamMaps=pg.build(), numFolds=k, foldCol="fold",
+        model = model.setWeightCol(weight_col)
+    cv = CrossValidator(estimator=_pipeline(features, model), estimatorParamMaps=settings, numFolds=k, foldCol="fold",
                         evaluator=MacroF1Evaluator(labels, label), parallelism=parallelism, seed=42)
-    return cv.fit(stratified_folds(train, label, k))
+    return cv.fit(folds)

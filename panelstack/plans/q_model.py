@@ -17,7 +17,7 @@ from panelstack.operators.forecast import (
     ar1_multistep, ar1_walk_forward, ar_p_walk_forward, dickey_fuller,
 )
 from panelstack.operators.learn import (
-    blend, blend_sweep, boosted_classifier, boosted_regressor, cv_evaluate, decision_tree_regressor, feature_scores,
+    FOREST_PRESETS, blend, blend_sweep, boosted_classifier, boosted_regressor, cv_evaluate, decision_tree_regressor, feature_scores,
     grid_search, models_agree, random_forest_classifier, random_forest_regressor, ridge, score_class,
     score_regression, stratified_folds,
 )
@@ -184,6 +184,13 @@ def q_rf_classifier(spark, sf_dir):
     return _classifier_metrics(test, rf, "random_forest")
 
 
+@register("rf_classifier_base")
+def q_rf_classifier_base(spark, sf_dir):
+    """The untuned forest (300 trees, depth 12)."""
+    train, test, pipe = _class_frames(spark, sf_dir)
+    return _classifier_metrics(test, random_forest_classifier(train, pipe.features, TARGET_CLASS, weight_col="weight", **FOREST_PRESETS["base"]), "random_forest_base")
+
+
 @register("boosted_classifier")
 def q_boosted_classifier(spark, sf_dir):
     """One-vs-rest boosted trees with balanced class weights."""
@@ -197,9 +204,9 @@ def q_grid_search(spark, sf_dir):
     train, _, pipe = _class_frames(spark, sf_dir)
     cv = grid_search(train, pipe.features, TARGET_CLASS, [0, 1, 2, 3],
                      {"numTrees": [50, 100], "maxDepth": [5, 10]}, k=5, weight_col="weight")
-    rows = [(str(pm), float(score)) for pm, score in
+    rows = [(str(pm), float(score), score == max(cv.avgMetrics)) for pm, score in
             zip([{p.name: v for p, v in m.items()} for m in cv.getEstimatorParamMaps()], cv.avgMetrics)]
-    return spark.createDataFrame(rows, "params string, macro_f1 double")
+    return spark.createDataFrame(rows, "params string, macro_f1 double, best boolean")
 
 
 @register("cv_evaluate")

@@ -187,3 +187,15 @@ def test_shared_folder_is_required_off_local(monkeypatch):
 
     with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
         session.ensure_checkpoint_dir(Spark())
+
+
+@pytest.mark.parametrize("estimator,grid", [("forest", {"numTrees": [2, 3], "maxDepth": [2]}), ("boosted", {"maxIter": [1, 2], "maxDepth": [2]})])
+def test_grid_search_of_both_kinds(spark, estimator, grid):
+    r = random.Random(2)
+    rows = [(i, float(i % 3 + r.random()), i % 3) for i in range(120)]
+    df = spark.createDataFrame(rows, "id long, x double, label int")
+    cv = learn.grid_search(df, ["x"], "label", [0, 1, 2], grid, k=3, estimator=estimator, parallelism=2)
+    assert len(cv.avgMetrics) == 2 and max(cv.avgMetrics) > 0.8
+    assert cv.bestModel.transform(df).count() == 120
+    with pytest.raises(ValueError, match="folds"):
+        learn.grid_search(df.limit(2), ["x"], "label", [0, 1, 2], grid, k=3, estimator=estimator)
