@@ -34,14 +34,20 @@ def to_long(df: DataFrame, keys: list[str], cols: list[str], name: str = "column
     return df.select(*keys, *[nan_to_null(c).cast("double").alias(c) for c in cols]).unpivot(keys, cols, name, value)
 
 
+def by_column(wide: DataFrame, keys: list[str], cols: list[str], fields: list[str]) -> DataFrame:
+    """One row a column from an aggregate that has ``_<i>_<field>`` for the i-th column (rows are multiplied after the aggregate, not before)."""
+    return wide.select(*keys, F.inline(F.array(*[
+        F.struct(F.lit(c).alias("column"), *[F.col(f"_{i}_{f}").alias(f) for f in fields]) for i, c in enumerate(cols)])))
+
+
 def describe(df: DataFrame, keys: list[str], cols: list[str], exact: bool = True) -> DataFrame:
     """count, mean, sample std, min, Q1, median, Q3, max per (series, column)."""
-    long = to_long(df, keys, cols)
-    v = F.col("value")
-    q = quantiles(v, [0.25, 0.5, 0.75], exact)
-    agg = long.groupBy(*keys, "column").agg(
-        F.count(v).alias("count"), F.avg(v).alias("mean"), F.stddev_samp(v).alias("std"),
-        F.min(v).alias("min"), q.alias("_q"), F.max(v).alias("max"))
+    aggs = []
+    for i, c in enumerate(cols):
+        v = nan_to_null(c).cast("double")
+        aggs += [F.count(v).alias(f"_{i}_count"), F.avg(v).alias(f"_{i}_mean"), F.stddev_samp(v).alias(f"_{i}_std"),
+                 F.min(v).alias(f"_{i}_min"), quantiles(v, [0.25, 0.5, 0.75], exact).alias(f"_{i}__q"), F.max(v).alias(f"_{i}_max")]
+    agg = by_column(df.groupBy(*keys).agg(*aggs), keys, cols, ["count", "mean", "std", "min", "_q", "max"])
     return agg.select(*keys, "column", "count", "mean", "std", "min",
                       F.col("_q")[0].alias("q1"), F.col("_q")[1].alias("median"), F.col("_q")[2].alias("q3"), "max")
 
@@ -251,32 +257,33 @@ def linear_trend(df: DataFrame, keys: list[str], xcol: str, ycol: str, grid: int
 
 def skew_std(df: DataFrame, keys: list[str], cols: list[str]) -> DataFrame:
     """Bias-corrected sample skewness G1 = g1*sqrt(n(n-1))/(n-2) and sample std per column."""
-    long = to_long(df, keys, cols)
-    v = F.col("value")
-    n = F.count(v).cast("double")
-    return long.groupBy(*keys, "column").agg(
-        F.count(v).alias("n"), F.stddev_samp(v).alias("std"),
-        (F.skewness(v) * F.sqrt(n * (n - 1)) / F.when(n > 2, n - 2)).alias("skew"))
+    aggs = []
+    for i, c in enumerate(cols):
+        v = nan_to_null(c).cast("double")
+        aggs += [F.count(v).alias(f"_{i}_n"), F.stddev_samp(v).alias(f"_{i}_std"), F.skewness(v).alias(f"_{i}_g1")]
+    n = F.col("n").cast("double")
+    return (by_column(df.groupBy(*keys).agg(*aggs), keys, cols, ["n", "std", "g1"])
+            .select(*keys, "column", "n", "std", (F.col("g1") * F.sqrt(n * (n - 1)) / F.when(n > 2, n - 2)).alias("skew")))
 
 
 def outlier_summary(df: DataFrame, keys: list[str], cols: list[str], exact: bool = True) -> DataFrame:
-    """Counts and % outside 1.5*IQR and 3*IQR fences, per (series, column).
+    """Counts and % outside 1.5*IQR and 3*IQR fences, per (series, column); columns without values are left out.
 
-    Quartiles: partial-combined aggregate per (keys, column), joined back on
-    (keys, column); the counting is a second aggregate.
+    Quartiles: one partial-combined aggregate per series over all columns, joined back on
+    the keys; the counting is a second aggregate, and the columns become rows last.
     """
-    long = to_long(df, keys, cols).where(F.col("value").isNotNull())
-    q = long.groupBy(*keys, "column").agg(quantiles(F.col("value"), [0.25, 0.75], exact).alias("_q"))
-    q = q.select(*keys, "column", F.col("_q")[0].alias("q1"), F.col("_q")[1].alias("q3"),
-                 (F.col("_q")[1] - F.col("_q")[0]).alias("iqr"))
-    j = long.join(q, on=keys + ["column"])
-    q1, q3, iqr, v = F.col("q1"), F.col("q3"), F.col("iqr"), F.col("value")
-    out15 = (v < q1 - 1.5 * iqr) | (v > q3 + 1.5 * iqr)
-    out3 = (v < q1 - 3 * iqr) | (v > q3 + 3 * iqr)
-    return j.groupBy(*keys, "column", "q1", "q3", "iqr").agg(
-        F.count(v).alias("n"),
-        F.count_if(out15).alias("n_out_1_5"), (F.avg(out15.cast("double")) * 100).alias("pct_out_1_5"),
-        F.count_if(out3).alias("n_out_3"), (F.avg(out3.cast("double")) * 100).alias("pct_out_3"))
+    base = df.select(*keys, *[nan_to_null(c).cast("double").alias(f"_v{i}") for i, c in enumerate(cols)])
+    q = base.groupBy(*keys).agg(*[quantiles(F.col(f"_v{i}"), [0.25, 0.75], exact).alias(f"_q{i}") for i in range(len(cols))])
+    aggs = []
+    for i in range(len(cols)):
+        v, q1, q3 = F.col(f"_v{i}"), F.col(f"_q{i}")[0], F.col(f"_q{i}")[1]
+        iqr = q3 - q1
+        aggs += [F.first(q1).alias(f"_{i}_q1"), F.first(q3).alias(f"_{i}_q3"), F.first(iqr).alias(f"_{i}_iqr"), F.count(v).alias(f"_{i}_n")]
+        for name, k in (("1_5", 1.5), ("3", 3.0)):
+            out = (v < q1 - k * iqr) | (v > q3 + k * iqr)
+            aggs += [F.count_if(out).alias(f"_{i}_n_out_{name}"), (F.avg(out.cast("double")) * 100).alias(f"_{i}_pct_out_{name}")]
+    fields = ["q1", "q3", "iqr", "n", "n_out_1_5", "pct_out_1_5", "n_out_3", "pct_out_3"]
+    return by_column(base.join(q, on=keys).groupBy(*keys).agg(*aggs), keys, cols, fields).where(F.col("n") > 0)
 
 
 # --- fitted transforms -------------------------------------------------------------------------
