@@ -204,7 +204,7 @@ def q_grid_search(spark, sf_dir):
     train, _, pipe = _class_frames(spark, sf_dir)
     cv = grid_search(train, pipe.features, TARGET_CLASS, [0, 1, 2, 3],
                      {"numTrees": [50, 100], "maxDepth": [5, 10]}, k=5, weight_col="weight")
-    rows = [(str(pm), float(score), score == max(cv.avgMetrics)) for pm, score in
+    rows = [(str(pm), float(score), bool(score == max(cv.avgMetrics))) for pm, score in
             zip([{p.name: v for p, v in m.items()} for m in cv.getEstimatorParamMaps()], cv.avgMetrics)]
     return spark.createDataFrame(rows, "params string, macro_f1 double, best boolean")
 
