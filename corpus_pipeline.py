@@ -33,7 +33,7 @@ def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents repeated so that the quality domains meet their target token shares; none is thinned out."""
+    """Documents repeated so that the quality domains meet their target token shares, or come as near as they can; every one keeps a copy."""
     _, mixed = queries.mixture(docs.select("doc_id", "text"), table(spark, sf_dir, "labels"))
     return mixing.apply(docs, mixed)
 

@@ -10,7 +10,9 @@ with w_d the document's share of all tokens, p_d its posterior and t the targets
 the expected share of every domain meets its target where that is possible.  In
 the metric of the weights the gradient of a document is p_d M^-1 (s - t) and the
 largest eigenvalue is 1, so accelerated projected gradient steps of length 1
-from r = 1 converge.  A step is one distributed sum over a narrow written table; the driver
+from r = 1 converge.  Under "cover" the bound is r >= 1, so that every document keeps
+a copy; targets that are then out of reach get the least squares solution, and the
+shares that are reached are logged.  A step is one distributed sum over a narrow written table; the driver
 keeps the steps' K-vectors, and a document's rate is replayed from them.  A
 document is repeated floor(r + u) times, u a hash of its id in [0, 1).
 
@@ -22,6 +24,7 @@ are scaled up; repeated rows are rows of their own; an empty table gives no rows
 
 from __future__ import annotations
 
+import logging
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -122,11 +125,11 @@ def training_rows(docs: DataFrame, labels: DataFrame, domain: str = "quality", p
     return [((r["text"] or "").encode(), r["domain"], 1 / rate[r["domain"]]) for r in found]
 
 
-def replay(p: np.ndarray, steps: list[list[float]]) -> tuple[np.ndarray, np.ndarray]:
-    """Rates of posteriors after accelerated projected gradient steps, and the point where the next gradient is taken."""
+def replay(p: np.ndarray, steps: list[list[float]], least: float = 0.0) -> tuple[np.ndarray, np.ndarray]:
+    """Rates (``least`` or more) of posteriors after accelerated projected gradient steps, and the point where the next gradient is taken."""
     r = y = np.ones(len(p))
     for k, c in enumerate(steps):
-        before, r = r, np.maximum(0, y + p @ np.array(c))
+        before, r = r, np.maximum(least, y + p @ np.array(c))
         y = r + k / (k + 3) * (r - before)
     return r, y
 
@@ -138,6 +141,12 @@ class Mixture:
     totals: dict  # expected tokens of each domain before mixing
     targets: dict  # target tokens
     reached: dict  # expected tokens after mixing
+    least: float = 0.0  # lower bound of all rates
+
+    def reached_shares(self) -> dict:
+        """Expected token share of each domain after mixing."""
+        total = sum(self.reached.values())
+        return {n: v / total for n, v in self.reached.items()} if total > 0 else {}
 
 
 def memberships(docs: DataFrame, domains: Domains) -> DataFrame:
@@ -156,9 +165,9 @@ def memberships(docs: DataFrame, domains: Domains) -> DataFrame:
 
 
 def fit_rates(members: DataFrame, domains: Domains, targets: dict, total: float | str | None = None) -> Mixture:
-    """Projected-gradient rates.  ``total``: tokens wanted (None: as many as there are; "cover": the least at which no document's
-    rate falls below 1, or where there is none, at which no domain shrinks)."""
-    k = len(domains.names)
+    """Projected-gradient rates.  ``total``: tokens wanted (None: as many as there are; "cover": all rates are 1 or more, at the
+    least total that meets the targets so, or where there is none, near the least at which no domain shrinks)."""
+    k, least = len(domains.names), 1.0 if total == "cover" else 0.0
 
     def sums(steps):
         """Sums of w p r, w p y, w p p' and w, from one row a task."""
@@ -168,7 +177,7 @@ def fit_rates(members: DataFrame, domains: Domains, targets: dict, total: float
                 if b.num_rows:
                     w = b.column("tokens").to_numpy(zero_copy_only=False).astype(float)
                     p = np.stack(b.column("posterior").to_numpy(zero_copy_only=False))
-                    r, y = replay(p, steps)
+                    r, y = replay(p, steps, least)
                     s += p.T @ (w * r)
                     s_next += p.T @ (w * y)
                     m += (p * w[:, None]).T @ p
@@ -181,11 +190,11 @@ def fit_rates(members: DataFrame, domains: Domains, targets: dict, total: float
         return flat[:k], flat[k:2 * k], flat[2 * k:-1].reshape(k, k), flat[-1]
 
     if not k:
-        return Mixture(domains, [], {}, {}, {})
+        return Mixture(domains, [], {}, {}, {}, least)
     s, _, m, tokens = sums([])
     share = np.array([float(targets.get(n, 0.0)) for n in domains.names])
     if tokens <= 0 or share.sum() <= 0:
-        return Mixture(domains, [], {}, {}, {})
+        return Mixture(domains, [], {}, {}, {}, least)
     share /= share.sum()
     start = s / tokens
     inverse = np.linalg.pinv(m / tokens, rcond=1e-10)
@@ -207,7 +216,10 @@ def fit_rates(members: DataFrame, domains: Domains, targets: dict, total: float
         if np.abs(now - before).max() <= STALL:  # the targets are out of reach: the least squares solution stands
             break
     as_map = lambda v: dict(zip(domains.names, (v * tokens).tolist(), strict=True))
-    return Mixture(domains, steps, as_map(start), as_map(goal), as_map(now))
+    mixture = Mixture(domains, steps, as_map(start), as_map(goal), as_map(now), least)
+    if np.abs(goal - now).max() > 1e-3 * scale:
+        logging.getLogger(__name__).warning("target shares %s are out of reach, reached: %s", dict(zip(domains.names, share.tolist(), strict=True)), mixture.reached_shares())
+    return mixture
 
 
 def _copies(rate: F.Column, *key: str) -> F.Column:
@@ -217,12 +229,12 @@ def _copies(rate: F.Column, *key: str) -> F.Column:
 
 def rates(members: DataFrame, mixture: Mixture) -> DataFrame:
     """doc_id, tokens, posterior, rate and copies of every document."""
-    steps = mixture.steps
+    steps, least = mixture.steps, mixture.least
 
     def run(batches):
         for b in batches:
             p = np.stack(b.column("posterior").to_numpy(zero_copy_only=False)) if b.num_rows and steps else np.zeros((b.num_rows, 1))
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(replay(p, steps)[0], pa.float64())], names=[*b.schema.names, "rate"])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(replay(p, steps, least)[0], pa.float64())], names=[*b.schema.names, "rate"])
 
     kinds = "pos long, doc_id long, tokens long, posterior array<double>, rate double"
     return members.mapInArrow(run, kinds).withColumn("copies", _copies(F.col("rate"), "doc_id", "pos"))
@@ -230,12 +242,12 @@ def rates(members: DataFrame, mixture: Mixture) -> DataFrame:
 
 def apply(docs: DataFrame, mixture: Mixture) -> DataFrame:
     """The documents repeated (or left out) by their rates, all columns as they were; no shuffle."""
-    steps, domains = mixture.steps, mixture.domains
+    steps, domains, least = mixture.steps, mixture.domains, mixture.least
     pos, rate, copy = (fresh(docs, c) for c in ("__pos", "__rate", "__copy"))
 
     def run(batches):
         for b in batches:
-            r = replay(domains.posteriors(text_bytes(b.column("text"))), steps)[0] if steps else np.ones(b.num_rows)
+            r = replay(domains.posteriors(text_bytes(b.column("text"))), steps, least)[0] if steps else np.ones(b.num_rows)
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(r, pa.float64())], names=[*b.schema.names, rate])
 
     rows = docs.withColumn(pos, F.monotonically_increasing_id())

@@ -140,6 +140,25 @@ def test_rates_out_of_reach(spark):
     assert (got.rate >= 0).all() and loss(got.rate.to_numpy()) <= loss(plain_rates(post, tokens, np.array([0.05, 0.95]))) * 1.05
 
 
+@pytest.mark.parametrize("low,high", [(0.02, 0.98), (0.1, 0.9), (0.3, 0.7)])
+def test_cover_keeps_every_document_of_soft_posteriors(spark, low, high):
+    p = np.linspace(low, high, 300)
+    members = spark.createDataFrame([(i, i, 10 + i % 7, [float(1 - x), float(x)]) for i, x in enumerate(p)], "pos long, doc_id long, tokens long, posterior array<double>")
+    mixed = mixing.fit_rates(members, mixing.Domains([0, 1]), mixing.TARGETS, "cover")
+    got = mixing.rates(members, mixed).toPandas().sort_values("pos")
+    assert got.rate.min() >= 1 and got.copies.min() >= 1
+    post, w = np.stack(got.posterior), got.tokens.to_numpy(float) / got.tokens.sum()
+    goal, inverse = np.array([mixed.targets[0], mixed.targets[1]]) / got.tokens.sum(), np.linalg.pinv((post * w[:, None]).T @ post)
+    other = np.ones(len(post))
+    for _ in range(2000):
+        other = np.maximum(1, other + 0.5 * post @ (inverse @ (goal - post.T @ (w * other))))
+    gap, best = (post.T @ (w * r) - goal for r in (got.rate.to_numpy(), other))
+    assert gap @ inverse @ gap <= best @ inverse @ best * 1.05
+    sums = post.T @ (got.tokens.to_numpy() * got.rate.to_numpy())
+    assert mixed.reached_shares() == pytest.approx(dict(enumerate(sums / sums.sum())), rel=1e-6)
+    assert (post.T @ w)[1] < mixed.reached_shares()[1] < 0.85
+
+
 def test_mixing_query_and_stage(spark):
     got = op2_mixing(spark, SF).toPandas()
     docs = spark.read.parquet(f"{SF}/documents.parquet")
