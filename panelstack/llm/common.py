@@ -30,6 +30,12 @@ def id_crc(col) -> F.Column:
     return F.crc32(F.coalesce(col.cast("string"), F.lit("")).cast("binary"))
 
 
+def one_row(rows: DataFrame, label: str) -> DataFrame:
+    """One text of each doc_id and label: that of the least hash."""
+    least = F.min(F.struct(F.xxhash64("text").alias("h"), F.col("text").alias("text"))).alias("least")
+    return rows.groupBy("doc_id", label).agg(least).select("doc_id", label, F.col("least.text").alias("text"))
+
+
 def text_bytes(column) -> list[bytes]:
     """UTF-8 bytes of an Arrow string column; null counts as empty."""
     return [b if b is not None else b"" for b in column.cast(pa.binary()).to_pylist()]

@@ -5,7 +5,7 @@ a softmax over their joined states labels every byte, and a document's
 probabilities are the mean over all its bytes.  Texts are cut into windows whole,
 and the windows of many documents are the lanes of one numpy computation.  The
 network is trained in numpy by backpropagation through time, on windows of a
-bounded sample of labelled documents (``per_lang`` each, by a hash of the id).
+bounded sample of labelled documents (``per_lang`` each, by a hash of id and text).
 
 Defined cases: null texts, and texts without a letter, are ``und`` with score 0;
 so is everything when no labelled row is given; with one language all others get
@@ -195,19 +195,20 @@ def train(rows: list[tuple[bytes, str]], units: int = UNITS, steps: int = STEPS,
 
 
 def training_rows(docs: DataFrame, per_lang: int = PER_LANG) -> list[tuple[bytes, str]]:
-    """A bounded sample of (text, lang): about ``per_lang`` rows of each language, by a hash of the id.
+    """A bounded sample of (text, lang): about ``per_lang`` rows of each language, by a hash of id and text.
 
-    Of a long text it takes 16 slices of 512 characters spread over the whole.
+    Copies of a row count once, so rows without an id or of one id are drawn like all others.  Of a long text it takes 16 slices of 512 characters spread over the whole.
     """
     known = docs.filter(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
-    counts = known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGS).collect()
+    key = F.xxhash64("doc_id", "text")
+    counts = known.groupBy("lang").agg(F.greatest(F.lit(1), F.approx_count_distinct(key)).alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGS).collect()
     if not counts:
         return []
     rates = F.create_map(*[F.lit(x) for r in counts for x in (r["lang"], min(1.0, per_lang / r["n"]))])
-    u = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    u = F.pmod(key, F.lit(1 << 30)) / F.lit(float(1 << 30))
     spread = F.expr("CASE WHEN length(text) <= 8192 THEN text ELSE array_join(transform(sequence(0, 15), "
                     "i -> substring(text, cast(1 + i * (length(text) - 512) / 15 AS int), 512)), ' ') END")
-    rows = known.filter(u < F.try_element_at(rates, F.col("lang"))).select("doc_id", "lang", spread.alias("text")).collect()
+    rows = known.filter(u < F.try_element_at(rates, F.col("lang"))).select("doc_id", "lang", spread.alias("text")).distinct().collect()
     found: dict[str, list] = {}
     for r in sorted(rows, key=lambda r: (r["lang"], r["doc_id"] is None, r["doc_id"] or 0, r["text"])):
         found.setdefault(r["lang"], []).append((r["text"].encode(), r["lang"]))

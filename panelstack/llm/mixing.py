@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelstack.llm.common import fresh, lean, slices, text_bytes
+from panelstack.llm.common import fresh, lean, one_row, slices, text_bytes
 from panelstack.session import materialize
 
 #: Labelled documents of each domain that the fit reads at most (in expectation); hashed trigrams; characters of a long text.
@@ -108,7 +108,7 @@ def fit_domains(rows: list[tuple[bytes, object, float]], ridge: float = 3e-4, st
 
 def training_rows(docs: DataFrame, labels: DataFrame, domain: str = "quality", per_domain: int = PER_DOMAIN) -> list[tuple[bytes, object, float]]:
     """A bounded sample of labelled documents, by a hash of the id: (text, domain, documents it stands for)."""
-    known = labels.filter(F.col(domain).isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max(domain).alias("domain"))
+    known = labels.filter(F.col(domain).isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max(domain).alias("domain")).join(docs.select("doc_id").distinct(), "doc_id", "left_semi")
     counts = {r["domain"]: r["n"] for r in known.groupBy("domain").agg(F.count(F.lit(1)).alias("n")).collect()}
     if not counts:
         return []
@@ -120,7 +120,8 @@ def training_rows(docs: DataFrame, labels: DataFrame, domain: str = "quality", p
     spread = F.expr(f"CASE WHEN length(text) <= {CHARS_PER_DOC} THEN text ELSE array_join(transform(sequence(0, 63), "
                     f"i -> substring(text, cast(1 + i * (length(text) - {CHARS_PER_DOC // 64}) / 63 AS int), {CHARS_PER_DOC // 64})), ' ') END")
     # About per_domain rows of each domain: a bounded side.
-    found = docs.select("doc_id", spread.alias("text")).join(F.broadcast(known.filter(keep)), "doc_id").collect()
+    # One row an id, so that a repeated id cannot fill the sample.
+    found = one_row(docs.select("doc_id", spread.alias("text")).join(F.broadcast(known.filter(keep)), "doc_id"), "domain").collect()
     found.sort(key=lambda r: (r["doc_id"], r["text"] or ""))
     return [((r["text"] or "").encode(), r["domain"], 1 / rate[r["domain"]]) for r in found]
 

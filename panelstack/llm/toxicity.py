@@ -30,7 +30,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelstack.llm.common import WordHasher, lean, shingles, text_bytes
+from panelstack.llm.common import WordHasher, lean, one_row, shingles, text_bytes
 
 #: Documents of each label that the fit reads at most (in expectation).  Of a longer text it takes this many
 #: characters in 64 slices spread evenly over the whole.
@@ -180,7 +180,7 @@ def training_rows(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS
     Only rows that may be learnt from should be passed.
     """
     # A label for an id is settled first: of several the largest counts.
-    known = labels.filter(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    known = labels.filter(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("toxic")).join(docs.select("doc_id").distinct(), "doc_id", "left_semi")
     counts = {r["toxic"]: r["n"] for r in known.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     rate = {y: min(1.0, per_class / n) for y, n in counts.items()}
     if not rate:
@@ -192,8 +192,9 @@ def training_rows(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS
     chosen = known.filter(keep)  # about per_class rows of each label
     spread = F.expr(f"CASE WHEN length(text) <= {CHARS_PER_DOC} THEN text ELSE array_join(transform(sequence(0, 63), "
                     f"i -> substring(text, cast(1 + i * (length(text) - {CHARS_PER_DOC // 64}) / 63 AS int), {CHARS_PER_DOC // 64})), ' ') END")
-    found = (docs.select("doc_id", spread.alias("text")).join(F.broadcast(chosen), "doc_id")
-             .select("doc_id", "text", "toxic", u.alias("u")).collect())
+    rows = docs.select("doc_id", spread.alias("text")).join(F.broadcast(chosen), "doc_id")
+    # One row an id, so that a repeated id cannot fill the sample.
+    found = one_row(rows, "toxic").select("doc_id", "text", "toxic", u.alias("u")).collect()
     found.sort(key=lambda r: (r["u"], r["doc_id"], r["text"] or ""))
     return [((r["text"] or "").encode(), int(r["toxic"]), 1 / rate[r["toxic"]]) for r in found]
 

@@ -59,6 +59,18 @@ def test_language_odd_cases(spark):
     assert langid.identify(cases.no_docs(spark), net).count() == 0
 
 
+def test_samples_are_bounded_on_skewed_ids(spark):
+    ids = [None] * 1500 + [5] * 1500 + list(range(1000, 2000))
+    docs = spark.createDataFrame([(i, f"word {n}", "en") for n, i in enumerate(ids)] + [(7, "copy", "en")] * 500, "doc_id long, text string, lang string")
+    rows = langid.training_rows(docs, per_lang=100)
+    assert 40 < len(rows) < 200
+    assert len(langid.training_rows(docs.filter("doc_id = 7"), per_lang=100)) == 1
+    labels = labelled(spark, [(i, i % 2, i % 2, "x") for i in (5, 6, 7, *range(1000, 2000))])
+    for found in (toxicity.training_rows(docs, labels, 2000), mixing.training_rows(docs, labels, per_domain=2000)):
+        assert len(found) == 1002 and {r[2] for r in found} == {1.0}  # every labelled id that has a document, once
+    assert len(toxicity.training_rows(docs, labels, 100)) < 400
+
+
 def test_toxicity_held_out(spark):
     got = op8_toxicity(spark, SF_LARGER).toPandas().set_index("doc_id")
     labels = spark.read.parquet(f"{SF_LARGER}/labels.parquet").toPandas().set_index("doc_id").toxic
