@@ -23,8 +23,9 @@ from pyspark.sql import functions as F
 
 from panelstack.llm.common import lean, slices, text_bytes
 
-#: Documents of each language that training samples (in expectation), and the most languages it learns (by rows).
-PER_LANG, MAX_LANGS = 300, 256
+#: Documents of each language that training samples (in expectation); languages above which a network has MANY_UNITS units
+#: and a sampled text fewer characters (the sample's characters stay bounded, every language is learnt).
+PER_LANG, MANY_LANGS, MANY_UNITS = 300, 256, 24
 UNITS, WINDOW, TRAIN_WINDOW, LANES, TRAIN_LANES, STEPS = 10, 128, 48, 4096, 256, 300
 UNDETERMINED = "und"
 
@@ -90,7 +91,8 @@ class Net:
         # Whole windows run together; the others run by length, so that little is computed outside of texts.
         whole, rest = np.flatnonzero(left == WINDOW), np.flatnonzero(left < WINDOW)
         rest = rest[np.argsort(left[rest], kind="stable")]
-        for order in (x[i:i + LANES] for x in (whole, rest) for i in range(0, len(x), LANES)):
+        n_lanes = min(LANES, max(16, LANES * 64 // len(self.langs)))  # probabilities of a chunk: 128 MB up to 16384 languages
+        for order in (x[i:i + n_lanes] for x in (whole, rest) for i in range(0, len(x), n_lanes)):
             t_max = int(left[order].max())
             index = at[order][None, :] + np.arange(t_max)[:, None]
             inside = np.arange(t_max)[:, None] < left[order][None, :]
@@ -100,8 +102,7 @@ class Net:
             if not full:
                 p *= inside[:, :, None]
             lane_sums = p.sum(axis=0)
-            for j in range(sums.shape[1]):
-                sums[:, j] += np.bincount(doc[order], weights=lane_sums[:, j], minlength=len(texts))
+            np.add.at(sums, doc[order], lane_sums)
         return sums / sizes[:, None]
 
 
@@ -159,12 +160,13 @@ def loss_and_grads(net: Net, seq: np.ndarray, labels: np.ndarray) -> tuple[float
     return loss, grads
 
 
-def train(rows: list[tuple[bytes, str]], units: int = UNITS, steps: int = STEPS, seed: int = 7) -> Net | None:
+def train(rows: list[tuple[bytes, str]], units: int | None = None, steps: int = STEPS, seed: int = 7) -> Net | None:
     """Network from (text, language); every language weighs the same, every document of one too."""
     rows = [r for r in rows if r[0]]
     if not rows:
         return None
     langs = sorted({r[1] for r in rows})
+    units = units or (UNITS if len(langs) <= MANY_LANGS else MANY_UNITS)
     rng = np.random.default_rng(seed)
 
     def start(*shape):
@@ -173,7 +175,10 @@ def train(rows: list[tuple[bytes, str]], units: int = UNITS, steps: int = STEPS,
     w = {"xf": start(256, 3 * units), "xb": start(256, 3 * units), "uf": start(units, 3 * units), "ub": start(units, 3 * units),
          "o": start(2 * units, len(langs)), "c": np.zeros(len(langs), np.float32)}
     net = Net(langs, w)
-    by = [[t for t, x in rows if x == lang] for lang in langs]
+    texts: dict[str, list] = {lang: [] for lang in langs}
+    for t, lang in rows:
+        texts[lang].append(t)
+    by = list(texts.values())
     m, v = ({a: np.zeros_like(b) for a, b in w.items()} for _ in range(2))
     for step in range(1, steps + 1):
         labels = rng.integers(0, len(langs), TRAIN_LANES)
@@ -197,18 +202,21 @@ def train(rows: list[tuple[bytes, str]], units: int = UNITS, steps: int = STEPS,
 def training_rows(docs: DataFrame, per_lang: int = PER_LANG) -> list[tuple[bytes, str]]:
     """A bounded sample of (text, lang): about ``per_lang`` rows of each language, by a hash of id and text.
 
-    Copies of a row count once, so rows without an id or of one id are drawn like all others.  Of a long text it takes 16 slices of 512 characters spread over the whole.
+    Copies of a row count once, so rows without an id or of one id are drawn like all others.  Of a long text it takes 16 slices of 512 characters spread over the whole,
+    fewer where there are more than MANY_LANGS languages.
     """
-    known = docs.filter(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
+    known = docs.select("doc_id", "text", "lang").filter(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
     key = F.xxhash64("doc_id", "text")
-    counts = known.groupBy("lang").agg(F.greatest(F.lit(1), F.approx_count_distinct(key)).alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGS).collect()
+    counts = known.groupBy("lang").agg(F.greatest(F.lit(1), F.approx_count_distinct(key)).alias("n")).collect()
     if not counts:
         return []
-    rates = F.create_map(*[F.lit(x) for r in counts for x in (r["lang"], min(1.0, per_lang / r["n"]))])
+    rates = docs.sparkSession.createDataFrame([(r["lang"], min(1.0, per_lang / r["n"])) for r in counts], "lang string, rate double")
     u = F.pmod(key, F.lit(1 << 30)) / F.lit(float(1 << 30))
-    spread = F.expr("CASE WHEN length(text) <= 8192 THEN text ELSE array_join(transform(sequence(0, 15), "
-                    "i -> substring(text, cast(1 + i * (length(text) - 512) / 15 AS int), 512)), ' ') END")
-    rows = known.filter(u < F.try_element_at(rates, F.col("lang"))).select("doc_id", "lang", spread.alias("text")).distinct().collect()
+    chars = max(128, 8192 * MANY_LANGS // max(MANY_LANGS, len(counts)))
+    n = max(2, chars // 512)
+    spread = F.expr(f"CASE WHEN length(text) <= {chars} THEN text ELSE array_join(transform(sequence(0, {n - 1}), "
+                    f"i -> substring(text, cast(1 + i * (length(text) - {chars // n}) / {n - 1} AS int), {chars // n})), ' ') END")
+    rows = known.join(F.broadcast(rates), "lang").filter(u < F.col("rate")).select("doc_id", "lang", spread.alias("text")).distinct().collect()
     found: dict[str, list] = {}
     for r in sorted(rows, key=lambda r: (r["lang"], r["doc_id"] is None, r["doc_id"] or 0, r["text"])):
         found.setdefault(r["lang"], []).append((r["text"].encode(), r["lang"]))

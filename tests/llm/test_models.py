@@ -71,6 +71,15 @@ def test_samples_are_bounded_on_skewed_ids(spark):
     assert len(toxicity.training_rows(docs, labels, 100)) < 400
 
 
+def test_every_language_is_learnt(spark):
+    rows = [(n, f"text of tongue {n % 300} " + "x" * (n % 7), f"t{n % 300:03}") for n in range(900)]
+    sample = langid.training_rows(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert len(sample) == 900
+    net = langid.train(sample, steps=2)
+    assert net.langs == [f"t{i:03}" for i in range(300)]
+    assert net.document([b"text", b"y" * 1000]).sum(axis=1) == pytest.approx([1, 1], abs=1e-4)
+
+
 def test_toxicity_held_out(spark):
     got = op8_toxicity(spark, SF_LARGER).toPandas().set_index("doc_id")
     labels = spark.read.parquet(f"{SF_LARGER}/labels.parquet").toPandas().set_index("doc_id").toxic
