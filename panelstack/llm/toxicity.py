@@ -1,8 +1,9 @@
 """Toxicity by compression distance.
 
 Two zstandard dictionaries are trained, on windows of toxic and of ordinary
-text.  What the toxic dictionary holds at the beginnings of words is kept where
-toxic training documents use it clearly more often than ordinary ones; appended
+text.  What the toxic dictionary holds at the beginnings of words, and from any
+character outside ASCII, is kept where toxic training documents use it clearly
+more often than ordinary ones; appended
 to the ordinary dictionary it gives the toxic one, so that both compress
 ordinary text alike.  Every window of a text is compressed with both; the bytes
 saved by the toxic dictionary, at several window widths, are turned into a
@@ -58,8 +59,13 @@ def windows(text: bytes, width: int) -> list[bytes]:
 
 
 def word_starts(text: bytes) -> set[bytes]:
-    """First bytes of the text's words, in several lengths, behind a space."""
-    return {b" " + w[:n] for w in set(text.split()) for n in _GRAMS if len(w) >= n or n == _GRAMS[-1]}
+    """First bytes of the text's words, in several lengths, behind a space; and bytes from every character outside ASCII, as scripts may set no spaces."""
+    words = set(text.split())
+    out = {b" " + w[:n] for w in words for n in _GRAMS if len(w) >= n or n == _GRAMS[-1]}
+    for w in words:
+        if not w.isascii():
+            out.update(w[i:i + n] for i in range(len(w)) if w[i] >= 0xC0 for n in _GRAMS if i + n <= len(w))
+    return out
 
 
 @dataclass
@@ -127,7 +133,7 @@ def train_dictionaries(texts: list[bytes], toxic: np.ndarray) -> Model:
         x, share = seen_bad[c], (seen_good[c] + 0.5) / (len(good) + 1)
         rate = x / max(1, len(bad))
         z = (rate - share) / np.sqrt(share * (1 - share) / max(1, len(bad)) + 1e-12)
-        if x >= max(3, 0.015 * len(bad)) and rate > 6 * share and z > 10:
+        if x >= 3 and rate > 6 * share and z > 10:
             found.append((z, c))
     kept: list[bytes] = []
     for _, c in sorted(found, reverse=True):

@@ -96,6 +96,16 @@ def labelled(spark, rows):
     return spark.createDataFrame(rows, "doc_id long, quality int, toxic int, score string")
 
 
+def test_toxic_terms_need_no_share_and_no_spaces():
+    rng = np.random.default_rng(3)
+    signs = [chr(0x4E00 + i) for i in range(200)]
+    prose = lambda i: cases.prose(5, i) + " " + "".join(rng.choice(signs, 8))
+    bad = [prose(i) + (" scoundrel" if i % 100 == 0 else "") + ("龍龍龜龜" + signs[i % 200] if i % 100 == 1 else "") for i in range(1200)]
+    good = [prose(5000 + i) for i in range(1200)]
+    model = toxicity.train_dictionaries([t.encode() for t in bad + good], np.arange(2400) < 1200)
+    assert b"scoundre" in model.toxic and "龍龍".encode() in model.toxic  # each in 12 of 1200 texts
+
+
 def test_toxicity_odd_cases(spark):
     docs = cases.odd_docs(spark)
     bad = [(100 + i, cases.prose(40, i) + " vile scoundrel " + cases.prose(20, 50 + i)) for i in range(60)]
