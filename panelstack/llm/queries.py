@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelstack.llm import bpe, chat, exact_dedup, langid, lm, mixing, near_dedup, sharding, topk, toxicity
+from panelstack.llm import align, bpe, chat, exact_dedup, hard_negatives, langid, lm, mixing, near_dedup, secret_scan, sharding, topk, toxicity
 from panelstack.llm.common import id_crc, table
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -127,5 +127,42 @@ SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size, doc
 FROM d WINDOW w AS (PARTITION BY t)
 """
 
-QUERIES = {"op1_sharding": op1_sharding, "op2_mixing": op2_mixing, "op3_topk": op3_topk, "op4_lm_score": op4_lm_score, "op5_language": op5_language, "op6_near_dedup": op6_near_dedup, "op7_bpe": op7_bpe, "op8_toxicity": op8_toxicity, "op9_chat": op9_chat, "op10_exact_dedup": op10_exact_dedup}
-ORACLES = {"op1_sharding": OP1_SQL, "op3_topk": OP3_SQL, "op10_exact_dedup": OP10_SQL}
+
+def op11_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets in every document: three patterns and incompressible strings near sensitive words."""
+    return secret_scan.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three different-label vectors at half to 95 % of each positive's score, for the five positives of every vector whose id is divisible by 50."""
+    found = hard_negatives.mine(table(spark, sf_dir, "embeddings"), anchor_step=50, positives=5, negatives=3, scale=256.0, flip=(7, 10))
+    return found.select("anchor_id", "positive_id", "rank", "negative_id", "positive_score", "negative_score")
+
+
+OP12_SQL = """
+WITH v AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS e FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0 AND list_bool_and(list_transform(embedding, lambda x: x IS NOT NULL AND isfinite(x)))
+), s AS (
+  SELECT q.vec_id AS anchor_id, c.vec_id AS other_id, q.label = c.label AS same, list_dot_product(q.e::DOUBLE[], c.e::DOUBLE[])::BIGINT AS score
+  FROM v q JOIN v c ON q.vec_id <> c.vec_id AND len(q.e) = len(c.e) WHERE q.vec_id % 50 = 0
+), p AS (
+  SELECT anchor_id, other_id AS positive_id, score AS positive_score FROM s WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, other_id) <= 5
+)
+SELECT p.anchor_id, p.positive_id, row_number() OVER (PARTITION BY p.anchor_id, p.positive_id ORDER BY s.score DESC, s.other_id)::INTEGER AS rank,
+  s.other_id AS negative_id, p.positive_score, s.score AS negative_score
+FROM p JOIN s ON s.anchor_id = p.anchor_id AND NOT s.same AND 50 * p.positive_score <= 100 * s.score AND 100 * s.score <= 95 * p.positive_score
+QUALIFY rank <= 3
+"""
+
+
+def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups and links between two public tokenizers' tokens of every document, weighed by corpus-wide pair counts."""
+    import public_tokenizers
+    return align.align(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+QUERIES = {"op1_sharding": op1_sharding, "op2_mixing": op2_mixing, "op3_topk": op3_topk, "op4_lm_score": op4_lm_score, "op5_language": op5_language, "op6_near_dedup": op6_near_dedup, "op7_bpe": op7_bpe, "op8_toxicity": op8_toxicity, "op9_chat": op9_chat, "op10_exact_dedup": op10_exact_dedup,
+           "op11_secrets": op11_secrets, "op12_hard_negatives": op12_hard_negatives, "op13_alignment": op13_alignment}
+ORACLES = {"op1_sharding": OP1_SQL, "op3_topk": OP3_SQL, "op10_exact_dedup": OP10_SQL, "op12_hard_negatives": OP12_SQL}
