@@ -29,6 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from panelstack.llm.common import lean
+from panelstack.session import materialize
 
 # The base patterns and the least lengths of what they find.
 ASSIGN = r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -39,7 +40,7 @@ KINDS = ("assign", "access", "hex", "novel")
 SENSITIVE = r"pass(?:wor)?d|passphrase|passwd|pwd|secret|token|(?:api|access|private|signing|account)[_-]?key|credential|bearer|authorization|signature"
 REACH, KEY, LEAST = 64, r"[A-Za-z0-9+/_.=-]", 12
 #: Code points of the surroundings on either side, narrow to wide; least added bytes a character; parts and bytes of the identifier dictionary.
-WIDTHS, NOVELTY, PARTS, DICT_BYTES = (96, 160, 256), 0.75, 16384, 112 << 10
+WIDTHS, NOVELTY, PARTS, DICT_BYTES = (256, 288, 320, 352, 384), 0.75, 16384, 112 << 10
 #: Distinct parts that a task sums before it hands them on.
 HELD = 1 << 18
 #: Lines of parts to train on; zstandard level of the training.
@@ -66,7 +67,7 @@ def identifier_counts(batches):
 
 
 def trained(parts: list[str]) -> bytes:
-    """A zstandard dictionary, entropy tables included, of identifier parts that come commonest first; empty if they are too few to train on.
+    """A zstandard dictionary, entropy tables included, of identifier parts that come commonest first; the parts alone where they are too few to train on.
 
     The samples are lines of parts: a common part stands in more of them than a rare one.
     """
@@ -76,17 +77,28 @@ def trained(parts: list[str]) -> bytes:
     for i, part in enumerate(parts):
         for j in range(max(1, min(SAMPLES, 4 * len(parts) // (i + 1) // 64))):
             lines[(i * 7919 + j * 31) % SAMPLES].append(part)
-    try:
-        return zstandard.train_dictionary(DICT_BYTES, [" ".join(x).encode() for x in lines if x], level=LEVEL).as_bytes()
-    except zstandard.ZstdError:
-        return b""
+    lines, size = [" ".join(x).encode() for x in lines if x], DICT_BYTES
+    while size >= 512:  # a small corpus trains a small dictionary
+        try:
+            return zstandard.train_dictionary(size, lines, level=LEVEL).as_bytes()
+        except zstandard.ZstdError:
+            size //= 4
+    return " ".join(reversed(parts)).encode()
 
 
 def identifier_dictionary(docs: DataFrame, text_col: str = "text") -> bytes:
-    """The dictionary of the commonest identifier parts of all documents; at most PARTS of them reach the driver."""
+    """The dictionary of the PARTS identifier parts that stand in most documents (two at least).
+
+    The driver gets them and a histogram of the counts' logarithms, which tells from what count on to look.
+    """
     counts = docs.select(F.col(text_col).cast("string").alias("text")).mapInArrow(lean(identifier_counts), "part string, n long")
-    top = counts.groupBy("part").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "part").limit(PARTS).collect()
-    return trained([r.part for r in top])
+    counts = materialize(counts.groupBy("part").agg(F.sum("n").alias("n")).filter("n > 1").withColumn("size", F.floor(F.log2("n") * 16)), "secret-parts")
+    least, held = 0, 0
+    for r in sorted(counts.groupBy("size").count().collect(), reverse=True):
+        least, held = r["size"], held + r["count"]
+        if held >= PARTS:
+            break
+    return trained([r.part for r in counts.filter(F.col("size") >= least).orderBy(F.desc("n"), "part").limit(PARTS).collect()])
 
 
 def base_spans(text: str) -> list[tuple[int, int, str]]:
@@ -113,20 +125,21 @@ class Novelty:
         params = zstandard.ZstdCompressionParameters(window_log=18, hash_log=16, chain_log=16, search_log=4, min_match=4, strategy=zstandard.STRATEGY_GREEDY,
                                                      write_content_size=False, write_checksum=False, write_dict_id=False)
         primed = {}
-        if dictionary:
+        if len(dictionary) >= 8:
             primed["dict_data"] = zstandard.ZstdCompressionDict(dictionary)
             primed["dict_data"].precompute_compress(compression_params=params)
         self.compress = zstandard.ZstdCompressor(compression_params=params, **primed).compress
 
     def added(self, before: str, candidate: str, after: str = "") -> float:
-        """Bytes that ``candidate`` adds to the compressed size of its surroundings: the median over three widths of them.
+        """Bytes that ``candidate`` adds to the compressed size of its surroundings: the median over some widths of them.
 
         Where literals of a window change their coding a single difference is a few bytes off; the median is not.
         """
-        key, seen = candidate.encode(), []
+        seen = []
         for width in WIDTHS:
-            known = (before[-width:] + after[:width]).encode(errors="replace") + b"\n"
-            seen.append(len(self.compress(known + key)) - len(self.compress(known)))
+            left, right = before[-width:], after[:width]
+            with_, without = (x.encode(errors="replace") for x in (left + candidate + right, left + right))
+            seen.append(len(self.compress(with_)) - len(self.compress(without)))
         return sorted(seen)[len(seen) // 2]
 
     def spans(self, text: str, base: list) -> list[tuple[int, int, str]]:
