@@ -9,7 +9,7 @@ their registers a first estimate, and the exact probability Jaccard of the whole
 texts decides (0.8 and more).
 
 Texts with equal word sequences are one class from the start, so copies are never
-compared.  A bucket's texts are first compared with one of them, in a few rounds; after components
+compared.  A bucket's texts are first compared with one of them; after components
 are formed, the registers of a bucket's texts that are still in different components
 are compared with each other inside tasks, in blocks, so no link between different texts of a bucket is lost, and no
 group is expanded into all of its pairs.  What can be lost is what shares no band:
@@ -42,8 +42,8 @@ ESTIMATE = SIMILARITY - 4.5 * (SIMILARITY * (1 - SIMILARITY) / REGISTERS) ** 0.5
 BLOCK_BYTES = 4 << 20
 #: Members of a bucket that are compared at a time, and rows of a bucket from which it is split.
 MEMBERS, SALT_ROWS = 256, 16384
-#: Rounds in which a bucket's members are compared with one of them only.
-STAR_ROUNDS = 3
+#: Blocks of a bucket that are dealt into one group; two groups meet in one task.
+CELL_BLOCKS = 8
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -208,13 +208,20 @@ def pack_blocks(batches):
         yield done
 
 
-def compare_blocks(batches):
-    """For mapInArrow over pairs of a bucket's blocks: arrays a, b of the pairs between them."""
-    for x in batches:
-        for h, one, other in zip(x.column("h").to_pylist(), x.column("blob_a").to_pylist(), x.column("blob_b").to_pylist(), strict=True):
-            a, b = compare(tuple(unpack(one)), tuple(unpack(other)), h, False)
-            if len(a):
-                yield pa.RecordBatch.from_arrays([pa.array([a], pa.list_(pa.int64())), pa.array([b], pa.list_(pa.int64()))], names=["a", "b"])
+def compare_cell(t: pa.Table) -> pa.Table:
+    """For applyInArrow over the blocks of a cell (two groups of a bucket's blocks): arrays a, b of the pairs between blocks of the two."""
+    h, one, other = (t.column(c)[0].as_py() for c in ("h", "one", "other"))
+    blocks = sorted(zip(t.column("block").to_pylist(), t.column("own").to_pylist(), t.column("low").to_pylist(), t.column("high").to_pylist(), t.column("blob").to_pylist(), strict=True), key=lambda b: b[0])
+    opened = [tuple(unpack(b[4])) for b in blocks]
+    first, second = [], []
+    for i, (_, own, low, high, _) in enumerate(blocks):
+        for j in range(i + 1, len(blocks)):
+            _, with_, low_j, high_j, _ = blocks[j]
+            if (min(own, with_), max(own, with_)) == (one, other) and not low == high == low_j == high_j:
+                a, b = compare(opened[i], opened[j], h, False)
+                first.append(a)
+                second.append(b)
+    return pa.table({"a": pa.array([np.concatenate(first) if first else []], pa.list_(pa.int64())), "b": pa.array([np.concatenate(second) if second else []], pa.list_(pa.int64()))})
 
 
 def _share(sig: np.ndarray, other: np.ndarray) -> np.ndarray:
@@ -255,32 +262,24 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     shared = materialize(members.join(buckets, "h"), "near-buckets")  # rows of buckets with company only
     # Whole texts of all documents with company, fetched once.  That side grows with the data: it is never broadcast.
     texts = materialize(rows.select("pos", "text").join(shared.select("pos").distinct().hint("merge"), "pos", "left_semi"), "near-texts")
-    links = roots = None
-    for turn in range(STAR_ROUNDS):
-        # The first hub of a bucket is its least member; later ones are picked by a hash, for buckets that are still torn.
-        if roots is None:
-            stars = shared.filter("pos <> hub").select(F.col("hub").alias("a"), F.col("pos").alias("b"))
-        else:
-            torn = _torn(shared, roots)
-            hubs = torn.groupBy("h").agg(F.min(F.struct(F.xxhash64("pos", "h", F.lit(turn)).alias("x"), "pos", "root")).alias("hub"))
-            stars = (torn.join(hubs, "h").filter(F.col("root") != F.col("hub.root"))
-                     .select(F.least("pos", "hub.pos").alias("a"), F.greatest("pos", "hub.pos").alias("b")))
-        found = _verify(materialize(_agree(stars.distinct(), sigs), "near-stars"), texts).select("a", "b")
-        if roots is not None:
-            found = found.union(roots.select(F.col("node").alias("a"), F.col("root").alias("b")))
-        links = materialize(found, "near-links")
-        roots = materialize(components(links), "near-roots")
+    # A bucket's texts are compared with its least member first; what this links is one component.
+    stars = shared.filter("pos <> hub").select(F.col("hub").alias("a"), F.col("pos").alias("b")).distinct()
+    roots = materialize(components(_verify(_agree(stars, sigs), texts).select("a", "b")), "near-roots")
     # Texts that share a bucket and are still apart are compared with each other, block by block.
     apart = (_torn(shared, roots).join(signed.select("pos", "sig", "bands"), "pos")
              .select("h", F.pmod(F.xxhash64("pos"), F.ceil(F.col("n") / SALT_ROWS)).alias("salt"), "n", "root", "pos", "sig", "bands"))
     blocks = materialize(apart.repartition("h", "salt").sortWithinPartitions("h", "salt", "root", "pos")
                          .mapInArrow(lean(pack_blocks), "h long, block long, low long, high long, blob binary, a array<long>, b array<long>"), "near-blocks")
-    left, right = (blocks.filter("blob IS NOT NULL").select("h", *[F.col(c).alias(f"{c}_{x}") for c in ("block", "low", "high", "blob")]) for x in "ab")
-    between = (left.join(right, "h").filter("block_a < block_b AND NOT (low_a = high_a AND low_b = high_b AND low_a = low_b)")
-               .select("h", "blob_a", "blob_b").mapInArrow(lean(compare_blocks), "a array<long>, b array<long>"))
+    # Blocks of a bucket are dealt into groups; two groups meet in one task (a cell), so a block travels once a group, not once a block.
+    wide = blocks.filter("blob IS NOT NULL").select("h", "block", "low", "high", "blob")
+    groups = wide.groupBy("h").agg(F.ceil(F.count(F.lit(1)) / CELL_BLOCKS).alias("groups"))
+    dealt = wide.join(groups, "h").withColumn("own", F.pmod(F.xxhash64("block"), F.col("groups")))
+    dealt = dealt.withColumn("with", F.explode(F.sequence(F.lit(0).cast("long"), F.col("groups") - 1)))
+    cells = dealt.select("h", F.least("own", "with").alias("one"), F.greatest("own", "with").alias("other"), "own", "block", "low", "high", "blob")
+    between = cells.groupBy("h", "one", "other").applyInArrow(compare_cell, "a array<long>, b array<long>")
     across = blocks.select("a", "b").union(between).select(F.inline(F.arrays_zip("a", "b"))).distinct()
-    more = materialize(_verify(materialize(across, "near-across"), texts), "near-more")
-    final = materialize(components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(more.select("a", "b"))), "near-final")
+    more = _verify(across, texts).select("a", "b")
+    final = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(more))
     lone = F.coalesce("rep", "pos")
     known = (signed.select("pos", "doc_id", "k1", "k2").join(copies, ["k1", "k2"], "left").select("pos", "doc_id", lone.alias("node"))
              .join(final, "node", "left").select("pos", "doc_id", F.coalesce("root", "node").alias("root")))
