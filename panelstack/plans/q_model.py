@@ -23,6 +23,7 @@ from panelstack.operators.learn import (
 )
 from panelstack.operators.metrics import balanced_weights, classification_metrics, regression_metrics
 from panelstack.operators.ranking import explain_top, leaderboard, top_features
+from panelstack.operators.trees import read_trees, tree_contributions
 from panelstack.operators.windows import last_n, time_series_folds, time_split
 from panelstack.plans.features import (
     CYCLIC, FLAGS, LAGS, TARGET, TARGET_CLASS, WINDOWS, FUNCS, DIFFS, FeaturePipeline, scaled_names,
@@ -511,6 +512,100 @@ def q_stump_learners(spark, sf_dir):
     return out
 
 
+# --- tree-path explanations ------------------------------------------------------------------------------
+
+def _two_level_ctes() -> str:
+    """A tree of depth 2 on weekday and month by sums over cells: the best root split, the best split of each side, the four leaves."""
+    left = "CASE c.f WHEN 0 THEN g.weekday <= c.cut ELSE g.month <= c.cut END"
+    sums = f"sum(n) FILTER ({left}) AS nl, sum(s) FILTER ({left}) AS sl, sum(n) FILTER (NOT ({left})) AS nr, sum(s) FILTER (NOT ({left})) AS sr"
+    gain = "sl * sl / nl + sr * sr / nr"
+    return f"""{P2I}, d AS (SELECT CAST(isodow(date) - 1 AS DOUBLE) AS weekday, CAST(month(date) AS DOUBLE) AS month, value FROM p2i),
+g AS (SELECT weekday, month, count(*) AS n, sum(value) AS s FROM d GROUP BY 1, 2),
+c AS (SELECT 0 AS f, range AS cut FROM range(0, 6) UNION ALL SELECT 1, range FROM range(1, 12)),
+r AS (SELECT * FROM (SELECT c.f, c.cut, {sums} FROM g, c GROUP BY 1, 2) ORDER BY {gain} DESC, f, cut LIMIT 1),
+gs AS (SELECT g.*, CASE r.f WHEN 0 THEN g.weekday <= r.cut ELSE g.month <= r.cut END AS lower FROM g, r),
+h AS (SELECT * FROM (SELECT g.lower, c.f, c.cut, {sums} FROM gs g, c GROUP BY 1, 2, 3) WHERE nl > 0 AND nr > 0
+      QUALIFY row_number() OVER (PARTITION BY lower ORDER BY {gain} DESC, f, cut) = 1),
+l AS (SELECT * FROM h WHERE lower), u AS (SELECT * FROM h WHERE NOT lower)"""
+
+
+def _two_level_sql() -> str:
+    """Shapley values of two players from the four expectations: known features follow the row, unknown ones the counts."""
+    def side(t: str, known: tuple) -> str:
+        row = f"CASE WHEN CASE {t}.f WHEN 0 THEN g.weekday ELSE g.month END <= {t}.cut THEN {t}.sl / {t}.nl ELSE {t}.sr / {t}.nr END"
+        return f"CASE WHEN {t}.f IN ({', '.join(map(str, known))}) THEN {row} ELSE ({t}.sl + {t}.sr) / ({t}.nl + {t}.nr) END" if known else f"({t}.sl + {t}.sr) / ({t}.nl + {t}.nr)"
+
+    def expectation(known: tuple) -> str:
+        mean = f"(r.nl * {side('l', known)} + r.nr * {side('u', known)}) / (r.nl + r.nr)"
+        return f"CASE WHEN r.f IN ({', '.join(map(str, known))}) THEN CASE WHEN g.lower THEN {side('l', known)} ELSE {side('u', known)} END ELSE {mean} END" if known else mean
+
+    return f"""v AS (SELECT g.weekday, g.month, {expectation(())} AS v0, {expectation((0,))} AS v1, {expectation((1,))} AS v2, {expectation((0, 1))} AS v12 FROM gs g, r, l, u),
+contrib AS (SELECT weekday, month, v12 AS prediction, 'weekday' AS feature, weekday AS value, (v1 - v0 + v12 - v2) / 2 AS contribution, v0 AS base FROM v
+UNION ALL SELECT weekday, month, v12, 'month', month, (v2 - v0 + v12 - v1) / 2, v0 FROM v)"""
+
+
+def _calendar_tree(spark, sf_dir, depth):
+    d = p2_filled(spark, sf_dir).select(F.weekday(T).cast("double").alias("weekday"), F.month(T).cast("double").alias("month"), "value")
+    model = decision_tree_regressor(d, ["weekday", "month"], "value", max_depth=depth, min_leaf=1)
+    cells = d.select("weekday", "month").distinct().select(F.col("weekday").alias("w"), F.col("month").alias("m"), "weekday", "month")
+    found = tree_contributions(cells, ["w", "m"], read_trees(spark, model, ["weekday", "month"]))
+    return found.withColumnsRenamed({"w": "weekday", "m": "month"})
+
+
+@register("tree_contrib_1", f"""
+WITH {P2I}, d AS (SELECT CAST(isodow(date) - 1 AS DOUBLE) AS weekday, CAST(month(date) AS DOUBLE) AS month, value FROM p2i),
+g AS (SELECT weekday, month, count(*) AS n, sum(value) AS s FROM d GROUP BY 1, 2),
+c AS (SELECT 0 AS f, range AS cut FROM range(0, 6) UNION ALL SELECT 1, range FROM range(1, 12)),
+m AS (SELECT c.f, c.cut, CASE c.f WHEN 0 THEN g.weekday <= c.cut ELSE g.month <= c.cut END AS lower, sum(n) AS n, sum(s) AS s FROM g, c GROUP BY 1, 2, 3),
+b AS (SELECT f, cut FROM m GROUP BY 1, 2 ORDER BY sum(s * s / n) DESC, f, cut LIMIT 1),
+p AS (SELECT g.weekday, g.month, b.f, m.s / m.n AS prediction FROM g, b JOIN m USING (f, cut) WHERE m.lower = CASE b.f WHEN 0 THEN g.weekday <= b.cut ELSE g.month <= b.cut END),
+o AS (SELECT avg(value) AS base FROM d)
+SELECT weekday, month, prediction, 'weekday' AS feature, weekday AS value, CASE WHEN f = 0 THEN prediction - base ELSE 0.0 END AS contribution, base FROM p, o
+UNION ALL SELECT weekday, month, prediction, 'month', month, CASE WHEN f = 1 THEN prediction - base ELSE 0.0 END, base FROM p, o""",
+          doubles="weekday month prediction value contribution base")
+def q_tree_contrib_1(spark, sf_dir):
+    """One split: the feature that splits takes the whole difference to the mean."""
+    return _calendar_tree(spark, sf_dir, 1)
+
+
+@register("tree_contrib_2", f"WITH {_two_level_ctes()}, {_two_level_sql()} SELECT * FROM contrib", doubles="weekday month prediction value contribution base")
+def q_tree_contrib_2(spark, sf_dir):
+    """Two levels on two features: exact Shapley values of every cell, and the tree's predictions."""
+    return _calendar_tree(spark, sf_dir, 2)
+
+
+@register("tree_explain_top", f"""
+WITH {_two_level_ctes()}, {_two_level_sql()},
+best AS (SELECT weekday, month FROM contrib ORDER BY prediction DESC, weekday DESC, month DESC LIMIT 1),
+x AS (SELECT c.weekday, c.month, c.feature, c.contribution, row_number() OVER (ORDER BY abs(c.contribution) DESC, c.feature) AS rank FROM contrib c JOIN best USING (weekday, month))
+SELECT weekday, month, CASE WHEN rank = 1 THEN feature ELSE 'rest' END AS feature, contribution, rank FROM x""", doubles="weekday month contribution", ints="rank")
+def q_tree_explain_top(spark, sf_dir):
+    """The largest contribution of the row with the highest prediction; of equal predictions the greatest cell."""
+    found = _calendar_tree(spark, sf_dir, 2)
+    # ``max_by`` takes any row of equal predictions: the cell breaks the tie.
+    place = F.struct("prediction", "weekday", "month").alias("place")
+    return explain_top(found.select("*", place), ["weekday", "month"], "place", k=1)
+
+
+@register("forest_contrib")
+def q_forest_contrib(spark, sf_dir):
+    """Mean absolute contributions of a forest (100 trees of depth 6) on the test days of the feature panel."""
+    train, test, pipe = _train_test(spark, sf_dir)
+    model = random_forest_regressor(train, pipe.features, TARGET, trees=100, max_depth=6, min_leaf=4)
+    return contribution_summary(tree_contributions(test, ["series_id", T], read_trees(spark, model, pipe.features)), top=20)
+
+
+@register("forest_explain_top")
+def q_forest_explain_top(spark, sf_dir):
+    """The twelve largest contributions, and the rest, of the test day that the forest predicts highest."""
+    train, test, pipe = _train_test(spark, sf_dir)
+    model = random_forest_regressor(train, pipe.features, TARGET, trees=100, max_depth=6, min_leaf=4)
+    trees = read_trees(spark, model, pipe.features)
+    # Only the chosen row is explained.
+    top = model.transform(test).agg(F.max_by(F.struct("series_id", T), F.struct("prediction", "series_id", T)).alias("b")).select("b.*")
+    return explain_top(tree_contributions(test.join(top, ["series_id", T], "left_semi"), ["series_id", T], trees), ["series_id", T], "prediction", k=12)
+
+
 @register("fold_counts", f"""
 WITH {P2I}, c AS (SELECT series_id, date, {sql_class('value')} AS label FROM p2i WHERE {sql_class('value')} IS NOT NULL),
 n AS (SELECT label, count(*) AS n FROM c GROUP BY 1)
