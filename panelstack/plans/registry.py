@@ -50,4 +50,4 @@ def oracle_sql() -> dict[str, str]:
 
 def _load() -> None:
     # Importing the modules registers their queries.
-    from panelstack.plans import q_basic, q_model, q_series, q_stats, q_stream  # noqa: F401
+    from panelstack.plans import q_arima, q_basic, q_model, q_series, q_stats, q_stream  # noqa: F401
