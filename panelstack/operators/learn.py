@@ -16,9 +16,9 @@ from pyspark.ml.classification import GBTClassifier, OneVsRest, RandomForestClas
 from pyspark.ml.evaluation import Evaluator
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import DecisionTreeRegressor, GBTRegressionModel, GBTRegressor, LinearRegression, RandomForestRegressor
+from pyspark.ml.regression import DecisionTreeRegressor, GBTRegressor, LinearRegression, RandomForestRegressor
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelstack.functions.bands import aqi_band_code, clip
@@ -67,13 +67,8 @@ BOOST_PRESETS = {
     "xgb": {"maxIter": 500, "stepSize": 0.05, "maxDepth": 6, "subsamplingRate": 0.8, "featureSubsetStrategy": "0.8", "minInstancesPerNode": 20},
 }
 
-# Classifier settings (forests: base and tuned; boosters: depth-wise, leaf-wise and the latter tuned, 15 leaves as depth 4).
+# Classifier settings of the forests, base and tuned (those of the boosters stand in :mod:`panelstack.operators.boost`).
 FOREST_PRESETS = {"base": {"trees": 300, "max_depth": 12, "min_leaf": 1}, "tuned": {"trees": 300, "max_depth": 10, "min_leaf": 4}}
-BOOST_CLASS_PRESETS = {
-    "xgb": {"trees": 300, "step": 0.1, "max_depth": 6, "min_leaf": 1},
-    "lgb": {"trees": 300, "step": 0.05, "max_depth": 10, "min_leaf": 20},
-    "lgb_tuned": {"trees": 300, "step": 0.01, "max_depth": 4, "min_leaf": 10},
-}
 
 # Search axes.  Where depth has no limit or a split needs so many rows, Spark has no such setting: the
 # deepest tree is 30 levels, and a least leaf of half the rows stands for a least split.
@@ -97,7 +92,7 @@ def boosted_regressor(train, features, label, preset: str = "lgb", validation_co
     """Gradient-boosted trees; with ``validation_col`` the trees up to the best validation round are kept.
 
     The loss of every round is measured on the rows marked for validation, and the model
-    is cut at its best round once ``patience`` rounds brought no gain.  Rounds are added
+    is fitted again with its best number of rounds once ``patience`` rounds brought no gain.  Rounds are added
     by doubling until that is seen (a longer run with the same seed begins with the same
     trees, so the result is that of fitting all rounds).  Use the tail of the *training*
     period as validation, never the test set.
@@ -107,32 +102,21 @@ def boosted_regressor(train, features, label, preset: str = "lgb", validation_co
         return _pipeline(features, GBTRegressor(labelCol=label, seed=seed, maxMemoryInMB=TREE_BUFFER_MB, **params)).fit(train)
     rounds, most = 2 * patience, params.pop("maxIter")
     taught, held = train.where(~F.col(validation_col)).persist(), train.where(F.col(validation_col)).persist()
-    while True:
-        gbt = GBTRegressor(labelCol=label, seed=seed, maxMemoryInMB=TREE_BUFFER_MB, maxIter=min(rounds, most), **params)
-        model = _pipeline(features, gbt).fit(taught)
-        losses = list(model.stages[-1].evaluateEachIteration(model.stages[0].transform(held), "squared"))
-        keep = best_prefix(losses, patience)
-        if rounds >= most or len(losses) - keep >= patience:
-            break
-        rounds *= 2
-    taught.unpersist()
-    held.unpersist()
-    return PipelineModel([model.stages[0], _first_trees(model.stages[-1], keep)])
-
-
-def _first_trees(model, n: int):
-    """A boosted model of the first n trees, with their weights."""
-    old, sc = model._java_obj, SparkSession.getActiveSession().sparkContext
-    jvm, gw = sc._jvm, sc._gateway
-    trees = gw.new_array(jvm.org.apache.spark.ml.regression.DecisionTreeRegressionModel, n)
-    weights = gw.new_array(jvm.double, n)
-    every = old.trees()
-    for i in range(n):
-        trees[i], weights[i] = every[i], float(old.treeWeights()[i])
-    cut = jvm.org.apache.spark.ml.regression.GBTRegressionModel(old.uid() + "_cut", trees, weights)
-    out = GBTRegressionModel(cut)
-    out._resetUid(cut.uid())
-    return out.setFeaturesCol("features").setPredictionCol("prediction")
+
+    def fit(trees: int) -> PipelineModel:
+        return _pipeline(features, GBTRegressor(labelCol=label, seed=seed, maxMemoryInMB=TREE_BUFFER_MB, maxIter=trees, **params)).fit(taught)
+
+    try:
+        while True:
+            model = fit(min(rounds, most))
+            losses = list(model.stages[-1].evaluateEachIteration(model.stages[0].transform(held), "squared"))
+            keep = best_prefix(losses, patience)
+            if rounds >= most or len(losses) - keep >= patience:
+                return model if keep == len(losses) else fit(keep)
+            rounds *= 2
+    finally:
+        taught.unpersist()
+        held.unpersist()
 
 
 def random_forest_classifier(train, features, label, weight_col: str | None = None, trees: int = 300,

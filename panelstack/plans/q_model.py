@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from panelstack.functions.bands import aqi_band, aqi_class
 from panelstack.functions.calendar import next_day
+from panelstack.operators.boost import CLASS_PRESETS, REGRESSION_PRESETS, boost, score_boosted
 from panelstack.operators.clean import align_features, fallback_row
 from panelstack.operators.combine import append_and_tail
 from panelstack.operators.grid import interpolate, to_daily_grid
@@ -17,7 +18,7 @@ from panelstack.operators.forecast import (
     ar1_multistep, ar1_walk_forward, ar_p_walk_forward, dickey_fuller,
 )
 from panelstack.operators.learn import (
-    FOREST_PRESETS, blend, blend_sweep, boosted_classifier, boosted_regressor, cv_evaluate, decision_tree_regressor, feature_scores,
+    FOREST_PRESETS, blend, blend_sweep, boosted_regressor, cv_evaluate, decision_tree_regressor, feature_scores,
     grid_search, models_agree, random_forest_classifier, random_forest_regressor, ridge, score_class,
     score_regression, stratified_folds,
 )
@@ -192,12 +193,61 @@ def q_rf_classifier_base(spark, sf_dir):
     return _classifier_metrics(test, random_forest_classifier(train, pipe.features, TARGET_CLASS, weight_col="weight", **FOREST_PRESETS["base"]), "random_forest_base")
 
 
+def _boosted_classes(spark, sf_dir, preset):
+    """One softmax booster over all classes, balanced weights, at its preset's full rounds."""
+    train, test, pipe = _class_frames(spark, sf_dir)
+    model = boost(train, pipe.features, TARGET_CLASS, weight_col="weight", **CLASS_PRESETS[preset])
+    pred = score_boosted(test, model, [TARGET_CLASS]).select(F.col(TARGET_CLASS).alias("truth"), F.col("predicted_class").alias("predicted"))
+    return classification_metrics(pred, "truth", "predicted", [0, 1, 2, 3]).withColumn("model", F.lit(f"boosted_{preset}"))
+
+
 @register("boosted_classifier")
 def q_boosted_classifier(spark, sf_dir):
-    """One-vs-rest boosted trees with balanced class weights."""
-    train, test, pipe = _class_frames(spark, sf_dir)
-    ovr = boosted_classifier(train, pipe.features, TARGET_CLASS, weight_col="weight", trees=50)
-    return _classifier_metrics(test, ovr, "boosted_ovr")
+    """300 rounds, step 0.1, depth 6, leaf penalty 1."""
+    return _boosted_classes(spark, sf_dir, "xgb")
+
+
+@register("boosted_classifier_lgb")
+def q_boosted_classifier_lgb(spark, sf_dir):
+    """300 rounds, step 0.05, 31 leaves."""
+    return _boosted_classes(spark, sf_dir, "lgb")
+
+
+@register("boosted_classifier_tuned")
+def q_boosted_classifier_tuned(spark, sf_dir):
+    """300 rounds, step 0.01, 15 leaves."""
+    return _boosted_classes(spark, sf_dir, "lgb_tuned")
+
+
+@register("boost_round", f"""
+WITH {P2I}, d AS (SELECT isodow(date) - 1 AS weekday, {sql_class('value')} AS k FROM p2i WHERE {sql_class('value')} IS NOT NULL),
+pr AS (SELECT k, count(*) * 1.0 / (SELECT count(*) FROM d) AS p FROM d GROUP BY 1),
+c AS (SELECT pr.k, pr.p, t.cut, d.weekday <= t.cut AS low, count(*) AS n, count(*) * pr.p - sum(CASE WHEN d.k = pr.k THEN 1 ELSE 0 END) AS g, count(*) * 2 * pr.p * (1 - pr.p) AS h
+      FROM d, pr, range(0, 6) t(cut) GROUP BY 1, 2, 3, 4),
+s AS (SELECT k, cut, sum(g * g / (h + 1)) AS gain FROM c GROUP BY 1, 2 HAVING min(h) >= 1),
+b AS (SELECT k, arg_max(cut, struct_pack(gain := gain, first := -cut)) AS cut FROM s GROUP BY 1),
+m AS (SELECT w.weekday, c.k, ln(c.p) - 0.1 * c.g / (c.h + 1) AS margin FROM b JOIN c USING (k, cut), range(0, 7) w(weekday) WHERE c.low = (w.weekday <= b.cut))
+SELECT weekday, k AS class, exp(margin) / sum(exp(margin)) OVER (PARTITION BY weekday) AS probability FROM m""", doubles="probability", ints="weekday class")
+def q_boost_round(spark, sf_dir):
+    """One softmax round of depth 1 on the weekday: class probabilities of every weekday."""
+    d = p2_filled(spark, sf_dir).select(F.weekday(T).cast("double").alias("weekday"), aqi_class("value").alias("k")).where(F.col("k").isNotNull())
+    model = boost(d, ["weekday"], "k", rounds=1, max_depth=1, step=0.1, l2=1.0)
+    scored = score_boosted(d.select(F.col("weekday").cast("int").alias("day"), "weekday").distinct(), model, ["day"])
+    names = F.array(*[F.lit(int(k)) for k in model.labels])
+    return scored.select(F.col("day").alias("weekday"), F.inline(F.arrays_zip(names.alias("class"), F.col("probabilities").alias("probability"))))
+
+
+@register("boosted_penalised")
+def q_boosted_penalised(spark, sf_dir):
+    """Both regression boosters with leaf penalties and sampled rows and features; early stopping watches the last 20 % of each series' training period."""
+    train, test, pipe = _train_test(spark, sf_dir)
+    tv = time_split(train, K, T, 0.2).withColumn("is_val", F.col("split") == "test").drop("split")
+    rows = None
+    for name, preset in REGRESSION_PRESETS.items():
+        model = boost(tv, pipe.features, TARGET, "squared", validation_col="is_val", patience=50, **preset)
+        p = score_boosted(test, model, [TARGET]).select(F.col(TARGET).alias("y"), F.col("prediction").alias("yhat"), F.lit(f"boosted_{name}").alias("model"))
+        rows = p if rows is None else rows.unionByName(p)
+    return regression_metrics(rows, ["model"])
 
 
 @register("grid_search")
