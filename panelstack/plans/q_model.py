@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from panelstack.functions.bands import aqi_band, aqi_class
+from panelstack.functions.bands import aqi_band, aqi_band_code, aqi_class
 from panelstack.functions.calendar import next_day
 from panelstack.operators.boost import CLASS_PRESETS, REGRESSION_PRESETS, boost, score_boosted
 from panelstack.operators.clean import align_features, fallback_row
@@ -286,35 +286,49 @@ def _newest(df):
     return df.join(df.groupBy(*K).agg(F.max(T).alias(T)), on=K + [T], how="left_semi")
 
 
-@register("daily_run", f"""
-WITH {REGION}, r AS (SELECT *, max(date) OVER (PARTITION BY series_id) AS last_day FROM region_p)
-SELECT series_id, date AS prediction_date, CAST(date + 1 AS DATE) AS predicted_for_date, round(value, 2) AS actual_today, true AS in_range,
-true AS has_advice FROM r WHERE date = last_day""", doubles="actual_today")
-def q_daily_run(spark, sf_dir):
-    """The daily scoring run: hourly payload -> daily mean -> fallback -> 60-day tail -> features -> saved models,
-    loaded again -> agreement -> upsert into the log -> JSON with advice.  Returns what does not hang on a fit."""
-    home = scratch_path(spark, "daily_run")
-    panel = region_daily_panel(spark, sf_dir).withColumn("n_orders", F.col("n_orders").cast("double"))
+def _saved_models(spark, panel, home: str, reg_features=None):
+    """Fit on the panel's history (all but each series' newest day) and save; returns the marked panel, the history and the fitted regression."""
     last = panel.groupBy(*K).agg(F.max(T).alias("_last"))
     marked = materialize(panel.join(last, K), "daily_panel")
     history = marked.where(F.col(T) < F.col("_last")).drop("_last")
-
     pipe = FeaturePipeline(K, T, "value", MEASURES)
     train = pipe.fit_transform(history).where(F.col("split") == "train").persist()
-    save_model(spark, ridge(train, pipe.features, TARGET), f"{home}/reg", pipe.features, features=pipe)
-    classes = balanced_weights(train.where(F.col(TARGET_CLASS).isNotNull()), TARGET_CLASS)
-    save_model(spark, random_forest_classifier(classes, pipe.features, TARGET_CLASS, weight_col="weight", trees=50), f"{home}/clf", pipe.features)
+    fitted = ridge(train, reg_features or pipe.features, TARGET)
+    save_model(spark, fitted, f"{home}/reg", reg_features or pipe.features, features=pipe)
+    if reg_features is None:
+        classes = balanced_weights(train.where(F.col(TARGET_CLASS).isNotNull()), TARGET_CLASS)
+        save_model(spark, random_forest_classifier(classes, pipe.features, TARGET_CLASS, weight_col="weight", **FOREST_PRESETS["tuned"]), f"{home}/clf", pipe.features)
     train.unpersist()
+    return marked, history, fitted
 
-    reg, names, _ = load_model(spark, f"{home}/reg")
-    clf, _, _ = load_model(spark, f"{home}/clf")
+
+def _todays_frame(spark, marked, history, home: str):
+    """The newest day's feed and its feature row: hourly payload -> daily mean -> fallback -> 60-day tail -> loaded feature pipeline."""
     pipe = FeaturePipeline.load(spark, f"{home}/reg/features")
     # The feed of the newest day: its hourly readings as a payload; the second measure is missing and falls back.
     readings = marked.where(F.col(T) == F.col("_last")).select(*K, F.col(T).cast("timestamp_ntz").alias("ts"), "value")
     payload = build_hourly_payload(readings, K, "ts", ["value"])
     fed = daily_mean(explode_hourly(payload, K, ["value"]), K, "ts", ["value"], day_col=T).withColumn("n_orders", F.lit(None).cast("double"))
     today = fallback_row(fed, history, K, T, ["value", "n_orders"], {"value": 50.0, "n_orders": 1.0})
-    frame = _newest(pipe.transform(append_and_tail(history, today, K, T, 60)))
+    return today, _newest(pipe.transform(append_and_tail(history, today, K, T, 60)))
+
+
+def _panel(spark, sf_dir):
+    return region_daily_panel(spark, sf_dir).withColumn("n_orders", F.col("n_orders").cast("double"))
+
+
+@register("daily_run", f"""
+WITH {REGION}, r AS (SELECT *, max(date) OVER (PARTITION BY series_id) AS last_day FROM region_p)
+SELECT series_id, date AS prediction_date, CAST(date + 1 AS DATE) AS predicted_for_date, round(value, 2) AS actual_today, true AS in_range,
+true AS has_advice FROM r WHERE date = last_day""", doubles="actual_today")
+def q_daily_run(spark, sf_dir):
+    """The daily scoring run: feed -> features -> saved models (ridge, the tuned forest of 300 trees), loaded again
+    -> agreement -> upsert into the log -> JSON with advice.  Returns what does not hang on a fit; ``daily_run_ridge`` checks the predicted values."""
+    home = scratch_path(spark, "daily_run")
+    marked, history, _ = _saved_models(spark, _panel(spark, sf_dir), home)
+    reg, names, _ = load_model(spark, f"{home}/reg")
+    clf, _, _ = load_model(spark, f"{home}/clf")
+    today, frame = _todays_frame(spark, marked, history, home)
     aligned = align_features(frame, names, keep=K + [T])
     scored = models_agree(score_regression(reg, aligned, K + [T]).join(score_class(clf, aligned, K + [T]), on=K + [T]), "predicted", "predicted_class")
     rows = (scored.join(today.select(*K, T, F.col("value").alias("actual_today")), on=K + [T])
@@ -328,6 +342,55 @@ def q_daily_run(spark, sf_dir):
                     F.col("r.advice.summary").isNotNull().alias("has_advice"))
 
 
+RIDGE_ALPHA = 10.0
+
+
+def _det3(m) -> str:
+    (a, b, c), (d, e, f), (g, h, i) = m
+    return f"(({a}) * (({e}) * ({i}) - ({f}) * ({h})) - ({b}) * (({d}) * ({i}) - ({f}) * ({g})) + ({c}) * (({d}) * ({h}) - ({e}) * ({g})))"
+
+
+RUN_FEATURES = ["lag_1", "rolling_mean_7", "diff_1"]
+
+
+def _daily_ridge_sql() -> str:
+    """The feature panel of all but the newest days, ridge on three of its features by determinants, and the newest day's features, scaled alike."""
+    fs, history = RUN_FEATURES, REGION.replace("region_p AS", "region_all AS", 1)
+    panel = _feature_sql().strip()
+    ctes, final = panel[:panel.rindex("SELECT series_id, date, split")], panel[panel.rindex("SELECT series_id, date, split"):]
+    ctes = ctes.replace(REGION, f"{history}, newest AS (SELECT series_id, max(date) AS d FROM region_all GROUP BY 1), "
+                                "region_p AS (SELECT r.* FROM region_all r JOIN newest USING (series_id) WHERE r.date < newest.d)")
+    cov = [[f"s_{min(i, j)}_{max(i, j)}" + (f" + {RIDGE_ALPHA} / n" if i == j else "") for j in range(3)] for i in range(3)]
+    moments = [f"avg({c}) AS m_{i}" for i, c in enumerate(fs)] + [f"avg({TARGET}) AS m_y", "count(*) AS n"]
+    moments += [f"covar_pop({fs[i]}, {fs[j]}) AS s_{i}_{j}" for i in range(3) for j in range(i, 3)] + [f"covar_pop({c}, {TARGET}) AS s_{i}_y" for i, c in enumerate(fs)]
+    betas = [f"{_det3([[f's_{r}_y' if col == k else cov[r][col] for col in range(3)] for r in range(3)])} / {_det3(cov)} AS b_{k}" for k in range(3)]
+    scaled = [f"(t.{c} - sc.{c}__m) / CASE WHEN sc.{c}__r = 0 THEN 1.0 ELSE sc.{c}__r END" for c in fs]
+    point = "m_y + " + " + ".join(f"b_{i} * ({c} - m_{i})" for i, c in enumerate(scaled))
+    return f"""{ctes.rstrip()},
+panel AS ({final}),
+mo AS (SELECT {', '.join(moments)} FROM panel WHERE split = 'train'), co AS (SELECT mo.*, {', '.join(betas)} FROM mo),
+u AS (SELECT series_id, date, value FROM region_p UNION ALL SELECT r.series_id, r.date, round(r.value, 2) FROM region_all r JOIN newest ON r.series_id = newest.series_id AND r.date = newest.d),
+{grid('u', 'ug')}, {interp('ug', 'ui', ['value'])},
+w AS (SELECT series_id, date, value, lag(value, 1) OVER ({W}) AS lag_1, avg(value) OVER ({W} ROWS BETWEEN 7 PRECEDING AND 1 PRECEDING) AS rolling_mean_7,
+      value - lag(value, 1) OVER ({W}) AS diff_1 FROM ui),
+t AS (SELECT w.* FROM w JOIN newest ON w.series_id = newest.series_id AND w.date = newest.d),
+p AS (SELECT t.series_id, t.date AS prediction_date, t.value AS actual_today, round({clip(f'({point})', 0.0, 500.0)}, 1) AS predicted FROM t, sc, co)
+SELECT *, {band_code('predicted')} AS band, true AS loaded_equals_fitted FROM p"""
+
+
+@register("daily_run_ridge", _daily_ridge_sql(), doubles="actual_today predicted", ints="band")
+def q_daily_run_ridge(spark, sf_dir):
+    """The daily run's predicted values: a saved and loaded ridge on three features of the saved and loaded feature pipeline."""
+    home = scratch_path(spark, "daily_run")
+    marked, history, fitted = _saved_models(spark, _panel(spark, sf_dir), home, RUN_FEATURES)
+    reg, names, _ = load_model(spark, f"{home}/reg")
+    today, frame = _todays_frame(spark, marked, history, home)
+    aligned = align_features(frame, names, keep=K + [T])
+    scored = score_regression(reg, aligned, K + [T]).join(score_regression(fitted, aligned, K + [T]).withColumnRenamed("predicted", "_fitted"), K + [T])
+    return (scored.join(today.select(*K, T, F.col("value").alias("actual_today")), K + [T])
+            .select("series_id", F.col(T).alias("prediction_date"), "actual_today", "predicted", aqi_band_code("predicted").alias("band"), F.col("predicted").eqNullSafe(F.col("_fitted")).alias("loaded_equals_fitted")))
+
+
 # --- deterministic-model twins with SQL oracles ------------------------------------------------------
 
 BLEND_WEIGHTS = [0.65, 0.7, 0.75, 0.8, 0.85, 0.9]
@@ -388,11 +451,6 @@ def q_models_agree(spark, sf_dir):
 CONTRIB_FEATURES = ["quantity", "discount", "tax"]
 
 
-def _det3(m) -> str:
-    (a, b, c), (d, e, f), (g, h, i) = m
-    return f"(({a}) * (({e}) * ({i}) - ({f}) * ({h})) - ({b}) * (({d}) * ({i}) - ({f}) * ({g})) + ({c}) * (({d}) * ({h}) - ({e}) * ({g})))"
-
-
 def _contrib_ctes() -> str:
     fs = CONTRIB_FEATURES
     cov = [[f"s_{min(i, j)}_{max(i, j)}" for j in range(3)] for i in range(3)]
@@ -455,9 +513,6 @@ def q_explain_top(spark, sf_dir):
 
 # --- learners with closed forms: the same fits, checked against SQL -------------------------------------
 
-RIDGE_ALPHA = 10.0
-
-
 def _ridge_ctes() -> str:
     """Ridge on three features: the determinants of the covariances with alpha / n added on the diagonal."""
     fs = CONTRIB_FEATURES
