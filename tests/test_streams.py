@@ -96,3 +96,42 @@ def test_scoring_stream_with_the_fitted_model(spark):
     whole = pipe.transform(spark.createDataFrame(days(0, 123), DAILY))
     batch = {str(r.date): r.predicted for r in score_regression(model, whole, ["date"]).collect()}
     assert len(got) == 3 and got == {d: batch[d] for d in got}
+
+
+def test_finished_days_come_once_and_late_rows_are_lost(spark, arriving):
+    from panelstack.streaming.state import stream_finished_days
+    batches, path = arriving
+    out = stream_finished_days(spark, path, SCHEMA, K, "ts", ["value"], max_files=1)
+    got = sorted((r.series_id, str(r.day), r.value) for r in spark.read.parquet(out).collect())
+    # Day 9 is still open; the row of 999 came after day 0 was closed.
+    assert got == [("a", "2024-03-01", 20.0), ("a", "2024-03-02", 30.0), ("b", "2024-03-01", 1.0), ("b", "2024-03-02", None)]
+    again = stream_finished_days(spark, path, SCHEMA, K, "ts", ["value"], max_files=1, out_path=out)
+    assert sorted((r.series_id, str(r.day), r.value) for r in spark.read.parquet(again).collect()) == got
+    # Local days: 18:00 UTC is the next day at UTC+7.
+    path = as_files(spark, [[reading("a", 0, 16, 1.0), reading("a", 0, 18, 5.0)], [reading("a", 9, 0, 0.0)]], SCHEMA)
+    local = stream_finished_days(spark, path, SCHEMA, K, "ts", ["value"], offset_hours=7, max_files=1)
+    assert sorted((str(r.day), r.value) for r in spark.read.parquet(local).collect()) == [("2024-03-01", 1.0), ("2024-03-02", 5.0)]
+
+
+def test_state_scoring_over_empty_late_and_replayed_batches(spark):
+    from panelstack.streaming.state import stream_score_state
+    day = dt.date(2024, 1, 1)
+    schema = "series_id string, date date, value double"
+
+    def rows(days, f=float):
+        return [(s, day + dt.timedelta(days=d), f(d) + (100.0 if s == "b" else 0.0)) for s in ("a", "b") for d in days]
+
+    history = spark.createDataFrame(rows(range(90)), schema)
+    coefs = spark.createDataFrame([("a", 1.0, 0.5, 0.25, 2.0), ("b", 2.0, 0.1, 0.2, 1.0)], "series_id string, intercept double, phi_1 double, phi_2 double, sigma double")
+    batches = [rows([90]), [], *[rows([d]) for d in range(91, 120)], rows([118], lambda d: 7.0), rows([121]), [("c", day, 1.0)]]
+    log = stream_score_state(spark, as_files(spark, batches, schema), schema, history, coefs, K, "date", "value", p=2, max_files=1, hi=1000.0)
+    got = {(r.series_id, r.prediction_date): r for r in spark.read.parquet(log).collect()}
+    assert len(got) == 2 * 31 and {k[0] for k in got} == {"a", "b"}
+    value = {d: float(d) for d in range(120)} | {118: 7.0, 121: 121.0}
+    for d in (90, 117, 118):
+        r = got["a", day + dt.timedelta(days=d)]
+        before = value[d - 1]
+        assert (r.predicted, r.upper - r.predicted) == pytest.approx((1.0 + 0.5 * value[d] + 0.25 * before, 1.96 * 2.0))
+    assert got["a", day + dt.timedelta(days=121)].predicted is None  # day 120 never came
+    # The state does not grow: 60 days a series, whatever came before.
+    assert {r.days_held for r in got.values()} <= {59, 60}
