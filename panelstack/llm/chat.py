@@ -11,7 +11,8 @@ inside roles and texts get a backslash after their first character and
 backslashes are doubled, which ``unescape`` undoes.
 
 Defined cases: null text or role counts as empty; turns that share a number are
-ordered by role and text; a turn over the budget fills a window alone, whole;
+ordered by role and text; a turn over the budget fills a window alone, whole; a system
+turn of more than half the budget stands in the first window only;
 rows without conversation id form one conversation of their own; an empty table
 gives no windows; other columns are ignored.
 """
@@ -20,6 +21,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -29,8 +31,8 @@ from pyspark.sql import functions as F
 START, SEP, END = "<|im_start|>", "<|im_sep|>", "<|im_end|>"
 CONTROL = (START, SEP, END, "<|endoftext|>", "<s>", "</s>", "[INST]", "[/INST]", "<<SYS>>", "<</SYS>>")
 
-#: Production limits, in tokens (four UTF-8 bytes each).
-BUDGET, HISTORY = 2048, 512
+#: Production limits, in tokens (four UTF-8 bytes each); a longer share of the budget than this is not given to a repeated system turn.
+BUDGET, HISTORY, SYSTEM_SHARE = 2048, 512, 0.5
 
 _CONTROL = re.compile("|".join(map(re.escape, CONTROL)))
 _ESCAPED = re.compile(r"\\(.)", re.DOTALL)
@@ -66,43 +68,46 @@ def parse(formatted: str) -> list[tuple[str, str]]:
 
 
 class Windows:
-    """Turns of one conversation in, finished windows out."""
+    """Turns of one conversation in, finished windows out.
+
+    ``ends`` are the prefix sums of the held turns' tokens: turns i to j cost ends[j] - ends[i], so the
+    spans of a window and of its repeated history are found by looking sums up.
+    """
 
     def __init__(self, budget: int, history: int):
         self.budget, self.history = budget, history
-        self.system, self.past, self.new, self.cost, self.number = None, [], [], 0, 0
+        self.system, self.fixed, self.number = None, 0, 0
+        self.held: list[tuple[str, str]] = []
+        self.ends = [0]
+        self.begin = self.opened = 0  # first repeated and first new turn among the held
 
     def add(self, role: str, text: str):
         cost = tokens(text)
-        if self.new and self.cost + cost > self.budget:
+        if self.opened < len(self.held) and self.fixed + self.ends[-1] - self.ends[self.begin] + cost > self.budget:
             yield self.close()
-        if not self.new:
+        if self.opened == len(self.held):
             # The repeat of history yields to the turn that opens the window.
-            room = min(self.history, self.budget - cost - (self.system[2] if self.system else 0))
-            while self.past and sum(t[2] for t in self.past) > room:
-                self.past.pop(0)
-            self.cost = sum(t[2] for t in self.past) + (self.system[2] if self.system else 0)
-        self.new.append((role, text, cost))
-        self.cost += cost
+            room = min(self.history, self.budget - cost - self.fixed)
+            self.begin = bisect_left(self.ends, self.ends[self.opened] - room) if room > 0 else self.opened
+        self.held.append((role, text))
+        self.ends.append(self.ends[-1] + cost)
 
     def close(self):
         """The open window: number, turns repeated, text, loss spans."""
-        repeated = ([self.system] if self.system else []) + self.past
-        formatted, spans = render([t[:2] for t in repeated + self.new])
-        loss = [s for s, t in zip(spans[len(repeated):], self.new, strict=True) if t[0] == "assistant"]
+        repeated = ([self.system] if self.system else []) + self.held[self.begin:self.opened]
+        new = self.held[self.opened:]
+        formatted, spans = render(repeated + new)
+        loss = [s for s, t in zip(spans[len(repeated):], new, strict=True) if t[0] == "assistant"]
         out = (self.number, len(repeated), formatted, loss)
-        self.number += 1
-        if self.system is None and out[0] == 0 and self.new[0][0] == "system":
-            self.system, rest = self.new[0], self.new[1:]
-        else:
-            rest = self.new
-        self.past, held = [], 0
-        for t in reversed(rest if self.number == 1 else repeated[bool(self.system):] + rest):
-            held += t[2]
-            if held > self.history:
-                break
-            self.past.insert(0, t)
-        self.new, self.cost = [], 0
+        drop = bisect_left(self.ends, self.ends[-1] - self.history)
+        if self.number == 0 and self.held[0][0] == "system":
+            # It opens every later window, unless it would take more of them than SYSTEM_SHARE; it is no history.
+            cost = self.ends[1] - self.ends[0]
+            if cost <= SYSTEM_SHARE * self.budget:
+                self.system, self.fixed = self.held[0], cost
+            drop = max(drop, 1)
+        self.held, self.ends = self.held[drop:], self.ends[drop:]
+        self.opened, self.begin, self.number = len(self.held), 0, self.number + 1
         return out
 
 
