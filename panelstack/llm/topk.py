@@ -11,8 +11,9 @@ resolved, in exact integers.  Queries and candidates meet block by block.
 Defined cases: vectors that are null, empty or hold null or non-finite parts take
 no part; vectors meet only vectors of their own length; rows that repeat an id
 are rows of their own (a query leaves out its own row alone); ties go to the
-smaller id, null ids last; parts are taken up to 2**31 in size, others take no
-part (their score would not fit a long); an empty table gives no rows.
+smaller id, null ids last; parts may be of any size: products are summed as doubles while
+they stay below 2**53 and as Python integers beyond, a score that no long holds is given as the nearest
+long and ranked by its exact value; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -23,25 +24,26 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelstack.llm.common import pack, unpack
+from panelstack.llm.hard_negatives import as_long, order_key
+from panelstack.llm.hard_negatives import scores as whole_scores
 from panelstack.session import materialize
 
 #: Rows of a candidate block and of a query block; share of the lists read before each look at the bounds.
 BLOCK_ROWS, QUERY_ROWS, LAYERS = 4096, 1024, (0.35, 0.5, 0.7)
 #: Blocks of a group (of queries, of candidates); two groups meet in one task.
 GROUP_BLOCKS = 4
-_BIG = float(2**31)
 
 
 def scaled(vectors: list, scale: float) -> list[np.ndarray | None]:
-    """floor(scale * x) of each vector, None for those that take no part."""
+    """floor(scale * x) of each vector, whole numbers held as doubles; None for those that take no part."""
     out = []
     for v in vectors:
         if not v or None in v:
             out.append(None)
             continue
-        x = np.asarray(v, np.float64)
-        x = np.floor(x * scale) if np.isfinite(x).all() else None
-        out.append(x.astype(np.int64) if x is not None and (np.abs(x) < _BIG).all() else None)
+        with np.errstate(over="ignore"):
+            x = np.floor(np.asarray(v, np.float64) * scale)
+        out.append(x if np.isfinite(x).all() else None)
     return out
 
 
@@ -79,7 +81,6 @@ class Lists:
     """A block of candidates with a sorted list for each dimension."""
 
     def __init__(self, vectors: np.ndarray):
-        self.exact = vectors
         self.x = vectors.astype(np.float64)
         self.sorted = np.sort(self.x, axis=0)
 
@@ -100,9 +101,10 @@ def search_block(lists: Lists, ids, null, nums, q, q_nums, best, k: int, layers=
     qf = q.astype(np.float64).T
     up, down = np.maximum(qf, 0), np.minimum(qf, 0)
     exact = float(np.abs(lists.x).max(initial=0)) * float(np.abs(qf).max(initial=0)) * max(1, q.shape[1]) < 2**53
-    slack = 0.0 if exact else 1e-9 * float(np.abs(lists.x).max()) * np.abs(qf).sum(axis=0)
+    with np.errstate(over="ignore"):
+        slack = 0.0 if exact else 1e-9 * float(np.abs(lists.x).max()) * np.abs(qf).sum(axis=0)
     open_q = np.arange(len(q))
-    floor = np.array([-b[k - 1][0] if len(b) >= k else -np.inf for b in best], np.float64)
+    floor = np.array([np.nextafter(float(-b[k - 1][0]), -np.inf) if len(b) >= k else -np.inf for b in best], np.float64)
     if np.isinf(floor).any():
         # No k results yet: the lists' far ends give lower bounds, and the k-th best of them the first floor.
         low = np.minimum(lists.x, lists.sorted[-1]) @ up + np.maximum(lists.x, lists.sorted[0]) @ down
@@ -123,12 +125,12 @@ def search_block(lists: Lists, ids, null, nums, q, q_nums, best, k: int, layers=
     if exact:
         scores = (lists.x[rows] @ qf[:, open_q]).astype(np.int64)
     else:
-        scores = lists.exact[rows] @ q[open_q].T
+        scores = np.stack([whole_scores(lists.x[rows], qf[:, j]).astype(object) for j in open_q], axis=1)
     for j, qi in enumerate(open_q.tolist()):
         at = np.flatnonzero(alive[:, j] & (scores[:, j] >= floor[qi]) & (nums[rows] != q_nums[qi]))
         if len(at) > k:
             s = scores[at, j]
-            kth = np.partition(s, len(s) - k)[len(s) - k]
+            kth = np.sort(s)[len(s) - k]
             at = at[s >= kth]
             r = rows[at]
             at = at[np.lexsort((nums[r], ids[r], null[r], -scores[at, j]))[:k]]
@@ -151,10 +153,10 @@ def nra(k: int):
             for q, found in zip(queries, best, strict=True):
                 search_block(lists, ids, null, nums, q[3], q[2], found, k)
         for q, found in zip(queries, best, strict=True):
-            rows += [(int(i), int(num), *hit) for i, num, hits in zip(q[0], q[2], found, strict=True) for hit in hits]
-        cols = list(zip(*rows, strict=True)) or [()] * 6
-        names = ("query_id", "query_num", "minus", "no_id", "vec_id", "num")
-        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64())
+            rows += [(int(i), int(num), order_key(-hit[0]), as_long(-hit[0]), *hit[1:]) for i, num, hits in zip(q[0], q[2], found, strict=True) for hit in hits]
+        cols = list(zip(*rows, strict=True)) or [()] * 7
+        names = ("query_id", "query_num", "key", "score", "no_id", "vec_id", "num")
+        kinds = (pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.bool_(), pa.int64(), pa.int64())
         return pa.table({n: pa.array(c, t) for n, c, t in zip(names, cols, kinds, strict=True)})
 
     return run
@@ -185,7 +187,7 @@ def top_k(vectors: DataFrame, queries: F.Column, k: int = 5, scale: float = 256.
     cells_q = asked.select("dim", "block", "blob", group(q_groups).alias("qg")).withColumn("cg", all_of(c_groups))
     cells_c = blocks.select("dim", "block", "blob", group(c_groups).alias("cg")).withColumn("qg", all_of(q_groups))
     key = ["dim", "qg", "cg"]
-    found = cells_q.groupBy(*key).cogroup(cells_c.groupBy(*key)).applyInArrow(nra(k), "query_id long, query_num long, minus long, no_id boolean, vec_id long, num long")
-    w = Window.partitionBy("query_num").orderBy("minus", "no_id", "vec_id", "num")
+    found = cells_q.groupBy(*key).cogroup(cells_c.groupBy(*key)).applyInArrow(nra(k), "query_id long, query_num long, key binary, score long, no_id boolean, vec_id long, num long")
+    w = Window.partitionBy("query_num").orderBy(F.desc("key"), "no_id", "vec_id", "num")
     return (found.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
-            .select("query_id", "query_num", "rank", F.when(~F.col("no_id"), F.col("vec_id")).alias("vec_id"), (-F.col("minus")).alias("score")))
+            .select("query_id", "query_num", "rank", F.when(~F.col("no_id"), F.col("vec_id")).alias("vec_id"), "score"))
