@@ -31,6 +31,7 @@ import heapq
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -44,7 +45,8 @@ SYMBOLS = " etaoinshrdlucmfgpbywvk.,\nqzxj\x00\xc3'-!|*0123456789"
 #: Pseudo-count of both bits, levels of evidence, gated sets, cells of the refining map.
 PRIOR, LEVELS, DEPTHS, CELLS = 0.2, 4, 4, 33
 SETS = LEVELS**3 * DEPTHS
-BLOCK_ROWS, SLICE_BYTES, BATCH = 4096, 4 << 20, 1 << 14
+BLOCK_ROWS, BLOCK_BYTES, SLICE_BYTES, BATCH = 4096, 16 << 20, 4 << 20, 1 << 14
+MOST_COUNTED = 2.0 ** (255 / 12) - 1
 PIECE_BITS = 16
 SPAN = max(ORDERS)
 
@@ -76,9 +78,30 @@ def code_tree() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return nodes, bits, np.array([len(paths[b]) for b in range(256)])
 
 
-def quantised(n: np.ndarray) -> np.ndarray:
-    """Counts on a logarithmic scale of 256 steps; small ones stay exact."""
-    return np.minimum(255, np.rint(12 * np.log2(1 + n.astype(np.float64)))).astype(np.uint16)
+def quantised(pairs: np.ndarray) -> np.ndarray:
+    """(n, 2) counts of both bits on a logarithmic scale of 256 steps; small ones stay exact.
+
+    Where one of a pair is beyond the scale (2.5 million) both are scaled down together, so their ratio stays.
+    """
+    pairs = pairs.astype(np.float64)
+    pairs = pairs * np.minimum(1.0, MOST_COUNTED / np.maximum(pairs.max(axis=1, keepdims=True), 1.0))
+    return np.minimum(255, np.rint(12 * np.log2(1 + pairs))).astype(np.uint16)
+
+
+def numbered(batches):
+    """Batches with a column ``block``: runs of a task's rows of at most BLOCK_ROWS rows and, unless one text is longer, BLOCK_BYTES bytes."""
+    from pyspark import TaskContext
+
+    block, rows, held = TaskContext.get().partitionId() << 32, 0, 0
+    for b in batches:
+        sizes = pc.fill_null(pc.binary_length(b.column("text")), 0).to_pylist()
+        out = []
+        for size in sizes:
+            if rows and (rows >= BLOCK_ROWS or held + size > BLOCK_BYTES):
+                block, rows, held = block + 1, 0, 0
+            rows, held = rows + 1, held + size
+            out.append(block)
+        yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out, pa.int64())], names=[*b.schema.names, "block"])
 
 
 def lookup_tables() -> dict[str, np.ndarray]:
@@ -332,7 +355,7 @@ COUNTS, WORDS, STATS = 0, 1, 2
 
 
 def gather(bucket_bits: int):
-    """For mapInArrow over (block, train, text): the task's predictor counts, and every block's distinct words with training counts."""
+    """For mapInArrow over (train, text): the task's predictor counts, and every block's distinct words with training counts."""
 
     def run(batches):
         coder, hasher = Coder(), WordHasher()
@@ -350,7 +373,7 @@ def gather(bucket_bits: int):
             rows = [(block, int(bucket[a]), int(b - a), pack(keys[a:b], seen[a:b])) for a, b in zip(cut, np.r_[cut[1:], len(keys)], strict=True)]
             return _batch(WORDS, rows) if rows else None
 
-        for b in batches:
+        for b in numbered(batches):
             blocks = b.column("block").to_numpy(zero_copy_only=False)
             train = b.column("train").to_numpy(zero_copy_only=False).astype(bool)
             texts = text_bytes(b.column("text"))
@@ -526,22 +549,23 @@ def score_block(model_of, n_words: int, n_distinct: int, train_docs: int):
         n_tokens = np.bincount(owner, minlength=n) + 1
         known = np.bincount(owner, weights=own > 0, minlength=n).astype(np.int64) + (train_docs > 0)
         base = np.bincount(owner, weights=np.log10(own + 0.1), minlength=n) + np.log10(train_docs + 0.1) - n_tokens * scale
+        score = cache["scorer"].texts(texts)
+        bits = np.array([-x * np.log2(10) / len(t) if t else np.nan for x, t in zip(score, texts, strict=True)])
         return pa.table({"doc_id": docs.column("doc_id"), "held_out": docs.column("held_out"), "n_tokens": pa.array(n_tokens, pa.int64()), "n_known": pa.array(known, pa.int64()),
                          "train_tokens": pa.array(np.full(n, all_tokens), pa.int64()), "base_score": pa.array(base, pa.float64()),
-                         "score": pa.array(cache["scorer"].texts(texts), pa.float64())})
+                         "score": pa.array(score, pa.float64()), "bits_per_byte": pa.array(bits, pa.float64(), mask=np.isnan(bits))})
 
     return run
 
 
 def score(docs: DataFrame, held_out: F.Column, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every whole text; held-out rows teach nothing."""
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score and bits_per_byte (null without bytes) of every whole text; held-out rows teach nothing."""
     spark = docs.sparkSession
-    place = F.monotonically_increasing_id()
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.coalesce(held_out, F.lit(False)).alias("held_out"),
-                       F.shiftleft(F.shiftright(place, 33), 20).bitwiseOR(F.shiftright(place.bitwiseAND(F.lit((1 << 33) - 1)), BLOCK_ROWS.bit_length() - 1)).alias("block"))
-    blocks = docs.count() // BLOCK_ROWS + 1
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.coalesce(held_out, F.lit(False)).alias("held_out"))
+    size = rows.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("bytes")).first()
+    blocks = size["n"] // BLOCK_ROWS + size["bytes"] // BLOCK_BYTES + 1
     bucket_bits = max(4, int(blocks).bit_length())  # about as many buckets as blocks: a bucket's words stay as many as a block's
-    gathered = materialize(rows.select("block", (~F.col("held_out")).alias("train"), "text").mapInArrow(lean(gather(bucket_bits)), GATHERED), "lm-gathered")
+    gathered = materialize(rows.select((~F.col("held_out")).alias("train"), "text").mapInArrow(lean(gather(bucket_bits)), GATHERED), "lm-gathered")
     train_docs = gathered.filter(F.col("kind") == STATS).agg(F.sum("n")).first()[0] or 0
 
     pieces = (gathered.filter(F.col("kind") == COUNTS).repartition("block", "bucket").sortWithinPartitions("block", "bucket")
@@ -562,6 +586,7 @@ def score(docs: DataFrame, held_out: F.Column, id_col: str = "doc_id", text_col:
                           .mapInArrow(lean(answer_words), GATHERED), "lm-answers")
     stats = answers.filter(F.col("kind") == STATS).agg(F.sum("n").alias("n"), F.sum("block").alias("v")).first()
     judge = score_block(lambda: (held_tables.value, weights, refine), stats["n"] or 0, stats["v"] or 0, train_docs)
-    kinds = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    return (rows.groupBy("block").cogroup(answers.filter(F.col("kind") == WORDS).select("block", "bucket", "blob").groupBy("block"))
+    kinds = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, bits_per_byte double"
+    placed = rows.mapInArrow(lean(numbered), "doc_id long, text string, held_out boolean, block long")
+    return (placed.groupBy("block").cogroup(answers.filter(F.col("kind") == WORDS).select("block", "bucket", "blob").groupBy("block"))
             .applyInArrow(judge, kinds))
