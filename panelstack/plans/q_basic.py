@@ -17,7 +17,7 @@ from panelstack.plans.panels import K, daily_events, p2_filled
 from panelstack.plans.registry import register
 from panelstack.plans.sqlparts import BANDS, DAILY, P1, P2, P2I, aqi_class as sql_class, band_code, band_label, clip as sql_clip, grid
 from panelstack.sources.fixtures import p1_hourly_panel, p2_daily_panel, region_daily_panel, table
-from panelstack.sources.readers import build_hourly_payload, explode_hourly, lenient_dates, read_observations
+from panelstack.sources.readers import build_hourly_payload, explode_hourly, lenient_dates, read_checked, read_observations
 from panelstack.session import scratch_path
 from panelstack.sources.writers import ADVICE_SCHEMA, latest_json, read_advice, upsert_predictions, upsert_rows, write_panel
 
@@ -53,6 +53,32 @@ def q_scan_panel(spark, sf_dir):
     return read_observations(spark, path, "series_id string, date date, value double")
 
 
+# Lines of a written CSV by the last digits of the order number: no number, no date, a field too few, one too many, an empty price.
+BAD_PRICE, BAD_DATE, TOO_FEW, TOO_MANY, NO_PRICE = 1, 2, 3, 4, 5
+
+
+@register("checked_lines", f"""
+WITH o AS (SELECT o_orderkey, o_orderkey % 50 AS kind FROM orders),
+c AS (SELECT o_orderkey, kind, CASE kind WHEN {BAD_PRICE} THEN 'value' WHEN {BAD_DATE} THEN 'value' WHEN {TOO_FEW} THEN 'fields' WHEN {TOO_MANY} THEN 'fields' ELSE 'accepted' END AS outcome,
+      CASE kind WHEN {BAD_PRICE} THEN 'price' WHEN {BAD_DATE} THEN 'date' ELSE '' END AS columns FROM o)
+SELECT outcome, columns, count(*) AS lines, count(CASE WHEN outcome = 'accepted' AND kind <> {NO_PRICE} THEN 1 END) AS prices,
+CAST(sum(o_orderkey) AS BIGINT) AS order_sum FROM c GROUP BY 1, 2""", ints="lines prices order_sum")
+def q_checked_lines(spark, sf_dir):
+    """A CSV with planted bad lines: what is accepted, and what is rejected for which reason."""
+    kind, price = F.col("o_orderkey") % 50, F.col("o_totalprice").cast("string")
+    day = F.date_format("o_orderdate", "yyyy-MM-dd")
+    price = F.when(kind == BAD_PRICE, "n/a").when(kind == NO_PRICE, "").otherwise(price)
+    fields = F.array(F.col("o_orderkey").cast("string"), F.when(kind == BAD_DATE, "1999-13-45").otherwise(day), price)
+    fields = F.when(kind == TOO_FEW, F.slice(fields, 1, 2)).when(kind == TOO_MANY, F.concat(fields, F.array(F.lit("more")))).otherwise(fields)
+    path = scratch_path(spark, "lines")
+    table(spark, sf_dir, "orders").select(F.array_join(fields, ",").alias("value")).write.text(path)
+    rows, rejects = read_checked(spark, path, "order_id BIGINT, date DATE, price DOUBLE", header=False)
+    accepted = rows.agg(F.lit("accepted").alias("outcome"), F.lit("").alias("columns"), F.count(F.lit(1)).alias("lines"), F.count("price").alias("prices"), F.sum("order_id").alias("order_sum"))
+    number = F.split("line", ",")[0].try_cast("long")
+    lost = rejects.groupBy(F.col("reason").alias("outcome"), "columns").agg(F.count(F.lit(1)).alias("lines"), F.lit(0).cast("long").alias("prices"), F.sum(number).alias("order_sum"))
+    return accepted.unionByName(lost)
+
+
 @register("dim_join", """
 SELECT r.r_name AS series_id, CAST(o.o_orderdate AS DATE) AS date, avg(o.o_totalprice) / 1000.0 AS value,
        count(*) AS n_orders

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from panelstack.session import materialize
+
 
 def read_observations(spark: SparkSession, path: str, schema: T.StructType | str | None = None,
                       fmt: str = "parquet", date_col: str = "date") -> DataFrame:
@@ -22,6 +26,29 @@ def read_observations(spark: SparkSession, path: str, schema: T.StructType | str
     return df
 
 
+def read_checked(spark: SparkSession, path: str, schema: str, header: bool = True, sep: str = ",") -> tuple[DataFrame, DataFrame]:
+    """A CSV folder as (rows, rejects): rows that follow the schema, and the lines that do not, with a reason.
+
+    A line is rejected where it has too many or too few fields (``fields``) or a field that is no value of its column's type
+    (``value``); ``columns`` names those.  An empty field is a null, not an error.  Every line comes out once, in one of the two; the
+    input is parsed once and written to the shared folder.
+    """
+    wanted = T.StructType.fromDDL(schema)
+    line = "_line"
+    while line in wanted.names:
+        line += "_"
+    raw = (spark.read.schema(wanted.add(line, T.StringType())).option("header", header).option("sep", sep).option("mode", "PERMISSIVE")
+           .option("columnNameOfCorruptRecord", line).csv(path))
+    kept = materialize(raw, "observations")
+    names = [f.name for f in wanted.fields if f.name != line]
+    parts = F.split(F.col(line), re.escape(sep), -1)
+    lost = F.filter(F.array(*[F.when(F.col(f"`{c}`").isNull() & (F.length(F.trim(F.try_element_at(parts, F.lit(i + 1)))) > 0), F.lit(c)) for i, c in enumerate(names)]), lambda x: x.isNotNull())
+    whole = F.size(parts) == len(names)
+    rejects = kept.where(F.col(line).isNotNull()).select(F.col(line).alias("line"), F.when(whole, "value").otherwise("fields").alias("reason"),
+                                                         F.when(whole, F.array_join(lost, ",")).otherwise(F.lit("")).alias("columns"))
+    return kept.where(F.col(line).isNull()).drop(line), rejects
+
+
 def read_dimension(spark: SparkSession, path: str, fmt: str = "csv",
                    schema: T.StructType | str | None = None) -> DataFrame:
     """Small dimension (city / stations).  Callers broadcast it only after checking its size."""

@@ -47,3 +47,37 @@ def test_model_round_trip(spark, tmp_path):
     a = m.transform(df).select("prediction").collect()
     b = m2.transform(df).select("prediction").collect()
     assert a == b
+
+
+def test_read_checked_keeps_every_line_once(spark, tmp_path):
+    from panelstack.sources.readers import read_checked
+    lines = ["series,day,value", "a,2024-01-01,1.5", "a,2024-01-02,", "b,2024-02-30,2", "b,2024-01-03,x y", "b,soon,late", "c,2024-01-04", "c,2024-01-05,1,2", '"d, e",2024-01-06,3']
+    path = tmp_path / "obs"
+    path.mkdir()
+    (path / "part.csv").write_text("\n".join(lines) + "\n")
+    rows, rejects = read_checked(spark, str(path), "series STRING, day DATE, value DOUBLE")
+    assert sorted((r.series, str(r.day), r.value) for r in rows.collect()) == [("a", "2024-01-01", 1.5), ("a", "2024-01-02", None), ("d, e", "2024-01-06", 3.0)]
+    assert sorted(tuple(r) for r in rejects.collect()) == [("b,2024-01-03,x y", "value", "value"), ("b,2024-02-30,2", "value", "day"), ("b,soon,late", "value", "day,value"), ("c,2024-01-04", "fields", ""), ("c,2024-01-05,1,2", "fields", "")]
+    assert rows.count() == 3 and rejects.count() == 5
+
+
+def test_kde_series_equals_the_plain_sum(spark):
+    import numpy as np
+
+    from panelstack.operators.stats import expansion_terms, kde
+    r = np.random.default_rng(4)
+    series = {"a": r.normal(50, 10, 700), "far": np.r_[r.normal(0, 1, 300), [1e5, -3e4]], "flat": np.full(5, 2.0), "two": np.array([1.0, 2.0])}
+    df = spark.createDataFrame([(k, float(x)) for k, xs in series.items() for x in xs] + [("a", None)], "series_id string, value double")
+    got = {}
+    for row in kde(df, ["series_id"], "value", grid=120, bins=10).collect():
+        got.setdefault(row.series_id, {})[row.grid_index] = row.density_count
+    for k, xs in series.items():
+        n, lo, hi = len(xs), xs.min(), xs.max()
+        bw = n**-0.2 * xs.std(ddof=1)
+        if k == "flat":
+            assert set(got[k].values()) == {None}
+            continue
+        at = lo + np.arange(120) * (hi - lo) / 119
+        plain = np.exp(-0.5 * ((at[:, None] - xs) / bw) ** 2).sum(axis=1) / (bw * np.sqrt(2 * np.pi)) * (hi - lo) / 10
+        assert np.abs(np.array([got[k][i] for i in range(120)]) - plain).max() < 1e-8
+    assert expansion_terms(1e-12) < expansion_terms(1e-15) <= 25
