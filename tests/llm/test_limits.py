@@ -49,3 +49,4 @@ def test_a_long_system_turn_is_not_repeated(spark):
     assert sum(len(w.formatted) for w in windows if w.conv_id == 1) < 12_000
     back = {r.conv_id: r for r in chat.read_back(chat.format_windows(df, budget=100, history=30)).collect()}
     assert {k: r.n_turns for k, r in back.items()} == {1: 50, 2: 50}
+
