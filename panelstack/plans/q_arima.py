@@ -145,3 +145,28 @@ def q_arma_metrics(spark, sf_dir):
     rows = time_split(p2_filled(spark, sf_dir), K, T)
     found = arma_walk_forward(rows, arma_search(rows.where(F.col("split") == "train"), K, T, "value"), K, T, "value")
     return regression_metrics(found.withColumn("model", F.lit("arma")), ["model"])
+
+
+def _small_orders_sql() -> str:
+    parts = []
+    for p, q in ((0, 0), (0, 1), (1, 0), (1, 1)):
+        xs, k = ["y1"] * p + ["e1"] * q, p + q + 1
+        if xs:
+            moments, betas, means, error, _ = _regression("value", xs)
+        else:
+            moments, betas, means, error = "count(value) AS n, avg(value) AS m_y, var_pop(value) AS v_y", [], [], "n * v_y"
+        point = "m_y" + "".join(f" - ({b}) * {m}" for b, m in zip(betas, means))
+        parts.append(f"SELECT series_id, {p} AS p, {q} AS q, n, {point} AS intercept, sqrt({error} / (n - {k})) AS sigma, n * ln({error} / n) + {2 * k} AS aic "
+                     f"FROM (SELECT series_id, {moments} FROM r1 WHERE e1 IS NOT NULL GROUP BY 1)")
+    return " UNION ALL ".join(parts)
+
+
+@register("arma_orders_small", f"""
+WITH {_ar3_ctes("split = 'train'")},
+r AS (SELECT s.*, value - (b0 + b1 * y1 + b2 * y2 + b3 * y3) AS e FROM s JOIN c USING (series_id) WHERE split = 'train'),
+r1 AS (SELECT *, lag(e, 1) OVER ({W}) AS e1 FROM r)
+{_small_orders_sql()}""", doubles="intercept sigma aic", ints="p q n")
+def q_arma_orders_small(spark, sf_dir):
+    """Orders up to (1, 1) with the residuals of AR(3): every regression of the table in closed form."""
+    rows = time_split(p2_filled(spark, sf_dir), K, T).where(F.col("split") == "train")
+    return arma_table(rows, K, T, "value", max_p=1, max_q=1, long_order=3).select(*K, "p", "q", "n", "intercept", "sigma", "aic")

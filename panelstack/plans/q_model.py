@@ -692,6 +692,21 @@ def q_tree_explain_top(spark, sf_dir):
     return explain_top(found.select("*", place), ["weekday", "month"], "place", k=1)
 
 
+@register("tree_importance", f"""
+WITH {_two_level_ctes()},
+x AS (SELECT f, nl, sl, nr, sr FROM r UNION ALL SELECT f, nl, sl, nr, sr FROM h),
+gains AS (SELECT f, sum(sl * sl / nl + sr * sr / nr - (sl + sr) * (sl + sr) / (nl + nr)) AS gain FROM x GROUP BY 1),
+names AS (SELECT * FROM (VALUES (0, 'weekday'), (1, 'month')) v(f, feature)),
+i AS (SELECT feature, coalesce(gain, 0) / sum(gain) OVER () AS score FROM names LEFT JOIN gains USING (f))
+SELECT feature, score, row_number() OVER (ORDER BY score DESC, feature) AS rank FROM i""", doubles="score", ints="rank")
+def q_tree_importance(spark, sf_dir):
+    """Importances of the tree of two levels: what its splits take off the squared error, as shares."""
+    d = p2_filled(spark, sf_dir).select(F.weekday(T).cast("double").alias("weekday"), F.month(T).cast("double").alias("month"), "value")
+    model = decision_tree_regressor(d, ["weekday", "month"], "value", max_depth=2, min_leaf=1)
+    names, scores = zip(*feature_scores(model, ["weekday", "month"]))
+    return top_features(spark, list(names), list(scores), k=2)
+
+
 @register("forest_contrib")
 def q_forest_contrib(spark, sf_dir):
     """Mean absolute contributions of a forest (100 trees of depth 6) on the test days of the feature panel."""
