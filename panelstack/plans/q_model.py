@@ -99,10 +99,22 @@ def q_feature_panel(spark, sf_dir):
     return feature_panel(spark, sf_dir)[0]
 
 
+_held: list = []  # the training panel of the query built last
+
+
 def _train_test(spark, sf_dir):
-    """Train/test parts of the fitted feature panel; train is persisted because learners scan it many times."""
+    """Train/test parts of the fitted feature panel.
+
+    Learners scan train many times, so it is persisted; the one of the query before is let go, so that one panel
+    at most is held (a plan that still needs it reads the written panel again).
+    """
+    while _held:
+        before = _held.pop()
+        if before.sparkSession is spark:
+            before.unpersist()
     panel, pipe = feature_panel(spark, sf_dir)
     train = panel.where(F.col("split") == "train").persist()
+    _held.append(train)
     return train, panel.where(F.col("split") == "test"), pipe
 
 
