@@ -10,7 +10,9 @@ from __future__ import annotations
 
 import itertools
 from collections.abc import Callable
+from multiprocessing.pool import ThreadPool
 
+from pyspark import inheritable_thread_target
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, OneVsRest, RandomForestClassifier
 from pyspark.ml.evaluation import Evaluator
@@ -18,7 +20,7 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import DecisionTreeRegressor, GBTRegressor, LinearRegression, RandomForestRegressor
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from panelstack.functions.bands import aqi_band_code, clip
@@ -92,16 +94,18 @@ def boosted_regressor(train, features, label, preset: str = "lgb", validation_co
     """Gradient-boosted trees; with ``validation_col`` the trees up to the best validation round are kept.
 
     The loss of every round is measured on the rows marked for validation, and the model
-    is fitted again with its best number of rounds once ``patience`` rounds brought no gain.  Rounds are added
-    by doubling until that is seen (a longer run with the same seed begins with the same
-    trees, so the result is that of fitting all rounds).  Use the tail of the *training*
-    period as validation, never the test set.
+    is fitted again with its best number of rounds once ``patience`` rounds brought no gain.  The first run has a
+    fifth more rounds than ``patience``, the next twice ``patience``, and they double until that is seen (a longer run with
+    the same seed begins with the same trees, so the result is that of fitting all rounds).  Use the tail of the *training*
+    period as validation, never the test set.  A frame that the caller has persisted is read as it is, so that
+    several boosters can share it, side by side too.
     """
     params = dict(BOOST_PRESETS[preset], **overrides)
     if not validation_col:
         return _pipeline(features, GBTRegressor(labelCol=label, seed=seed, maxMemoryInMB=TREE_BUFFER_MB, **params)).fit(train)
-    rounds, most = 2 * patience, params.pop("maxIter")
-    taught, held = train.where(~F.col(validation_col)).persist(), train.where(F.col(validation_col)).persist()
+    rounds, most = patience + max(1, patience // 5), params.pop("maxIter")
+    taught, held = train.where(~F.col(validation_col)), train.where(F.col(validation_col))
+    own = [] if train.is_cached else [taught.persist(), held.persist()]
 
     def fit(trees: int) -> PipelineModel:
         return _pipeline(features, GBTRegressor(labelCol=label, seed=seed, maxMemoryInMB=TREE_BUFFER_MB, maxIter=trees, **params)).fit(taught)
@@ -113,10 +117,17 @@ def boosted_regressor(train, features, label, preset: str = "lgb", validation_co
             keep = best_prefix(losses, patience)
             if rounds >= most or len(losses) - keep >= patience:
                 return model if keep == len(losses) else fit(keep)
-            rounds *= 2
+            rounds = 2 * patience if rounds < 2 * patience else 2 * rounds
     finally:
-        taught.unpersist()
-        held.unpersist()
+        for df in own:
+            df.unpersist()
+
+
+def side_by_side(spark: SparkSession, fits: dict[str, Callable]) -> dict:
+    """The models of independent fits by name, fitted at the same time (a round of small jobs waits on their scheduling)."""
+    with ThreadPool(max(1, len(fits))) as pool:
+        made = pool.map(lambda task: task(), [inheritable_thread_target(spark)(f) for f in fits.values()])
+    return dict(zip(fits, made, strict=True))
 
 
 def random_forest_classifier(train, features, label, weight_col: str | None = None, trees: int = 300,

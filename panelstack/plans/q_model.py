@@ -20,7 +20,7 @@ from panelstack.operators.forecast import (
 from panelstack.operators.learn import (
     FOREST_PRESETS, blend, blend_sweep, boosted_regressor, cv_evaluate, decision_tree_regressor, feature_scores,
     grid_search, models_agree, random_forest_classifier, random_forest_regressor, ridge, score_class,
-    score_regression, stratified_folds,
+    score_regression, side_by_side, stratified_folds,
 )
 from panelstack.operators.metrics import balanced_weights, classification_metrics, regression_metrics
 from panelstack.operators.ranking import explain_top, leaderboard, top_features
@@ -164,10 +164,13 @@ def q_forest_regressor(spark, sf_dir):
 def q_boosted_regressor(spark, sf_dir):
     """Both boosted presets; early stopping watches the last 20 % of each series' training period."""
     train, test, pipe = _train_test(spark, sf_dir)
-    tv = time_split(train, K, T, 0.2).withColumn("is_val", F.col("split") == "test").drop("split")
-    return _test_metrics(test, {
-        "boosted_lgb": boosted_regressor(tv, pipe.features, TARGET, "lgb", validation_col="is_val"),
-        "boosted_xgb": boosted_regressor(tv, pipe.features, TARGET, "xgb", validation_col="is_val", seed=7)})
+    tv = time_split(train, K, T, 0.2).withColumn("is_val", F.col("split") == "test").drop("split").persist()
+    try:
+        return _test_metrics(test, side_by_side(spark, {
+            "boosted_lgb": lambda: boosted_regressor(tv, pipe.features, TARGET, "lgb", validation_col="is_val"),
+            "boosted_xgb": lambda: boosted_regressor(tv, pipe.features, TARGET, "xgb", validation_col="is_val", seed=7)}))
+    finally:
+        tv.unpersist()
 
 
 @register("importance_table")

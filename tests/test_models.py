@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from panelstack.operators.explain import fit_linear_moments, linear_contributions
 from panelstack.operators.forecast import ar_fit, ar_p_fit
+from panelstack.operators import learn
 from panelstack.operators.learn import ridge
 
 
@@ -52,3 +53,28 @@ def test_linear_contributions_are_additive(spark):
     g = c.groupBy("id", "prediction", "base").agg(F.sum("contribution").alias("s"))
     worst = g.select(F.max(F.abs(F.col("base") + F.col("s") - F.col("prediction")))).first()[0]
     assert worst < 1e-9
+
+
+def test_early_stopping_fits_few_rounds_beyond_its_patience(spark, monkeypatch):
+    fitted = []
+
+    class Counted(learn.GBTRegressor):
+        def fit(self, dataset, params=None):
+            fitted.append(self.getMaxIter())
+            return super().fit(dataset, params)
+
+    monkeypatch.setattr(learn, "GBTRegressor", Counted)
+    rng = np.random.default_rng(3)
+    rows = [(float(i % 7), float(rng.normal()), i % 4 == 0) for i in range(240)]  # nothing to learn
+    df = spark.createDataFrame(rows, "x double, y double, held boolean").coalesce(1).persist()
+    fits = {name: lambda seed=seed: learn.boosted_regressor(df, ["x"], "y", "xgb", "held", 5, seed, maxIter=12, maxDepth=1) for name, seed in (("a", 1), ("b", 7))}
+    models = learn.side_by_side(spark, fits)
+    assert list(models) == ["a", "b"] and df.storageLevel.useMemory  # the caller's frame stays persisted
+    assert fitted.count(6) >= 2 and min(fitted[:2]) == 6
+    for name, seed in (("a", 1), ("b", 7)):  # the same trees as all rounds fitted, up to the best one
+        whole = learn.boosted_regressor(df.where("not held"), ["x"], "y", "xgb", seed=seed, maxIter=12, maxDepth=1)
+        losses = whole.stages[-1].evaluateEachIteration(whole.stages[0].transform(df.where("held")), "squared")
+        keep, kept = learn.best_prefix(list(losses), 5), models[name].stages[-1]
+        assert kept.getNumTrees == keep
+        assert [t.toDebugString.split("\n", 1)[1] for t in kept.trees] == [t.toDebugString.split("\n", 1)[1] for t in whole.stages[-1].trees[:keep]]
+    df.unpersist()
