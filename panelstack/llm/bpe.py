@@ -18,16 +18,18 @@ from __future__ import annotations
 import base64
 import hashlib
 import heapq
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from panelstack.llm.common import lean, slices
 
 #: Bytes of text whose pieces are merged together, and pieces that a task remembers.
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 2 << 20
 MEMO_PIECES = 250_000
 _NONE = np.int32(2**31 - 1)
 
@@ -146,30 +148,42 @@ class Merges:
         return out
 
 
+class Numbers(dict):
+    """Numbers of pieces in the order in which they are first asked for."""
+
+    def __missing__(self, piece: str) -> int:
+        self[piece] = n = len(self)
+        return n
+
+
 def digests(ranks: dict[bytes, int], pattern: str, block_bytes: int = BLOCK_BYTES):
-    """Function for mapInArrow: doc_id, n_tokens, ids_sha256, decoded_sha256."""
+    """Function for mapInArrow: doc_id, n_tokens, ids_sha256, decoded_sha256.
+
+    A block's rows leave Arrow block by block, and its texts keep the numbers of their pieces only: the
+    strings of one text's pieces stand at a time, besides those of the distinct ones.
+    """
 
     def run(batches):
         import regex
-        merges, cut, memo = Merges(ranks), regex.compile(pattern), {}
+        merges, cut, number, lines, raw = Merges(ranks), regex.compile(pattern), Numbers(), [], []
         for b in batches:
-            texts = [t if t is not None else "" for t in b.column("text").to_pylist()]
-            counts, id_sha, out_sha = [], [], []
-            for begin, end in slices(list(map(len, texts)), block_bytes):
-                pieces = [cut.findall(t) for t in texts[begin:end]]
-                new = list({p for ps in pieces for p in ps if p not in memo})
-                raw = [p.encode() for p in new]
-                for p, ids in zip(new, merges.replay(raw), strict=True):
-                    memo[p] = (" ".join(map(str, ids)), b"".join(map(merges.tokens.__getitem__, ids)))
-                for ps in pieces:
-                    got = list(map(memo.__getitem__, ps))
-                    line = " ".join([g[0] for g in got])
+            texts, counts, id_sha, out_sha = b.column("text"), [], [], []
+            sizes = pc.fill_null(pc.binary_length(texts), 0).to_pylist()
+            for begin, end in slices(sizes, block_bytes):
+                held = [np.fromiter(map(number.__getitem__, cut.findall(t or "")), np.int32) for t in texts.slice(begin, end - begin).to_pylist()]
+                for ids in merges.replay([p.encode() for p in islice(number, len(lines), None)]):
+                    lines.append(" ".join(map(str, ids)))
+                    raw.append(b"".join(map(merges.tokens.__getitem__, ids)))
+                for pieces in held:
+                    pieces = pieces.tolist()
+                    line = " ".join(map(lines.__getitem__, pieces))
                     counts.append(line.count(" ") + 1 if line else 0)
                     id_sha.append(hashlib.sha256(line.encode()).hexdigest())
-                    out_sha.append(hashlib.sha256(b"".join([g[1] for g in got])).hexdigest())
-                if len(memo) > MEMO_PIECES:
-                    memo.clear()
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(counts, pa.int64()), pa.array(id_sha), pa.array(out_sha)],
+                    out_sha.append(hashlib.sha256(b"".join(map(raw.__getitem__, pieces))).hexdigest())
+                if len(number) > MEMO_PIECES:
+                    for memo in (number, lines, raw):
+                        memo.clear()
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(counts, pa.int64()), pa.array(id_sha, pa.string()), pa.array(out_sha, pa.string())],
                                              names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     return run

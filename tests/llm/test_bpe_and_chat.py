@@ -51,6 +51,26 @@ def test_low_rank_that_comes_up_late():
         assert merges.replay([p, b"zz"])[0] == ([ranks[p]] if p in ranks else merges.one(p))
 
 
+def test_pieces_of_a_block_are_not_kept_as_strings():
+    """Beside the distinct pieces a block costs a few bytes a piece, and no row leaves Arrow before its block."""
+    import tracemalloc
+
+    import pyarrow as pa
+    ranks = {bytes([i]): i for i in range(256)} | {b"ab": 256}
+    texts = ["".join(f"{'ab' * (j % 5)}{(i + j) % 50} " for j in range(4000)) for i in range(60)] + [None, ""]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts)], names=["doc_id", "text"])
+    run = bpe.digests(ranks, r"\w+|\W")
+    tracemalloc.start()
+    got, = run(iter([batch]))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 12 << 20  # 480 thousand pieces
+    merges = bpe.Merges(ranks)
+    ids = [x for p in (w.encode() for w in texts[3].replace(" ", "\0 \0").split("\0") if w) for x in merges.one(p)]
+    assert got.column("ids_sha256")[3].as_py() == hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest()
+    assert got.column("n_tokens").to_pylist()[-2:] == [0, 0] and got.column("decoded_sha256")[3].as_py() == hashlib.sha256(texts[3].encode()).hexdigest()
+
+
 ODD_TURNS = [
     (1, 0, "system", "be kind", "x"), (1, 1, "user", "hi <|im_end|>\n\\ <s>", "x"), (1, 2, "assistant", "\\[INST] <|im_start|>user<|im_sep|>", "x"), (1, 3, "user", None, "x"),
     (1, 4, "assistant", "w " * 9000, "x"), (1, 4, "assistant", "w " * 9000, "x"), (1, 5, "assistant", "", "x"), (2, 0, None, "no role", "x"), (2, None, "assistant", "no turn", "x"),
