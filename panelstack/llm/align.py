@@ -33,6 +33,7 @@ import hashlib
 import heapq
 import re
 import struct
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -44,7 +45,7 @@ from panelstack.session import materialize
 
 #: Text bytes of a block; radixes of the A id; runs of a merge; records of a run's chunk.
 BLOCK_BYTES, RADIXES, FAN_IN, CHUNK = 8 << 20, 64, 32, 1 << 16
-#: Words that a task remembers between blocks; words that are encoded side by side (4096 * 2 at most fit their number's bits).
+#: Words a task holds after a block before it forgets all but the often used ones (half as many, 16 MB at most); words that are encoded side by side (4096 * 2 at most fit their number's bits).
 WORDS, TOGETHER = 200_000, 8192
 _CUT, _ODD = re.compile(r"(?<=\S) (?=\S)"), re.compile(r"\s | \s|^\s|\s$")
 
@@ -87,7 +88,9 @@ class Tokenizers:
             self.bytes_b.append(bytes([int(byte[1], 16)]) if byte else piece.replace("▁", " ").encode())
         self.len_a, self.len_b = (np.array([len(x) for x in y], np.int64) for y in (self.bytes_a, self.bytes_b))
 
-        self.text_a, self.text_b = [str(i) for i in range(size)], [str(i) for i in range(len(self.bytes_b))]
+        # Ids as text with what follows them: for A a comma or, behind a group's last, a bar; for B a comma, a group's end or a word's end.
+        self.text_a = np.array([f"{i}{end}" for i in range(size) for end in ",|"], object)
+        self.text_b = np.array([f"{i}{end}" for i in range(len(self.bytes_b)) for end in ",;\0"], object)
 
     def encode(self, words: list[str]) -> tuple[np.ndarray, np.ndarray] | None:
         """Ids of A for the words with a space before each, of B for the words with spaces between; None where bytes differ."""
@@ -108,27 +111,36 @@ class Words:
 
     def clear(self) -> None:
         self.index: dict[str, int] = {}
+        self.uses = np.zeros(0, np.int64)
         self.digest: list[str] = []
         self.sizes = np.zeros((0, 5), np.int64)  # n_a, n_b, groups, links, 1 where the bytes differ
         self.starts, self.pairs, self.times = np.zeros(1, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
 
-    def trim(self) -> None:
-        """Forget all once they are many (called between blocks)."""
-        if len(self.index) > WORDS or sum(map(len, self.digest)) > 32 << 20:
-            self.clear()
+    def used(self, at: np.ndarray) -> None:
+        """Count a block's words; once many are held, forget those that are not used again (called between blocks)."""
+        counts = np.bincount(at, minlength=len(self.digest))
+        counts[:len(self.uses)] += self.uses
+        self.uses = counts
+        if len(self.index) <= WORDS and sum(map(len, self.digest)) + sum(map(len, self.index)) <= 32 << 20:
+            return
+        names, often = list(self.index), np.flatnonzero(counts > 1)
+        often = often[np.argsort(-counts[often], kind="stable")][:WORDS // 2]
+        sizes = np.array([len(names[i]) + len(self.digest[i]) for i in often.tolist()], np.int64)
+        kept = np.sort(often[np.cumsum(sizes) <= 16 << 20])
+        reps = self.starts[kept + 1] - self.starts[kept]
+        place = ranges(self.starts[kept], reps)
+        self.index = {names[i]: k for k, i in enumerate(kept.tolist())}
+        self.digest, self.sizes, self.uses = [self.digest[i] for i in kept.tolist()], self.sizes[kept], counts[kept] // 2
+        self.starts, self.pairs, self.times = np.concatenate([[0], np.cumsum(reps)]), self.pairs[place], self.times[place]
 
     def lookup(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Word numbers of all texts one after another, and each text's number of words."""
-        parts = [words_of(t) for t in texts]
-        index, fresh = self.index, {}
-        for p in parts:
-            for w in p:
-                if w not in index and w not in fresh:
-                    fresh[w] = len(index) + len(fresh)
+        parts, index = [words_of(t) for t in texts], self.index
+        fresh = [w for w in dict.fromkeys(chain.from_iterable(parts)) if w not in index]
         if fresh:
-            self._learn(list(fresh))
-            index.update(fresh)
-        return np.fromiter((index[w] for p in parts for w in p), np.int64), np.array([len(p) for p in parts], np.int64)
+            self._learn(fresh)
+            index.update(zip(fresh, range(len(index), len(index) + len(fresh))))
+        return np.fromiter(map(index.__getitem__, chain.from_iterable(parts)), np.int64), np.array([len(p) for p in parts], np.int64)
 
     def _learn(self, words: list[str]) -> None:
         begin = 0
@@ -167,23 +179,30 @@ class Words:
         sizes = np.stack([np.bincount(word, x, n) for x in (size_a, size_b, np.ones(len(cuts)), size_a * size_b, np.zeros(len(cuts)))], axis=1).astype(np.int64)
         reps = size_b[group_a]
         first = (np.cumsum(size_b) - size_b)[group_a]
-        inside = np.arange(int(reps.sum())) - np.repeat(np.cumsum(reps) - reps, reps)
-        key, times = np.unique(np.repeat(word_a << 44 | a << 22, reps) | b[np.repeat(first, reps) + inside], return_counts=True)
+        key, times = np.unique(np.repeat(word_a << 44 | a << 22, reps) | b[ranges(first, reps)], return_counts=True)
         self.sizes = np.concatenate([self.sizes, sizes])
         self.starts = np.concatenate([self.starts, self.starts[-1] + np.cumsum(np.bincount(key >> 44, minlength=n))])
         self.pairs, self.times = np.concatenate([self.pairs, pair_key(key >> 22 & 0x3FFFFF, key & 0x3FFFFF)]), np.concatenate([self.times, times])
-        # The digests: ids of a group's tokens, groups of a word.
-        text_a, text_b = [t.text_a[x] for x in a.tolist()], [t.text_b[x] for x in b.tolist()]
-        cut_a, cut_b = np.concatenate([[0], np.cumsum(size_a)]).tolist(), np.concatenate([[0], np.cumsum(size_b)]).tolist()
-        said = [",".join(text_a[cut_a[i]:cut_a[i + 1]]) + "|" + ",".join(text_b[cut_b[i]:cut_b[i + 1]]) for i in range(len(cuts))]
-        last = np.concatenate([[0], np.cumsum(sizes[:, 2])]).tolist()
-        self.digest += [";".join(said[last[i]:last[i + 1]]) for i in range(n)]
+        # The digests: A's tokens of a group, then B's, each with what follows it.
+        ends_a, ends_b = np.cumsum(size_a), np.cumsum(size_b)
+        end_a, end_b = np.zeros(len(a), np.int64), np.zeros(len(b), np.int64)
+        end_a[ends_a - 1] = 1
+        end_b[ends_b - 1] = 1 + np.r_[word[1:] != word[:-1], True]
+        said = np.empty(len(a) + len(b), object)
+        said[np.arange(len(a)) + (ends_b - size_b)[group_a]] = t.text_a[2 * a + end_a]
+        said[np.arange(len(b)) + ends_a[group_b]] = t.text_b[3 * b + end_b]
+        self.digest += "".join(said.tolist()).split("\0")[:n]
+
+
+def ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """start, start + 1, ... of all ranges one after another."""
+    return np.arange(int(lengths.sum())) + np.repeat(starts - np.cumsum(lengths) + lengths, lengths)
 
 
 def groups(len_a: np.ndarray, len_b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Group number of each A and each B token from their byte lengths, and the offsets at which groups end."""
     end_a, end_b = np.cumsum(len_a), np.cumsum(len_b)
-    cuts = np.intersect1d(end_a, end_b)
+    cuts = np.intersect1d(*(e[np.diff(e, prepend=-1) > 0] for e in (end_a, end_b)), assume_unique=True)
     return np.searchsorted(cuts, end_a), np.searchsorted(cuts, end_b), cuts
 
 
@@ -278,6 +297,7 @@ def block_rows(batches, path_a: str, path_b: str):
         nonlocal number
         name, number = part << 32 | number, number + 1
         at, lens = words.lookup([t for t in texts if t])
+        words_at = at
         filled = np.flatnonzero([bool(t) for t in texts])
         n, doc = len(texts), np.repeat(filled, lens)
         sums = np.zeros((n, 5), np.int64)
@@ -295,9 +315,14 @@ def block_rows(batches, path_a: str, path_b: str):
         both, times = np.unique(doc[keep] * np.int64(len(words.digest)) + at[keep], return_counts=True)
         doc, at = both // max(1, len(words.digest)), both % max(1, len(words.digest))
         reps = words.starts[at + 1] - words.starts[at]
-        place = np.repeat(words.starts[at], reps) + np.arange(int(reps.sum())) - np.repeat(np.cumsum(reps) - reps, reps)
-        pairs, index = np.unique(words.pairs[place], return_inverse=True)
-        record, index2 = np.unique(np.repeat(doc, reps) * np.int64(max(1, len(pairs))) + index, return_inverse=True)
+        place = ranges(words.starts[at], reps)
+        met = np.zeros(len(words.pairs), np.int64)
+        met[place] = 1
+        met = np.flatnonzero(met)
+        pairs, numbers = np.unique(words.pairs[met], return_inverse=True)
+        number_of = np.zeros(len(words.pairs), np.int64)
+        number_of[met] = numbers
+        record, index2 = np.unique(np.repeat(doc, reps) * np.int64(max(1, len(pairs))) + number_of[place], return_inverse=True)
         links = np.bincount(index2, words.times[place] * np.repeat(times, reps), len(record)).astype(np.int64)
         rec_doc, rec_pair = record // max(1, len(pairs)), (record % max(1, len(pairs))).astype(np.int32)
         known = np.array([i is not None for i in ids])
@@ -305,7 +330,7 @@ def block_rows(batches, path_a: str, path_b: str):
                     np.bincount(rec_doc, minlength=n).astype(np.int32), rec_pair, links.astype(np.int32) if links.max(initial=0) < 2**31 else links, pairs)
         counts, radix = np.bincount(rec_pair, minlength=len(pairs)).astype(np.int64), radix_of(pairs)
         rows = [(-1, docs)] + [(int(r), spilled(pairs[radix == r], counts[radix == r])) for r in np.unique(radix)]
-        words.trim()
+        words.used(words_at)
         return pa.RecordBatch.from_arrays([pa.array([name] * len(rows), pa.int64()), pa.array([r for r, _ in rows], pa.int32()), pa.array([x for _, x in rows], pa.binary())], names=["node", "radix", "run"])
 
     for b in batches:

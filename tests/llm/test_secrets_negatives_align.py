@@ -184,3 +184,33 @@ def test_merge_of_many_runs():
     expected = Counter(x for p in held for x in p.tolist())
     assert dict(zip(pairs.tolist(), counts.tolist(), strict=True)) == expected and (np.diff(pairs) > 0).all()
     assert align.totals([])[0].size == 0
+
+
+def test_often_used_words_are_encoded_once(monkeypatch):
+    """Words that come again in the next blocks are kept where a task forgets; what it puts out does not hang on it."""
+    import public_tokenizers
+    import pyarrow as pa
+    from pyspark import TaskContext
+
+    paths = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
+    common = [f"common{i}" for i in range(30)]
+    texts = [" ".join([*common, f"rare{k}", *common, f"caf\u00e9{k}", "\u2581"[:k % 7 == 3]]) for k in range(60)] + [None, "", " a  b "]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts)), pa.int64()), pa.array(texts)], names=["doc_id", "text"])
+    encoded, encode = [], align.Tokenizers.encode
+
+    def counted(self, words):
+        encoded.extend(words)
+        return encode(self, words)
+
+    monkeypatch.setattr(align.Tokenizers, "encode", counted)
+    monkeypatch.setattr(TaskContext, "get", classmethod(lambda cls: type("Task", (), {"partitionId": staticmethod(lambda: 0)})))
+    monkeypatch.setattr(align, "BLOCK_BYTES", 4000)
+    made = {}
+    for words in (40, 10**6):
+        monkeypatch.setattr(align, "WORDS", words)
+        encoded.clear()
+        made[words] = [b.to_pydict() for b in align.block_rows(iter([batch]), *paths)]
+        assert len(made[words]) > 5
+        if words == 40:
+            assert sum(w in common[:20] for w in encoded) <= 3 * 20  # before: in every block
+    assert made[40] == made[10**6]
