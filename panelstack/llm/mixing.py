@@ -1,7 +1,8 @@
 """Mixing documents to target token shares of soft domains.
 
 A softmax classifier on hashed byte trigrams, fitted on a bounded sample of the
-labelled rows, gives every document its posterior over the domains.  Document
+labelled rows, gives every document its posterior over the domains.  The sample's
+trigrams are counted inside tasks; the driver gets the buckets in use, never a text.  Document
 rates r >= 0 then solve
 
     min  (s - t)' M^-1 (s - t) / 2,   s = sum_d w_d p_d r_d,   M = sum_d w_d p_d p_d'
@@ -57,6 +58,21 @@ def trigram_features(texts: list[bytes]) -> np.ndarray:
     return out
 
 
+def sliced_features(texts: list[bytes]):
+    """(begin, end, features) of consecutive lower-cased texts, so many at a time that the arrays stay small."""
+    for begin, end in slices([len(t) + BUCKETS for t in texts], 2 << 20):
+        yield begin, end, trigram_features([t.lower() for t in texts[begin:end]])
+
+
+def sparse_features(texts: list[bytes]) -> list[tuple[np.ndarray, np.ndarray]]:
+    """The buckets in use (16 bits each) and their features of every lower-cased text."""
+    out = []
+    for _, _, x in sliced_features(texts):
+        used = [np.flatnonzero(row) for row in x]
+        out += [(at.astype(np.uint16), row[at]) for row, at in zip(x, used, strict=True)]
+    return out
+
+
 def count_tokens(text: bytes) -> int:
     """Runs without ASCII white space."""
     return len(text.split())
@@ -72,19 +88,21 @@ class Domains:
         out = np.empty((len(texts), len(self.names)))
         if not self.names:
             return out
-        for begin, end in slices([len(t) + BUCKETS for t in texts], 2 << 20):
-            z = trigram_features([t.lower() for t in texts[begin:end]]) @ self.weights + self.bias
+        for begin, end, x in sliced_features(texts):
+            z = x @ self.weights + self.bias
             z = np.exp(z - z.max(axis=1, keepdims=True))
             out[begin:end] = z / z.sum(axis=1, keepdims=True)
         return out
 
 
-def fit_domains(rows: list[tuple[bytes, object, float]], ridge: float = 3e-4, steps: int = 150) -> Domains:
-    """Weighted softmax regression from (text, domain, documents it stands for)."""
+def fit_domains(rows: list[tuple[tuple[np.ndarray, np.ndarray], object, float]], ridge: float = 3e-4, steps: int = 150) -> Domains:
+    """Weighted softmax regression from (sparse features, domain, documents it stands for)."""
     names = sorted({r[1] for r in rows})
     if not names:
         return Domains()
-    x = trigram_features([r[0].lower() for r in rows])
+    x = np.zeros((len(rows), BUCKETS), np.float32)
+    for row, ((at, value), _, _) in zip(x, rows, strict=True):
+        row[at] = value
     y = np.array([names.index(r[1]) for r in rows])
     weight = np.array([r[2] for r in rows], np.float32)
     weight /= weight.sum()
@@ -106,8 +124,11 @@ def fit_domains(rows: list[tuple[bytes, object, float]], ridge: float = 3e-4, st
     return Domains(names, w, b)
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, domain: str = "quality", per_domain: int = PER_DOMAIN) -> list[tuple[bytes, object, float]]:
-    """A bounded sample of labelled documents, by a hash of the id: (text, domain, documents it stands for)."""
+def training_rows(docs: DataFrame, labels: DataFrame, domain: str = "quality", per_domain: int = PER_DOMAIN) -> list[tuple[tuple[np.ndarray, np.ndarray], object, float]]:
+    """A bounded sample of labelled documents, by a hash of the id: (sparse features of the text, domain, documents it stands for).
+
+    Tasks count the trigrams: a row takes 24 KB of the driver at most, however long its text.
+    """
     known = labels.filter(F.col(domain).isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max(domain).alias("domain")).join(docs.select("doc_id").distinct(), "doc_id", "left_semi")
     counts = {r["domain"]: r["n"] for r in known.groupBy("domain").agg(F.count(F.lit(1)).alias("n")).collect()}
     if not counts:
@@ -121,9 +142,18 @@ def training_rows(docs: DataFrame, labels: DataFrame, domain: str = "quality", p
                     f"i -> substring(text, cast(1 + i * (length(text) - {CHARS_PER_DOC // 64}) / 63 AS int), {CHARS_PER_DOC // 64})), ' ') END")
     # About per_domain rows of each domain: a bounded side.
     # One row an id, so that a repeated id cannot fill the sample.
-    found = one_row(docs.select("doc_id", spread.alias("text")).join(F.broadcast(known.filter(keep)), "doc_id"), "domain").collect()
-    found.sort(key=lambda r: (r["doc_id"], r["text"] or ""))
-    return [((r["text"] or "").encode(), r["domain"], 1 / rate[r["domain"]]) for r in found]
+    texts = one_row(docs.select("doc_id", spread.alias("text")).join(F.broadcast(known.filter(keep)), "doc_id"), "domain")
+
+    def run(batches):
+        for b in batches:
+            at, values = zip(*sparse_features(text_bytes(b.column("text")))) if b.num_rows else ((), ())
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("domain"), *[pa.array([x.tobytes() for x in c], pa.binary()) for c in (at, values)]],
+                                             names=["doc_id", "domain", "at", "value"])
+
+    kinds = dict(texts.dtypes)
+    found = texts.mapInArrow(lean(run), f"doc_id {kinds['doc_id']}, domain {kinds['domain']}, at binary, value binary").collect()
+    found.sort(key=lambda r: r["doc_id"])
+    return [((np.frombuffer(r["at"], np.uint16), np.frombuffer(r["value"], np.float32)), r["domain"], 1 / rate[r["domain"]]) for r in found]
 
 
 def replay(p: np.ndarray, steps: list[list[float]], least: float = 0.0) -> tuple[np.ndarray, np.ndarray]:

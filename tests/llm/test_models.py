@@ -1,3 +1,4 @@
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -200,6 +201,26 @@ def test_mixing_query_and_stage(spark):
     assert expected[1] / expected.sum() == pytest.approx(0.85, abs=1e-6)
 
 
+def test_domain_fit_gets_no_texts(spark):
+    """Trigrams are counted in tasks, as over the whole texts: the fit's memory does not grow with their length."""
+    docs = spark.createDataFrame([(0, None), (1, ""), (2, "ab"), (3, "Abc \u00e9\u00c9 abc")], "doc_id long, text string")
+    docs = docs.union(spark.range(4, 44).selectExpr("id AS doc_id", "rpad('', 60000, concat('Word ', id, ' of ', id * id, ', ')) AS text"))
+    labels = docs.selectExpr("doc_id", "doc_id % 2 AS quality")
+    tracemalloc.start()
+    try:
+        rows = mixing.training_rows(docs, labels)
+        domains = mixing.fit_domains(rows, steps=5)
+        most = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert most < 20e6  # 75 MB where the driver counts the trigrams of these 2.4 MB
+    plain = mixing.trigram_features([(r.text or "").encode().lower() for r in sorted(docs.collect())])
+    assert len(rows) == len(plain) and [r[1:] for r in rows] == [(i % 2, 1.0) for i in range(44)]
+    for ((at, value), _, _), x in zip(rows, plain, strict=True):
+        assert (at == np.flatnonzero(x)).all() and (value == x[at]).all()
+    assert domains.names == [0, 1]
+
+
 def test_mixing_odd_cases(spark):
     docs = cases.odd_docs(spark)
     labels = labelled(spark, [(5, 1, 0, "x"), (8, 0, 0, "x"), (9, 1, 0, "x"), (11, 0, 1, "x"), (None, 1, 1, "x"), (13, None, None, "x")])
